@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tomoloom.functions.storage import materialize
 from tomoloom.functions.text import is_sealed_blob, strip
 
 # The call looked for, the lists and fields read from its argument, the shortest string considered.
@@ -131,15 +132,20 @@ def call_keywords(calls: DataFrame) -> DataFrame:
 
 
 def keywords(events: DataFrame, line: str = "line", line_num: str = "line_num") -> DataFrame:
-    """Distinct keywords with the line each was first seen on: `(kind, line_num, text)` in first-seen order.
+    """Distinct keywords with the line each was first seen on: `(kind, line_num, text, seen)`.
 
-    Queries come before patterns; the same text may appear once in each.
+    `seen` sorts keywords of a kind by first appearance. The same text may appear once in each kind.
     """
     found = call_keywords(web_calls(events.select(line_num, line), line))
-    first = F.min(F.struct(line_num, "str_no", "call_no", "item_no")).alias("_first")
-    distinct = found.groupBy("kind", "text").agg(first)
-    rank = F.when(F.col("kind") == FIELDS[0][0], 0).otherwise(1)
-    return distinct.orderBy(rank, "_first").select("kind", F.col(f"_first.{line_num}").alias("line_num"), "text")
+    distinct = found.groupBy("kind", "text").agg(
+        F.min(F.struct(line_num, "str_no", "call_no", "item_no")).alias("seen")
+    )
+    return distinct.select("kind", F.col(f"seen.{line_num}").alias("line_num"), "text", "seen")
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """Queries, then patterns, each by first appearance."""
+    return found.orderBy(F.when(F.col("kind") == FIELDS[0][0], 0).otherwise(1), "seen")
 
 
 def keyword_counts(found: DataFrame) -> DataFrame:
@@ -148,6 +154,7 @@ def keyword_counts(found: DataFrame) -> DataFrame:
 
 def write_keyword_blocks(found: DataFrame, path: str) -> None:
     """Keyword texts as blocks separated by a `---` line, in order over the part files. Nothing found is an error."""
+    found = materialize(found)
     if found.isEmpty():
         raise ValueError("no web search or find calls found in this log")
-    found.select("text").write.option("lineSep", BLOCK_SEPARATOR).text(path)
+    in_order(found).select("text").write.option("lineSep", BLOCK_SEPARATOR).text(path)

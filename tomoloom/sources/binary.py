@@ -40,6 +40,13 @@ def list_files(path: str, suffixes: tuple[str, ...]) -> list[str]:
     )
 
 
+def chosen_files(options, suffixes: tuple[str, ...]) -> list[str]:
+    """Files of the `path` option, or only those of the newline-separated `paths` option."""
+    if "paths" in options:
+        return [p for path in sorted(options["paths"].split("\n")) for p in list_files(path, suffixes)]
+    return list_files(options["path"], suffixes)
+
+
 def split_spans(path: str, rows: int, rows_per_span: int, low: int = 0, high: int | None = None) -> list[Span]:
     stop = rows if high is None else min(rows, high)
     step = max(1, rows_per_span)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, WriterCommitMessage
 
 from tomoloom.schemas import VOXEL
-from tomoloom.sources.binary import Span, ZRange, list_files, split_spans, voxel_batches
+from tomoloom.sources.binary import Span, ZRange, chosen_files, split_spans, voxel_batches
 
 SLAB_VOXELS = 1 << 24
 
@@ -22,7 +22,7 @@ def npy_shape(path: str) -> tuple[tuple[int, ...], np.dtype]:
 
 
 class NpyVolume(DataSource):
-    """Options: `path` (file or folder), `slab` (z planes per task). The volume's id is its file path."""
+    """Options: `path` (file or folder) or `paths` (one file per line), `slab` (z planes per task). The volume's id is its file path."""
 
     @classmethod
     def name(cls) -> str:
@@ -40,7 +40,7 @@ class NpyVolume(DataSource):
 
 class NpyReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.files = list_files(options["path"], (".npy",))
+        self.files = chosen_files(options, (".npy",))
         self.slab = int(options["slab"]) if "slab" in options else None
         self.z = ZRange()
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tomoloom.schemas import VOXEL
-from tomoloom.sources.binary import ZRange, list_files, voxel_batches
+from tomoloom.sources.binary import ZRange, chosen_files, voxel_batches
 
 # TIFF tag numbers and field types (TIFF 6.0; type 16 is the 64-bit offset of large files).
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES = 256, 257, 258, 259, 273, 277
@@ -99,7 +99,7 @@ def read_directory(path: str) -> list[Page]:
 
 
 class TiffStack(DataSource):
-    """Options: `path` (file or folder), `pages` (planes per task). The volume's id is its file path."""
+    """Options: `path` (file or folder) or `paths` (one file per line), `pages` (planes per task). The volume's id is its file path."""
 
     @classmethod
     def name(cls) -> str:
@@ -114,7 +114,7 @@ class TiffStack(DataSource):
 
 class TiffReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.files = list_files(options["path"], (".tif", ".tiff"))
+        self.files = chosen_files(options, (".tif", ".tiff"))
         self.per_task = int(options["pages"]) if "pages" in options else None
         self.z = ZRange()
 
