@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tomoloom.functions.spread import spread_groups
 from tomoloom.schemas import HEAT
 
 # Page scale in pixels per point, blur radius, overlay strength, hits for full red, faintest shown.
@@ -74,6 +75,26 @@ def _spread(centres: np.ndarray, kernel: np.ndarray, size: int) -> np.ndarray:
     return rows
 
 
+def _bands(y: np.ndarray, reach: int) -> list[np.ndarray]:
+    """Split hits into groups of rows too far apart for their blurs to meet."""
+    order = np.argsort(y, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(y[order]) > reach) + 1)
+
+
+def _blur_band(y, x, w, kernel: np.ndarray, height: int, width: int, above: float):
+    """Pixels of one band with more than `above`, looking only at the rows and columns some hit reaches."""
+    rows, at = np.unique(y, return_inverse=True)
+    lines = np.zeros((rows.size, width))
+    for start in range(0, w.size, 4096):
+        part = slice(start, start + 4096)
+        np.add.at(lines, at[part], w[part, None] * _spread(x[part], kernel, width))
+    columns = _spread(rows, kernel, height)
+    ys, xs = np.flatnonzero(columns.any(axis=0)), np.flatnonzero(lines.any(axis=0))
+    heat = columns[:, ys].T @ lines[:, xs]
+    py, px = np.nonzero(heat > above)
+    return ys[py], xs[px], heat[py, px]
+
+
 def blur(splats: DataFrame, height: int, width: int, sigma: float = SIGMA, above: float = 0.0) -> DataFrame:
     """Gaussian-blurred heat of every page, as the pixels with more than `above`.
 
@@ -86,13 +107,8 @@ def blur(splats: DataFrame, height: int, width: int, sigma: float = SIGMA, above
 
     def one_page(table: pa.Table) -> pa.Table:
         y, x, w = (table.column(c).to_numpy() for c in ("y", "x", "w"))
-        rows, at = np.unique(y, return_inverse=True)
-        lines = np.zeros((rows.size, width))
-        for start in range(0, w.size, 4096):
-            part = slice(start, start + 4096)
-            np.add.at(lines, at[part], w[part, None] * _spread(x[part], kernel, width))
-        heat = _spread(rows, kernel, height).T @ lines
-        py, px = np.nonzero(heat > above)
+        parts = [_blur_band(y[b], x[b], w[b], kernel, height, width, above) for b in _bands(y, kernel.size)]
+        py, px, heat = (np.concatenate(column) for column in zip(*parts, strict=True))
         n = py.size
         return pa.table(
             {
@@ -100,11 +116,12 @@ def blur(splats: DataFrame, height: int, width: int, sigma: float = SIGMA, above
                 "page_no": pa.array(np.full(n, table.column("page_no")[0].as_py(), np.int32)),
                 "y": pa.array(py.astype(np.int32)),
                 "x": pa.array(px.astype(np.int32)),
-                "w": pa.array(heat[py, px]),
+                "w": pa.array(heat),
             }
         )
 
-    return splats.groupBy("doc_id", "page_no").applyInArrow(one_page, HEAT)
+    pages = spread_groups(splats, "doc_id", "page_no")
+    return pages.groupBy("doc_id", "page_no").applyInArrow(one_page, HEAT)
 
 
 def heat_ceiling(sigma: float = SIGMA, full_red_hits: float = FULL_RED_HITS) -> float:
@@ -137,7 +154,9 @@ def with_colour(heat: DataFrame) -> DataFrame:
 def overlay(pixels: DataFrame, coloured: DataFrame) -> DataFrame:
     """Blend coloured heat over page pixels `(doc_id, page_no, y, x, pr, pg, pb)`; pixels without heat keep theirs."""
     key = ["doc_id", "page_no", "y", "x"]
-    joined = pixels.join(coloured.select(*key, "alpha", "r", "g", "b"), key, "left")
+    # Heat grows with the pages and is far larger than the hits its size is estimated from: never broadcast it.
+    shown = coloured.select(*key, "alpha", "r", "g", "b").hint("merge")
+    joined = pixels.join(shown, key, "left")
     alpha = F.coalesce("alpha", F.lit(0.0))
 
     def mixed(channel: str) -> Column:

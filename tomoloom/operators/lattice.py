@@ -85,7 +85,7 @@ def strut_coverage(struts: DataFrame, mask: DataFrame, samples: int = 11, broken
         F.col("volume_id").alias("graph_id"), "z", "y", "x", F.lit(1).alias("filled")
     )
     per_strut = (
-        visited.join(solid, ["graph_id", "z", "y", "x"], "left")
+        visited.join(solid.hint("merge"), ["graph_id", "z", "y", "x"], "left")
         .groupBy("graph_id", "strut_id")
         .agg(F.count(F.lit(1)).alias("voxels"), F.count("filled").alias("filled"))
     )

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomoloom.functions.spread import spread_groups
 from tomoloom.functions.storage import discard, materialize
 
 WORD = 64
@@ -145,13 +146,13 @@ def _thin_blocks(words: DataFrame, directions, block: int) -> DataFrame:
             }
         )
 
-    return (
+    shared = (
         words.withColumn("bz", covering("z", block, margin))
         .withColumn("by", covering("y", block, margin))
         .withColumn("bx", covering("xw", block_words, word_margin))
-        .groupBy("volume_id", "bz", "by", "bx")
-        .applyInArrow(thin, _WORDS)
     )
+    key = ("volume_id", "bz", "by", "bx")
+    return spread_groups(shared, *key).groupBy(*key).applyInArrow(thin, _WORDS)
 
 
 def _size(words: DataFrame) -> int:

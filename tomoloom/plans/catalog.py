@@ -356,19 +356,15 @@ def log_keyword_counts(spark, folder):
 @_run
 def blob_filter(spark, folder):
     """Message texts, their words joined to one run, and marked payloads, as the string filter sees them."""
-    turns = d.table(spark, folder, "conversations").select(
-        "conv_id",
-        "turn",
-        F.inline(
-            F.array(
-                F.struct(F.lit("text").alias("form"), F.col("text").alias("text")),
-                F.struct(F.lit("joined"), F.regexp_replace("text", r"[^A-Za-z0-9]", "")),
-                F.struct(F.lit("dense"), F.regexp_replace("text", r"\s", "-")),
-                F.struct(F.lit("marked"), F.concat(F.lit(" \t\ngAAAAA"), "role", F.lit(" and more text"))),
-                F.struct(F.lit("short"), F.concat(F.lit("  "), "role", F.lit("\n"))),
-            )
-        ),
-    )
+    forms = {
+        "text": F.col("text"),
+        "joined": F.regexp_replace("text", "[^A-Za-z0-9]", ""),
+        "dense": F.regexp_replace("text", r"\s", "-"),
+        "marked": F.concat(F.lit(" \t\ngAAAAA"), "role", F.lit(" and more text")),
+        "short": F.concat(F.lit("  "), "role", F.lit("\n")),
+    }
+    pairs = F.array(*(F.struct(F.lit(form).alias("form"), text.alias("text")) for form, text in forms.items()))
+    turns = d.table(spark, folder, "conversations").select("conv_id", "turn", F.inline(pairs))
     kept = logs.candidate_strings(turns)
     return kept.select("conv_id", "turn", "form", F.length("text").alias("n_chars"))
 

@@ -115,6 +115,11 @@ _TABLES = {
     "sweep": """
         select volume_id, threshold, count(*) n_voxels, count(*) filter (v >= threshold) foreground_voxels
         from volume, (select unnest([-0.1, 0.0, 0.05, 0.1]::double[]) threshold) group by all""",
+    "binned": """
+        select volume_id, lo, hi, case when v < lo + i * ((hi - lo) / {bins}) then i - 1
+            when i < {bins} - 1 and v >= lo + (i + 1) * ((hi - lo) / {bins}) then i + 1 else i end bin
+        from (select volume_id, v, lo, hi, least(floor((v - lo) / (hi - lo) * {bins}), {bins} - 1)::int i
+              from volume join (select volume_id, min(v) lo, max(v) hi from volume group by all) using (volume_id))""",
     "split": """
         select *, w1::double * w2::double * ((s1::double / w1 - s2::double / w2) * (s1::double / w1 - s2::double / w2)) b
         from (select volume_id, level, n, sum(n) over up w1, sum(level * n) over up s1,
@@ -124,11 +129,6 @@ _TABLES = {
               window up as (partition by volume_id order by level)) where w2 > 0""",
     "threshold": """
         select volume_id, arg_max(level, (b, -level)) threshold from split group by all""",
-    "binned": """
-        select volume_id, lo, hi, case when v < lo + i * ((hi - lo) / {bins}) then i - 1
-            when i < {bins} - 1 and v >= lo + (i + 1) * ((hi - lo) / {bins}) then i + 1 else i end bin
-        from (select volume_id, v, lo, hi, least(floor((v - lo) / (hi - lo) * {bins}), {bins} - 1)::int i
-              from volume join (select volume_id, min(v) lo, max(v) hi from volume group by all) using (volume_id))""",
     "first_copy": "select content_md5, min(path) first_path from files group by all",
     "first_volume_copy": """
         select content_md5, min(path) first_path from files where ext in ('.tif', '.npy') group by all""",
@@ -402,8 +402,9 @@ _check(
         f"sum(trunc(least(255, gray * (1 - coalesce(alpha, 0)) + coalesce({c}, 0) * coalesce(alpha, 0)))::bigint)::bigint {c}"
         for c in "rgb"
     )
-    + """ from (select doc_id, page_no, trunc((y0 + y1) / 2 * 2.2::double)::int y, trunc((x0 + x1) / 2 * 2.2::double)::int x,
-        min(greatest(0, 255 - 8 * length(word)))::double gray from word_box group by all having x < 1254)
+    + """ from (select doc_id, page_no, y, x, min(shade)::double gray from (
+        select doc_id, page_no, trunc((y0 + y1) / 2 * 2.2::double)::int y, trunc((x0 + x1) / 2 * 2.2::double)::int x,
+          greatest(0, 255 - 8 * length(word)) shade from word_box) where x < 1254 group by all)
     left join coloured using (doc_id, page_no, y, x) group by all""",
 )
 _check(
