@@ -129,6 +129,11 @@ def heat_ceiling(sigma: float = SIGMA, full_red_hits: float = FULL_RED_HITS) ->
     return max(full_red_hits / (2 * np.pi * sigma**2), 1e-12)
 
 
+def visible_heat(sigma: float = SIGMA, full_red_hits: float = FULL_RED_HITS) -> float:
+    """A little under the least heat that shows, for `blur(above=…)` where only visible pixels matter."""
+    return FAINTEST * heat_ceiling(sigma, full_red_hits) * (1 - 1e-9)
+
+
 def with_alpha(
     heat: DataFrame, sigma: float = SIGMA, full_red_hits: float = FULL_RED_HITS, max_alpha: float = MAX_ALPHA
 ) -> DataFrame:
@@ -154,8 +159,9 @@ def with_colour(heat: DataFrame) -> DataFrame:
 def overlay(pixels: DataFrame, coloured: DataFrame) -> DataFrame:
     """Blend coloured heat over page pixels `(doc_id, page_no, y, x, pr, pg, pb)`; pixels without heat keep theirs."""
     key = ["doc_id", "page_no", "y", "x"]
-    # Heat grows with the pages and is far larger than the hits its size is estimated from: never broadcast it.
-    shown = coloured.select(*key, "alpha", "r", "g", "b").hint("merge")
+    # Transparent pixels change nothing. Heat grows with the pages and is far larger than the hits its size is
+    # estimated from: never broadcast it.
+    shown = coloured.filter(F.col("alpha") > 0).select(*key, "alpha", "r", "g", "b").hint("merge")
     joined = pixels.join(shown, key, "left")
     alpha = F.coalesce("alpha", F.lit(0.0))
 

@@ -266,7 +266,9 @@ def _splats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _heat(spark: SparkSession, folder: str, sigma: float = BLUR_SIGMA) -> DataFrame:
-    return heat.with_colour(heat.with_alpha(heat.blur(_splats(spark, folder), *PAGE, sigma=sigma), sigma))
+    """Coloured heat of the pixels that show."""
+    blurred = heat.blur(_splats(spark, folder), *PAGE, sigma=sigma, above=heat.visible_heat(sigma))
+    return heat.with_colour(heat.with_alpha(blurred, sigma))
 
 
 @_run
@@ -292,7 +294,8 @@ def heat_blur(spark, folder):
 
 @_run
 def heat_alpha(spark, folder):
-    return _heat(spark, folder).groupBy("doc_id", "page_no").agg(
+    blurred = heat.blur(_splats(spark, folder), *PAGE, sigma=BLUR_SIGMA)
+    return heat.with_alpha(blurred, BLUR_SIGMA).groupBy("doc_id", "page_no").agg(
         F.count_if(F.col("alpha") > 0).alias("visible"), F.sum(_scaled(F.col("alpha"), 1e4)).alias("alpha")
     )
 
@@ -316,8 +319,7 @@ def heat_composite(spark, folder):
 @_run
 def heat_density(spark, folder):
     """Visible area per page at the full blur radius; too many pixels for a plain SQL check."""
-    faintest = heat.FAINTEST * heat.heat_ceiling()
-    blurred = heat.blur(_splats(spark, folder), *PAGE, above=faintest * (1 - 1e-9))
+    blurred = heat.blur(_splats(spark, folder), *PAGE, above=heat.visible_heat())
     shown = heat.with_alpha(blurred).filter("alpha > 0")
     return shown.groupBy("doc_id", "page_no").agg(
         F.count(F.lit(1)).alias("visible"), F.count_if(F.col("norm") >= 1.0).alias("full_red")

@@ -159,8 +159,7 @@ def literature_heat(
     wanted = [row.concept for row in ordered.limit(concepts.MAX_PROMPT_CONCEPTS + 1).collect()]
     hits = materialize(concepts.resolved_hits(boxes, wanted, min_hits, max_pages=max_pages))
     splats = materialize(heat.splat(hits, *page_size))
-    faintest = heat.FAINTEST * heat.heat_ceiling(sigma, full_red_hits)
-    grid = heat.blur(splats, *page_size, sigma=sigma, above=faintest * (1 - 1e-9))
+    grid = heat.blur(splats, *page_size, sigma=sigma, above=heat.visible_heat(sigma, full_red_hits))
     return {
         "hits": hits,
         "manifest": reports.literature_manifest(heat.page_heat_totals(hits, splats, keep_cold=True)),
