@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tomoloom.functions.storage import materialize
 from tomoloom.operators import concepts, heat, inventory, lattice, logs, mesh, skeleton, volume
 from tomoloom.plans import reports
-from tomoloom.sources.files import digest_tree, list_tree, read_lattice_json, read_log, read_prompt
+from tomoloom.sources.files import digest_tree, list_tree, read_lattice_json, read_log, read_prompt, top_folders
 from tomoloom.sources.npy import npy_shape
 from tomoloom.sources.stl import stl_counts
 from tomoloom.sources.tiff import read_directory
@@ -110,7 +110,7 @@ def explore_folder(spark: SparkSession, root: str) -> DataFrame:
     chosen = [(row.full_path.removeprefix("file:"), row.ext) for row in firsts.collect()]
     kinds = {"npy_volume": [p for p, e in chosen if e == ".npy"], "tiff_stack": [p for p, e in chosen if e != ".npy"]}
     scans = [
-        spark.read.format(name).option("paths", "\n".join(paths)).load(root) for name, paths in kinds.items() if paths
+        spark.read.format(name).option("files", "\n".join(paths)).load() for name, paths in kinds.items() if paths
     ]
     stats = volume.profile(reports.stack(scans)) if scans else None
     listing = inventory.describe_files(list_tree(spark, root))
@@ -118,7 +118,8 @@ def explore_folder(spark: SparkSession, root: str) -> DataFrame:
     if not listing.filter("ext = '.json'").isEmpty():
         graphs = lattice.json_profile(read_lattice_json(spark, root))
     meshes = stl_counts(listing.filter("ext = '.stl'").select(F.col("full_path").alias("path")))
-    return reports.inventory_report(digests, stats, graphs, meshes.withColumnRenamed("path", "mesh_id"))
+    meshes = meshes.withColumnRenamed("path", "mesh_id")
+    return reports.inventory_report(digests, stats, graphs, meshes, top_folders(spark, root))
 
 
 def mine_log(spark: SparkSession, log_path: str, output_path: str | None = None) -> DataFrame:

@@ -33,10 +33,12 @@ def inventory_report(
     volume_stats: DataFrame | None = None,
     graphs: DataFrame | None = None,
     meshes: DataFrame | None = None,
+    all_folders: DataFrame | None = None,
 ) -> DataFrame:
     """Counts of files, extensions, folders and duplicate volumes, with graph, mesh and volume numbers where given.
 
     `files` has `path` and `content_md5`. Volumes that repeat an earlier one appear as duplicates only.
+    `all_folders` (`folder`) brings in folders without files.
     """
     described = inventory.describe_files(files)
     volumes = inventory.duplicates(inventory.volume_files(described))
@@ -49,6 +51,8 @@ def inventory_report(
     in_folders = described.filter(F.col("folder").isNotNull()).groupBy("folder").agg(
         F.count(F.lit(1)).alias("files")
     )
+    if all_folders is not None:
+        in_folders = all_folders.join(in_folders, "folder", "left").fillna(0, ["files"])
     kinds = volumes.groupBy(F.when(F.col("is_duplicate"), "duplicate").otherwise("first").alias("kind")).agg(
         F.count(F.lit(1)).alias("volumes")
     )

@@ -41,9 +41,9 @@ def list_files(path: str, suffixes: tuple[str, ...]) -> list[str]:
 
 
 def chosen_files(options, suffixes: tuple[str, ...]) -> list[str]:
-    """Files of the `path` option, or only those of the newline-separated `paths` option."""
-    if "paths" in options:
-        return [p for path in sorted(options["paths"].split("\n")) for p in list_files(path, suffixes)]
+    """Files of the `path` option, or only those of the newline-separated `files` option."""
+    if "files" in options:
+        return [p for path in sorted(options["files"].split("\n")) for p in list_files(path, suffixes)]
     return list_files(options["path"], suffixes)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,20 +16,43 @@ from tomoloom.schemas import LATTICE_JSON
 WHOLE_FILE_BYTES = 64 << 20
 
 
+def _qualified(spark: SparkSession, root: str):
+    """Hadoop file system and absolute path of a folder."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system, system.makeQualified(base)
+
+
+def _tree(spark: SparkSession, root: str) -> DataFrame:
+    """Files with content below `root`; the reader passes over empty ones."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+
+
 def _relative(spark: SparkSession, root: str):
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    absolute = base.getFileSystem(conf).makeQualified(base).toString().rstrip("/")
-    return F.substring(F.col("path"), len(absolute) + 2, 1 << 20)
+    prefix = _qualified(spark, root)[1].toString().rstrip("/")
+    return F.substring(F.col("path"), len(prefix) + 2, 1 << 20).alias("path")
+
+
+def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Empty files below the same root: those the file index names but the reader does not return."""
+    # The index writes an empty authority ("file:///a"), the reader leaves it out ("file:/a").
+    named = [(re.sub(r"^(\w+):///", r"\1:/", unquote(name)),) for name in files.inputFiles()]
+    return spark.createDataFrame(named, "path string").join(files.select("path"), "path", "left_anti")
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """Every file below `root`: `path` relative to it, `full_path`, `length`. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(
-        _relative(spark, root).alias("path"), F.col("path").alias("full_path"), F.col("length")
-    )
+    files = _tree(spark, root)
+    full = F.col("path").alias("full_path")
+    empty = _empty_files(spark, files).select(_relative(spark, root), full, F.lit(0).cast("bigint").alias("length"))
+    return files.select(_relative(spark, root), full, "length").unionByName(empty)
+
+
+def top_folders(spark: SparkSession, root: str) -> DataFrame:
+    """Folders directly below `root`, with or without files."""
+    system, base = _qualified(spark, root)
+    names = [(entry.getPath().getName(),) for entry in system.listStatus(base) if entry.isDirectory()]
+    return spark.createDataFrame(names, "folder string").orderBy("folder")
 
 
 def digest_tree(spark: SparkSession, root: str, whole_below: int = WHOLE_FILE_BYTES) -> DataFrame:
@@ -36,8 +61,8 @@ def digest_tree(spark: SparkSession, root: str, whole_below: int = WHOLE_FILE_BY
     Files under `whole_below` bytes go through the JVM reader as one value. Larger ones, which might not fit a row,
     are streamed by the task that owns the path.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    relative = _relative(spark, root).alias("path")
+    files = _tree(spark, root)
+    relative = _relative(spark, root)
 
     def stream(batches):
         for batch in batches:
@@ -58,7 +83,10 @@ def digest_tree(spark: SparkSession, root: str, whole_below: int = WHOLE_FILE_BY
         .select(relative, "length", F.col("path").alias("full_path"))
         .mapInArrow(stream, "path string, length bigint, content_md5 string")
     )
-    return whole.unionByName(large)
+    empty = _empty_files(spark, files).select(
+        relative, F.lit(0).cast("bigint").alias("length"), F.md5(F.lit("")).alias("content_md5")
+    )
+    return whole.unionByName(large).unionByName(empty)
 
 
 def read_lattice_json(spark: SparkSession, path: str) -> DataFrame:

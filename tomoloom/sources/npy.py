@@ -22,7 +22,7 @@ def npy_shape(path: str) -> tuple[tuple[int, ...], np.dtype]:
 
 
 class NpyVolume(DataSource):
-    """Options: `path` (file or folder) or `paths` (one file per line), `slab` (z planes per task). The volume's id is its file path."""
+    """Options: `path` (file or folder) or `files` (one path per line), `slab` (z planes per task). The volume's id is its file path."""
 
     @classmethod
     def name(cls) -> str:

@@ -99,7 +99,7 @@ def read_directory(path: str) -> list[Page]:
 
 
 class TiffStack(DataSource):
-    """Options: `path` (file or folder) or `paths` (one file per line), `pages` (planes per task). The volume's id is its file path."""
+    """Options: `path` (file or folder) or `files` (one path per line), `pages` (planes per task). The volume's id is its file path."""
 
     @classmethod
     def name(cls) -> str:
