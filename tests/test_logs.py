@@ -7,7 +7,7 @@ from tomoloom.operators import logs
 
 
 def events(spark, lines):
-    return spark.createDataFrame(list(enumerate(lines, start=1)), "line_num bigint, line string")
+    return spark.createDataFrame(list(enumerate(lines, start=1)), "at bigint, line string")
 
 
 def call(argument):
@@ -20,7 +20,7 @@ def event(*texts):
 
 def mined(spark, lines):
     found = logs.in_order(logs.keywords(events(spark, lines))).collect()
-    return [(r.kind, r.line_num, r.text) for r in found]
+    return [(r.kind, r.at, r.text) for r in found]
 
 
 def every_string(value):
@@ -54,9 +54,9 @@ def test_strings_in_source_order_without_keys(spark):
     ]
     for ascii_only in (True, False):
         lines = [json.dumps(v, ensure_ascii=ascii_only, indent=None if ascii_only else 1) for v in values]
-        found = logs.json_strings(events(spark, lines)).orderBy("line_num", "str_no").collect()
+        found = logs.json_strings(events(spark, lines)).orderBy("at", "str_no").collect()
         for number, value in enumerate(values, start=1):
-            assert [r.text for r in found if r.line_num == number] == every_string(value)
+            assert [r.text for r in found if r.at == number] == every_string(value)
 
 
 @pytest.mark.parametrize(

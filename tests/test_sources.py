@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from binaries import write_stl, write_tiff
 from tomoloom.operators import lattice
 from tomoloom.plans.jobs import read_volume, store_voxels, volume_shape
-from tomoloom.sources.files import digest_tree, list_tree, read_lattice_json, read_log, read_prompt
+from tomoloom.sources.files import digest_tree, list_tree, log_lines, number_lines, read_lattice_json, read_prompt
 from tomoloom.sources.stl import header_count, stl_counts
 
 
@@ -173,7 +173,8 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
     spark.conf.set("spark.sql.files.openCostInBytes", "10")
     try:
-        log = read_log(spark, str(tmp_path))
+        lines = log_lines(spark, str(tmp_path))
+        log = number_lines(lines, lines)
         assert log.select("file").distinct().count() == 2
         found = {(r.file.rsplit("/")[-1], r.line_num): r.line for r in log.collect()}
     finally:

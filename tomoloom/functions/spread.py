@@ -11,3 +11,12 @@ def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
     Runtime coalescing sizes tasks by input bytes; groups whose work far exceeds their input must not be merged.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def spread_small(df: DataFrame, key: str, below_bytes: int = 1 << 30) -> DataFrame:
+    """Hash a small table over all cores before costly row work; a large one already has enough splits.
+
+    A small file is one split whatever the number of cores. The size is the optimizer's, from the file listing.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size < below_bytes else df

@@ -71,28 +71,33 @@ def _first_match(word: Column, candidates: Column) -> Column:
 
 
 def with_clean_words(boxes: DataFrame) -> DataFrame:
-    cleaned = boxes.withColumn("clean", clean_word(F.col("word"))).filter(F.col("clean") != "")
+    """Add the cleaned word; a word with nothing left of it can never match."""
+    cleaned = boxes.withColumn("clean", clean_word(F.col("word")))
     return cleaned.withColumn("_prefix", _prefix(F.col("clean")))
 
 
-def match_prompt(boxes: DataFrame, concepts: Sequence[str]) -> DataFrame:
-    """Add `concept`, the first of the list that matches the word, null where none does.
-
-    The list is the caller's own and its length is checked, so it is broadcast; the boxes are not shuffled.
-    """
+def _match_list(boxes: DataFrame, concepts: Sequence[str], how: str) -> DataFrame:
     if len(concepts) > MAX_PROMPT_CONCEPTS:
         raise ValueError(f"at most {MAX_PROMPT_CONCEPTS} prompt concepts, got {len(concepts)}")
-    spark = boxes.sparkSession
-    listed = spark.createDataFrame(list(enumerate(concepts)), "ord int, concept string").coalesce(1)
-    matched = with_clean_words(boxes).join(F.broadcast(_by_prefix(listed, [])), "_prefix", "left")
+    listed = boxes.sparkSession.createDataFrame(list(enumerate(concepts)), "ord int, concept string")
+    by_prefix = _by_prefix(listed.filter(F.col("concept") != "").coalesce(1), [])
+    matched = with_clean_words(boxes).join(F.broadcast(by_prefix), "_prefix", how)
     return matched.withColumn("concept", _first_match(F.col("clean"), F.col("_candidates"))).drop(
         "_candidates", "_prefix"
     )
 
 
+def match_prompt(boxes: DataFrame, concepts: Sequence[str]) -> DataFrame:
+    """Add `concept`, the first of the list that matches the word, null where none does.
+
+    The list is the caller's own and its length is checked, so it is broadcast; the boxes are not shuffled.
+    """
+    return _match_list(boxes, concepts, "left")
+
+
 def prompt_hits(boxes: DataFrame, concepts: Sequence[str]) -> DataFrame:
-    """Word boxes that match a prompt concept."""
-    return match_prompt(boxes, concepts).filter(F.col("concept").isNotNull())
+    """Word boxes that match a prompt concept; words without a candidate are dropped by the join itself."""
+    return _match_list(boxes, concepts, "inner").filter(F.col("concept").isNotNull())
 
 
 def first_pages(boxes: DataFrame, max_pages: int | None) -> DataFrame:
@@ -103,7 +108,7 @@ def document_hits(matched: DataFrame, min_hits: int = MIN_HITS) -> DataFrame:
     """Prompt hits per document, and whether they are too few; documents without any hit are included."""
     return matched.groupBy("doc_id").agg(
         F.count("concept").alias("n_hits"),
-        F.count(F.lit(1)).alias("n_words"),
+        F.count_if(F.col("clean") != "").alias("n_words"),
         (F.count("concept") < min_hits).alias("fallback"),
     )
 
@@ -142,15 +147,14 @@ def resolved_hits(
     """Hits for the prompt, or, in documents where it has fewer than `min_hits`, for their own frequent words.
 
     `max_pages` limits where hits are looked for; frequent words always come from the whole document.
-    Adds `fallback`. Only documents that fall back are tokenised.
+    Adds `fallback`. The words of documents that fall back, usually few, are set aside once and then worked on alone.
     """
     searched = first_pages(boxes, max_pages)
-    matched = match_prompt(searched, concepts)
-    documents = materialize(document_hits(matched, min_hits))
+    documents = materialize(document_hits(match_prompt(searched, concepts), min_hits))
     poor = documents.filter("fallback").select("doc_id")
-    kept = matched.filter(F.col("concept").isNotNull()).join(poor, "doc_id", "left_anti")
-    own = materialize(auto_concepts(boxes.join(poor, "doc_id", "left_semi"), top_n))
-    redone = match_auto(searched, own.select("doc_id", "concept", "ord"), documents.filter("fallback"))
+    kept = prompt_hits(searched, concepts).join(poor, "doc_id", "left_anti")
+    set_aside = materialize(boxes.join(poor, "doc_id", "left_semi"))
+    redone = auto_hits(set_aside, top_n, max_pages)
     return kept.withColumn("fallback", F.lit(False)).unionByName(redone.withColumn("fallback", F.lit(True)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomoloom.functions.spread import spread_groups
-from tomoloom.schemas import HEAT
+from tomoloom.schemas import HEAT_RUN
 
 # Page scale in pixels per point, blur radius, overlay strength, hits for full red, faintest shown.
 ZOOM, SIGMA, MAX_ALPHA, FULL_RED_HITS, FAINTEST = 2.2, 30.0, 0.68, 4.0, 0.10
@@ -109,19 +109,23 @@ def blur(splats: DataFrame, height: int, width: int, sigma: float = SIGMA, above
         y, x, w = (table.column(c).to_numpy() for c in ("y", "x", "w"))
         parts = [_blur_band(y[b], x[b], w[b], kernel, height, width, above) for b in _bands(y, kernel.size)]
         py, px, heat = (np.concatenate(column) for column in zip(*parts, strict=True))
-        n = py.size
+        starts = np.flatnonzero((np.diff(px, prepend=-2) != 1) | (np.diff(py, prepend=-1) != 0))
+        n = starts.size
         return pa.table(
             {
                 "doc_id": pa.array(np.full(n, table.column("doc_id")[0].as_py(), np.int64)),
                 "page_no": pa.array(np.full(n, table.column("page_no")[0].as_py(), np.int32)),
-                "y": pa.array(py.astype(np.int32)),
-                "x": pa.array(px.astype(np.int32)),
-                "w": pa.array(heat),
+                "y": pa.array(py[starts].astype(np.int32)),
+                "x": pa.array(px[starts].astype(np.int32)),
+                "run": pa.ListArray.from_arrays(np.append(starts, px.size).astype(np.int32), pa.array(heat)),
             }
         )
 
+    # Neighbouring pixels of a line leave Python as one list and become rows on the JVM side.
     pages = spread_groups(splats, "doc_id", "page_no")
-    return pages.groupBy("doc_id", "page_no").applyInArrow(one_page, HEAT)
+    runs = pages.groupBy("doc_id", "page_no").applyInArrow(one_page, HEAT_RUN)
+    pixels = runs.select("doc_id", "page_no", "y", "x", F.posexplode("run").alias("_i", "w"))
+    return pixels.select("doc_id", "page_no", "y", (F.col("x") + F.col("_i")).alias("x"), "w")
 
 
 def heat_ceiling(sigma: float = SIGMA, full_red_hits: float = FULL_RED_HITS) -> float:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomoloom.schemas import LATTICE_JSON
 
+VOXEL_AXES = ("z", "y", "x")
 ENDS = ("x0", "y0", "z0", "x1", "y1", "z1")
 
 
@@ -67,20 +68,19 @@ def strut_coverage(struts: DataFrame, mask: DataFrame, samples: int = 11, broken
     freed of repeats before the join, so the join carries one row per strut voxel. `graph_id` names the volume.
     A strut with no filled voxel is missing; one filled below `broken_below` is broken.
     """
-    points = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(samples - 1)),
-            lambda i: F.struct(
-                *(
-                    F.floor(F.col(f"{d}0") + i / (samples - 1) * (F.col(f"{d}1") - F.col(f"{d}0")) + 0.5)
-                    .cast("int")
-                    .alias(d)
-                    for d in ("z", "y", "x")
-                )
-            ),
-        )
+
+    def voxel(d: str, step: Column) -> Column:
+        along = F.col(f"{d}0") + step / (samples - 1) * (F.col(f"{d}1") - F.col(f"{d}0"))
+        return F.floor(along + 0.5).cast("int")
+
+    # Each coordinate only ever moves one way along a strut, so repeats of a voxel are consecutive samples.
+    step = F.col("_i")
+    moved = [voxel(d, step) != voxel(d, step - 1) for d in VOXEL_AXES]
+    visited = (
+        struts.select("graph_id", "strut_id", *ENDS, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_i"))
+        .filter((step == 0) | moved[0] | moved[1] | moved[2])
+        .select("graph_id", "strut_id", *(voxel(d, step).alias(d) for d in VOXEL_AXES))
     )
-    visited = struts.select("graph_id", "strut_id", F.inline(points))
     solid = mask.filter(F.col("m") != 0).select(
         F.col("volume_id").alias("graph_id"), "z", "y", "x", F.lit(1).alias("filled")
     )

@@ -131,16 +131,18 @@ def call_keywords(calls: DataFrame) -> DataFrame:
     return calls.select(*kept, F.inline(F.concat(*(items(*f) for f in FIELDS)))).filter(F.col("text") != "")
 
 
-def keywords(events: DataFrame, line: str = "line", line_num: str = "line_num") -> DataFrame:
-    """Distinct keywords with the line each was first seen on: `(kind, line_num, text, seen)`.
+def keywords(events: DataFrame, line: str = "line", at: str = "at") -> DataFrame:
+    """Distinct keywords with the place of the line each was first seen on: `(kind, at, text, seen)`.
 
-    `seen` sorts keywords of a kind by first appearance. The same text may appear once in each kind.
+    `at` is any sortable column that places a line in the log: a number, or a structure such as that of
+    `sources.files.log_lines`. `seen` sorts keywords of a kind by first appearance. The same text may appear once in
+    each kind.
     """
-    found = call_keywords(web_calls(events.select(line_num, line), line))
+    found = call_keywords(web_calls(events.select(at, line), line))
     distinct = found.groupBy("kind", "text").agg(
-        F.min(F.struct(line_num, "str_no", "call_no", "item_no")).alias("seen")
+        F.min(F.struct(at, "str_no", "call_no", "item_no")).alias("seen")
     )
-    return distinct.select("kind", F.col(f"seen.{line_num}").alias("line_num"), "text", "seen")
+    return distinct.select("kind", F.col(f"seen.{at}").alias(at), "text", "seen")
 
 
 def in_order(found: DataFrame) -> DataFrame:

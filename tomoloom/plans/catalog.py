@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomoloom.functions.text import file_extension, is_sealed_blob, slug, strip
+from tomoloom.functions.spread import spread_small
 from tomoloom.functions.storage import materialize
+from tomoloom.functions.text import file_extension, slug
 from tomoloom.operators import concepts, heat, inventory, lattice, logs, mesh, skeleton, volume
 from tomoloom.plans import derived as d
 from tomoloom.plans import reports
@@ -195,7 +196,8 @@ def mesh_crossing_through_vertices(spark, folder):
 
 @_run
 def prompt_concepts(spark, folder):
-    return concepts.prompt_concepts(d.table(spark, folder, "documents"), "doc_id", "text")
+    documents = spread_small(d.table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return concepts.prompt_concepts(documents, "doc_id", "text")
 
 
 @_run
@@ -342,12 +344,12 @@ def log_property_strings(spark, folder):
 @_run
 def log_call_arguments(spark, folder):
     calls = logs.web_calls(d.agent_log(spark, folder))
-    return calls.select("line_num", "str_no", "call_no", F.to_json("argument").alias("argument"))
+    return calls.select("at.*", "str_no", "call_no", F.to_json("argument").alias("argument"))
 
 
 @_run
 def log_keywords(spark, folder):
-    return logs.keywords(d.agent_log(spark, folder)).drop("seen")
+    return logs.keywords(d.agent_log(spark, folder)).select("kind", "at.*", "text")
 
 
 @_run

@@ -90,14 +90,12 @@ _TABLES = {
         select graph_no, 21::bigint junctions, label::bigint struts, case when even then 2 else 0 end::bigint unit_cells,
           list_min(xs) min_x, list_min(ys) min_y, list_min(zs) min_z, list_max(xs) max_x, list_max(ys) max_y,
           list_max(zs) max_z from graph_doc""",
-    "log_kept": """
-        select * from (select row_number() over (order by conv_id, turn) line_num, conv_id, turn, role from conversations)
-        where conv_id % 11 <> 3 and conv_id % 13 <> 5""",
+    "log_kept": "select conv_id, turn, role from conversations where conv_id % 11 <> 3 and conv_id % 13 <> 5",
     "keyword": """
-        select 'query' kind, min(line_num) line_num, concat(role, ' lattice (turn ', turn::varchar, ')') "text"
-        from log_kept group by all
-        union all
-        select 'pattern', min(line_num), concat('conv ', (conv_id % 5)::varchar) from log_kept group by 3""",
+        select * from (
+          select 'query' kind, conv_id, turn, concat(role, ' lattice (turn ', turn::varchar, ')') "text" from log_kept
+          union all select 'pattern', conv_id, turn, concat('conv ', (conv_id % 5)::varchar) from log_kept)
+        qualify row_number() over (partition by kind, "text" order by conv_id, turn) = 1""",
     "degree": """
         select a.volume_id, a.z, a.y, a.x, (count(*) - 1)::int degree
         from (select * from mask where m = 1) a join (select * from mask where m = 1) b
@@ -421,7 +419,7 @@ _check(
 _check(
     "log_call_arguments",
     "log_kept",
-    """select line_num, 1::int str_no, 0::int call_no, concat('{"find":[{"pattern":"conv ', conv_id % 5,
+    """select conv_id, turn, 1::int str_no, 0::int call_no, concat('{"find":[{"pattern":"conv ', conv_id % 5,
       '"}],"search_query":[{"q":"', role, ' lattice (turn ', turn, ')"}]}') argument from log_kept""",
 )
 _check("log_keywords", "log_kept keyword", "select * from keyword")

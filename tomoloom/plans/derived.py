@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomoloom.functions.skew import bucketed_row_number
+from tomoloom.functions.spread import spread_small
 
 # Rendered page of the derived word boxes: 570 x 720 points at 2.2 pixels per point.
 PAGE_HEIGHT, PAGE_WIDTH = 1584, 1254
@@ -47,7 +47,8 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 def word_boxes(spark: SparkSession, folder: str) -> DataFrame:
     """Document words set in ten columns and forty lines to a page."""
-    words = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]+")).alias("p", "word"))
+    documents = spread_small(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    words = documents.select("doc_id", F.posexplode(F.split("text", "[ \n]+")).alias("p", "word"))
     return words.filter("word <> ''").selectExpr(
         "doc_id",
         f"cast(p div {WORDS_PER_PAGE} as int) + 1 as page_no",
@@ -150,19 +151,13 @@ _EVENT = (
 
 
 def agent_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Each conversation turn is a numbered log line, some blank, some cut off."""
-    turns = table(spark, folder, "conversations").selectExpr(
-        "conv_id",
-        "turn",
+    """Each conversation turn is a log line, some blank, some cut off. `at` is its place: conversation, then turn."""
+    return table(spark, folder, "conversations").selectExpr(
+        "struct(conv_id, turn) as at",
         "case when conv_id % 11 = 3 then '' "
         "when conv_id % 13 = 5 then concat('{\"broken', cast(turn as string)) "
         f"else concat({_EVENT}) end as line",
-        "turn div 65536 as _block",
-    )
-    numbered = bucketed_row_number(
-        turns, [], [("conv_id", False), ("_block", False)], [F.asc("turn")], "line_num"
     )
-    return numbered.select("line_num", "line")
 
 
 def message_log(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 from tomoloom.functions.storage import materialize
 from tomoloom.operators import concepts, heat, inventory, lattice, logs, mesh, skeleton, volume
 from tomoloom.plans import reports
-from tomoloom.sources.files import digest_tree, list_tree, read_lattice_json, read_log, read_prompt, top_folders
+from tomoloom.sources.files import (
+    digest_tree,
+    list_tree,
+    log_lines,
+    number_lines,
+    read_lattice_json,
+    read_prompt,
+    top_folders,
+)
 from tomoloom.sources.npy import npy_shape
 from tomoloom.sources.stl import stl_counts
 from tomoloom.sources.tiff import read_directory
@@ -123,11 +131,12 @@ def explore_folder(spark: SparkSession, root: str) -> DataFrame:
 
 
 def mine_log(spark: SparkSession, log_path: str, output_path: str | None = None) -> DataFrame:
-    """Keywords of an agent log in first-seen order, optionally written as blocks."""
-    found = logs.keywords(read_log(spark, log_path))
+    """Keywords of an agent log in first-seen order with their line numbers, optionally written as blocks."""
+    lines = log_lines(spark, log_path)
+    found = materialize(logs.keywords(lines))
     if output_path:
         logs.write_keyword_blocks(found, output_path)
-    return logs.in_order(found)
+    return logs.in_order(number_lines(found, lines))
 
 
 def as_built_and_designed(spark: SparkSession, volume_path: str, mesh_path: str) -> dict[str, DataFrame]:

@@ -16,7 +16,7 @@ STRUT = (
 WORD_BOX = (
     "doc_id bigint, page_no int, word_no int, x0 double, y0 double, x1 double, y1 double, word string"
 )
-HEAT = "doc_id bigint, page_no int, y int, x int, w double"
+HEAT_RUN = "doc_id bigint, page_no int, y int, x int, run array<double>"
 # Only `junctions[].position` is read; struts and cells are counted whatever they hold, hence VARIANT.
 LATTICE_JSON = (
     "junctions array<struct<position: array<double>>>, struts array<variant>, unit_cells array<variant>"

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tomoloom.functions.storage import materialize
 from tomoloom.schemas import LATTICE_JSON
 
 WHOLE_FILE_BYTES = 64 << 20
@@ -106,26 +107,29 @@ def read_prompt(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("set_id"), "value")
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one or more logs with their number in the file, blank lines counted: `(file, line_num, line)`.
-
-    Numbers come from each split's row counter plus the lines of the earlier splits of the same file, so no line is
-    moved to be numbered; only one row per split takes part in the running total.
-    """
-    lines = spark.read.text(path).select(
-        F.col("value").alias("line"),
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of one or more logs: `(at, line)`, where sorting by `at` gives file order. Nothing is moved."""
+    place = F.struct(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    splits = lines.groupBy("file", "_start").agg(
-        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines")
-    )
-    earlier = (
-        Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    return spark.read.text(path).select(place.alias("at"), F.col("value").alias("line"))
+
+
+def number_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Turn the `at` of `rows` into `file` and `line_num`, counted from 1 over all `lines`, blank ones included.
+
+    A line's number is its row in the split plus the lines of the file's earlier splits, so only one row per split
+    takes part in the running total. Number results, not whole logs: `rows` is what gets joined.
+    """
+    splits = lines.groupBy("at.file", "at.split").agg(F.min("at.row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(
+        splits.select("file", "split", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
     )
-    offsets = splits.select(
-        "file", "_start", "_first", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before")
+    same_split = (F.col("at.file") == offsets["file"]) & (F.col("at.split") == offsets["split"])
+    kept = [c for c in rows.columns if c != "at"]
+    return rows.join(offsets, same_split).select(
+        offsets["file"], (F.col("at.row") + F.col("_shift") + 1).alias("line_num"), *kept
     )
-    number = F.col("_before") + F.col("_id") - F.col("_first") + 1
-    return lines.join(offsets, ["file", "_start"]).select("file", number.alias("line_num"), "line")
