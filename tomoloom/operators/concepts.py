@@ -171,8 +171,11 @@ def page_hits(hits: DataFrame) -> DataFrame:
 
 
 def rank_pages(pages: DataFrame) -> DataFrame:
-    """Add `rank`, a page's place in its document by hits (then page number); tasks stay bounded for any document."""
-    bucketed = materialize(pages).withColumn("_block", F.floor(F.col("page_no") / PAGES_PER_BUCKET))
+    """Add `rank`, a page's place in its document by hits (then page number); tasks stay bounded for any document.
+
+    `pages` is read twice: pass a written table.
+    """
+    bucketed = pages.withColumn("_block", F.floor(F.col("page_no") / PAGES_PER_BUCKET))
     ranked = bucketed_row_number(
         bucketed,
         ["doc_id"],

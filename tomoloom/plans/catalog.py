@@ -240,7 +240,7 @@ def auto_page_hits(spark, folder):
 
 @_run
 def page_ranking(spark, folder):
-    return concepts.rank_pages(page_hits(spark, folder))
+    return concepts.rank_pages(materialize(page_hits(spark, folder)))
 
 
 @_run
