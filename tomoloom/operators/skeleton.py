@@ -110,7 +110,6 @@ def _thin_blocks(words: DataFrame, directions, block: int) -> DataFrame:
     margin = REACH * len(directions)
     word_margin = -(-margin // WORD)
     block_words = block // WORD
-    side_x = block + 2 * word_margin * WORD
 
     def covering(column: str, size: int, reach: int):
         first = F.floor((F.col(column) - reach) / size)
@@ -118,33 +117,24 @@ def _thin_blocks(words: DataFrame, directions, block: int) -> DataFrame:
 
     def thin(table: pa.Table) -> pa.Table:
         bz, by, bx = (table.column(c)[0].as_py() for c in ("bz", "by", "bx"))
-        origin = (bz * block - margin, by * block - margin, bx * block - word_margin * WORD)
         z, y, xw = (table.column(c).to_numpy().astype(np.int64) for c in ("z", "y", "xw"))
-        bits = np.ascontiguousarray(table.column("bits").to_numpy())
-        grid = np.zeros((block + 2 * margin + 2, block + 2 * margin + 2, side_x + 2), np.uint8)
-        inner = grid[1:-1, 1:-1, 1:-1].reshape(block + 2 * margin, block + 2 * margin, -1, WORD)
-        lanes = np.unpackbits(bits.view(np.uint8), bitorder="little").reshape(-1, WORD)
-        # `inner` is a copy when the padding breaks contiguity, so it is written back whole.
-        inner[z - origin[0], y - origin[1], xw - origin[2] // WORD] = lanes
-        grid[1:-1, 1:-1, 1:-1] = inner.reshape(block + 2 * margin, block + 2 * margin, side_x)
-        core = (
-            slice(1 + margin, 1 + margin + block),
-            slice(1 + margin, 1 + margin + block),
-            slice(1 + word_margin * WORD, 1 + word_margin * WORD + block),
-        )
-        if grid[core].any():
-            thin_array(grid, tuple(o - 1 for o in origin), directions)
-        packed = np.packbits(np.ascontiguousarray(grid[core]), axis=-1, bitorder="little").view(np.int64)
-        oz, oy, ow = np.nonzero(packed)
-        return pa.table(
-            {
-                "volume_id": pa.array([table.column("volume_id")[0].as_py()] * oz.size, pa.string()),
-                "z": pa.array((oz + bz * block).astype(np.int32)),
-                "y": pa.array((oy + by * block).astype(np.int32)),
-                "xw": pa.array((ow + bx * block_words).astype(np.int32)),
-                "bits": pa.array(packed[oz, oy, ow]),
-            }
-        )
+        own = (z // block == bz) & (y // block == by) & (xw // block_words == bx)
+        kept = np.zeros(own.sum(), np.int64)
+        if own.any():
+            first = [c.min() for c in (z, y, xw)]
+            extent = [c.max() - c.min() + 1 for c in (z, y, xw)]
+            lanes = np.zeros((*extent, WORD), np.uint8)
+            place = tuple(c - f for c, f in zip((z, y, xw), first, strict=True))
+            bits = np.ascontiguousarray(table.column("bits").to_numpy())
+            lanes[place] = np.unpackbits(bits.view(np.uint8), bitorder="little").reshape(-1, WORD)
+            grid = np.pad(lanes.reshape(extent[0], extent[1], extent[2] * WORD), 1)
+            thin_array(grid, (first[0] - 1, first[1] - 1, first[2] * WORD - 1), directions)
+            lanes = np.ascontiguousarray(grid[1:-1, 1:-1, 1:-1]).reshape(*extent, WORD)
+            mine = lanes[tuple(c[own] for c in place)]
+            kept = np.packbits(mine, axis=-1, bitorder="little").reshape(-1).view(np.int64)
+        columns = ("volume_id", "z", "y", "xw")
+        out = table.select(columns).filter(pa.array(own)).append_column("bits", pa.array(kept))
+        return out.filter(pa.array(kept != 0))
 
     shared = (
         words.withColumn("bz", covering("z", block, margin))
