@@ -1,22 +1,35 @@
-"""Placement of grouped Python work."""
+"""Placement of row and group work that costs far more than its input bytes suggest."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+BYTES_PER_CORE = 16 << 20
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size, which for a scan comes from the file listing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
 
 def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows by the group keys into the session's full number of shuffle partitions.
+    """Hash rows by the keys of a following grouped function into a fixed number of tasks.
 
-    Runtime coalescing sizes tasks by input bytes; groups whose work far exceeds their input must not be merged.
+    Runtime coalescing sizes tasks by input bytes and would merge groups whose work far exceeds their input. Small
+    inputs get two tasks per core, larger ones the session's number of shuffle partitions.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = _estimated_bytes(df) < cores * BYTES_PER_CORE
+    return df.repartition(min(configured, 2 * cores) if small else max(configured, cores), *keys)
 
 
 def spread_small(df: DataFrame, key: str, below_bytes: int = 1 << 30) -> DataFrame:
     """Hash a small table over all cores before costly row work; a large one already has enough splits.
 
-    A small file is one split whatever the number of cores. The size is the optimizer's, from the file listing.
+    A small file is one split whatever the number of cores.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size < below_bytes else df
+    if _estimated_bytes(df) >= below_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
