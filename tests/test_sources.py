@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from binaries import write_stl, write_tiff
 from tomoloom.operators import lattice
+from tomoloom.sources import read_voxels
 from tomoloom.plans.jobs import read_volume, store_voxels, volume_shape
 from tomoloom.sources.files import digest_tree, list_tree, log_lines, number_lines, read_lattice_json, read_prompt
 from tomoloom.sources.stl import header_count, stl_counts
@@ -26,7 +27,7 @@ def array():
 
 def test_npy_volume_by_slab(spark, tmp_path, array):
     np.save(tmp_path / "v.npy", array)
-    rows = spark.read.format("npy_volume").option("slab", 2).load(str(tmp_path / "v.npy"))
+    rows = read_voxels(spark, "npy_volume", str(tmp_path / "v.npy"), slab=2)
     assert rows.rdd.getNumPartitions() == 4
     assert np.array_equal(to_array(rows, array.shape), array)
 
@@ -44,10 +45,10 @@ def test_plane_filter_plans_one_partition(spark, tmp_path, array, kind):
     path = tmp_path / f"v.{kind}"
     if kind == "npy":
         np.save(path, array)
-        rows = spark.read.format("npy_volume").option("slab", 1).load(str(path))
+        rows = read_voxels(spark, "npy_volume", str(path), slab=1)
     else:
         write_tiff(path, array)
-        rows = spark.read.format("tiff_stack").option("pages", 1).load(str(path))
+        rows = read_voxels(spark, "tiff_stack", str(path), pages=1)
     assert rows.rdd.getNumPartitions() == 7
     one = rows.filter("z = 3")
     assert one.rdd.getNumPartitions() == 1
@@ -92,6 +93,9 @@ def test_npy_writer_places_voxels_from_many_tasks(spark, tmp_path, array):
     sparse = rows.filter("v > 30000")
     sparse.write.format("npy_volume").options(**options).mode("overwrite").save(out)
     assert np.array_equal(np.load(out), np.where(array > 30000, array, 0))
+    lines = spark.read.format("npy_volume").option("slab", 2).load(str(tmp_path / "v.npy")).repartition(3, "y")
+    lines.write.format("npy_volume").options(**options).mode("overwrite").save(out)
+    assert np.array_equal(np.load(out), array)
     assert [p.name for p in (tmp_path / "sub").iterdir()] == ["copy.npy"]
 
 

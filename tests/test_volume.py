@@ -29,6 +29,17 @@ def test_threshold_is_inclusive(spark):
     assert volume.mask_stats(mask).first()["foreground_voxels"] == 4
 
 
+def test_lines_and_voxels_are_segmented_alike(spark):
+    array = random_volume(11)
+    array[0, 0, 0] = math.nan
+    lines = spark.createDataFrame(
+        [("v", z, y, [float(v) for v in array[z, y]]) for z, y in np.ndindex(array.shape[:2])],
+        "volume_id string, z int, y int, run array<double>",
+    )
+    for r in volume.segment_lines(lines, 0.25).collect():
+        assert r.run == (array[r.z, r.y] >= 0.25).astype(int).tolist()
+
+
 def test_nan_is_background_for_every_comparison(spark):
     rows = voxel_rows(spark, np.array([[[math.nan, 1.0]]]))
     assert [r.m for r in volume.segment(rows, 0.5).orderBy("x").collect()] == [0, 1]

@@ -54,6 +54,13 @@ def segment(voxels: DataFrame, threshold: float, value: str = "v") -> DataFrame:
     return voxels.select(*VOXEL_KEY, flag.alias("m"))
 
 
+def segment_lines(lines: DataFrame, threshold: float) -> DataFrame:
+    """`segment` for lines of voxels `(volume_id, z, y, run)`, without taking them apart."""
+    limit = check_threshold(threshold)
+    flags = F.transform("run", lambda v: _as_flag(_above(v, limit, inclusive=True)))
+    return lines.select("volume_id", "z", "y", flags.alias("run"))
+
+
 def binarise(mask: DataFrame, value: str = "m") -> DataFrame:
     """Binary mask of the strictly positive values."""
     return mask.select(*VOXEL_KEY, _as_flag(_above(F.col(value), 0, inclusive=False)).alias("m"))

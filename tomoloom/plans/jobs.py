@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tomoloom.functions.storage import materialize
 from tomoloom.operators import concepts, heat, inventory, lattice, logs, mesh, skeleton, volume
 from tomoloom.plans import reports
+from tomoloom.sources import explode_lines, read_voxels
 from tomoloom.sources.files import (
     digest_tree,
     list_tree,
@@ -40,10 +41,14 @@ def volume_shape(path: str) -> tuple[int, ...]:
     raise ValueError(f"Unsupported file type '{suffix}'. Expected .npy, .tif, or .tiff.")
 
 
-def read_volume(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of one volume file, after checking that it is 3D."""
     volume.check_rank(volume_shape(path))
-    name = "npy_volume" if path.lower().endswith(".npy") else "tiff_stack"
-    return spark.read.format(name).load(path)
+    return spark.read.format("npy_volume" if path.lower().endswith(".npy") else "tiff_stack").load(path)
+
+
+def read_volume(spark: SparkSession, path: str) -> DataFrame:
+    return explode_lines(read_lines(spark, path))
 
 
 def _require_npy(path: str, message: str) -> None:
@@ -64,10 +69,9 @@ def segment_file(spark: SparkSession, input_path: str, output_path: str, thresho
     _require_npy(output_path, "output_filepath must end with '.npy'")
     shape = volume_shape(input_path)
     volume.check_rank(shape)
-    mask = volume.segment(read_volume(spark, input_path), threshold)
+    mask = volume.segment_lines(read_lines(spark, input_path), threshold)
     _write_npy(mask, output_path, shape, "uint8")
-    written = spark.read.format("npy_volume").load(output_path)
-    found = written.agg(F.count_if(F.col("v") != 0).alias("n")).first()["n"]
+    found = read_volume(spark, output_path).agg(F.count_if(F.col("v") != 0).alias("n")).first()["n"]
     return {"output": output_path, "threshold": threshold, "shape": shape, "foreground_voxels": found}
 
 
@@ -118,7 +122,7 @@ def explore_folder(spark: SparkSession, root: str) -> DataFrame:
     chosen = [(row.full_path.removeprefix("file:"), row.ext) for row in firsts.collect()]
     kinds = {"npy_volume": [p for p, e in chosen if e == ".npy"], "tiff_stack": [p for p, e in chosen if e != ".npy"]}
     scans = [
-        spark.read.format(name).option("files", "\n".join(paths)).load() for name, paths in kinds.items() if paths
+        read_voxels(spark, name, files="\n".join(paths)) for name, paths in kinds.items() if paths
     ]
     stats = volume.profile(reports.stack(scans)) if scans else None
     listing = inventory.describe_files(list_tree(spark, root))

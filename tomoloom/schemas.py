@@ -1,6 +1,8 @@
 """Table shapes shared by the sources and operators (DDL strings)."""
 
 VOXEL = "volume_id string, z int, y int, x int, v double"
+# What the volume files yield: one row per line of voxels along x.
+LINE = "volume_id string, z int, y int, run array<double>"
 MASK = "volume_id string, z int, y int, x int, m tinyint"
 SKELETON = "volume_id string, z int, y int, x int"
 VOLUME_META = "volume_id string, nz int, ny int, nx int, dtype string"

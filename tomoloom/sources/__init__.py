@@ -1,6 +1,7 @@
 """File sources. `register(spark)` makes the binary formats available to `spark.read.format(...)`."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tomoloom.sources.npy import NpyVolume
 from tomoloom.sources.stl import StlMesh
@@ -10,3 +11,13 @@ from tomoloom.sources.tiff import TiffStack
 def register(spark: SparkSession) -> None:
     for source in (NpyVolume, TiffStack, StlMesh):
         spark.dataSource.register(source)
+
+
+def explode_lines(lines: DataFrame) -> DataFrame:
+    """Voxel rows `(volume_id, z, y, x, v)` of lines; filters on `z` still reach the source."""
+    return lines.select("volume_id", "z", "y", F.posexplode("run").alias("x", "v"))
+
+
+def read_voxels(spark: SparkSession, kind: str, path: str | None = None, **options) -> DataFrame:
+    """Voxel rows of volume files; `kind` is `npy_volume` or `tiff_stack`."""
+    return explode_lines(spark.read.format(kind).options(**options).load(path))

@@ -1,4 +1,4 @@
-"""What the binary sources share: file listing, row ranges as partitions, voxel batches."""
+"""What the binary sources share: file listing, row ranges as partitions, line batches."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql.datasource import EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan
 from pyspark.sql.datasource import LessThanOrEqual
 
-BATCH_ROWS = 1 << 18
+BATCH_VALUES = 1 << 18
+SLAB_VALUES = 1 << 21
 
 
 @dataclass
@@ -86,31 +87,25 @@ class ZRange:
         return True
 
 
-VOXEL_ARROW = pa.schema(
-    [
-        ("volume_id", pa.string()),
-        ("z", pa.int32()),
-        ("y", pa.int32()),
-        ("x", pa.int32()),
-        ("v", pa.float64()),
-    ]
+LINE_ARROW = pa.schema(
+    [("volume_id", pa.string()), ("z", pa.int32()), ("y", pa.int32()), ("run", pa.list_(pa.float64()))]
 )
 
 
-def voxel_batches(volume_id: str, z: int, plane: np.ndarray):
-    """Rows of one z plane in batches of whole lines."""
+def line_batches(volume_id: str, z: int, plane: np.ndarray):
+    """Lines of one z plane, several to a batch."""
     ny, nx = plane.shape
-    lines = max(1, BATCH_ROWS // max(nx, 1))
+    lines = max(1, BATCH_VALUES // max(nx, 1))
     for y0 in range(0, ny, lines):
         block = np.ascontiguousarray(plane[y0 : y0 + lines])
-        n = block.size
+        n = block.shape[0]
+        offsets = np.arange(n + 1, dtype=np.int32) * nx
         yield pa.RecordBatch.from_arrays(
             [
                 pa.DictionaryArray.from_arrays(np.zeros(n, np.int32), [volume_id]).dictionary_decode(),
                 pa.array(np.full(n, z, np.int32)),
-                pa.array(np.repeat(np.arange(y0, y0 + block.shape[0], dtype=np.int32), nx)),
-                pa.array(np.tile(np.arange(nx, dtype=np.int32), block.shape[0])),
-                pa.array(block.reshape(-1).astype(np.float64)),
+                pa.array(np.arange(y0, y0 + n, dtype=np.int32)),
+                pa.ListArray.from_arrays(offsets, block.reshape(-1).astype(np.float64)),
             ],
-            schema=VOXEL_ARROW,
+            schema=LINE_ARROW,
         )

@@ -1,4 +1,4 @@
-"""`npy_volume`: 3D `.npy` arrays as voxel rows, read by z slab and written in place by many tasks."""
+"""`npy_volume`: 3D `.npy` arrays as lines of voxels, read by z slab and written in place by many tasks."""
 
 from __future__ import annotations
 
@@ -9,10 +9,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, WriterCommitMessage
 
-from tomoloom.schemas import VOXEL
-from tomoloom.sources.binary import Span, ZRange, chosen_files, split_spans, voxel_batches
-
-SLAB_VOXELS = 1 << 24
+from tomoloom.schemas import LINE
+from tomoloom.sources.binary import SLAB_VALUES, Span, ZRange, chosen_files, line_batches, split_spans
 
 
 def npy_shape(path: str) -> tuple[tuple[int, ...], np.dtype]:
@@ -29,7 +27,7 @@ class NpyVolume(DataSource):
         return "npy_volume"
 
     def schema(self) -> str:
-        return VOXEL
+        return LINE
 
     def reader(self, schema) -> NpyReader:
         return NpyReader(self.options)
@@ -55,7 +53,7 @@ class NpyReader(DataSourceReader):
             shape, _ = npy_shape(path)
             if len(shape) != 3:
                 raise ValueError(f"expected a 3D array, got shape {shape}")
-            planes = self.slab or SLAB_VOXELS // max(1, shape[1] * shape[2])
+            planes = self.slab or SLAB_VALUES // max(1, shape[1] * shape[2])
             spans += split_spans(path, shape[0], planes, self.z.low, self.z.high)
         return spans or [Span("", 0, 0)]
 
@@ -63,7 +61,7 @@ class NpyReader(DataSourceReader):
         if span.stop > span.start:
             array = np.load(span.path, mmap_mode="r")
             for z in range(span.start, span.stop):
-                yield from voxel_batches(span.path, z, array[z])
+                yield from line_batches(span.path, z, array[z])
 
 
 @dataclass
@@ -72,7 +70,7 @@ class Written(WriterCommitMessage):
 
 
 class NpyWriter(DataSourceArrowWriter):
-    """One dense `.npy` from rows `(z, y, x, value)`; absent voxels are 0.
+    """One dense `.npy` from voxel rows `(z, y, x, value)` or whole lines `(z, y, run)`; absent voxels are 0.
 
     Options: `path` ending in `.npy` on storage all tasks share, `shape` ("nz,ny,nx"), `dtype`. The driver lays out
     header and size; each task writes its own voxels at their offsets, so a repeated attempt writes the same bytes.
@@ -89,6 +87,7 @@ class NpyWriter(DataSourceArrowWriter):
         self.dtype = np.dtype(options.get("dtype", "uint8"))
         self.columns = [f.name for f in schema.fields]
         self.value = next(c for c in self.columns if c not in ("volume_id", "z", "y", "x"))
+        self.by_line = "x" not in self.columns
         header = io.BytesIO()
         np.lib.format.write_array_header_1_0(
             header,
@@ -101,20 +100,29 @@ class NpyWriter(DataSourceArrowWriter):
             out.write(header.getvalue())
             out.truncate(self.offset + int(np.prod(self.shape)) * self.dtype.itemsize)
 
-    def write(self, iterator) -> Written:
+    def _placed(self, batch):
+        """Flat position of each first value, values per position, and the values."""
         _, ny, nx = self.shape
+        at = {c: batch.column(i) for i, c in enumerate(self.columns)}
+        line = at["z"].to_numpy().astype(np.int64) * ny + at["y"].to_numpy()
+        if not self.by_line:
+            return line * nx + at["x"].to_numpy(), at[self.value].to_numpy(zero_copy_only=False).reshape(-1, 1)
+        values = at[self.value].flatten().to_numpy(zero_copy_only=False)
+        if values.size != line.size * nx:
+            raise ValueError(f"expected lines of {nx} voxels")
+        return line * nx, values.reshape(-1, nx)
+
+    def write(self, iterator) -> Written:
         rows = 0
         with open(self.draft, "r+b") as out:
             for batch in iterator:
-                z, y, x = (batch.column(self.columns.index(c)).to_numpy().astype(np.int64) for c in "zyx")
-                values = batch.column(self.columns.index(self.value)).to_numpy(zero_copy_only=False)
-                place = (z * ny + y) * nx + x
+                place, values = self._placed(batch)
                 order = np.argsort(place, kind="stable")
                 place, values = place[order], values[order].astype(self.dtype)
-                for run in np.split(np.arange(place.size), np.flatnonzero(np.diff(place) != 1) + 1):
-                    if run.size:
-                        out.seek(self.offset + int(place[run[0]]) * self.dtype.itemsize)
-                        out.write(values[run].tobytes())
+                starts = np.flatnonzero(np.diff(place, prepend=-1 - values.shape[1]) != values.shape[1])
+                for start, stop in zip(starts, np.append(starts[1:], place.size), strict=True):
+                    out.seek(self.offset + int(place[start]) * self.dtype.itemsize)
+                    out.write(values[start:stop].tobytes())
                 rows += place.size
         return Written(rows)
 

@@ -1,4 +1,4 @@
-"""`tiff_stack`: multi-page uncompressed TIFF volumes as voxel rows, one z plane per page."""
+"""`tiff_stack`: multi-page uncompressed TIFF volumes as lines of voxels, one z plane per page."""
 
 from __future__ import annotations
 
@@ -8,14 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tomoloom.schemas import VOXEL
-from tomoloom.sources.binary import ZRange, chosen_files, voxel_batches
+from tomoloom.schemas import LINE
+from tomoloom.sources.binary import SLAB_VALUES, ZRange, chosen_files, line_batches
 
 # TIFF tag numbers and field types (TIFF 6.0; type 16 is the 64-bit offset of large files).
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES = 256, 257, 258, 259, 273, 277
 ROWS_PER_STRIP, STRIP_BYTES, TILE_WIDTH, SAMPLE_FORMAT = 278, 279, 322, 339
 FIELD_TYPES = {1: "B", 3: "H", 4: "I", 16: "Q"}
-PAGE_VOXELS = 1 << 24
 
 
 @dataclass
@@ -106,7 +105,7 @@ class TiffStack(DataSource):
         return "tiff_stack"
 
     def schema(self) -> str:
-        return VOXEL
+        return LINE
 
     def reader(self, schema) -> TiffReader:
         return TiffReader(self.options)
@@ -129,7 +128,7 @@ class TiffReader(DataSourceReader):
             pages = read_directory(path)
             high = len(pages) if self.z.high is None else min(len(pages), self.z.high)
             height, width = pages[0].shape
-            step = self.per_task or max(1, PAGE_VOXELS // max(1, height * width))
+            step = self.per_task or max(1, SLAB_VALUES // max(1, height * width))
             for first in range(max(0, self.z.low), high, step):
                 ranges.append(PageRange(path, first, pages[first : min(first + step, high)]))
         return ranges or [PageRange("", 0, [])]
@@ -144,4 +143,4 @@ class TiffReader(DataSourceReader):
                     handle.seek(offset)
                     raw += handle.read(size)
                 pixels = np.frombuffer(raw, dtype=page.dtype, count=page.shape[0] * page.shape[1])
-                yield from voxel_batches(part.path, z, pixels.reshape(page.shape))
+                yield from line_batches(part.path, z, pixels.reshape(page.shape))
