@@ -130,6 +130,11 @@ def test_literature_heat(spark, tmp_path):
     manifest = {(r.doc_id, r.page_no): r.n_hits for r in out["manifest"].filter("section = 'pages'").collect()}
     assert manifest == {(4, 1): 12, (5, 1): 3}
     assert {r.fallback for r in out["hits"].filter("doc_id = 5").collect()} == {True}
-    heat = out["heat"].collect()
+    used = {r.doc_id: (r.fallback, r.concepts) for r in out["documents"].collect()}
+    assert used == {4: (False, ["find", "strut", "thresholds", "ct", "images"]), 5: (True, ["porous", "metals"])}
+    jobs.store_heat(out["heat"], str(tmp_path / "heat"))
+    heat = spark.read.parquet(str(tmp_path / "heat")).collect()
     assert {(r.doc_id, r.page_no) for r in heat} == {(4, 1), (5, 1)}
+    with pytest.raises(ValueError, match="no documents"):
+        jobs.literature_heat(spark, page.filter("doc_id < 0"), str(tmp_path / "prompt.txt"), (60, 400))
     assert all(r.norm >= 0.0999 and 0 <= r.y < 60 and 0 <= r.x < 400 for r in heat)

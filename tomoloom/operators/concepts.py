@@ -137,27 +137,52 @@ def match_auto(
     )
 
 
+def resolve_documents(
+    boxes: DataFrame, concepts: Sequence[str], min_hits: int = MIN_HITS, max_pages: int | None = None
+) -> DataFrame:
+    """`document_hits` of the searched pages, written once."""
+    return materialize(document_hits(match_prompt(first_pages(boxes, max_pages), concepts), min_hits))
+
+
+def set_aside(boxes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Words of the documents that fall back, usually few, written once."""
+    return materialize(boxes.join(documents.filter("fallback").select("doc_id"), "doc_id", "left_semi"))
+
+
 def resolved_hits(
     boxes: DataFrame,
     concepts: Sequence[str],
     min_hits: int = MIN_HITS,
     top_n: int = AUTO_TERMS,
     max_pages: int | None = None,
+    documents: DataFrame | None = None,
 ) -> DataFrame:
     """Hits for the prompt, or, in documents where it has fewer than `min_hits`, for their own frequent words.
 
     `max_pages` limits where hits are looked for; frequent words always come from the whole document.
-    Adds `fallback`. The words of documents that fall back, usually few, are set aside once and then worked on alone.
+    Adds `fallback`. Pass `documents` if `resolve_documents` has run already.
     """
-    searched = first_pages(boxes, max_pages)
-    documents = materialize(document_hits(match_prompt(searched, concepts), min_hits))
+    documents = documents or resolve_documents(boxes, concepts, min_hits, max_pages)
     poor = documents.filter("fallback").select("doc_id")
-    kept = prompt_hits(searched, concepts).join(poor, "doc_id", "left_anti")
-    set_aside = materialize(boxes.join(poor, "doc_id", "left_semi"))
-    redone = auto_hits(set_aside, top_n, max_pages)
+    kept = prompt_hits(first_pages(boxes, max_pages), concepts).join(poor, "doc_id", "left_anti")
+    redone = auto_hits(set_aside(boxes, documents), top_n, max_pages)
     return kept.withColumn("fallback", F.lit(False)).unionByName(redone.withColumn("fallback", F.lit(True)))
 
 
+def concepts_used(
+    boxes: DataFrame, concepts: Sequence[str], documents: DataFrame, top_n: int = AUTO_TERMS
+) -> DataFrame:
+    """Per document whether it fell back and the list it was searched for, in matching order."""
+    own = (
+        auto_concepts(set_aside(boxes, documents), top_n)
+        .groupBy("doc_id")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "concept"))), lambda e: e["concept"]).alias("own"))
+    )
+    prompt = F.array(*map(F.lit, concepts)).cast("array<string>")
+    used = F.when(F.col("fallback"), F.coalesce("own", F.array().cast("array<string>"))).otherwise(prompt)
+    return documents.join(own, "doc_id", "left").select("doc_id", "fallback", used.alias("concepts"))
+
+
 def auto_hits(boxes: DataFrame, top_n: int = AUTO_TERMS, max_pages: int | None = None) -> DataFrame:
     """Hits for every document's own frequent words, without trying a prompt first."""
     sizes = materialize(boxes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words")))

@@ -233,6 +233,13 @@ def resolved_page_hits_first_page(spark, folder):
     return hits.groupBy("doc_id", "page_no", "fallback").agg(F.count(F.lit(1)).alias("n_hits"))
 
 
+@_run
+def concepts_used(spark, folder):
+    boxes = d.word_boxes(spark, folder)
+    used = concepts.concepts_used(boxes, d.CONCEPTS, concepts.resolve_documents(boxes, d.CONCEPTS))
+    return used.select("doc_id", "fallback", F.array_join("concepts", " ").alias("concepts"))
+
+
 @_run
 def auto_page_hits(spark, folder):
     return concepts.page_hits(concepts.auto_hits(d.word_boxes(spark, folder)))

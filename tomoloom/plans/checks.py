@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tomoloom.functions.text import STOPWORDS
+from tomoloom.operators.heat import RAMP
 from tomoloom.plans.derived import CONCEPTS
 
 # Derived tables, each stated once; a check names those it needs and they are put in front of it in this order.
@@ -132,16 +133,13 @@ _TABLES = {
         select content_md5, min(path) first_path from files where ext in ('.tif', '.npy') group by all""",
 }
 
-# The colour ramp of `operators.heat`, per channel.
-_RAMP = [(0.0, (30, 180, 30)), (0.45, (190, 220, 20)), (0.70, (255, 200, 0)), (0.88, (255, 120, 0)), (1.0, (230, 20, 20))]
-
 
 def _channel(i: int) -> str:
     arms = " ".join(
         f"when norm < {t1}::double then {c0[i]} + (norm - {t0}::double) / {t1 - t0!r}::double * {c1[i] - c0[i]}"
-        for (t0, c0), (t1, c1) in zip(_RAMP[:-1], _RAMP[1:], strict=True)
+        for (t0, c0), (t1, c1) in zip(RAMP[:-1], RAMP[1:], strict=True)
     )
-    return f"case {arms} else {_RAMP[-1][1][i]} end"
+    return f"case {arms} else {RAMP[-1][1][i]} end"
 
 
 _FILL = {
@@ -332,6 +330,14 @@ def _poor(pages: str) -> str:
 for _name, _pages in (("resolved_page_hits", "true"), ("resolved_page_hits_first_page", "page_no <= 1")):
     _check(_name, _HITS + " term", "")
     _checks[_name] = _checks[_name].rstrip() + ", " + _poor(_pages) + _resolved(_pages)
+_check("concepts_used", _HITS + " term", "")
+_checks["concepts_used"] = (
+    _checks["concepts_used"].rstrip()
+    + f""", {_poor("true")} select doc_id, doc_id in (select doc_id from poor) fallback,
+      case when doc_id in (select doc_id from poor) then coalesce(own, '') else '{" ".join(CONCEPTS)}' end concepts
+    from (select distinct doc_id from clean)
+    left join (select doc_id, string_agg(concept, ' ' order by ord) own from term group by all) using (doc_id)"""
+)
 _check(
     "auto_page_hits",
     "word_box clean term",
@@ -464,6 +470,7 @@ _check(
                 stl_files="count(*) filter (ext = '.stl')",
                 volume_files="count(*) filter (ext in ('.tif', '.npy'))",
             ),
+            _tidy("totals", "'all'", "files", folders="count(distinct folder)"),
             _tidy("extensions", "case ext when '' then '(no ext)' else ext end", "files", files="count(*)") + " group by 2",
             _tidy("folders", "folder", "files", files="count(*)") + " group by 2",
             _tidy(

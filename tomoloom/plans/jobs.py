@@ -168,14 +168,27 @@ def literature_heat(
     full_red_hits: float = heat.FULL_RED_HITS,
     max_pages: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Hits, ranked pages and coloured heat of every document for one prompt; `page_size` is (height, width) pixels."""
+    """Hits, ranked pages, concepts used and coloured heat of every document for one prompt.
+
+    `page_size` is (height, width) in pixels.
+    """
+    if boxes.isEmpty():
+        raise ValueError("no documents to search")
     ordered = concepts.prompt_concepts(read_prompt(spark, prompt_path)).orderBy("ord")
     wanted = [row.concept for row in ordered.limit(concepts.MAX_PROMPT_CONCEPTS + 1).collect()]
-    hits = materialize(concepts.resolved_hits(boxes, wanted, min_hits, max_pages=max_pages))
+    documents = concepts.resolve_documents(boxes, wanted, min_hits, max_pages)
+    hits = materialize(concepts.resolved_hits(boxes, wanted, min_hits, max_pages=max_pages, documents=documents))
     splats = materialize(heat.splat(hits, *page_size))
     grid = heat.blur(splats, *page_size, sigma=sigma, above=heat.visible_heat(sigma, full_red_hits))
     return {
         "hits": hits,
+        "documents": concepts.concepts_used(boxes, wanted, documents),
         "manifest": reports.literature_manifest(heat.page_heat_totals(hits, splats, keep_cold=True)),
         "heat": heat.with_colour(heat.with_alpha(grid, sigma, full_red_hits)),
     }
+
+
+def store_heat(heat_pixels: DataFrame, path: str) -> None:
+    """Write heat pixels so that each page lies together, in scan order."""
+    paged = heat_pixels.repartition("doc_id", "page_no").sortWithinPartitions("doc_id", "page_no", "y", "x")
+    paged.write.mode("overwrite").parquet(path)

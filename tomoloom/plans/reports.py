@@ -53,11 +53,13 @@ def inventory_report(
     )
     if all_folders is not None:
         in_folders = all_folders.join(in_folders, "folder", "left").fillna(0, ["files"])
+    n_folders = in_folders.agg(F.count(F.lit(1)).alias("folders")).withColumn("item", F.lit("all"))
     kinds = volumes.groupBy(F.when(F.col("is_duplicate"), "duplicate").otherwise("first").alias("kind")).agg(
         F.count(F.lit(1)).alias("volumes")
     )
     parts = [
         tidy(totals, "totals", "item", ["files", "json_files", "stl_files", "volume_files"]),
+        tidy(n_folders, "totals", "item", ["folders"]),
         tidy(inventory.extension_counts(described), "extensions", "ext", ["files"]),
         tidy(in_folders, "folders", "folder", ["files"]),
         tidy(kinds, "volumes", "kind", ["volumes"]),
