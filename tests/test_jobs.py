@@ -86,7 +86,8 @@ def test_explore_folder(spark, tmp_path):
     (tmp_path / "graphs" / "g.json").write_text(json.dumps({"junctions": [{"position": [0, 0, 1]}], "struts": [1, 2]}))
     (tmp_path / "note").write_text("")
     (tmp_path / "unused").mkdir()
-    report = {(r.section, r.item.rsplit("/")[-1], r.metric): r.value for r in jobs.explore_folder(spark, str(tmp_path)).collect()}
+    found = jobs.explore_folder(spark, str(tmp_path))
+    report = {(r.section, r.item.rsplit("/")[-1], r.metric): r.value for r in found["report"].collect()}
     assert report["totals", "all", "files"] == 6
     assert report["totals", "all", "volume_files"] == 3
     assert report["extensions", ".tif", "files"] == 2 and report["extensions", "(no ext)", "files"] == 1
@@ -97,6 +98,9 @@ def test_explore_folder(spark, tmp_path):
     assert report["volume_stats", "a.tif", "mean_v"] == pytest.approx(array.mean())
     assert report["volume_stats", "c.npy", "max_v"] == (array / 7).max()
     assert ("volume_stats", "b.tif", "mean_v") not in report
+    histograms = found["histograms"].orderBy("name", "bin").collect()
+    assert sorted({r.name for r in histograms}) == ["copies__a.tif", "scans__c.npy"]
+    assert [r.voxels for r in histograms[:200]] == np.histogram(array, bins=200)[0].tolist()
 
 
 def test_mine_log(spark, tmp_path):

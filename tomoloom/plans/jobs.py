@@ -112,26 +112,38 @@ def store_voxels(table: DataFrame, path: str) -> None:
     )
 
 
-def explore_folder(spark: SparkSession, root: str) -> DataFrame:
-    """Inventory report of a data folder; duplicate volumes are hashed but not profiled."""
+def explore_folder(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Inventory report of a data folder and the 200-bin histogram of each distinct volume.
+
+    Duplicate volumes are hashed but neither profiled nor counted into bins. `histograms` names each one by its path
+    with `__` for the separators.
+    """
     digests = materialize(digest_tree(spark, root))
     volumes = inventory.duplicates(inventory.volume_files(inventory.describe_files(digests)))
-    located = list_tree(spark, root).select("path", "full_path")
-    firsts = volumes.filter(~F.col("is_duplicate")).select("path", "ext").join(located, "path")
+    located = list_tree(spark, root).select("path", F.regexp_replace("full_path", "^file:", "").alias("volume_id"))
+    firsts = materialize(volumes.filter(~F.col("is_duplicate")).select("path", "ext").join(located, "path"))
     # File names only; the readers open each file's header on the driver in any case.
-    chosen = [(row.full_path.removeprefix("file:"), row.ext) for row in firsts.collect()]
+    chosen = [(row.volume_id, row.ext) for row in firsts.select("volume_id", "ext").collect()]
     kinds = {"npy_volume": [p for p, e in chosen if e == ".npy"], "tiff_stack": [p for p, e in chosen if e != ".npy"]}
-    scans = [
-        read_voxels(spark, name, files="\n".join(paths)) for name, paths in kinds.items() if paths
-    ]
-    stats = volume.profile(reports.stack(scans)) if scans else None
+    scans = [read_voxels(spark, name, files="\n".join(paths)) for name, paths in kinds.items() if paths]
+    names = firsts.select("volume_id", "path")
+
+    def named(result: DataFrame) -> DataFrame:
+        return result.join(names, "volume_id").drop("volume_id").withColumnRenamed("path", "volume_id")
+
     listing = inventory.describe_files(list_tree(spark, root))
     graphs = None
     if not listing.filter("ext = '.json'").isEmpty():
         graphs = lattice.json_profile(read_lattice_json(spark, root))
     meshes = stl_counts(listing.filter("ext = '.stl'").select(F.col("full_path").alias("path")))
     meshes = meshes.withColumnRenamed("path", "mesh_id")
-    return reports.inventory_report(digests, stats, graphs, meshes, top_folders(spark, root))
+    voxels = reports.stack(scans) if scans else None
+    stats = named(volume.profile(voxels)) if scans else None
+    found = {"report": reports.inventory_report(digests, stats, graphs, meshes, top_folders(spark, root))}
+    if scans:
+        bins = named(volume.histogram(voxels))
+        found["histograms"] = bins.withColumn("name", F.replace("volume_id", F.lit("/"), F.lit("__")))
+    return found
 
 
 def mine_log(spark: SparkSession, log_path: str, output_path: str | None = None) -> DataFrame:
