@@ -1,5 +1,8 @@
+from functools import reduce
+
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 
 from tomoloom.operators.skeleton import DIRECTIONS, degree_counts, skeleton_degree, skeletonise, thin_array
 from tomoloom.operators.volume import require_foreground
@@ -67,6 +70,19 @@ def test_result_does_not_depend_on_the_blocking(spark, directions):
     assert np.array_equal(run(spark, noise, block=64, directions_per_exchange=directions), thin_whole(noise))
 
 
+def test_volumes_that_need_different_numbers_of_passes(spark):
+    arrays = {name: shapes()[name] for name in ("block", "ring", "noise")}
+    arrays["thick"] = np.pad(np.ones((13, 15, 17), np.uint8), 2)
+    arrays["line"] = np.zeros((3, 3, 9), np.uint8)
+    arrays["line"][1, 1, 1:8] = 1
+    rows = reduce(DataFrame.unionAll, (mask_rows(spark, a, name) for name, a in arrays.items()))
+    found = {name: np.zeros_like(a) for name, a in arrays.items()}
+    for r in skeletonise(rows).collect():
+        found[r.volume_id][r.z, r.y, r.x] += 1
+    for name, array in arrays.items():
+        assert np.array_equal(found[name], thin_whole(array)), name
+
+
 def test_negative_values_are_background_but_not_an_empty_mask(spark):
     mask = -np.ones((3, 3, 3), np.int8)
     rows = mask_rows(spark, mask, dense=True)

@@ -10,6 +10,7 @@ result as the whole volume, whatever the block size.
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -145,8 +146,9 @@ def _thin_blocks(words: DataFrame, directions, block: int) -> DataFrame:
     return spread_groups(shared, *key).groupBy(*key).applyInArrow(thin, _WORDS)
 
 
-def _size(words: DataFrame) -> int:
-    return words.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).alias("n")).first()["n"]
+def _sizes(words: DataFrame) -> DataFrame:
+    """Voxels per volume, written once."""
+    return materialize(words.groupBy("volume_id").agg(F.sum(F.bit_count("bits")).alias("n")))
 
 
 def skeletonise(mask: DataFrame, block: int = 128, directions_per_exchange: int = 3, value: str = "m") -> DataFrame:
@@ -154,22 +156,32 @@ def skeletonise(mask: DataFrame, block: int = 128, directions_per_exchange: int
 
     Each exchange is one shuffle of 64-voxel words to blocks with margins, followed by a written table, so a lost
     executor costs one exchange. `directions_per_exchange` (1, 2, 3 or 6) trades wider margins for fewer exchanges.
-    Passes repeat until one removes nothing; about one pass per voxel of the thickest part's radius.
+    Passes repeat until one removes nothing; about one pass per voxel of the thickest part's radius. Once half of the
+    voxels belong to volumes that no longer change, those volumes are set aside.
     """
     if block % WORD or 6 % directions_per_exchange:
         raise ValueError("block must be a multiple of 64 and directions_per_exchange must divide 6")
     solid = mask.filter((F.col(value) > 0) & ~F.isnan(F.col(value).cast("double")))
     words = materialize(_to_words(solid))
-    before = _size(words)
+    before = _sizes(words)
+    finished = []
     while True:
         for start in range(0, len(DIRECTIONS), directions_per_exchange):
             chosen = DIRECTIONS[start : start + directions_per_exchange]
             thinner = materialize(_thin_blocks(words, chosen, block))
             discard(words)
             words = thinner
-        after = _size(words)
-        if after == before:
-            return _to_voxels(words)
+        after = _sizes(words)
+        changed = after.join(before.withColumnRenamed("n", "n_before"), "volume_id").filter("n < n_before")
+        moving = changed.agg(F.sum("n").alias("n")).first()["n"]
+        if moving is None:
+            return _to_voxels(reduce(DataFrame.unionByName, [*finished, words]))
+        if 2 * moving <= after.agg(F.sum("n").alias("n")).first()["n"]:
+            active = materialize(changed.select("volume_id"))
+            finished.append(materialize(words.join(active, "volume_id", "left_anti").select(*words.columns)))
+            remaining = materialize(words.join(active, "volume_id", "left_semi").select(*words.columns))
+            discard(words)
+            words = remaining
         before = after
 
 
