@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+from tomoloom.plans import catalog, checks
 from compare import connect, difference, duck_rows, spark_rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -15,7 +16,8 @@ def duck():
 
 
 def test_only_named_runs_lack_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == UNCHECKED
+    assert set(catalog.all_runs()) - set(checks.all_checks()) == UNCHECKED
+    assert set(checks.all_checks()) <= set(catalog.all_runs())
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
@@ -23,7 +25,7 @@ def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", catalog.all_runs())
 def test_run(spark, duck, name):
     ours = spark_rows(contract.queries()[name](spark, FOLDER))
     assert ours[1]
