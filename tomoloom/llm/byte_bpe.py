@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tomoloom.llm.common import prepare, texts
+from tomoloom.llm.common import prepare, texts, worker_cache
 
 CHUNK_CHARS = 32768
 OVERLAP_CHARS = 2048
@@ -26,12 +26,11 @@ OVERLAP_CHARS = 2048
 ID_TYPE = np.dtype("<u4")
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-_loaded: dict[str, tuple] = {}
-
 
 def _codec(vocabulary: str):
     """The encoder and the bytes of every id, once per worker."""
-    if vocabulary not in _loaded:
+    kept = worker_cache()
+    if vocabulary not in kept:
         import public_tokenizers
         import tiktoken
 
@@ -43,8 +42,8 @@ def _codec(vocabulary: str):
         raw: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             raw[rank] = piece
-        _loaded[vocabulary] = encoder, raw
-    return _loaded[vocabulary]
+        kept[vocabulary] = encoder, raw
+    return kept[vocabulary]
 
 
 def encode(text: str, vocabulary: str) -> bytes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,11 @@ LOWER = np.where((_byte >= 65) & (_byte <= 90), _byte + 32, _byte).astype(np.uin
 IS_SPACE = (_byte == 32) | ((_byte >= 9) & (_byte <= 13))
 
 
+def worker_cache() -> dict:
+    """A dict that lives as long as the Python process: code that is shipped by value has fresh globals in every task."""
+    return sys.__dict__.setdefault("_tomoloom_llm", {})
+
+
 def prepare(spark: SparkSession) -> None:
     """Keep Arrow batches small enough that a batch of very long texts fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -72,12 +78,17 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         row = stop
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit ids of the lower-cased words of a run of texts, in order, and the index of each one's text."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of a run of texts; start, length and text index of its words, in order.
+
+    A word is a run of bytes that are not in `breaks`; only A-Z are lower-cased.
+    """
     low = LOWER[data]
-    inside = ~IS_SPACE[low]
+    if not len(data):
+        return low, *(np.zeros(0, np.int64) for _ in range(3))
+    inside = ~breaks[low]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     edges = offsets[(offsets > 0) & (offsets < len(data))]
@@ -87,20 +98,26 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[-1], after[:-1] = False, inside[1:]
     after[edges - 1] = False
     length = np.flatnonzero(inside & ~after) + 1 - start
+    return low, start, length, np.searchsorted(offsets, start, "right") - 1
+
+
+def span_ids(low: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit ids of byte strings, eight bytes a step."""
     packed = eight_bytes(low)
     ids = mix(length.astype(np.uint64))
-    rows, at = np.arange(len(start)), start
-    left = length
+    rows, at, left = np.arange(len(start)), start, length
     while len(rows):
         kept = np.minimum(left, 8).astype(np.uint64)
-        mask = np.where(kept == 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (kept * np.uint64(8) % np.uint64(64))) - np.uint64(1))
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * kept)
         part = ids[rows] ^ (packed[at] & mask)
         part *= np.uint64(0x9E3779B97F4A7C15)
         ids[rows] = mix(part)
         more = left > 8
         rows, at, left = rows[more], at[more] + 8, left[more] - 8
-    return ids, np.searchsorted(offsets, start, "right") - 1
+    return ids
 
 
-def binary_rows(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit ids of the words of a run of texts, in order, and the index of each one's text."""
+    low, start, length, doc = word_spans(data, offsets, breaks)
+    return span_ids(low, start, length), doc

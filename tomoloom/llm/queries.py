@@ -6,27 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomoloom.llm import byte_bpe, exact_dedup
+from tomoloom.llm import byte_bpe, exact_dedup, quality_cnn, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_cnn.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, folder, "documents"))
 
 
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_files(_table(spark, folder, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    found = url_filter.url_verdicts(_table(spark, folder, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3}
+    return {"op3_exact_dedup": OP3, "op8_url_filter": url_filter.check_sql()}
 
 
 OP3 = """
