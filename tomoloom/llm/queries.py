@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomoloom.llm import byte_bpe, exact_dedup, quality_cnn, token_files, toxicity, url_filter
+from tomoloom.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, quality_cnn, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_cnn.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
@@ -38,12 +42,16 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.shingle_components(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op8_url_filter": url_filter.check_sql()}
+    return {"op3_exact_dedup": OP3, "op8_url_filter": url_filter.check_sql(), "op10_jaccard_join": OP10}
 
 
 OP3 = """
@@ -51,3 +59,24 @@ select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_siz
        doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window same as (partition by coalesce(text, ''))
 """
+
+OP10 = r"""
+with recursive words as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda w: w <> '') as w from documents)
+, shingles as (
+    select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words)
+, sizes as (select doc_id, count(*) as n from shingles group by doc_id)
+, shared as (
+    select a.doc_id as a, b.doc_id as b, count(*) as k from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id
+    group by all)
+, links as materialized (
+    select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+    where 100 * k >= 75 * (x.n + y.n - k))
+, both_ways as materialized (select a, b from links union all select b, a from links)
+, reach(doc_id, other) as (
+    select doc_id, doc_id from documents union select r.doc_id, l.b from reach r join both_ways l on l.a = r.other)
+select d.doc_id, coalesce(n, 0) as n_shingles, min(other) as component_id
+from documents d join reach r on r.doc_id = d.doc_id left join sizes s on s.doc_id = d.doc_id group by d.doc_id, n
+"""
