@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomoloom.functions.storage import materialize
+
 #: Rows of an Arrow batch. Texts may be long, and a batch is held whole on both sides.
 BATCH_ROWS = 512
 #: Bytes of text that one numpy pass works on; a single longer text is passed alone.
@@ -41,6 +43,15 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """ref, doc_id, text: the id itself where it names one row everywhere, else the row's place in a written copy."""
+    rows = texts(docs)
+    seen = rows.agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("ids")).first()
+    if seen.rows == seen.ids and rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return rows.select(F.col("doc_id").alias("ref"), "doc_id", "text")
+    return materialize(rows.select(F.monotonically_increasing_id().alias("ref"), "doc_id", "text"))
+
+
 def remainder(key: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo `modulus`; null for a null id."""
     return F.crc32(key.cast("string").cast("binary")) % modulus
@@ -121,3 +132,63 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE)
     """64-bit ids of the words of a run of texts, in order, and the index of each one's text."""
     low, start, length, doc = word_spans(data, offsets, breaks)
     return span_ids(low, start, length), doc
+
+
+class Lookup:
+    """Index of 64-bit keys in a list of distinct ones, by open addressing on arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            free = np.flatnonzero(self.slots[at] < 0)
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key, -1 where it isn't there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = self._home(keys)
+        out = self.slots[at].astype(np.int64)
+        open_ = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            out[open_] = self.slots[at[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.keys[out[open_]] != keys[open_])]
+        return out
+
+
+class Tally:
+    """Counts per key of a task: sorted lists that are merged when they get long."""
+
+    def __init__(self, most: int = 1 << 21):
+        self.keys, self.counts, self.held, self.most = [], [], 0, most
+
+    def add(self, keys: np.ndarray) -> None:
+        keys, counts = np.unique(keys, return_counts=True)
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.held += len(keys)
+        if self.held > self.most:
+            self.merge()
+
+    def merge(self) -> None:
+        keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        counts = np.bincount(at, np.concatenate(self.counts), len(keys)).astype(np.int64)
+        self.keys, self.counts, self.held = [keys], [counts], len(keys)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """All counts; the tally is empty afterwards."""
+        if not self.keys:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.merge()
+        found = self.keys[0], self.counts[0]
+        self.keys, self.counts, self.held = [], [], 0
+        return found

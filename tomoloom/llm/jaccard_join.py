@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomoloom.functions.storage import discard, materialize
-from tomoloom.llm.common import mix, prepare, text_blocks, texts, words
+from tomoloom.llm.common import keyed, mix, prepare, text_blocks, words
 from tomoloom.llm.components import components
 
 WORDS = 5
@@ -271,23 +271,13 @@ def _links(rows: DataFrame, index: DataFrame) -> DataFrame:
     return done.filter("linked").select("a", "b")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """ref, doc_id, text: the id itself where it names one row, else the row's place in a written copy."""
-    rows = texts(docs)
-    seen = rows.agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("ids")).first()
-    repeated = seen.rows != seen.ids or not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    if repeated:
-        return materialize(rows.select(F.monotonically_increasing_id().alias("ref"), "doc_id", "text"))
-    return rows.select(F.col("doc_id").alias("ref"), "doc_id", "text")
-
-
 def linked_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keyed rows (ref, doc_id, text), and one row per document: ref, doc_id, n_shingles, component.
 
     Equal sets are one node of the join: the one with the smallest ref stands for them.
     """
     prepare(docs.sparkSession)
-    rows = _keyed(docs)
+    rows = keyed(docs)
     counts, mean = _sketch(rows)
     index = materialize(_indexed(rows, counts, mean))
     nodes = materialize(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomoloom.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, quality_cnn, token_files, toxicity, url_filter
+from tomoloom.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, quality_cnn, suffix_tree_lm, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_suffix_tree_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree_lm.text_scores(_table(spark, folder, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.shingle_components(_table(spark, folder, "documents"))
 
