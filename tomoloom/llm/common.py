@@ -43,13 +43,22 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def names_one_row(docs: DataFrame) -> bool:
+    """Whether every row has an id of its own."""
+    seen = docs.agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("ids")).first()
+    return seen.rows == seen.ids and docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
+def with_key(docs: DataFrame, key: str) -> DataFrame:
+    """`docs` and a number for each row: the id itself where it names one row, else the row's place in a written copy."""
+    if names_one_row(docs):
+        return docs.withColumn(key, F.col("doc_id"))
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """ref, doc_id, text: the id itself where it names one row everywhere, else the row's place in a written copy."""
-    rows = texts(docs)
-    seen = rows.agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("ids")).first()
-    if seen.rows == seen.ids and rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return rows.select(F.col("doc_id").alias("ref"), "doc_id", "text")
-    return materialize(rows.select(F.monotonically_increasing_id().alias("ref"), "doc_id", "text"))
+    """ref, doc_id, text, with `ref` as in `with_key`."""
+    return with_key(texts(docs), "ref").select("ref", "doc_id", "text")
 
 
 def remainder(key: Column, modulus: int) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomoloom.functions.storage import discard, materialize
-from tomoloom.llm.common import keyed, mix, prepare, text_blocks, words
+from tomoloom.llm.common import keyed, mix, prepare, text_blocks, with_key, words
 from tomoloom.llm.components import components
 
 WORDS = 5
@@ -271,13 +271,12 @@ def _links(rows: DataFrame, index: DataFrame) -> DataFrame:
     return done.filter("linked").select("a", "b")
 
 
-def linked_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Keyed rows (ref, doc_id, text), and one row per document: ref, doc_id, n_shingles, component.
+def classes(rows: DataFrame) -> DataFrame:
+    """ref, doc_id, n_shingles, component_id, stays (one row of each class). rows: ref (a number of its own), doc_id, text.
 
     Equal sets are one node of the join: the one with the smallest ref stands for them.
     """
-    prepare(docs.sparkSession)
-    rows = keyed(docs)
+    prepare(rows.sparkSession)
     counts, mean = _sketch(rows)
     index = materialize(_indexed(rows, counts, mean))
     nodes = materialize(
@@ -291,7 +290,7 @@ def linked_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_comp = smallest.groupBy("comp").agg(F.min("smallest").alias("component_id"), F.min("node").alias("first"))
     named = smallest.join(by_comp, "comp").select("n", "one", "two", "component_id", "first")
     found = index.select("ref", "doc_id", "n", "one", "two").join(named, ["n", "one", "two"], "left")
-    return rows, found.select(
+    return found.select(
         "ref",
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
@@ -307,4 +306,15 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     a null id is never the smallest unless its component has no other. An empty table gives no rows; other columns are
     ignored. Shingles are compared by 64-bit hashes, equal sets by two more.
     """
-    return linked_rows(docs)[1].select("doc_id", "n_shingles", "component_id")
+    return classes(keyed(docs)).select("doc_id", "n_shingles", "component_id")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """`docs` with one row of each class, the one with the smallest id (or place, where ids repeat); all columns kept.
+
+    Texts without words are no copies of each other and stay.
+    """
+    whole = with_key(docs, "_near_ref")
+    rows = whole.select(F.col("_near_ref").alias("ref"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    gone = materialize(classes(rows).filter(~F.col("stays")).select(F.col("ref").alias("_near_ref")))
+    return whole.join(gone, "_near_ref", "left_anti").drop("_near_ref")

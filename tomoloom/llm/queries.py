@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tomoloom.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, quality_cnn, suffix_tree_lm, token_files, toxicity, url_filter
+from tomoloom.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, quality_cnn, suffix_dedup, suffix_tree_lm, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +34,12 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, folder, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(_table(spark, folder, "documents"))
+    kept = F.when(F.col("kept").isNull(), F.col("sha256")).otherwise(F.sha2("kept", 256))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", kept.alias("kept_sha256"))
+
+
 def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(_table(spark, folder, "documents"))
 
