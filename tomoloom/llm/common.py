@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +143,36 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE)
     return span_ids(low, start, length), doc
 
 
+#: Bits of a sieve: a bitmap of fixed size that lets all members and some others pass.
+SIEVE_BITS = 24
+
+
+def sieve_cell(key: str | Column, bits: int = SIEVE_BITS) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+
+
+def sieve_table(members: DataFrame, key: str, bits: int = SIEVE_BITS) -> np.ndarray:
+    """The bitmap of a table's keys as 64-bit words."""
+    words = members.select(sieve_cell(key, bits).alias("cell")).selectExpr(
+        "shiftright(cell, 6) as word", "shiftleft(1L, cast(cell % 64 as int)) as bit"
+    )
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()  # at most 2**bits / 64 rows
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[found["word"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64)
+    return table
+
+
+def sieve(members: DataFrame, key: str, bits: int = SIEVE_BITS) -> Callable[[str], Column]:
+    """A test on a column that every member of the table passes, and few others while the table is not much larger."""
+    held = members.sparkSession.sparkContext.broadcast(sieve_table(members, key, bits))
+
+    def passes(cells: pa.Array) -> pa.Array:
+        cell = cells.to_numpy(zero_copy_only=False)
+        return pa.array((held.value[cell >> 6] >> (cell & 63) & 1) == 1)
+
+    return lambda column: F.arrow_udf(passes, "boolean")(sieve_cell(column, bits))
+
+
 class Lookup:
     """Index of 64-bit keys in a list of distinct ones, by open addressing on arrays."""
 

@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomoloom.functions.storage import materialize
-from tomoloom.llm.common import eight_bytes, keyed, mix, prepare, worker_cache
+from tomoloom.llm.common import eight_bytes, keyed, mix, prepare, sieve, worker_cache
 
 LENGTH, GRAM = 200, 32
 #: Bytes of text in one numpy pass; longer texts are passed in parts that overlap.
@@ -33,8 +33,6 @@ PART_BYTES = 1 << 20
 #: Bytes of pieces in one suffix array, and distinct pieces of one anchor in one shard.
 SHARD_BYTES, SHARD_PIECES = 1 << 21, 2048
 PLACE_BITS = np.uint64(24)
-#: Bits of a sieve: a bitmap of fixed size that lets all members and some others pass.
-SIEVE_BITS = 24
 _POWER = 0x9E3779B97F4A7C15
 
 
@@ -239,27 +237,6 @@ def pieces_of(rows: DataFrame) -> DataFrame:
     return rows.select("ref", "text").mapInArrow(scan, "anchor long, digest long, ref long, first long, strings int")
 
 
-def _sieve_cell(key: str, bits: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
-
-
-def sieve(members: DataFrame, key: str, bits: int = SIEVE_BITS):
-    """A test on a column that every member of the table passes, and few others while the table is not much larger."""
-    words = members.select(_sieve_cell(key, bits).alias("cell")).selectExpr(
-        "shiftright(cell, 6) as word", "shiftleft(1L, cast(cell % 64 as int)) as bit"
-    )
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()  # at most 2**bits / 64 rows
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[found["word"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64)
-    held = members.sparkSession.sparkContext.broadcast(table)
-
-    def passes(cells: pa.Array) -> pa.Array:
-        cell = cells.to_numpy(zero_copy_only=False)
-        return pa.array((held.value[cell >> 6] >> (cell & 63) & 1) == 1)
-
-    return lambda column: F.arrow_udf(passes, "boolean")(_sieve_cell(column, bits))
-
-
 def _cut_out(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """anchor, shard, split, ref, first, piece: bytes of the wanted pieces."""
     by_ref = wanted.groupBy("ref").agg(F.collect_list(F.struct("anchor", "shard", "split", "first", "strings")).alias("cuts"))
