@@ -196,3 +196,18 @@ def test_strip_and_blobs(spark):
     }
     for text, expected in cases.items():
         assert one(spark, is_sealed_blob(F.col("t")), t=text) is expected, text
+
+
+def test_very_long_concept_lists(spark):
+    concepts_ = spark.range(150_000).selectExpr("cast(id as int) as ord", "concat('w', lpad(lower(conv(id, 10, 16)), 6, '0')) as concept")
+    letters = concepts_.select("ord", F.translate("concept", "0123456789", "ghijklmnop").alias("concept"))
+    wanted = [r.concept for r in letters.filter("ord % 50000 = 7").orderBy("ord").collect()]
+    found = concepts.prompt_hits(boxes(spark, {1: [[*wanted, "zzzz"]]}), letters)
+    assert [r.concept for r in found.orderBy("word_no").collect()] == wanted
+
+
+def test_documents_with_empty_first_pages_stay(spark):
+    pages = boxes(spark, {1: [["zzzz"], ["strut"] * 9], 2: [["strut"] * 9]})
+    later = pages.filter("doc_id = 2 or page_no > 1")
+    found = {r.doc_id: (r.n_hits, r.fallback) for r in concepts.resolve_documents(later, ["strut"], max_pages=1).collect()}
+    assert found == {1: (0, True), 2: (9, False)}

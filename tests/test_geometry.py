@@ -90,7 +90,7 @@ def test_missing_and_broken_struts(spark):
     struts = spark.createDataFrame(
         [("v", i, 1.0, y, 1.0, 10.0, y, 1.0) for i, y in enumerate((2.0, 6.0, 9.0))], STRUT
     )
-    coverage = lattice.strut_coverage(struts, mask_rows(spark, mask), samples=40)
+    coverage = lattice.strut_coverage(struts, mask_rows(spark, mask))
     found = {r.strut_id: (r.voxels, r.filled, r.missing, r.broken) for r in coverage.collect()}
     assert found == {0: (10, 10, False, False), 1: (10, 4, False, True), 2: (10, 0, True, False)}
     defects = lattice.strut_defects(coverage).first()
@@ -104,3 +104,11 @@ def test_node_degree_of_an_octet_cell(spark):
     found = {(r.x, r.y, r.z): r.degree for r in degrees.collect()}
     assert found[0.0, 0.0, 0.0] == 3 and found[1.0, 1.0, 0.0] == 8
     assert sum(found.values()) == 2 * len(bars)
+
+
+def test_gaps_in_long_struts_are_seen(spark):
+    mask = np.ones((1, 1, 101), np.uint8)
+    mask[0, 0, 31:52] = 0
+    struts = spark.createDataFrame([("v", 1, 0.0, 0.0, 0.0, 100.0, 0.0, 0.0), ("v", 2, 5.0, 0.0, 0.0, 5.0, 0.0, 0.0)], STRUT)
+    found = {r.strut_id: (r.voxels, r.filled, r.broken) for r in lattice.strut_coverage(struts, mask_rows(spark, mask)).collect()}
+    assert found == {1: (101, 80, True), 2: (1, 1, False)}

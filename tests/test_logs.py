@@ -130,7 +130,7 @@ def test_blocks_round_trip_through_files(spark, tmp_path):
     logs.write_keyword_blocks(found, str(tmp_path / "out"))
     parts = sorted((tmp_path / "out").glob("part-*"))
     text = "".join(p.read_text() for p in parts)
-    assert text == "".join(b + "\n---\n" for b in blocks + patterns)
+    assert text == "\n---\n".join(blocks + patterns) + "\n"
     counts = {r.kind: r.keywords for r in logs.keyword_counts(found).collect()}
     assert counts == {"query": 5, "pattern": 3}
 

@@ -22,6 +22,11 @@ def test_salted_join_equals_join_for_every_kind(spark):
         assert sorted(map(tuple, found.collect()), key=str) == expected
 
 
+def test_every_hot_key_is_split(spark):
+    counts = spark.range(1500).select(F.col("id").alias("k"), F.lit(10).alias("n"))
+    assert hot_keys(counts, ["k"], "n", rows_per_task=4).filter("_parts = 3").count() == 1500
+
+
 def test_hot_rows_land_in_several_parts(spark):
     left = rows_with_a_hot_key(spark)
     hot = spark.createDataFrame([(-1, 10)], "k bigint, _parts int")

@@ -191,3 +191,33 @@ def test_mask_comparison_fills_missing_voxels_with_background(spark):
         tp, fp, fn = int((a & b).sum()), int((a & ~b & 1).sum()), int((~a & 1 & b).sum())
         assert (r.true_positives, r.false_positives, r.false_negatives) == (tp, fp, fn)
         assert r.iou == tp / (tp + fp + fn) and r.dice == 2 * tp / (2 * tp + fp + fn)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7])
+def test_float32_edges_match_numpy(spark, threshold):
+    values = np.array([0.3, 0.5, 0.7, 0.29999, 0.70001, np.nan], np.float32)
+    rows = [("v", 0, 0, i, float(x)) for i, x in enumerate(values)]
+    voxels = spark.createDataFrame(rows, "volume_id string, z int, y int, x int, v float")
+    expected = int((values >= np.float32(threshold)).sum())
+    assert volume.mask_stats(volume.segment(voxels, threshold)).first().foreground_voxels == expected
+    assert volume.threshold_sweep(voxels, [threshold]).first().foreground_voxels == expected
+    assert volume.stored_limit(threshold, "float32") == float(np.float32(threshold))
+
+
+def test_ranges_that_are_not_finite_are_refused(spark):
+    for odd in (float("nan"), float("inf"), float("-inf")):
+        voxels = spark.createDataFrame([("v", 0, 0, i, x) for i, x in enumerate((0.0, 1.0, odd))], "volume_id string, z int, y int, x int, v double")
+        with pytest.raises(Exception, match="not finite"):
+            volume.histogram(voxels).collect()
+
+
+def test_real_values_need_bins(spark):
+    voxels = spark.createDataFrame([("v", 0, 0, 0, 0.1), ("v", 0, 0, 1, 0.9)], "volume_id string, z int, y int, x int, v double")
+    with pytest.raises(Exception, match="whole numbers"):
+        volume.otsu_threshold(voxels).collect()
+
+
+def test_slices_outside_the_table_are_refused(spark):
+    voxels = spark.createDataFrame([("v", 0, 0, 0, 0.1)], "volume_id string, z int, y int, x int, v double")
+    with pytest.raises(ValueError, match="out of range"):
+        volume.take_slice(voxels, 1, 0)

@@ -8,23 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tomoloom.functions.storage import materialize
+
 ROWS_PER_TASK = 1_000_000
-MAX_HOT_KEYS = 1_000
 
 
 def hot_keys(
     counts: DataFrame, keys: Sequence[str], rows: str, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Keys with more than `rows_per_task` rows and the number of parts each should be split into.
+    """Every key with more than `rows_per_task` rows and the number of parts it should be split into.
 
-    At most MAX_HOT_KEYS of the largest are returned, so the result can always be broadcast; a key outside the
-    list holds under 1/MAX_HOT_KEYS of the rows and is left to the runtime skew-join splitting.
+    Written once, so that its true size decides how it is joined: there are at most (all rows) / `rows_per_task`.
     """
-    return (
-        counts.filter(F.col(rows) > rows_per_task)
-        .select(*keys, F.ceil(F.col(rows) / F.lit(rows_per_task)).cast("int").alias("_parts"))
-        .orderBy(F.desc("_parts"), *keys)
-        .limit(MAX_HOT_KEYS)
+    return materialize(
+        counts.filter(F.col(rows) > rows_per_task).select(
+            *keys, F.ceil(F.col(rows) / F.lit(rows_per_task)).cast("int").alias("_parts")
+        )
     )
 
 
@@ -47,12 +46,12 @@ def salted_join(
     hot_on = list(hot_on or keys)
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     left = (
-        left.join(F.broadcast(hot), hot_on, "left")
+        left.join(hot, hot_on, "left")
         .withColumn("_part", F.pmod(F.xxhash64(*spread), parts).cast("int"))
         .drop("_parts")
     )
     right = (
-        right.join(F.broadcast(hot), hot_on, "left")
+        right.join(hot, hot_on, "left")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
         .drop("_parts")
     )

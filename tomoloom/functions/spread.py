@@ -4,32 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-BYTES_PER_CORE = 16 << 20
+#: Input of one costly task.
+BYTES_PER_TASK = 4 << 20
+UNKNOWN_BYTES = 1 << 60
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size, which for a scan comes from the file listing."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _input_bytes(df: DataFrame) -> int | None:
+    """Size of the tables a plan reads, which for a scan comes from the file listing; None where one is unknown.
+
+    Sizes further up the plan are products of guesses and grow without bound over joins and generators.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(size >= UNKNOWN_BYTES for size in sizes) else sum(sizes)
 
 
 def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows by the keys of a following grouped function into a fixed number of tasks.
+    """Hash rows by the keys of a following grouped function into as many tasks as their size asks for.
 
-    Runtime coalescing sizes tasks by input bytes and would merge groups whose work far exceeds their input. Small
-    inputs get two tasks per core, larger ones the session's number of shuffle partitions.
+    Runtime coalescing sizes tasks by input bytes and would merge groups whose work far exceeds their input. The number
+    of tasks grows with the input and is two per core at least.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = _estimated_bytes(df) < cores * BYTES_PER_CORE
-    return df.repartition(min(configured, 2 * cores) if small else max(configured, cores), *keys)
-
+    size = _input_bytes(df)
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions")) if size is None else -(-size // BYTES_PER_TASK)
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, asked), *keys)
 
-def spread_small(df: DataFrame, key: str, below_bytes: int = 1 << 30) -> DataFrame:
-    """Hash a small table over all cores before costly row work; a large one already has enough splits.
 
-    A small file is one split whatever the number of cores.
-    """
-    if _estimated_bytes(df) >= below_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Hash a table that has fewer splits than there are cores over all cores, before costly row work."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = _input_bytes(df)
+    return df if size is None or size >= cores * split else df.repartition(cores, key)

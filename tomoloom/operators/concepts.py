@@ -14,7 +14,6 @@ from tomoloom.functions.text import clean_word, is_concept_token, is_stopword, t
 
 # Two words of four letters or more match when one starts with the other, so matching words always share this prefix.
 PREFIX = 4
-MAX_PROMPT_CONCEPTS = 100_000
 PAGES_PER_BUCKET = 65_536
 # Fewest prompt hits a document needs, size of the list that replaces the prompt, shortest auto term.
 MIN_HITS, AUTO_TERMS, AUTO_LENGTH = 8, 14, 5
@@ -76,26 +75,35 @@ def with_clean_words(boxes: DataFrame) -> DataFrame:
     return cleaned.withColumn("_prefix", _prefix(F.col("clean")))
 
 
-def _match_list(boxes: DataFrame, concepts: Sequence[str], how: str) -> DataFrame:
-    if len(concepts) > MAX_PROMPT_CONCEPTS:
-        raise ValueError(f"at most {MAX_PROMPT_CONCEPTS} prompt concepts, got {len(concepts)}")
-    listed = boxes.sparkSession.createDataFrame(list(enumerate(concepts)), "ord int, concept string")
-    by_prefix = _by_prefix(listed.filter(F.col("concept") != "").coalesce(1), [])
-    matched = with_clean_words(boxes).join(F.broadcast(by_prefix), "_prefix", how)
+Concepts = Sequence[str] | DataFrame
+
+
+def concept_table(boxes: DataFrame, concepts: Concepts) -> DataFrame:
+    """`(ord, concept)` of a list, or of a table that has them."""
+    if isinstance(concepts, DataFrame):
+        return concepts.select("ord", "concept")
+    return boxes.sparkSession.createDataFrame(list(enumerate(concepts)), "ord int, concept string")
+
+
+def _match_list(boxes: DataFrame, concepts: Concepts, how: str) -> DataFrame:
+    listed = concept_table(boxes, concepts).filter(F.col("concept") != "")
+    # Written first: the table's true size decides whether it is broadcast or both sides are shuffled.
+    by_prefix = materialize(_by_prefix(listed, []))
+    matched = with_clean_words(boxes).join(by_prefix, "_prefix", how)
     return matched.withColumn("concept", _first_match(F.col("clean"), F.col("_candidates"))).drop(
         "_candidates", "_prefix"
     )
 
 
-def match_prompt(boxes: DataFrame, concepts: Sequence[str]) -> DataFrame:
+def match_prompt(boxes: DataFrame, concepts: Concepts) -> DataFrame:
     """Add `concept`, the first of the list that matches the word, null where none does.
 
-    The list is the caller's own and its length is checked, so it is broadcast; the boxes are not shuffled.
+    A list small enough to be broadcast leaves the boxes where they are.
     """
     return _match_list(boxes, concepts, "left")
 
 
-def prompt_hits(boxes: DataFrame, concepts: Sequence[str]) -> DataFrame:
+def prompt_hits(boxes: DataFrame, concepts: Concepts) -> DataFrame:
     """Word boxes that match a prompt concept; words without a candidate are dropped by the join itself."""
     return _match_list(boxes, concepts, "inner").filter(F.col("concept").isNotNull())
 
@@ -104,12 +112,16 @@ def first_pages(boxes: DataFrame, max_pages: int | None) -> DataFrame:
     return boxes if max_pages is None else boxes.filter(F.col("page_no") <= max_pages)
 
 
-def document_hits(matched: DataFrame, min_hits: int = MIN_HITS) -> DataFrame:
-    """Prompt hits per document, and whether they are too few; documents without any hit are included."""
+def document_hits(matched: DataFrame, min_hits: int = MIN_HITS, max_pages: int | None = None) -> DataFrame:
+    """Prompt hits per document, and whether they are too few; documents without any hit are included.
+
+    Hits count on the first `max_pages` pages, words everywhere, so a document with empty first pages is there too.
+    """
+    found = F.col("concept") if max_pages is None else F.when(F.col("page_no") <= max_pages, F.col("concept"))
     return matched.groupBy("doc_id").agg(
-        F.count("concept").alias("n_hits"),
+        F.count(found).alias("n_hits"),
         F.count_if(F.col("clean") != "").alias("n_words"),
-        (F.count("concept") < min_hits).alias("fallback"),
+        (F.count(found) < min_hits).alias("fallback"),
     )
 
 
@@ -138,10 +150,10 @@ def match_auto(
 
 
 def resolve_documents(
-    boxes: DataFrame, concepts: Sequence[str], min_hits: int = MIN_HITS, max_pages: int | None = None
+    boxes: DataFrame, concepts: Concepts, min_hits: int = MIN_HITS, max_pages: int | None = None
 ) -> DataFrame:
     """`document_hits` of the searched pages, written once."""
-    return materialize(document_hits(match_prompt(first_pages(boxes, max_pages), concepts), min_hits))
+    return materialize(document_hits(match_prompt(boxes, concepts), min_hits, max_pages))
 
 
 def set_aside(boxes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -151,7 +163,7 @@ def set_aside(boxes: DataFrame, documents: DataFrame) -> DataFrame:
 
 def resolved_hits(
     boxes: DataFrame,
-    concepts: Sequence[str],
+    concepts: Concepts,
     min_hits: int = MIN_HITS,
     top_n: int = AUTO_TERMS,
     max_pages: int | None = None,
@@ -170,7 +182,7 @@ def resolved_hits(
 
 
 def concepts_used(
-    boxes: DataFrame, concepts: Sequence[str], documents: DataFrame, top_n: int = AUTO_TERMS
+    boxes: DataFrame, concepts: Concepts, documents: DataFrame, top_n: int = AUTO_TERMS
 ) -> DataFrame:
     """Per document whether it fell back and the list it was searched for, in matching order."""
     own = (
@@ -178,9 +190,13 @@ def concepts_used(
         .groupBy("doc_id")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "concept"))), lambda e: e["concept"]).alias("own"))
     )
-    prompt = F.array(*map(F.lit, concepts)).cast("array<string>")
-    used = F.when(F.col("fallback"), F.coalesce("own", F.array().cast("array<string>"))).otherwise(prompt)
-    return documents.join(own, "doc_id", "left").select("doc_id", "fallback", used.alias("concepts"))
+    listed = concept_table(boxes, concepts)
+    prompt = listed.agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "concept"))), lambda e: e["concept"]).alias("prompt"))
+    # One row, for the documents that do not fall back: the prompt's list, whatever its length.
+    one = materialize(prompt.withColumn("fallback", F.lit(False)))
+    with_prompt = documents.join(one, "fallback", "left")
+    used = F.when(F.col("fallback"), F.coalesce("own", F.array().cast("array<string>"))).otherwise(F.col("prompt"))
+    return with_prompt.join(own, "doc_id", "left").select("doc_id", "fallback", used.alias("concepts"))
 
 
 def auto_hits(boxes: DataFrame, top_n: int = AUTO_TERMS, max_pages: int | None = None) -> DataFrame:

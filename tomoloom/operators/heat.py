@@ -20,26 +20,40 @@ RAMP = (
     (0.88, (255, 120, 0)),
     (1.00, (230, 20, 20)),
 )
-MAX_PAGE_PIXELS = 1 << 26
+#: Pixels that one task's part of a page has, about; a part is a band of whole rows.
+BAND_PIXELS = 1 << 24
 
 
-def splat(hits: DataFrame, height: int, width: int, zoom: float = ZOOM) -> DataFrame:
+Size = int | str
+
+
+def _size(value: Size) -> Column:
+    return F.col(value) if isinstance(value, str) else F.lit(value)
+
+
+def _page_key(height: Size, width: Size) -> list[str]:
+    """What names a page, with its size where that is a column."""
+    return ["doc_id", "page_no", *(v for v in (height, width) if isinstance(v, str))]
+
+
+def splat(hits: DataFrame, height: Size, width: Size, zoom: float = ZOOM) -> DataFrame:
     """Total hit weight per pixel `(doc_id, page_no, y, x, w)`; hits centred off the page are left out.
 
-    Wide boxes weigh more, up to 1.8.
+    Wide boxes weigh more, up to 1.8. `height` and `width` are pixels, or names of columns with each page's own size,
+    which are kept.
     """
 
     def centre(a: str, b: str) -> Column:
         return ((F.col(a) + F.col(b)) / 2 * zoom).cast("int")
 
+    # Weight per width over 20 pixels, and its limit.
     extra = F.greatest(F.lit(0.0), (F.col("x1") - F.col("x0")) * zoom - 20)
     weight = F.least(F.lit(1.8), 1.0 + 0.4 * extra / 40)
+    page = _page_key(height, width)
     return (
-        hits.select(
-            "doc_id", "page_no", centre("y0", "y1").alias("y"), centre("x0", "x1").alias("x"), weight.alias("w")
-        )
-        .filter(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
-        .groupBy("doc_id", "page_no", "y", "x")
+        hits.select(*page, centre("y0", "y1").alias("y"), centre("x0", "x1").alias("x"), weight.alias("w"))
+        .filter(F.col("y").between(0, _size(height) - 1) & F.col("x").between(0, _size(width) - 1))
+        .groupBy(*page, "y", "x")
         .agg(F.sum("w").alias("w"))
     )
 
@@ -64,14 +78,17 @@ def gaussian_kernel(sigma: float) -> np.ndarray:
     return k / k.sum()
 
 
-def _spread(centres: np.ndarray, kernel: np.ndarray, size: int) -> np.ndarray:
-    """One row per centre: what a unit placed there adds to each of `size` cells, mirrored at both ends."""
+def _spread(centres: np.ndarray, kernel: np.ndarray, size: int, low: int = 0, high: int | None = None) -> np.ndarray:
+    """One row per centre: what a unit placed there adds to the cells `low` to `high` of `size`, mirrored at both ends."""
+    high = size if high is None else high
     radius = kernel.size // 2
     reach = centres[:, None] + np.arange(-radius, radius + 1)[None, :]
     folded = np.mod(reach, 2 * size)
     folded = np.where(folded < size, folded, 2 * size - 1 - folded)
-    rows = np.zeros((centres.size, size))
-    np.add.at(rows, (np.arange(centres.size)[:, None], folded), kernel[None, :])
+    rows = np.zeros((centres.size, high - low))
+    inside = (folded >= low) & (folded < high)
+    each = np.broadcast_to(np.arange(centres.size)[:, None], folded.shape)
+    np.add.at(rows, (each[inside], folded[inside] - low), np.broadcast_to(kernel, folded.shape)[inside])
     return rows
 
 
@@ -81,40 +98,51 @@ def _bands(y: np.ndarray, reach: int) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(y[order]) > reach) + 1)
 
 
-def _blur_band(y, x, w, kernel: np.ndarray, height: int, width: int, above: float):
-    """Pixels of one band with more than `above`, looking only at the rows and columns some hit reaches."""
+def _blur_band(y, x, w, kernel: np.ndarray, height: int, width: int, above: float, low: int, high: int):
+    """Pixels in rows `low` to `high` with more than `above`, looking only at the rows and columns some hit reaches."""
     rows, at = np.unique(y, return_inverse=True)
     lines = np.zeros((rows.size, width))
     for start in range(0, w.size, 4096):
         part = slice(start, start + 4096)
         np.add.at(lines, at[part], w[part, None] * _spread(x[part], kernel, width))
-    columns = _spread(rows, kernel, height)
+    columns = _spread(rows, kernel, height, low, high)
     ys, xs = np.flatnonzero(columns.any(axis=0)), np.flatnonzero(lines.any(axis=0))
     heat = columns[:, ys].T @ lines[:, xs]
     py, px = np.nonzero(heat > above)
-    return ys[py], xs[px], heat[py, px]
+    return ys[py] + low, xs[px], heat[py, px]
 
 
-def blur(splats: DataFrame, height: int, width: int, sigma: float = SIGMA, above: float = 0.0) -> DataFrame:
+def blur(splats: DataFrame, height: Size, width: Size, sigma: float = SIGMA, above: float = 0.0) -> DataFrame:
     """Gaussian-blurred heat of every page, as the pixels with more than `above`.
 
-    A hit at sigma 30 reaches 58,000 pixels, so expanding hits to rows would swamp the shuffle. Each page's splats,
-    at most one per pixel of the page, go to one task, where both one-dimensional passes are a matrix product.
+    A hit at sigma 30 reaches 58,000 pixels, so expanding hits to rows would swamp the shuffle. A page is cut into
+    bands of rows, one for pages of usual size, and each band's splats, with those that reach into it, go to one task,
+    where both one-dimensional passes are a matrix product. `height` and `width` as in `splat`.
     """
-    if height * width > MAX_PAGE_PIXELS:
-        raise ValueError(f"pages over {MAX_PAGE_PIXELS} pixels are not supported, got {height}x{width}")
     kernel = gaussian_kernel(sigma)
+    radius = kernel.size // 2
+    page = _page_key(height, width)
+    tall = F.greatest(F.lit(4 * radius), F.lit(BAND_PIXELS) / F.greatest(_size(width), F.lit(1))).cast("int")
+    first = F.floor(F.greatest(F.col("y") - radius, F.lit(0)) / tall)
+    last = F.floor(F.least(F.col("y") + radius, _size(height) - 1) / tall)
+    banded = splats.select(
+        *page, "y", "x", "w", tall.alias("_tall"), F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("_band")
+    )
 
-    def one_page(table: pa.Table) -> pa.Table:
+    def one_band(table: pa.Table) -> pa.Table:
         y, x, w = (table.column(c).to_numpy() for c in ("y", "x", "w"))
-        parts = [_blur_band(y[b], x[b], w[b], kernel, height, width, above) for b in _bands(y, kernel.size)]
+        high, wide = (table.column(v)[0].as_py() if isinstance(v, str) else v for v in (height, width))
+        tall = table.column("_tall")[0].as_py()
+        low = table.column("_band")[0].as_py() * tall
+        stop = min(low + tall, high)
+        parts = [_blur_band(y[b], x[b], w[b], kernel, high, wide, above, low, stop) for b in _bands(y, kernel.size)]
         py, px, heat = (np.concatenate(column) for column in zip(*parts, strict=True))
         starts = np.flatnonzero((np.diff(px, prepend=-2) != 1) | (np.diff(py, prepend=-1) != 0))
         n = starts.size
+        same = {c: pa.array([table.column(c)[0].as_py()] * n, table.column(c).type) for c in ("doc_id", "page_no")}
         return pa.table(
             {
-                "doc_id": pa.array(np.full(n, table.column("doc_id")[0].as_py(), np.int64)),
-                "page_no": pa.array(np.full(n, table.column("page_no")[0].as_py(), np.int32)),
+                **same,
                 "y": pa.array(py[starts].astype(np.int32)),
                 "x": pa.array(px[starts].astype(np.int32)),
                 "run": pa.ListArray.from_arrays(np.append(starts, px.size).astype(np.int32), pa.array(heat)),
@@ -122,8 +150,10 @@ def blur(splats: DataFrame, height: int, width: int, sigma: float = SIGMA, above
         )
 
     # Neighbouring pixels of a line leave Python as one list and become rows on the JVM side.
-    pages = spread_groups(splats, "doc_id", "page_no")
-    runs = pages.groupBy("doc_id", "page_no").applyInArrow(one_page, HEAT_RUN)
+    kinds = {c: splats.schema[c].dataType.simpleString() for c in ("doc_id", "page_no")}
+    schema = f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, {HEAT_RUN}"
+    key = [*page, "_band"]
+    runs = spread_groups(banded, *key).groupBy(*key).applyInArrow(one_band, schema)
     pixels = runs.select("doc_id", "page_no", "y", "x", F.posexplode("run").alias("_i", "w"))
     return pixels.select("doc_id", "page_no", "y", (F.col("x") + F.col("_i")).alias("x"), "w")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tomoloom.functions.words import WORD, to_words, word_bit
 from tomoloom.schemas import LATTICE_JSON
 
 VOXEL_AXES = ("z", "y", "x")
@@ -41,7 +42,7 @@ def json_profile(graphs: DataFrame) -> DataFrame:
     """Counts and bounding box of parsed lattice documents, row by row; missing lists count 0."""
 
     def size(column: str):
-        return F.coalesce(F.size(column), F.lit(0)).cast("bigint")
+        return F.coalesce(F.array_size(column), F.lit(0)).cast("bigint")
 
     def extent(pick, axis: int):
         return pick(F.transform("junctions", lambda j: j["position"][axis]))
@@ -61,33 +62,42 @@ def json_profile(graphs: DataFrame) -> DataFrame:
     )
 
 
-def strut_coverage(struts: DataFrame, mask: DataFrame, samples: int = 11, broken_below: float = 0.9) -> DataFrame:
+def strut_coverage(struts: DataFrame, mask: DataFrame, broken_below: float = 0.9) -> DataFrame:
     """Share of each strut's voxels that the mask fills, with `missing` and `broken` flags.
 
-    A strut `(graph_id, strut_id, x0..z1)` in voxel units is sampled at `samples` even points, rounded to voxels and
-    freed of repeats before the join, so the join carries one row per strut voxel. `graph_id` names the volume.
-    A strut with no filled voxel is missing; one filled below `broken_below` is broken.
+    A strut `(graph_id, strut_id, x0..z1)` in voxel units is sampled once per voxel of its longest extent, both ends
+    included, so no voxel along it is passed over. `graph_id` names the volume. The mask is joined as words of 64
+    voxels along x. A strut with no filled voxel is missing; one filled below `broken_below` is broken.
     """
+    extent = F.greatest(*(F.abs(F.col(f"{d}1") - F.col(f"{d}0")) for d in VOXEL_AXES))
+    last = F.ceil(extent).cast("int")
 
     def voxel(d: str, step: Column) -> Column:
-        along = F.col(f"{d}0") + step / (samples - 1) * (F.col(f"{d}1") - F.col(f"{d}0"))
+        along = F.col(f"{d}0") + F.when(F.col("_last") > 0, step / F.col("_last") * (F.col(f"{d}1") - F.col(f"{d}0"))).otherwise(0.0)
         return F.floor(along + 0.5).cast("int")
 
     # Each coordinate only ever moves one way along a strut, so repeats of a voxel are consecutive samples.
     step = F.col("_i")
     moved = [voxel(d, step) != voxel(d, step - 1) for d in VOXEL_AXES]
     visited = (
-        struts.select("graph_id", "strut_id", *ENDS, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_i"))
+        struts.select("graph_id", "strut_id", *ENDS, last.alias("_last"))
+        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_last"))))
         .filter((step == 0) | moved[0] | moved[1] | moved[2])
         .select("graph_id", "strut_id", *(voxel(d, step).alias(d) for d in VOXEL_AXES))
+        .withColumn("xw", F.floor(F.col("x") / WORD).cast("int"))
     )
-    solid = mask.filter(F.col("m") != 0).select(
-        F.col("volume_id").alias("graph_id"), "z", "y", "x", F.lit(1).alias("filled")
+    # Voxels of a strut in one word meet it together.
+    asked = visited.groupBy("graph_id", "strut_id", "z", "y", "xw").agg(
+        F.bit_or(word_bit("x")).alias("asked"), F.count(F.lit(1)).alias("voxels")
     )
+    solid = to_words(mask.filter(F.col("m") != 0)).withColumnRenamed("volume_id", "graph_id")
     per_strut = (
-        visited.join(solid.hint("merge"), ["graph_id", "z", "y", "x"], "left")
+        asked.join(solid, ["graph_id", "z", "y", "xw"], "left")
         .groupBy("graph_id", "strut_id")
-        .agg(F.count(F.lit(1)).alias("voxels"), F.count("filled").alias("filled"))
+        .agg(
+            F.sum("voxels").alias("voxels"),
+            F.sum(F.coalesce(F.bit_count(F.col("asked").bitwiseAND(F.col("bits"))), F.lit(0))).alias("filled"),
+        )
     )
     return per_strut.select(
         "graph_id",

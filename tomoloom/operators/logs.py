@@ -15,7 +15,7 @@ from tomoloom.functions.text import is_sealed_blob, strip
 CALL = "tools.web__run"
 FIELDS = (("query", "search_query", "q"), ("pattern", "find", "pattern"))
 SHORTEST = 20
-BLOCK_SEPARATOR = "\n---\n"
+BLOCK_MARK = "---\n"
 
 # Stand-ins for escaped backslash and quote; a JSON string cannot hold these characters unescaped.
 _BACKSLASH, _QUOTE = "\x01", "\x02"
@@ -147,7 +147,11 @@ def keywords(events: DataFrame, line: str = "line", at: str = "at") -> DataFrame
 
 def in_order(found: DataFrame) -> DataFrame:
     """Queries, then patterns, each by first appearance."""
-    return found.orderBy(F.when(F.col("kind") == FIELDS[0][0], 0).otherwise(1), "seen")
+    return found.orderBy(_kind_order(), "seen")
+
+
+def _kind_order() -> Column:
+    return F.when(F.col("kind") == FIELDS[0][0], 0).otherwise(1)
 
 
 def keyword_counts(found: DataFrame) -> DataFrame:
@@ -159,4 +163,8 @@ def write_keyword_blocks(found: DataFrame, path: str) -> None:
     found = materialize(found)
     if found.isEmpty():
         raise ValueError("no web search or find calls found in this log")
-    in_order(found).select("text").write.option("lineSep", BLOCK_SEPARATOR).text(path)
+    # The separator stands before every block but the first, so the file ends in a line break only.
+    first = materialize(in_order(found).limit(1).select("kind", "text", F.lit(True).alias("_first")))
+    marked = found.join(first, ["kind", "text"], "left")
+    block = F.when(F.col("_first"), F.col("text")).otherwise(F.concat(F.lit(BLOCK_MARK), "text"))
+    in_order(marked.withColumn("text", block)).select("text").write.text(path)

@@ -14,13 +14,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomoloom.functions.spread import spread_groups
 from tomoloom.functions.storage import discard, materialize
+from tomoloom.functions.words import WORD, WORD_KEY, to_voxels, to_words
 
-WORD = 64
 REACH = 9
 DIRECTIONS = tuple((axis, step) for axis in range(3) for step in (-1, 1))
 
@@ -91,22 +91,6 @@ def thin_array(grid: np.ndarray, origin: tuple[int, int, int], directions) -> np
     return grid
 
 
-def _to_words(voxels: DataFrame) -> DataFrame:
-    """64 voxels along x as the bits of one number."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("x"), F.lit(WORD)))
-    return voxels.groupBy("volume_id", "z", "y", F.floor(F.col("x") / WORD).cast("int").alias("xw")).agg(
-        F.bit_or(bit).alias("bits")
-    )
-
-
-def _to_voxels(words: DataFrame) -> DataFrame:
-    set_bits = F.filter(
-        F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1
-    )
-    bits = words.select("volume_id", "z", "y", "xw", F.explode(set_bits).alias("_bit"))
-    return bits.select("volume_id", "z", "y", (F.col("xw") * WORD + F.col("_bit")).alias("x"))
-
-
 def _thin_blocks(words: DataFrame, directions, block: int) -> DataFrame:
     margin = REACH * len(directions)
     word_margin = -(-margin // WORD)
@@ -162,7 +146,7 @@ def skeletonise(mask: DataFrame, block: int = 128, directions_per_exchange: int
     if block % WORD or 6 % directions_per_exchange:
         raise ValueError("block must be a multiple of 64 and directions_per_exchange must divide 6")
     solid = mask.filter((F.col(value) > 0) & ~F.isnan(F.col(value).cast("double")))
-    words = materialize(_to_words(solid))
+    words = materialize(to_words(solid))
     before = _sizes(words)
     finished = []
     while True:
@@ -175,7 +159,7 @@ def skeletonise(mask: DataFrame, block: int = 128, directions_per_exchange: int
         changed = after.join(before.withColumnRenamed("n", "n_before"), "volume_id").filter("n < n_before")
         moving = changed.agg(F.sum("n").alias("n")).first()["n"]
         if moving is None:
-            return _to_voxels(reduce(DataFrame.unionByName, [*finished, words]))
+            return to_voxels(reduce(DataFrame.unionByName, [*finished, words]))
         if 2 * moving <= after.agg(F.sum("n").alias("n")).first()["n"]:
             active = materialize(changed.select("volume_id"))
             finished.append(materialize(words.join(active, "volume_id", "left_anti").select(*words.columns)))
@@ -188,21 +172,56 @@ def skeletonise(mask: DataFrame, block: int = 128, directions_per_exchange: int
 def skeleton_degree(skeleton: DataFrame) -> DataFrame:
     """Number of skeleton voxels among the 26 neighbours of each, and what it makes the voxel.
 
-    0 is isolated, 1 an end, 2 a link, 3 or more a junction.
+    0 is isolated, 1 an end, 2 a link, 3 or more a junction. Voxels travel as words of 64: a word is sent to the nine
+    lines around it and, where its outermost voxels are set, to the words beside it there. Only the voxels of the
+    result are taken apart.
     """
-    near = F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip("zyx", s, strict=True))) for s in _STEPS))
-    own = skeleton.select("volume_id", "z", "y", "x", F.lit(0).alias("near"), F.lit(1).alias("own"))
-    others = skeleton.select("volume_id", "z", "y", "x", F.explode(near).alias("s")).select(
+    words = to_words(skeleton).select(*WORD_KEY, "bits")
+    lines = F.array(*(F.struct(F.lit(z).alias("dz"), F.lit(y).alias("dy")) for z in (-1, 0, 1) for y in (-1, 0, 1)))
+    bits = F.col("bits")
+    left = F.when(bits < 0, F.lit(1).cast("bigint"))  # the last voxel, first neighbour of the next word
+    right = F.when(bits.bitwiseAND(F.lit(1)) != 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(63)))
+    places = F.filter(
+        F.array(
+            F.struct(F.lit(0).alias("dx"), bits.alias("part")),
+            F.struct(F.lit(1).alias("dx"), left.alias("part")),
+            F.struct(F.lit(-1).alias("dx"), right.alias("part")),
+        ),
+        lambda p: p["part"].isNotNull(),
+    )
+    sent = words.select("*", F.explode(lines).alias("s")).select("*", F.explode(places).alias("p"))
+    # A word's own line adds its voxels' neighbours along x, the others theirs and those straight across.
+    around = sent.select(
         "volume_id",
-        *((F.col(a) + F.col(f"s.d{a}")).alias(a) for a in "zyx"),
-        F.lit(1).alias("near"),
-        F.lit(0).alias("own"),
+        (F.col("z") + F.col("s.dz")).alias("z"),
+        (F.col("y") + F.col("s.dy")).alias("y"),
+        (F.col("xw") + F.col("p.dx")).alias("xw"),
+        F.struct(F.col("p.dx").alias("dx"), ((F.col("s.dz") == 0) & (F.col("s.dy") == 0)).alias("own"), F.col("p.part").alias("part")).alias("n"),
     )
-    counted = (
-        own.unionAll(others)
-        .groupBy("volume_id", "z", "y", "x")
-        .agg(F.sum("near").cast("int").alias("degree"), F.max("own").alias("own"))
-        .filter("own = 1")
+    met = (
+        around.groupBy(*WORD_KEY)
+        .agg(F.collect_list("n").alias("near"))
+        .withColumn("bits", F.get(F.filter("near", lambda n: n["own"] & (n["dx"] == 0)), F.lit(0))["part"])
+        .filter("bits is not null")
+    )  # at most 27 parts per word
+
+    def has(part: Column, x: Column) -> Column:
+        return F.when(x.between(0, WORD - 1), F.call_function("getbit", part, F.pmod(x, F.lit(WORD))).cast("int")).otherwise(0)
+
+    def count(near: Column, x: Column) -> Column:
+        def one(n: Column) -> Column:
+            beside = has(n["part"], x - 1) + has(n["part"], x + 1)
+            across = F.when(n["own"], 0).otherwise(has(n["part"], x))
+            return F.when(n["dx"] == 0, beside + across).when(n["dx"] == 1, F.when(x == 0, 1).otherwise(0)).otherwise(
+                F.when(x == WORD - 1, 1).otherwise(0)
+            )
+
+        return F.aggregate(near, F.lit(0), lambda total, n: total + one(n))
+
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1)
+    voxels = met.select(*WORD_KEY, "near", F.explode(set_bits).alias("_x"))
+    counted = voxels.select(
+        "volume_id", "z", "y", (F.col("xw") * WORD + F.col("_x")).alias("x"), count(F.col("near"), F.col("_x")).alias("degree")
     )
     kind = (
         F.when(F.col("degree") == 0, "isolated")

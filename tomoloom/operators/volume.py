@@ -9,11 +9,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomoloom.functions.skew import bucketed_totals
 from tomoloom.functions.storage import materialize
+from tomoloom.functions.words import WORD_KEY, to_words
 
 AXES = ("z", "y", "x")
 VOXEL_KEY = ("volume_id", "z", "y", "x")
@@ -48,15 +50,26 @@ def _above(value: Column, limit: Column | float, inclusive: bool) -> Column:
     return passed & ~F.isnan(value.cast("double"))
 
 
+def stored_limit(threshold: float, dtype: str) -> float:
+    """The threshold as a volume of that type compares with it: rounded to the type where it is a shorter real one."""
+    limit = check_threshold(threshold)
+    return float(np.dtype(dtype).type(limit)) if dtype in ("float16", "float32") else limit
+
+
+def _limit(voxels: DataFrame, value: str, threshold: float) -> Column:
+    kind = voxels.schema[value].dataType.typeName()
+    return F.lit(stored_limit(threshold, "float32" if kind == "float" else "float64"))
+
+
 def segment(voxels: DataFrame, threshold: float, value: str = "v") -> DataFrame:
-    """Binary mask `m`: 1 where the value is at or above the threshold."""
-    flag = _as_flag(_above(F.col(value), check_threshold(threshold), inclusive=True))
+    """Binary mask `m`: 1 where the value is at or above the threshold, compared in the column's own type."""
+    flag = _as_flag(_above(F.col(value), _limit(voxels, value, threshold), inclusive=True))
     return voxels.select(*VOXEL_KEY, flag.alias("m"))
 
 
-def segment_lines(lines: DataFrame, threshold: float) -> DataFrame:
-    """`segment` for lines of voxels `(volume_id, z, y, run)`, without taking them apart."""
-    limit = check_threshold(threshold)
+def segment_lines(lines: DataFrame, threshold: float, dtype: str = "float64") -> DataFrame:
+    """`segment` for lines of voxels `(volume_id, z, y, run)`, without taking them apart. `dtype` is the stored type."""
+    limit = stored_limit(threshold, dtype)
     flags = F.transform("run", lambda v: _as_flag(_above(v, limit, inclusive=True)))
     return lines.select("volume_id", "z", "y", flags.alias("run"))
 
@@ -89,9 +102,12 @@ def take_slice(
 ) -> DataFrame:
     """One plane of every volume as `(volume_id, row, col, value)`; the plane filter reaches the scan.
 
-    Pass the volume's `shape` to have an index outside it rejected.
+    An index outside the table is rejected; without the volume's `shape` its extent along the axis is looked up.
     """
-    check_slice(shape or (math.inf,) * 3, index, axis)
+    if shape is None and axis in (0, 1, 2):
+        last = voxels.agg(F.max(AXES[axis])).first()[0]
+        shape = [0 if last is None else last + 1] * 3
+    check_slice(shape or (0, 0, 0), index, axis)
     row, col = (name for name in AXES if name != AXES[axis])
     return voxels.filter(F.col(AXES[axis]) == index).select(
         "volume_id", F.col(row).alias("row"), F.col(col).alias("col"), F.col(value)
@@ -137,9 +153,12 @@ def profile(voxels: DataFrame, value: str = "v") -> DataFrame:
 
 def _value_limits(voxels: DataFrame, value: str) -> DataFrame:
     """Range of each volume, widened by half a unit on both sides where it is a single value."""
-    limits = voxels.groupBy("volume_id").agg(
-        F.min(F.col(value).cast("double")).alias("lo"), F.max(F.col(value).cast("double")).alias("hi")
-    )
+    v = F.col(value).cast("double")
+    limits = voxels.groupBy("volume_id").agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    # Not-a-number is the largest value here; like an infinite end it leaves no range to divide.
+    endless = F.isnan("hi") | (F.col("hi") == float("inf")) | (F.col("lo") == float("-inf"))
+    refused = F.raise_error(F.concat(F.lit("autodetected range is not finite in volume "), F.col("volume_id").cast("string")))
+    limits = limits.withColumn("hi", F.when(endless, refused.cast("double")).otherwise(F.col("hi")))
     flat = F.col("lo") == F.col("hi")
     return limits.select(
         "volume_id",
@@ -212,8 +231,15 @@ def _best_split(levels: DataFrame) -> DataFrame:
 
 
 def otsu_threshold(voxels: DataFrame, value: str = "v") -> DataFrame:
-    """Otsu's threshold per volume of an integer-valued column; every grey level is its own bin."""
-    levels = voxels.groupBy("volume_id", F.col(value).cast("bigint").alias("level")).agg(
+    """Otsu's threshold per volume of an integer-valued column; every grey level is its own bin.
+
+    A value that is no whole number is an error: `otsu_threshold_binned` is for those.
+    """
+    v = F.col(value)
+    level = v.cast("bigint")
+    if voxels.schema[value].dataType.typeName() in ("float", "double"):
+        level = F.when(v == F.floor(v), level).otherwise(F.raise_error(F.lit("values are not whole numbers")).cast("bigint"))
+    levels = voxels.groupBy("volume_id", level.alias("level")).agg(
         F.count(F.lit(1)).alias("n")
     )
     return _best_split(levels).select("volume_id", F.col("level").alias("threshold"))
@@ -244,7 +270,7 @@ def threshold_sweep(voxels: DataFrame, thresholds: Sequence[float], value: str =
     counts = [
         F.struct(
             F.lit(check_threshold(t)).alias("threshold"),
-            F.count_if(_above(F.col(value), t, inclusive=True)).alias("foreground_voxels"),
+            F.count_if(_above(F.col(value), _limit(voxels, value, t), inclusive=True)).alias("foreground_voxels"),
         )
         for t in thresholds
     ]
@@ -253,16 +279,28 @@ def threshold_sweep(voxels: DataFrame, thresholds: Sequence[float], value: str =
 
 
 def compare_masks(result: DataFrame, truth: DataFrame) -> DataFrame:
-    """Voxel agreement of two masks per volume; a voxel missing from one side is background there."""
-    pairs = result.select(*VOXEL_KEY, (F.col("m") != 0).alias("r")).join(
-        truth.select(*VOXEL_KEY, (F.col("m") != 0).alias("t")), list(VOXEL_KEY), "full"
-    )
-    r, t = F.coalesce("r", F.lit(False)), F.coalesce("t", F.lit(False))
+    """Voxel agreement of two masks per volume; a voxel missing from one side is background there.
+
+    Masks are compared as words of 64 voxels.
+    """
+    words = to_words(result.filter(F.col("m") != 0)).withColumnRenamed("bits", "r")
+    truths = to_words(truth.filter(F.col("m") != 0)).withColumnRenamed("bits", "t")
+    pairs = words.join(truths, list(WORD_KEY), "full")
+    none = F.lit(0).cast("bigint")
+    r, t = F.coalesce("r", none), F.coalesce("t", none)
+
+    def voxels(bits: Column) -> Column:
+        return F.coalesce(F.sum(F.bit_count(bits)), F.lit(0))
+
     counts = pairs.groupBy("volume_id").agg(
-        F.count_if(r & t).alias("true_positives"),
-        F.count_if(r & ~t).alias("false_positives"),
-        F.count_if(~r & t).alias("false_negatives"),
+        voxels(r.bitwiseAND(t)).alias("true_positives"),
+        voxels(r.bitwiseAND(F.bitwise_not(t))).alias("false_positives"),
+        voxels(t.bitwiseAND(F.bitwise_not(r))).alias("false_negatives"),
     )
+    # Volumes without any material have no word.
+    every = result.select("volume_id").unionByName(truth.select("volume_id")).distinct()
+    filled = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("true_positives", "false_positives", "false_negatives")}
+    counts = every.join(counts, "volume_id", "left").select("volume_id", *filled.values())
     tp, fp, fn = (F.col(c) for c in ("true_positives", "false_positives", "false_negatives"))
     return counts.withColumns(
         {"iou": F.try_divide(tp, tp + fp + fn), "dice": F.try_divide(2 * tp, 2 * tp + fp + fn)}

@@ -16,6 +16,7 @@ from tomoloom.plans import reports
 
 THRESHOLD = 0.05
 SWEEP = (-0.1, 0.0, 0.05, 0.1)
+FLOAT_EDGES = (0.1, 0.2, 0.3, 0.7)
 BLUR_SIGMA = 2.0
 PAGE = (d.PAGE_HEIGHT, d.PAGE_WIDTH)
 
@@ -107,6 +108,13 @@ def threshold_sweep(spark, folder):
     return volume.threshold_sweep(d.volume(spark, folder), SWEEP)
 
 
+@_run
+def segment_float32_edge(spark, folder):
+    """Values stored as float32, thresholds on and beside stored values: the comparison is in the stored type."""
+    voxels = d.volume_float32(spark, folder)
+    return volume.threshold_sweep(voxels, FLOAT_EDGES)
+
+
 @_run
 def positive_mask_stats(spark, folder):
     return volume.mask_stats(volume.binarise(d.volume(spark, folder), "v"))
@@ -240,6 +248,16 @@ def concepts_used(spark, folder):
     return used.select("doc_id", "fallback", F.array_join("concepts", " ").alias("concepts"))
 
 
+@_run
+def concepts_used_first_page(spark, folder):
+    boxes = d.word_boxes(spark, folder)
+    documents = concepts.resolve_documents(boxes, d.CONCEPTS, max_pages=1)
+    used = concepts.concepts_used(boxes, d.CONCEPTS, documents)
+    return used.join(documents.select("doc_id", "n_hits"), "doc_id").select(
+        "doc_id", "n_hits", "fallback", F.array_join("concepts", " ").alias("concepts")
+    )
+
+
 @_run
 def auto_page_hits(spark, folder):
     return concepts.page_hits(concepts.auto_hits(d.word_boxes(spark, folder)))

@@ -61,16 +61,17 @@ _TABLES = {
     "coloured": """
         select *, {r} r, {g} g, {b} b from toned""",
     "strut": """
-        select concat('scan_', o_orderkey % 2) graph_id, o_orderkey strut_id, (o_orderkey % 8)::double x0,
+        select concat('scan_', o_orderkey % 8) graph_id, o_orderkey strut_id, (o_orderkey % 8)::double x0,
           (o_custkey % 8)::double y0, (o_orderkey % 250)::double z0, ((o_orderkey + o_custkey) % 8)::double x1,
           ((o_orderkey * 3 + o_custkey) % 8)::double y1, ((o_orderkey % 250 + o_custkey % 12) % 250)::double z1
         from orders""",
     "coverage": """
         select graph_id, strut_id, count(*) voxels, count(m) filled, count(m) = 0 missing,
           count(m) > 0 and count(m) < 0.9 * count(*) broken
-        from (select distinct graph_id, strut_id, floor(z0 + i / 10.0::double * (z1 - z0) + 0.5)::int z,
-                floor(y0 + i / 10.0::double * (y1 - y0) + 0.5)::int y, floor(x0 + i / 10.0::double * (x1 - x0) + 0.5)::int x
-              from strut, (select unnest(generate_series(0, 10))::double i)) p
+        from (select distinct graph_id, strut_id, floor(0.5 + z0 + (z1 - z0) * i / greatest(n, 1))::int z,
+                floor(0.5 + y0 + (y1 - y0) * i / greatest(n, 1))::int y, floor(0.5 + x0 + (x1 - x0) * i / greatest(n, 1))::int x
+              from (select *, unnest(generate_series(0, n)) i from (
+                select *, greatest(abs(z1 - z0), abs(y1 - y0), abs(x1 - x0))::int n from strut))) p
         left join (select volume_id, z, y, x, m from mask where m = 1) s
           on s.volume_id = p.graph_id and s.z = p.z and s.y = p.y and s.x = p.x group by all""",
     "triangle": """
@@ -216,6 +217,13 @@ _check(
     levels_from="volume",
 )
 _check("threshold_sweep", "volume sweep", "select * from sweep")
+_check(
+    "segment_float32_edge",
+    "volume",
+    """select volume_id, threshold, count(*) n_voxels, count(*) filter (t >= round(threshold * 10)::int) foreground_voxels
+    from (select volume_id, (sign(v) * floor(abs(v * 10) + 0.5))::int t from volume),
+      (select unnest([0.1, 0.2, 0.3, 0.7]::double[]) threshold) group by all""",
+)
 _check(
     "positive_mask_stats",
     "volume",
@@ -338,6 +346,14 @@ _checks["concepts_used"] = (
     from (select distinct doc_id from clean)
     left join (select doc_id, string_agg(concept, ' ' order by ord) own from term group by all) using (doc_id)"""
 )
+_check("concepts_used_first_page", _HITS + " term", "")
+_checks["concepts_used_first_page"] = (
+    _checks["concepts_used_first_page"].rstrip()
+    + f""" select doc_id, n_hits, n_hits < 8 fallback,
+      case when n_hits < 8 then coalesce(own, '') else '{" ".join(CONCEPTS)}' end concepts
+    from (select doc_id, count(concept) filter (page_no <= 1) n_hits from clean left join vocab using (c) group by doc_id)
+    left join (select doc_id, string_agg(concept, ' ' order by ord) own from term group by all) using (doc_id)"""
+)
 _check(
     "auto_page_hits",
     "word_box clean term",

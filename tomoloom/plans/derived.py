@@ -34,6 +34,12 @@ def volume(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def volume_float32(spark: SparkSession, folder: str) -> DataFrame:
+    """The volumes with their values rounded to tenths and kept as 32-bit numbers."""
+    tenths = F.round(F.col("v") * 10) / 10
+    return volume(spark, folder).select("volume_id", "z", "y", "x", tenths.cast("float").alias("v"))
+
+
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """Each document is a file; copies of a document are files of equal content."""
     path = F.expr(
@@ -116,9 +122,9 @@ def unit_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def voxel_struts(spark: SparkSession, folder: str) -> DataFrame:
-    """Each order is a strut between two voxels of one of the first two volumes."""
+    """Each order is a strut between two voxels of one of eight volumes, up to the whole height long."""
     return table(spark, folder, "orders").selectExpr(
-        "concat('scan_', o_orderkey % 2) as graph_id",
+        "concat('scan_', o_orderkey % 8) as graph_id",
         "o_orderkey as strut_id",
         "cast(o_orderkey % 8 as double) as x0",
         "cast(o_custkey % 8 as double) as y0",

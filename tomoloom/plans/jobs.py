@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,15 +30,20 @@ SLAB = 32
 
 
 def volume_shape(path: str) -> tuple[int, ...]:
-    """Shape of a volume file from its header or page directories."""
+    return volume_header(path)[0]
+
+
+def volume_header(path: str) -> tuple[tuple[int, ...], str]:
+    """Shape and stored type of a volume file from its header or page directories."""
     if not os.path.exists(path):
         raise FileNotFoundError(f"input file not found at {path}")
     suffix = os.path.splitext(path)[1].lower()
     if suffix == ".npy":
-        return npy_shape(path)[0]
+        shape, dtype = npy_shape(path)
+        return shape, dtype.name
     if suffix in (".tif", ".tiff"):
         pages = read_directory(path)
-        return (len(pages), *pages[0].shape)
+        return (len(pages), *pages[0].shape), np.dtype(pages[0].dtype).name
     raise ValueError(f"Unsupported file type '{suffix}'. Expected .npy, .tif, or .tiff.")
 
 
@@ -67,11 +73,12 @@ def segment_file(spark: SparkSession, input_path: str, output_path: str, thresho
         raise FileNotFoundError(f"input file not found at {input_path}")
     volume.check_threshold(threshold)
     _require_npy(output_path, "output_filepath must end with '.npy'")
-    shape = volume_shape(input_path)
+    shape, dtype = volume_header(input_path)
     volume.check_rank(shape)
-    mask = volume.segment_lines(read_lines(spark, input_path), threshold)
+    mask = volume.segment_lines(read_lines(spark, input_path), threshold, dtype)
     _write_npy(mask, output_path, shape, "uint8")
-    found = read_volume(spark, output_path).agg(F.count_if(F.col("v") != 0).alias("n")).first()["n"]
+    solid = F.size(F.filter("run", lambda v: v != 0))
+    found = read_lines(spark, output_path).agg(F.coalesce(F.sum(solid), F.lit(0)).alias("n")).first()["n"]
     return {"output": output_path, "threshold": threshold, "shape": shape, "foreground_voxels": found}
 
 
@@ -157,12 +164,14 @@ def mine_log(spark: SparkSession, log_path: str, output_path: str | None = None)
 
 def as_built_and_designed(spark: SparkSession, volume_path: str, mesh_path: str) -> dict[str, DataFrame]:
     """Middle scan slice with its Otsu mask, and the mesh outline at mid-height; the two are not registered."""
-    middle = volume_shape(volume_path)[0] // 2
+    shape, dtype = volume_header(volume_path)
+    middle = shape[0] // 2
     plane = read_volume(spark, volume_path).filter(F.col("z") == middle)
     triangles = spark.read.format("stl_mesh").load(mesh_path)
-    threshold = volume.otsu_threshold(plane)
+    whole = np.issubdtype(np.dtype(dtype), np.integer) or dtype == "bool"
+    threshold = volume.otsu_threshold(plane) if whole else volume.otsu_threshold_binned(plane)
     return {
-        "slice": volume.slice_range(volume.take_slice(plane, middle)),
+        "slice": volume.slice_range(volume.take_slice(plane, middle, shape=shape)),
         "threshold": threshold,
         "mask": volume.segment_above(plane, threshold),
         "extent": mesh.z_range(triangles),
@@ -174,7 +183,7 @@ def literature_heat(
     spark: SparkSession,
     boxes: DataFrame,
     prompt_path: str,
-    page_size: tuple[int, int],
+    page_size: tuple[int, int] | DataFrame,
     min_hits: int = concepts.MIN_HITS,
     sigma: float = heat.SIGMA,
     full_red_hits: float = heat.FULL_RED_HITS,
@@ -182,16 +191,18 @@ def literature_heat(
 ) -> dict[str, DataFrame]:
     """Hits, ranked pages, concepts used and coloured heat of every document for one prompt.
 
-    `page_size` is (height, width) in pixels.
+    `page_size` is (height, width) in pixels, or a table `(doc_id, page_no, height, width)` where pages differ.
     """
     if boxes.isEmpty():
         raise ValueError("no documents to search")
-    ordered = concepts.prompt_concepts(read_prompt(spark, prompt_path)).orderBy("ord")
-    wanted = [row.concept for row in ordered.limit(concepts.MAX_PROMPT_CONCEPTS + 1).collect()]
+    wanted = materialize(concepts.prompt_concepts(read_prompt(spark, prompt_path)).select("ord", "concept"))
     documents = concepts.resolve_documents(boxes, wanted, min_hits, max_pages)
     hits = materialize(concepts.resolved_hits(boxes, wanted, min_hits, max_pages=max_pages, documents=documents))
-    splats = materialize(heat.splat(hits, *page_size))
-    grid = heat.blur(splats, *page_size, sigma=sigma, above=heat.visible_heat(sigma, full_red_hits))
+    size, placed = page_size, hits
+    if isinstance(page_size, DataFrame):
+        size, placed = ("height", "width"), hits.join(page_size, ["doc_id", "page_no"])
+    splats = materialize(heat.splat(placed, *size))
+    grid = heat.blur(splats, *size, sigma=sigma, above=heat.visible_heat(sigma, full_red_hits))
     return {
         "hits": hits,
         "documents": concepts.concepts_used(boxes, wanted, documents),

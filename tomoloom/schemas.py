@@ -3,14 +3,11 @@
 VOXEL = "volume_id string, z int, y int, x int, v double"
 # What the volume files yield: one row per line of voxels along x.
 LINE = "volume_id string, z int, y int, run array<double>"
-MASK = "volume_id string, z int, y int, x int, m tinyint"
-SKELETON = "volume_id string, z int, y int, x int"
 VOLUME_META = "volume_id string, nz int, ny int, nx int, dtype string"
 TRIANGLE = (
     "mesh_id string, tri_id bigint, ax double, ay double, az double, "
     "bx double, by double, bz double, cx double, cy double, cz double"
 )
-SEGMENT = "mesh_id string, tri_id bigint, x0 double, y0 double, x1 double, y1 double"
 JUNCTION = "graph_id string, junction_id bigint, x double, y double, z double"
 STRUT = (
     "graph_id string, strut_id bigint, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double"
@@ -18,7 +15,8 @@ STRUT = (
 WORD_BOX = (
     "doc_id bigint, page_no int, word_no int, x0 double, y0 double, x1 double, y1 double, word string"
 )
-HEAT_RUN = "doc_id bigint, page_no int, y int, x int, run array<double>"
+# What follows a page's own key in a line of heat.
+HEAT_RUN = "y int, x int, run array<double>"
 # Only `junctions[].position` is read; struts and cells are counted whatever they hold, hence VARIANT.
 LATTICE_JSON = (
     "junctions array<struct<position: array<double>>>, struts array<variant>, unit_cells array<variant>"

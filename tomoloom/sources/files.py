@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +15,7 @@ from pyspark.sql.window import Window
 from tomoloom.functions.storage import materialize
 from tomoloom.schemas import LATTICE_JSON
 
-WHOLE_FILE_BYTES = 64 << 20
+READ_BYTES = 1 << 20
 
 
 def _qualified(spark: SparkSession, root: str):
@@ -56,44 +57,39 @@ def top_folders(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(names, "folder string").orderBy("folder")
 
 
-def digest_tree(spark: SparkSession, root: str, whole_below: int = WHOLE_FILE_BYTES) -> DataFrame:
+def digest_tree(spark: SparkSession, root: str) -> DataFrame:
     """MD5 of the content of every file below `root`: `(path, length, content_md5)`.
 
-    Files under `whole_below` bytes go through the JVM reader as one value. Larger ones, which might not fit a row,
-    are streamed by the task that owns the path.
+    Every file is streamed by the task that owns its path, whatever its size, through the file system of its scheme.
     """
-    files = _tree(spark, root)
-    relative = _relative(spark, root)
 
     def stream(batches):
         for batch in batches:
             digests = []
-            for name in batch.column("full_path"):
-                with open(name.as_py().removeprefix("file:"), "rb") as handle:
-                    digests.append(hashlib.file_digest(handle, "md5").hexdigest())
+            for name in batch.column("full_path").to_pylist():
+                if name.startswith("file:"):
+                    store, path = fs.LocalFileSystem(), re.sub(r"^file:/+", "/", name)
+                else:
+                    store, path = fs.FileSystem.from_uri(quote(name, safe=":/"))
+                digest = hashlib.md5()
+                with store.open_input_stream(path) as handle:
+                    while block := handle.read(READ_BYTES):
+                        digest.update(block)
+                digests.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("path"), batch.column("length"), pa.array(digests, pa.string())],
                 ["path", "length", "content_md5"],
             )
 
-    whole = files.filter(F.col("length") < whole_below).select(
-        relative, "length", F.md5("content").alias("content_md5")
-    )
-    large = (
-        files.filter(F.col("length") >= whole_below)
-        .select(relative, "length", F.col("path").alias("full_path"))
-        .mapInArrow(stream, "path string, length bigint, content_md5 string")
-    )
-    empty = _empty_files(spark, files).select(
-        relative, F.lit(0).cast("bigint").alias("length"), F.md5(F.lit("")).alias("content_md5")
-    )
-    return whole.unionByName(large).unionByName(empty)
+    listed = list_tree(spark, root).select("path", "length", "full_path")
+    return listed.mapInArrow(stream, "path string, length bigint, content_md5 string")
 
 
 def read_lattice_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row per lattice-graph file, with `graph_id` the file path."""
+    """One row per lattice-graph file, with `graph_id` the file path. A file that is no valid JSON is an error."""
     return (
         spark.read.schema(LATTICE_JSON)
+        .option("mode", "FAILFAST")
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
