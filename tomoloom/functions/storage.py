@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if app not in _local_folder:
         _local_folder[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        # The folder is this process's own; its tables end with it.
+        atexit.register(shutil.rmtree, _local_folder[app], ignore_errors=True)
     return _local_folder[app]
 
 

@@ -47,7 +47,11 @@ def decode_literal(literal: Column) -> Column:
 
 
 def json_strings(events: DataFrame, line: str = "line") -> DataFrame:
-    """All string values of each JSON line as `(…, str_no, text)`; lines that are not JSON give none."""
+    """All string values of each JSON line as `(…, str_no, text)`; lines that are not JSON give none.
+
+    Sets `spark.sql.variant.allowDuplicateKeys`, so that a line which repeats a key is read whatever the session had.
+    """
+    events.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     kept = [c for c in events.columns if c != line]
     return (
         events.filter(json_value(strip(F.col(line))).isNotNull())

@@ -496,7 +496,12 @@ _check(
                 volumes="count(*)",
             )
             + " group by 2",
-            _tidy("graphs", "graph_no::varchar", "graph_doc_profile", **_columns("junctions", "struts", "unit_cells")),
+            _tidy(
+                "graphs",
+                "graph_no::varchar",
+                "graph_doc_profile",
+                **_columns("junctions", "struts", "unit_cells", "min_x", "min_y", "min_z", "max_x", "max_y", "max_z"),
+            ),
             _tidy("meshes", "mesh_id", "extent", n_triangles="n_triangles"),
             _tidy("volume_stats", "volume_id", "profile", **_columns("nz", "ny", "nx", "min_v", "max_v", "mean_v")),
         ]

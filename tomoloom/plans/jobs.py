@@ -120,7 +120,7 @@ def store_voxels(table: DataFrame, path: str) -> None:
 
 
 def explore_folder(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Inventory report of a data folder and the 200-bin histogram of each distinct volume.
+    """Inventory report of a data folder, pairs of duplicate volumes, and the 200-bin histogram of each distinct one.
 
     Duplicate volumes are hashed but neither profiled nor counted into bins. `histograms` names each one by its path
     with `__` for the separators.
@@ -146,7 +146,10 @@ def explore_folder(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     meshes = meshes.withColumnRenamed("path", "mesh_id")
     voxels = reports.stack(scans) if scans else None
     stats = named(volume.profile(voxels)) if scans else None
-    found = {"report": reports.inventory_report(digests, stats, graphs, meshes, top_folders(spark, root))}
+    found = {
+        "report": reports.inventory_report(digests, stats, graphs, meshes, top_folders(spark, root)),
+        "duplicates": volumes.filter("is_duplicate").select("path", "first_path"),
+    }
     if scans:
         bins = named(volume.histogram(voxels))
         found["histograms"] = bins.withColumn("name", F.replace("volume_id", F.lit("/"), F.lit("__")))

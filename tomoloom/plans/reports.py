@@ -37,6 +37,8 @@ def inventory_report(
 ) -> DataFrame:
     """Counts of files, extensions, folders and duplicate volumes, with graph, mesh and volume numbers where given.
 
+    Graphs come with the box around their junctions.
+
     `files` has `path` and `content_md5`. Volumes that repeat an earlier one appear as duplicates only.
     `all_folders` (`folder`) brings in folders without files.
     """
@@ -65,7 +67,8 @@ def inventory_report(
         tidy(kinds, "volumes", "kind", ["volumes"]),
     ]
     if graphs is not None:
-        parts.append(tidy(graphs, "graphs", "graph_id", ["junctions", "struts", "unit_cells"]))
+        box = [f"{end}_{axis}" for end in ("min", "max") for axis in "xyz"]
+        parts.append(tidy(graphs, "graphs", "graph_id", ["junctions", "struts", "unit_cells", *box]))
     if meshes is not None:
         parts.append(tidy(meshes, "meshes", "mesh_id", ["n_triangles"]))
     if volume_stats is not None:
