@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomoloom.functions.storage import materialize
+from tomoloom.functions.storage import discard, materialize
 
 #: Rows of an Arrow batch. Texts may be long, and a batch is held whole on both sides.
 BATCH_ROWS = 512
@@ -145,6 +145,7 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE)
 
 #: Bits of a sieve: a bitmap of fixed size that lets all members and some others pass.
 SIEVE_BITS = 24
+SLICE_WORDS = 1 << 16
 
 
 def sieve_cell(key: str | Column, bits: int = SIEVE_BITS) -> Column:
@@ -156,9 +157,13 @@ def sieve_table(members: DataFrame, key: str, bits: int = SIEVE_BITS) -> np.ndar
     words = members.select(sieve_cell(key, bits).alias("cell")).selectExpr(
         "shiftright(cell, 6) as word", "shiftleft(1L, cast(cell % 64 as int)) as bit"
     )
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()  # at most 2**bits / 64 rows
+    written = materialize(words.groupBy("word").agg(F.bit_or("bit").alias("bit")))
     table = np.zeros(1 << (bits - 6), np.int64)
-    table[found["word"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64)
+    # The driver takes the words in slices of fixed size.
+    for low in range(0, len(table), SLICE_WORDS):
+        part = written.filter(F.col("word").between(low, low + SLICE_WORDS - 1)).toArrow()
+        table[part["word"].to_numpy()] = part["bit"].to_numpy()
+    discard(written)
     return table
 
 

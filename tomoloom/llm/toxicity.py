@@ -27,6 +27,8 @@ CATEGORIES = {
 }
 LABEL = "toxic"
 SAMPLE_ROWS, FEATURES, FOLDS, RIDGE = 4000, 128, 5, 0.05
+#: Bits of a feature's number.
+FEATURE_BITS = 22
 #: Bytes of the beginnings of words that are features too; inflected forms share them.
 BEGINNINGS = (4, 5, 6)
 
@@ -43,7 +45,7 @@ class Chain:
 
 
 def features_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of whole words and of their beginnings, and the index of each one's text."""
+    """Hashed numbers of whole words and of their beginnings, and the index of each one's text."""
     low, start, length, doc = word_spans(data, offsets, BREAKS)
     ids, docs = [span_ids(low, start, length)], [doc]
     for size in BEGINNINGS:
@@ -51,7 +53,7 @@ def features_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         begun = span_ids(low, start[longer], np.full(longer.sum(), size))
         ids.append(~begun)
         docs.append(doc[longer])
-    return np.concatenate(ids), np.concatenate(docs)
+    return np.concatenate(ids) >> np.uint64(64 - FEATURE_BITS), np.concatenate(docs)
 
 
 def word_id(word: str) -> int:
@@ -83,21 +85,22 @@ def _matrix(docs: list[bytes], vocabulary: np.ndarray) -> np.ndarray:
 
 def _select(docs: list[bytes], label: np.ndarray, most: int) -> np.ndarray:
     """Features whose presence differs most between the classes (chi-square), among those in five documents or more."""
-    each = []
-    for text in docs:
-        data = np.frombuffer(text, np.uint8)
-        each.append(np.unique(features_of(data, np.array([0, len(data)]))[0]))
-    if not each:
+    if not docs:
         return np.zeros(0, np.uint64)
-    ids, at = np.unique(np.concatenate(each), return_inverse=True)
-    total = np.bincount(at, minlength=len(ids))
-    positive = np.bincount(at, np.repeat(label, [len(e) for e in each]), len(ids))
+    total, positive = (np.zeros(1 << FEATURE_BITS, np.int32) for _ in range(2))
+    for text, hit in zip(docs, label):
+        data = np.frombuffer(text, np.uint8)
+        held = np.unique(features_of(data, np.array([0, len(data)]))[0])
+        total[held] += 1
+        positive[held] += int(hit)
+    ids = np.flatnonzero(total >= 5)
+    total, positive = total[ids], positive[ids]
     n, share = len(docs), label.mean()
     expected = total * share
     spread = np.maximum(expected * (1 - share) * (1 - total / n), 1e-9)
-    value = np.where(total >= 5, (positive - expected) ** 2 / spread, -1)
+    value = (positive - expected) ** 2 / spread
     best = np.argsort(-value, kind="stable")[:most]
-    return np.sort(ids[best[value[best] > 0]])
+    return np.sort(ids[best[value[best] > 0]]).astype(np.uint64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
