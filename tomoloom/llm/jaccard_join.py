@@ -5,16 +5,17 @@ sketch's noise frequent. Of each set only a prefix is indexed: a rare token by i
 frequent tokens of one subclass. A pair needs two shared tokens, so the prefix is extended until the tokens that a
 linked partner may lack cannot spoil every entry:
 
-    rare tokens + sum over subclasses of (tokens - 1)  >  tokens of the set that a partner may lack.
+    rare tokens + sum over subclasses of (tokens - 1)  >=  tokens of the set that a partner may lack + extra.
 
-Then two linked sets share an entry, whatever the counts were. Subclasses are sized by the set's length, rounded to
-levels a third apart; linked sets lie in the same or neighbouring levels, so each set is indexed for its own level and
-the next.
+Then two linked sets share an entry of two tokens, or `extra` rare tokens at least (those of the set whose prefix ends
+first), whatever the counts were. Subclasses
+are sized by the set's length, rounded to levels a third apart; linked sets lie in the same or neighbouring levels, so
+each set is indexed for its own level and the next.
 
-Entries with one set are dropped. In the others sets are compared with one leader at a time: links join sets into
-components, and later rounds take other leaders and only those sets that are not yet in the leader's component. What is
-left after the rounds, different components that meet in an entry, is compared in full, so no link is lost. Comparing is
-exact, on the whole sets.
+Entries with one set are dropped, and so are sets that keep neither an entry of two tokens nor `fewest` rare ones. In the
+entries left, sets are compared with one leader at a time: links join sets into components, and later rounds take other
+leaders and only those sets that are not yet in the leader's component. What is left after the rounds, different
+components that meet in an entry, is compared in full, so no link is lost. Comparing is exact, on the whole sets.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomoloom.functions.storage import discard, materialize
-from tomoloom.llm.common import keyed, mix, prepare, text_blocks, with_key, words
+from tomoloom.llm.common import keyed, mix, prepare, sieve, sieve_cell, sieve_table, text_blocks, with_key, words
 from tomoloom.llm.components import components
 
 WORDS = 5
@@ -36,7 +39,9 @@ CELLS = 1 << 17
 ABOVE_MEAN, AT_LEAST = 4, 256
 #: Sets that one part of a frequent entry holds, about.
 PART = 4096
-ROUNDS = 4
+ROUNDS = 5
+#: Bits of the sieve of entries that several sets have.
+ENTRY_BITS = 26
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -67,6 +72,17 @@ def spare(size: np.ndarray | int):
     return size - -(-3 * size // 4)
 
 
+def extra(size: int) -> int:
+    """Tokens by which a prefix is longer than the least one: so many rare tokens it shares with a linked set's prefix
+    that reaches at least as far, if they share no frequent pair."""
+    return 1 + spare(size) // 3
+
+
+def fewest(size: int) -> int:
+    """Rare tokens that a set shares at least with any linked set, which may be a quarter smaller."""
+    return extra(-(-3 * size // 4))
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if not len(a) or not len(b) or 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
         return False
@@ -90,18 +106,18 @@ def subclasses(level: int) -> int:
 
 
 def entries(tokens: np.ndarray, counts: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index entries of a set and the number of parts that each entry's sets are dealt to."""
+    """Index entries of a set; for frequent pairs the number of parts that their sets are dealt to, 0 for rare tokens."""
     size = len(tokens)
     if size <= 1:
-        return tokens, np.ones(size, np.int64)
-    need = spare(size) + 1
+        return tokens, np.zeros(size, np.int64)
+    need = spare(size) + extra(size)
     held = counts[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]
     frequent = held > max(ABOVE_MEAN * mean, AT_LEAST)
     rank = np.minimum((held / (mean + 1)).astype(np.int64), 1 << 20)
     order = np.lexsort((tokens, rank, frequent))
     tokens, held, rare = tokens[order], held[order], int(size - frequent.sum())
     single = tokens[: min(rare, need)]
-    keys, parts = [single], [np.ones(len(single), np.int64)]
+    keys, parts = [single], [np.zeros(len(single), np.int64)]
     if rare < need:
         common, seen = tokens[rare:], held[rare:]
         own = level_of(size)
@@ -162,52 +178,80 @@ def _indexed(rows: DataFrame, counts: np.ndarray, mean: float) -> DataFrame:
         for batch in batches:
             ref = batch["ref"].to_numpy(zero_copy_only=False)
             for row, offsets, data in text_blocks(batch["text"]):
-                sizes, one, two, keys, parts = [], [], [], [], []
+                sizes, needs, one, two, keys, parts = [], [], [], [], [], []
                 for i, tokens in enumerate(shingle_sets(data, offsets)):
                     sizes.append(len(tokens))
+                    needs.append(fewest(len(tokens)))
                     one.append(int(mix(tokens ^ _ODD[2]).sum(dtype=np.uint64).view(np.int64)))
                     two.append(int(mix(tokens ^ _ODD[3]).sum(dtype=np.uint64).view(np.int64)))
                     key, part = entries(tokens, counts, mean)
                     own = int(mix(np.array([ref[row + i]], np.int64).view(np.uint64) ^ _ODD[0])[0] >> np.uint64(8))
                     keys.append(key.view(np.int64))
-                    parts.append((own % part).astype(np.int32))
+                    parts.append(np.where(part > 0, own % np.maximum(part, 1), -1).astype(np.int32))
                 ends = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in (keys, parts)]
                 part = batch.slice(row, len(sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [part["ref"], part["doc_id"], pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *lists],
-                    ["ref", "doc_id", "n", "one", "two", "entry", "part"],
+                    [part["ref"], part["doc_id"], pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *lists],
+                    ["ref", "doc_id", "n", "need", "one", "two", "entry", "part"],
                 )
 
-    return rows.mapInArrow(index, "ref long, doc_id long, n int, one long, two long, entry array<long>, part array<int>")
-
+    return rows.mapInArrow(index, "ref long, doc_id long, n int, need int, one long, two long, entry array<long>, part array<int>")
+
+
+def _sharing(index: DataFrame) -> DataFrame:
+    """ref, n, need, entry, part, central of the sets that can have a partner, with those of their entries that others
+    have too. `central` is how many sets share the set's entries, so it is largest in the middle of a group."""
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("entry").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+
+    def kept(rows: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
+        """Without entries that fail the sieve, and without sets that have too few left."""
+        held = rows.sparkSession.sparkContext.broadcast(table)
+        shared = F.arrow_udf(_passes(held), "array<boolean>")(F.transform("entry", lambda e: sieve_cell(e, bits)))
+        zipped = F.filter(F.arrays_zip("entry", "part", shared.alias("shared")), lambda e: e["shared"])
+        lone = F.size(F.filter("e", lambda e: e["part"] < 0))
+        return rows.select("ref", "n", "need", zipped.alias("e")).filter((lone >= F.col("need")) | (F.size("e") > lone))
+
+    first = kept(index.select("ref", "n", "need", "entry", "part"), sieve_table(counted(index.select(F.explode("entry").alias("entry"))), "entry", ENTRY_BITS), ENTRY_BITS)
+    left = materialize(first.select("ref", "n", "need", F.explode("e").alias("e")).select("ref", "n", "need", "e.entry", "e.part"))
+    shared = left.join(counted(left), "entry")
+    # Once more, exactly: entries that others have too, of sets that keep enough of them.
+    lone = F.count_if(F.col("part") < 0)
+    enough = materialize(shared)
+    refs = enough.groupBy("ref").agg((lone >= F.first("need")).alias("rare"), (F.count(F.lit(1)) > lone).alias("pair"), F.sum("many").alias("central"))
+    refs = refs.filter("rare or pair").select("ref", "central")
+    out = materialize(enough.drop("many").join(refs, "ref"))
+    discard(left)
+    discard(enough)
+    return out
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """ref and the set as bytes."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, offsets, data in text_blocks(batch["text"]):
-                found = [t.tobytes() for t in shingle_sets(data, offsets)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch["ref"].slice(row, len(found)), pa.array(found, pa.binary())], ["ref", "tokens"]
-                )
+def _passes(held: Broadcast):
+    def passes(cells: pa.Array) -> pa.Array:
+        flat = cells.flatten().to_numpy(zero_copy_only=False)
+        found = pa.array((held.value[flat >> 6] >> (flat & 63) & 1) == 1)
+        ends = np.cumsum(np.append(0, pc.list_value_length(cells).to_numpy(zero_copy_only=False))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), found)
 
-    return rows.select("ref", "text").mapInArrow(build, "ref long, tokens binary")
+    return passes
 
 
 def _linked(one: pa.Array, other: pa.Array) -> pa.Array:
-    return pa.array(
-        [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(one.to_pylist(), other.to_pylist())],
-        pa.bool_(),
-    )
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        return [t for _, offsets, data in text_blocks(column) for t in shingle_sets(data, offsets)]
+
+    return pa.array([linked(a, b) for a, b in zip(sets(one), sets(other))], pa.bool_())
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, linked. The smaller side of a pair is its leader, whose set is joined last."""
-    with_b = pairs.join(sets.select(F.col("ref").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    both = with_b.join(sets.select(F.col("ref").alias("a"), F.col("tokens").alias("tokens_a")), "a")
-    return both.select("a", "b", F.arrow_udf(_linked, "boolean")("tokens_a", "tokens_b").alias("linked"))
+def _compared(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """a, b, linked: both whole texts of a pair meet."""
+    refs = pairs.select(F.col("a").alias("ref")).unionByName(pairs.select(F.col("b").alias("ref")))
+    near = bodies.filter(sieve(refs, "ref")("ref"))
+    with_b = pairs.join(near.select(F.col("ref").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(near.select(F.col("ref").alias("a"), F.col("text").alias("text_a")), "a")
+    return both.select("a", "b", F.arrow_udf(_linked, "boolean")("text_a", "text_b").alias("linked"))
 
 
 def _ordered(one: str, other: str) -> list:
@@ -217,56 +261,85 @@ def _ordered(one: str, other: str) -> list:
 FITS = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
 
 
+def _enough(met: DataFrame) -> DataFrame:
+    """a, b of the pairs (x, n_a, need_a, y, n_b, need_b, part, one row per entry) that can be links: of fitting size,
+    with a frequent pair or as many rare tokens in common as either set's linked partners must have."""
+    counted = (
+        met.filter(FITS)
+        .groupBy(*_ordered("x", "y"))
+        .agg(
+            F.count_if(F.col("part") < 0).alias("rare"),
+            F.count_if(F.col("part") >= 0).alias("pairs"),
+            F.max(F.greatest("need_a", "need_b")).alias("need"),
+        )
+    )
+    return counted.filter("pairs > 0 or rare >= need").select("a", "b")
+
+
 def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a set and the leader of its part of an entry, then of the parts' leaders and the entry's leader."""
-    weight = F.xxhash64("ref", F.lit(turn))
-    best = F.min(F.struct(weight.alias("w"), F.col("ref"), F.col("n"), F.col("comp"))).alias("top")
+    """Pairs of a set and the leader of its part of an entry, then of the parts' leaders and the entry's leader.
+
+    The first leaders are the most central sets, later ones central sets drawn by hash. A pair that meets its leader in
+    too few entries waits for a later round.
+    """
+    drawn = F.lit(1.0) if turn == 0 else 0.5 + F.pmod(F.xxhash64("ref", F.lit(turn)), F.lit(1 << 20)) / (1 << 20)
+    best = F.max(F.struct((F.col("central") * drawn).alias("w"), F.col("ref"), F.col("n"), F.col("need"), F.col("comp"), F.col("central"))).alias("top")
     leaders = members.groupBy("entry", "part").agg(best)
-    top = leaders.select("entry", "top.ref", "top.n", "top.comp").groupBy("entry").agg(best)
+    chosen = leaders.select("entry", "part", "top.*")
+    top = chosen.groupBy("entry").agg(best)
 
     def against(rows: DataFrame, tops: DataFrame, keys: list[str]) -> DataFrame:
         met = rows.join(tops, keys).filter(F.col("comp") != F.col("top.comp"))
-        fit = met.select(F.col("n").alias("n_a"), F.col("top.n").alias("n_b"), F.col("ref").alias("x"), F.col("top.ref").alias("y"))
-        return fit.filter(FITS).select(*_ordered("x", "y"))
+        return met.select(
+            F.col("ref").alias("x"), F.col("n").alias("n_a"), F.col("need").alias("need_a"), "part",
+            F.col("top.ref").alias("y"), F.col("top.n").alias("n_b"), F.col("top.need").alias("need_b"),
+        )
 
     lower = against(members, leaders, ["entry", "part"])
-    upper = against(leaders.filter("part > 0").select("entry", "top.ref", "top.n", "top.comp"), top, ["entry"])
-    return lower.unionByName(upper).distinct()
+    upper = against(chosen.filter("part > 0"), top, ["entry"])
+    return _enough(lower.unionByName(upper))
 
 
 def _rest(members: DataFrame) -> DataFrame:
-    """Pairs of sets of different components in one entry."""
-    mixed = members.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    rows = members.join(mixed.select("entry"), "entry", "left_semi").select("entry", "ref", "n", "comp")
-    other = rows.select("entry", F.col("ref").alias("y"), F.col("n").alias("n_b"), F.col("comp").alias("other"))
-    met = rows.withColumnsRenamed({"ref": "x", "n": "n_a"}).join(other, "entry").filter(f"x < y and comp <> other and {FITS}")
-    return met.select(*_ordered("x", "y")).distinct()
+    """Pairs of sets of different components that may be links.
 
-
-def _links(rows: DataFrame, index: DataFrame) -> DataFrame:
+    Sets that meet in rare entries are counted there. Where components meet in entries of two frequent tokens, which
+    near copies have in great number, each pair of components is taken once, with all pairs of their members.
+    """
+    def mixed(rows: DataFrame) -> DataFrame:
+        both = rows.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+        return rows.join(both.select("entry"), "entry", "left_semi")
+
+    rare = mixed(members.filter("part < 0")).select("entry", "part", "ref", "n", "need", "comp")
+    right = rare.select("entry", F.col("ref").alias("y"), F.col("n").alias("n_b"), F.col("need").alias("need_b"), F.col("comp").alias("other"))
+    met = rare.withColumnsRenamed({"ref": "x", "n": "n_a", "need": "need_a"}).join(right, "entry").filter("x < y and comp <> other")
+    counted = _enough(met)
+    groups = mixed(members.filter("part >= 0")).select("entry", "comp").distinct()
+    meet = groups.join(groups.withColumnRenamed("comp", "other"), "entry").filter("comp < other").select("comp", "other").distinct()
+    sets = members.filter("part >= 0").select("ref", "n", "comp").distinct()
+    ones = meet.join(sets.select("comp", F.col("ref").alias("x"), F.col("n").alias("n_a")), "comp")
+    both = ones.join(sets.select(F.col("comp").alias("other"), F.col("ref").alias("y"), F.col("n").alias("n_b")), "other")
+    return counted.unionByName(both.filter(FITS).select(*_ordered("x", "y"))).distinct()
+
+
+def _links(rows: DataFrame, postings: DataFrame) -> DataFrame:
     """a, b: links that connect all sets of a component."""
-    spread = index.select("ref", "n", F.explode(F.arrays_zip("entry", "part")).alias("e")).select("e.*", "ref", "n")
-    counted = spread.groupBy("entry").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("entry")
-    postings = materialize(spread.join(counted, "entry", "left_semi"))
-    needed = postings.select("ref").distinct()
-    sets = materialize(_sets(rows.join(needed, "ref", "left_semi")))
+    test = sieve(postings, "ref")
+    bodies = materialize(rows.select("ref", "text").filter(test("ref")))
     spark = rows.sparkSession
     done = spark.createDataFrame([], "a long, b long, linked boolean")
     comp = spark.createDataFrame([], "node long, comp long")
     for turn in range(ROUNDS + 1):
         members = postings.join(comp.withColumnRenamed("node", "ref"), "ref", "left").select(
-            "entry", "part", "ref", "n", F.coalesce("comp", "ref").alias("comp")
+            "entry", "part", "ref", "n", "need", "central", F.coalesce("comp", "ref").alias("comp")
         )
         members = materialize(members)
         pairs = _leader_pairs(members, turn) if turn < ROUNDS else _rest(members)
         fresh = materialize(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
         discard(members)
         if fresh.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
-        judged = materialize(_compared(fresh, sets))
-        done = materialize(done.unionByName(judged))
+            continue
+        done = materialize(done.unionByName(_compared(fresh, bodies)))
         comp = components(done.filter("linked").select("a", "b"))
     return done.filter("linked").select("a", "b")
 
@@ -279,17 +352,20 @@ def classes(rows: DataFrame) -> DataFrame:
     prepare(rows.sparkSession)
     counts, mean = _sketch(rows)
     index = materialize(_indexed(rows, counts, mean))
+    heads = materialize(index.select("ref", "doc_id", "n", "one", "two"))
     nodes = materialize(
-        index.filter("n > 0").groupBy("n", "one", "two").agg(F.min("ref").alias("node"), F.min("doc_id").alias("smallest"))
+        heads.filter("n > 0").groupBy("n", "one", "two").agg(F.min("ref").alias("node"), F.min("doc_id").alias("smallest"))
     )
-    standing = index.join(nodes.select(F.col("node").alias("ref")), "ref", "left_semi")
-    links = _links(rows, standing)
+    # Copies that the sieve lets pass are compared like any other text.
+    standing = index.filter(sieve(nodes.select(F.col("node").alias("ref")), "ref")("ref"))
+    links = _links(rows, _sharing(standing))
+    discard(index)
     comp = components(links)
     smallest = nodes.join(comp, "node", "left").select("node", "n", "one", "two", "smallest", F.coalesce("comp", "node").alias("comp"))
     smallest = materialize(smallest)
     by_comp = smallest.groupBy("comp").agg(F.min("smallest").alias("component_id"), F.min("node").alias("first"))
     named = smallest.join(by_comp, "comp").select("n", "one", "two", "component_id", "first")
-    found = index.select("ref", "doc_id", "n", "one", "two").join(named, ["n", "one", "two"], "left")
+    found = heads.join(named, ["n", "one", "two"], "left")
     return found.select(
         "ref",
         "doc_id",
