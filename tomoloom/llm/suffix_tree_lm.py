@@ -1,13 +1,15 @@
 """Log probabilities of texts by a probabilistic suffix tree, beside a word-count baseline.
 
 The tree predicts the next byte of a text's normal form: its lower-cased words, each followed by a space, and an end
-mark. Its states are contexts of up to DEPTH bytes. A context is a candidate if it makes up a share of SHARE of the
-training bytes or more, which bounds the tree at every input size, and it is kept if its next-byte distribution diverges
-from that of the context one byte shorter. Distributions are smoothed towards the shorter context; a byte is scored in
-the state of the longest kept suffix of what stands before it.
-
-Counting covers all training texts: tasks count, Spark adds up. Words that make up a share of WORD_SHARE or more of the
-training tokens travel to the tasks; all others meet their count in a join.
+mark. Its states are contexts of up to DEPTH bytes. A context is a candidate if it stands LEAST_COUNT times or more in
+the training texts, so the tree grows with them, and it is kept if its next-byte distribution diverges from that of the
+context one byte shorter. Distributions are smoothed towards the shorter context; a byte is scored in the state of the
+longest kept suffix of what stands before it.
+
+Counting covers all texts: tasks count, Spark adds up. Sums, divergence and smoothed values are joins of one table per
+depth (`_values`); every (context, byte) that stands in a text gets its value, and the driver holds no tree. Words and
+(context, byte) pairs that make up a share of WORD_SHARE or GRAM_SHARE of the training tokens or bytes travel to the
+tasks; all others meet their value in a join.
 """
 
 from __future__ import annotations
@@ -17,21 +19,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomoloom.functions.storage import materialize
+from tomoloom.functions.storage import discard, materialize
 from tomoloom.llm.common import Lookup, Tally, eight_bytes, keyed, mix, prepare, remainder, span_ids, text_blocks, word_spans
 
 DEPTH = 5
-SHARE, LEAST_COUNT = 1e-5, 4
-#: An entry of a distribution is kept from this part of a context's least count on.
-ENTRY_PART = 64
+#: Occurrences a context needs: a share of the training bytes (none is asked for) and an absolute count.
+SHARE, LEAST_COUNT = 0.0, 4
 DIVERGENCE = 0.01
 PRIOR = 8.0
-WORD_SHARE = 1e-5
+#: What travels to the tasks, at most 1 / WORD_SHARE words and 1 / GRAM_SHARE values; the rest is joined.
+WORD_SHARE, GRAM_SHARE = 1e-5, 1e-6
 SPACE, END = 32, 10
-WORD, GRAM = 0, 1
+#: Kinds of counted keys; HELD are bytes of held-out texts, which count nothing.
+WORD, GRAM, HELD = 0, 1, 2
 #: Kinds of the rows that carry a document's own figures.
 BASE, SCORE, TOKENS, KNOWN = -1, -2, -3, -4
 
@@ -98,7 +102,10 @@ def _state_key(context: np.ndarray, depth: int) -> np.ndarray:
 
 
 def grow(levels: list[tuple[np.ndarray, np.ndarray]], total: int, share: float = SHARE, divergence: float = DIVERGENCE) -> Tree:
-    """The tree of counts per depth: keys (context bytes, then the next byte) and counts. Without counts, only the root."""
+    """The tree of counts per depth: keys (context bytes, then the next byte) and counts. Without counts, only the root.
+
+    The same tree as in `_values`, in one process, for counts that fit it.
+    """
     least = max(share * total, LEAST_COUNT)
     split = []
     for depth, (key, n) in enumerate(levels):
@@ -166,85 +173,136 @@ def _chance(held: Lookup, probability: np.ndarray, state: np.ndarray, byte: np.n
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """kind, key, n over the training texts: words, and bytes with what stands before them."""
+    """kind, key, n: words of the training texts, and bytes of all texts with what stands before them.
+
+    n counts training texts only; bytes that only held-out texts have are there with 0.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = {WORD: Tally(), GRAM: Tally()}
-        docs = 0
+        tallies = {WORD: Tally(), GRAM: Tally(), HELD: Tally()}
 
         def rows_of(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            if kind == HELD:
+                kind, n = GRAM, np.zeros_like(n)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["kind", "key", "n"]
             )
 
         for batch in batches:
-            docs += len(batch)
-            for _, offsets, data in text_blocks(batch["text"]):
-                low, start, length, doc = word_spans(data, offsets)
-                tallies[WORD].add(span_ids(low, start, length))
-                tallies[GRAM].add(grams(*symbols(low, start, length, doc, len(offsets) - 1)[:2]))
+            out = batch["held_out"]
+            for kind, part in ((GRAM, batch.filter(pc.invert(out))), (HELD, batch.filter(out))):
+                for _, offsets, data in text_blocks(part["text"]):
+                    low, start, length, doc = word_spans(data, offsets)
+                    if kind == GRAM:
+                        tallies[WORD].add(span_ids(low, start, length))
+                    tallies[kind].add(grams(*symbols(low, start, length, doc, len(offsets) - 1)[:2]))
             for kind, tally in tallies.items():
                 if tally.held > tally.most // 2:
                     yield rows_of(kind, *tally.take())
         for kind, tally in tallies.items():
             yield rows_of(kind, *tally.take())
 
-    counted = rows.select("text").mapInArrow(count, "kind int, key long, n long")
+    counted = rows.select("text", "held_out").mapInArrow(count, "kind int, key long, n long")
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _tree(counts: DataFrame) -> Tree:
-    """At most ENTRY_PART / SHARE entries per depth pass through the driver."""
-    grams_ = counts.filter(F.col("kind") == GRAM)
-    total = grams_.agg(F.sum("n")).first()[0] or 0
-    least = max(1, int(SHARE * total / ENTRY_PART))
-    levels = []
-    for depth in range(DEPTH + 1):
-        key = F.shiftrightunsigned("key", 8 * (DEPTH - depth)).alias("key")
-        found = grams_.groupBy(key).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-        levels.append((found["key"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)))
-    return grow(levels, total)
+def _values(found: DataFrame, total: int) -> DataFrame:
+    """key, n, value: log10 probability of each counted byte after the DEPTH bytes before it.
 
-
-def _document_rows(rows: DataFrame, tree: Tree, common: tuple[np.ndarray, np.ndarray], end_value: float, end_known: int) -> DataFrame:
-    """ref, word, n, x: a row per document and word that isn't common, and four with the document's own figures."""
-    held = rows.sparkSession.sparkContext.broadcast((tree, Lookup(common[0]), common[1]))
+    A table per depth holds context and next byte (key), its count and its context's. A key's place one depth up is the
+    key without its oldest byte, and so is a context's.
+    """
+    context = lambda depth: F.col("key").bitwiseAND(F.lit((1 << 8 * depth) - 1)).alias("context")
+    up = F.shiftrightunsigned("key", 8).alias("up")
+    levels, counted = {}, found.select("key", "n")
+    for depth in range(DEPTH, -1, -1):
+        whole = Window.partitionBy(context(depth))
+        levels[depth] = materialize(counted.select("key", "n", F.sum("n").over(whole).alias("sums")))
+        counted = levels[depth].groupBy(F.shiftrightunsigned("key", 8).alias("key")).agg(F.sum("n").alias("n"))
+    kept = {}
+    for depth in range(DEPTH, 0, -1):
+        above = levels[depth - 1].filter("n > 0").select(F.col("key").alias("up"), (F.col("n") / F.col("sums")).alias("above"))
+        share = F.col("n") / F.col("sums")
+        gain = F.sum(share * F.log(share / F.col("above")))
+        apart = (
+            levels[depth]
+            .filter((F.col("n") > 0) & (F.col("sums") >= max(SHARE * total, LEAST_COUNT)))
+            .select(context(depth), up, "n", "sums")
+            .join(above, "up")
+            .groupBy("context")
+            .agg(gain.alias("gain"))
+            .filter(F.col("gain") >= DIVERGENCE)
+            .select("context")
+        )
+        if depth < DEPTH:
+            # A kept context keeps all its suffixes.
+            apart = apart.unionByName(kept[depth + 1].select(F.shiftrightunsigned("context", 8).alias("context"))).distinct()
+        kept[depth] = materialize(apart)
+    chance = levels[0].select("key", "n", ((F.col("n") + 1) / F.lit(total + 256.0)).alias("p"))
+    for depth in range(1, DEPTH + 1):
+        chance = (
+            levels[depth]
+            .select("key", "n", "sums", context(depth), up)
+            .join(chance.select(F.col("key").alias("up"), F.col("p").alias("above")), "up")
+            .join(kept[depth].withColumn("kept", F.lit(True)), "context", "left")
+            .select("key", "n", F.when(F.col("kept"), (F.col("n") + PRIOR * F.col("above")) / (F.col("sums") + PRIOR)).otherwise(F.col("above")).alias("p"))
+        )
+    values = materialize(chance.select("key", "n", F.log10("p").alias("value")))
+    for table in (*levels.values(), *kept.values()):
+        discard(table)
+    return values
+
+
+def _own(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of each text, their texts, and how often each is there."""
+    order = np.lexsort((ids, doc))
+    ids, doc = ids[order], doc[order]
+    new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (doc[1:] != doc[:-1]))) if len(ids) else np.zeros(0, np.int64)
+    return ids[new], doc[new], np.diff(np.append(new, len(ids)))
+
+
+def _document_rows(
+    rows: DataFrame, words: tuple[np.ndarray, np.ndarray], bytes_: tuple[np.ndarray, np.ndarray], end_value: float, end_known: int
+) -> DataFrame:
+    """ref, kind, key, n, x: a row per document and word or byte that isn't common, and four with the document's own figures."""
+    held = rows.sparkSession.sparkContext.broadcast((Lookup(words[0]), words[1], Lookup(bytes_[0]), bytes_[1]))
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known, value = held.value
+        known, value, states, chance = held.value
         for batch in batches:
             ref = batch["ref"].to_numpy(zero_copy_only=False)
             for row, offsets, data in text_blocks(batch["text"]):
                 docs = len(offsets) - 1
-                low, start, length, doc = word_spans(data, offsets)
-                ids = span_ids(low, start, length)
+                low, start, length, text = word_spans(data, offsets)
+                ids, doc = span_ids(low, start, length), text
                 found = known.find(ids)
                 common = found >= 0
                 base = np.bincount(doc[common], value[found[common]], docs) + end_value
                 tokens = np.bincount(doc, minlength=docs) + 1
                 knows = np.bincount(doc[common], minlength=docs) + end_known
-                out, scored, of = symbols(low, start, length, doc, docs)
-                score = np.bincount(of, tree.score(grams(out, scored)), docs)
-                ids, doc = ids[~common], doc[~common]
-                order = np.lexsort((ids, doc))
-                ids, doc = ids[order], doc[order]
-                new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (doc[1:] != doc[:-1]))) if len(ids) else np.zeros(0, np.int64)
-                many = np.diff(np.append(new, len(ids)))
+                ids, doc, many = _own(ids[~common], doc[~common])
+                out, scored, of = symbols(low, start, length, text, docs)
+                gram = grams(out, scored)
+                found = states.find(gram)
+                common = found >= 0
+                score = np.bincount(of[common], chance[found[common]], docs)
+                gram, of, often = _own(gram[~common], of[~common])
                 own = ref[row : row + docs]
                 # Rows of figures are dealt out by a key of their own.
                 spread = mix(own.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-                kinds = np.repeat([BASE, SCORE, TOKENS, KNOWN], docs)
+                kinds = np.repeat([WORD, GRAM, BASE, SCORE, TOKENS, KNOWN], [len(ids), len(gram), docs, docs, docs, docs])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([own[doc[new]], np.tile(own, 4)])),
-                        pa.array(np.concatenate([ids[new].view(np.int64), np.tile(spread, 4)])),
-                        pa.array(np.concatenate([many, kinds]).astype(np.int32)),
-                        pa.array(np.concatenate([np.zeros(len(new)), base, score, tokens, knows])),
+                        pa.array(np.concatenate([own[doc], own[of], np.tile(own, 4)])),
+                        pa.array(kinds.astype(np.int32)),
+                        pa.array(np.concatenate([ids.view(np.int64), gram.view(np.int64), np.tile(spread, 4)])),
+                        pa.array(np.concatenate([many, often, np.ones(4 * docs, np.int64)]).astype(np.int32)),
+                        pa.array(np.concatenate([np.zeros(len(ids) + len(gram)), base, score, tokens, knows])),
                     ],
-                    ["ref", "key", "n", "x"],
+                    ["ref", "kind", "key", "n", "x"],
                 )
 
-    return rows.select("ref", "text").mapInArrow(figures, "ref long, key long, n int, x double")
+    return rows.select("ref", "text").mapInArrow(figures, "ref long, kind int, key long, n int, x double")
 
 
 def text_scores(docs: DataFrame) -> DataFrame:
@@ -259,25 +317,32 @@ def text_scores(docs: DataFrame) -> DataFrame:
     prepare(spark)
     rows = keyed(docs)
     out = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out")
-    training = rows.filter(~out)
-    counts = materialize(_counts(training))
+    counts = materialize(_counts(rows.withColumn("held_out", out)))
     words = counts.filter(F.col("kind") == WORD)
     seen = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).first()
-    ends = training.count()
+    ends = rows.filter(~out).count()
     total, distinct = (seen.n or 0) + ends, seen.distinct + (ends > 0)
     floor = float(total + distinct + 1)
+    places = counts.filter(F.col("kind") == GRAM)
+    size = places.agg(F.sum("n")).first()[0] or 0
+    chances = _values(places, size)
     frequent = words.filter(F.col("n") >= max(2, WORD_SHARE * total)).select("key", "n").toPandas()  # 1 / WORD_SHARE at most
     value = np.log10((frequent["n"].to_numpy(float) + 1) / floor)
     common = frequent["key"].to_numpy(np.int64).view(np.uint64), value
-    parts = _document_rows(rows, _tree(counts), common, float(np.log10((ends + 1) / floor)), int(ends > 0))
-    joined = parts.join(words.select("key", F.col("n").alias("c")), "key", "left")
-    own = F.col("n") > 0
-    figure = lambda kind: F.sum(F.when(F.col("n") == kind, F.col("x")))
+    likely = chances.filter(F.col("n") >= max(2, GRAM_SHARE * size)).select("key", "value").toPandas()  # 1 / GRAM_SHARE at most
+    states = likely["key"].to_numpy(np.int64).view(np.uint64), likely["value"].to_numpy(float)
+    parts = _document_rows(rows, common, states, float(np.log10((ends + 1) / floor)), int(ends > 0))
+    valued = words.select("kind", "key", F.log10((F.col("n") + 1) / floor).alias("value")).unionByName(
+        chances.select(F.lit(GRAM).alias("kind"), "key", "value")
+    )
+    joined = parts.join(valued, ["kind", "key"], "left")
+    figure = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("x")))
+    rest = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0))
     added = joined.groupBy("ref").agg(
-        (figure(BASE) + F.coalesce(F.sum(F.when(own, F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / floor))), F.lit(0.0))).alias("base_score"),
-        figure(SCORE).alias("score"),
+        (figure(BASE) + rest(WORD, F.col("n") * F.coalesce("value", F.lit(float(-np.log10(floor)))))).alias("base_score"),
+        (figure(SCORE) + rest(GRAM, F.col("n") * F.col("value"))).alias("score"),
         figure(TOKENS).cast("long").alias("n_tokens"),
-        (figure(KNOWN).cast("long") + F.coalesce(F.sum(F.when(own & F.col("c").isNotNull(), F.col("n"))), F.lit(0))).alias("n_known"),
+        (figure(KNOWN).cast("long") + rest(WORD, F.when(F.col("value").isNotNull(), F.col("n")))).alias("n_known"),
     )
     # The id itself is the key unless ids repeat.
     named = rows.select("ref", "doc_id").join(added, "ref")
