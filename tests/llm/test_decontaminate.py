@@ -19,14 +19,21 @@ def distance(part, text):
     return min(row)
 
 
+def budget(size):
+    return min(int(size * d.EDIT_SHARE), (size - d.Q) // d.Q)
+
+
 def brute(text, item):
+    """Whether the text holds a passage of the item, at whichever byte the passage starts; a shorter item as a whole."""
     low, part = (" ".join(x.lower().split()) for x in (text or "", (item or "").strip()))
     if len(part) < d.MIN_ITEM:
         return False
-    starts = [*range(0, max(1, len(part) - d.WINDOW), d.WINDOW // 2)] + ([len(part) - d.WINDOW] if len(part) > d.WINDOW else [])
-    for at in starts:
-        window = part[at : at + d.WINDOW]
-        if distance(window, low) <= min(int(len(window) * d.EDIT_SHARE), (len(window) - d.Q) // d.Q):
+    size = min(d.WINDOW, len(part))
+    # A passage within the budget keeps one of its stretches of this length as it is, so others need no alignment.
+    step = size // (budget(size) + 1)
+    for at in range(len(part) - size + 1):
+        passage = part[at : at + size]
+        if any(passage[k : k + step] in low for k in range(0, size - step + 1, step)) and distance(passage, low) <= budget(size):
             return True
     return False
 
