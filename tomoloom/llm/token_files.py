@@ -23,102 +23,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomoloom.functions.storage import shared_folder
-from tomoloom.llm.common import prepare, texts, worker_cache
+from tomoloom.llm.common import prepare, texts
+from tomoloom.llm.word_encoder import block_encoder
 
 MAGIC = b"TOKBITS1"
 BLOCK = 4096
 TRAILER = "<8sBIQQQ"  # magic, bits, block, ids, documents, footer offset
 END_ID = 0
-#: Distinct pieces and words that a worker remembers; then it starts anew.
-REMEMBERED = 700_000
 
 
 def bit_width(vocabulary_size: int) -> int:
     return max(1, (vocabulary_size - 1).bit_length())
 
 
+def _lanes(bits: int):
+    """Of 64 neighbouring ids, which fill `bits` words of 64 bits: each one's first word, its shift, and whether it goes on."""
+    for lane in range(64):
+        word, shift = divmod(lane * bits, 64)
+        yield lane, word, np.uint64(shift), shift + bits > 64
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids as `bits` bits each, lowest bit first, filled up to whole bytes."""
-    places = ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32) & 1
-    return np.packbits(places.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    if bits in (8, 16, 32):
+        return ids.astype(f"<u{bits // 8}").tobytes()
+    full = np.zeros((-(-len(ids) // 64), 64), np.uint64)
+    full.reshape(-1)[: len(ids)] = ids
+    words = np.zeros((len(full), bits), "<u8")
+    for lane, word, shift, more in _lanes(bits):
+        words[:, word] |= full[:, lane] << shift
+        if more:
+            words[:, word + 1] |= full[:, lane] >> np.uint64(64) - shift
+    return words.tobytes()[: -(-len(ids) * bits // 8)]
 
 
 def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
-    places = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: count * bits].reshape(count, bits)
-    padded = np.zeros((count, 32), np.uint8)
-    padded[:, :bits] = places
-    return np.packbits(padded, axis=1, bitorder="little").view("<u4").ravel()
-
-
-class Encoder:
-    """Ids of whole texts by the tokenizers library, each distinct piece asked for once.
-
-    A text falls apart at every single space between two characters that are no white space: the pattern has a boundary
-    there, and matches on both sides do not depend on the other side. Such words are looked up; new ones are split by
-    the pattern and their pieces handed to the library's model. Other texts are split by the pattern as a whole.
-    """
-
-    def __init__(self, name: str):
-        import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.size = tokenizer.get_vocab_size()
-        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.whole, self.model = tokenizer, tokenizer.model
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        # The byte-level alphabet, asked of the library byte by byte.
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {}
-        # Every byte that UTF-8 uses occurs in one of these characters.
-        for point in (*range(0x800), *range(0x800, 0xD800, 0x40), *range(0xE000, 0x110000, 0x1000)):
-            for raw, shown in zip(chr(point).encode(), level.pre_tokenize_str(chr(point))[0][0]):
-                self.letters[raw] = shown
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes | None] = {}
-
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            letters = self.letters
-            shown = "".join([letters[b] for b in piece.encode()])
-            found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            self.pieces[piece] = found
-        return found
-
-    def split(self, text: str) -> bytes:
-        return b"".join([self.piece(p) for p in self.pattern.findall(text)])
-
-    def word(self, word: str) -> bytes | None:
-        """Ids of a space and the word; None if white space touches the word's ends."""
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        plain = word and not word[0].isspace() and not word[-1].isspace()
-        found = self.words[word] = self.split(" " + word) if plain else None
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = text.split(" ")
-        if not rest or not first or first[-1].isspace():
-            return self.split(text)
-        known, word = self.words, self.word
-        parts = [known[w] if w in known else word(w) for w in rest]
-        if None in parts:
-            return self.split(text)
-        return self.split(first) + b"".join(parts)
-
-
-def encoder(name: str) -> Encoder:
-    """Once per worker."""
-    kept = worker_cache()
-    if name not in kept:
-        kept[name] = Encoder(name)
-    return kept[name]
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", count).astype(np.uint32)
+    rows = -(-count // 64)
+    raw = np.zeros(rows * bits * 8, np.uint8)
+    held = np.frombuffer(data, np.uint8, -(-count * bits // 8))
+    raw[: len(held)] = held
+    words = raw.view("<u8").reshape(rows, bits)
+    out = np.empty((rows, 64), np.uint64)
+    for lane, word, shift, more in _lanes(bits):
+        out[:, lane] = words[:, word] >> shift
+        if more:
+            out[:, lane] |= words[:, word + 1] << np.uint64(64) - shift
+    return (out.reshape(-1)[:count] & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
 class FileWriter:
@@ -209,18 +161,19 @@ def write_files(docs: DataFrame, folder: str, name: str) -> list[tuple[str, int]
     ordered = texts(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = encoder(name), np.array([END_ID], np.uint32)
+        codec, end = block_encoder(name), np.array([END_ID], np.uint32)
         number, writer, out = TaskContext.get().partitionId(), None, None
         store, path = fs.FileSystem.from_uri(folder)
         final = f"{path}/{_name(number)}"
         own = f"{final}.{uuid.uuid4().hex}"
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            ids, ends = codec.encode(batch["text"])
+            for doc_id, low, high in zip(batch["doc_id"].to_pylist(), ends, ends[1:]):
                 if writer is None:
                     store.create_dir(path, recursive=True)
                     out = store.open_output_stream(own)
                     writer = FileWriter(out, bit_width(codec.size))
-                writer.add(doc_id, np.concatenate([np.frombuffer(codec.encode(text), "<u4"), end]))
+                writer.add(doc_id, np.concatenate([ids[low:high], end]))
         if writer is not None:
             writer.close()
             out.close()

@@ -16,8 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from tomoloom.llm.common import span_ids, text_blocks, worker_cache
-from tomoloom.llm.token_files import REMEMBERED, encoder
 
+#: Distinct pieces and words that a worker remembers; then it starts anew.
+REMEMBERED = 700_000
 #: Bytes of text that are split at once.
 BLOCK = 4 << 20
 #: Longer words are not remembered.
@@ -41,9 +42,51 @@ _OTHER_BITS = np.uint8(0xA5)
 _WIDE_SPACE = "\u0085   -     　"
 
 
+class TextEncoder:
+    """Ids of one text by the tokenizers library: split by the pattern, each distinct piece handed to the model once."""
+
+    def __init__(self, name: str):
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.size = tokenizer.get_vocab_size()
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.whole, self.model = tokenizer, tokenizer.model
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        # The byte-level alphabet, asked of the library byte by byte.
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {}
+        # Every byte that UTF-8 uses occurs in one of these characters.
+        for point in (*range(0x800), *range(0x800, 0xD800, 0x40), *range(0xE000, 0x110000, 0x1000)):
+            for raw, shown in zip(chr(point).encode(), level.pre_tokenize_str(chr(point))[0][0]):
+                self.letters[raw] = shown
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            letters = self.letters
+            shown = "".join([letters[b] for b in piece.encode()])
+            found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            self.pieces[piece] = found
+        return found
+
+    def split(self, text: str) -> bytes:
+        return b"".join([self.piece(p) for p in self.pattern.findall(text)])
+
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.split(text)
+
+
 class BlockEncoder:
     def __init__(self, name: str):
-        self.single = encoder(name)
+        self.single = TextEncoder(name)
         self.size = self.single.size
         special = "|".join(re.escape(s) for s in self.single.special)
         self.unusual = f"[{_WIDE_SPACE}]" + (f"|{special}" if special else "")
