@@ -1,0 +1,202 @@
+"""Parts, Euler numbers and skeleton graphs against counts on dense arrays."""
+
+import itertools
+from functools import reduce
+
+import numpy as np
+import pytest
+from pyspark.sql import DataFrame
+
+from tomoloom.functions.components import components
+from tomoloom.operators import topology as t
+from tomoloom.operators.skeleton import skeletonise
+
+from arrays import mask_rows, parts_and_euler
+from test_skeleton import shapes
+
+STEPS = [s for s in itertools.product((-1, 0, 1), repeat=3) if any(s)]
+
+
+def code(p):
+    return (int(p[0]) << 42) + (int(p[1]) << 21) + int(p[2])
+
+
+def neighbours(voxels, p):
+    return [q for q in (tuple(a + b for a, b in zip(p, s)) for s in STEPS) if q in voxels]
+
+
+def parts_of(voxels):
+    out, left = {}, set(voxels)
+    while left:
+        stack = [left.pop()]
+        members = list(stack)
+        while stack:
+            for q in neighbours(left, stack.pop()):
+                left.remove(q)
+                stack.append(q)
+                members.append(q)
+        out[min(members)] = members
+    return out
+
+
+def volumes():
+    arrays = shapes()
+    rng = np.random.default_rng(11)
+    arrays["sparse"] = (rng.random((5, 140, 150)) < 0.06).astype(np.uint8)
+    arrays["full"] = np.ones((2, 66, 70), np.uint8)
+    # One thin line through many blocks, there and back.
+    snake = np.zeros((3, 200, 200), np.uint8)
+    snake[1, 10:190, 63] = snake[1, 10, 63:150] = snake[1, 10:190, 149] = 1
+    arrays["snake"] = snake
+    shell = np.ones((5, 66, 70), np.uint8)
+    shell[1:-1, 1:-1, 1:-1] = 0
+    arrays["shell"] = shell
+    return arrays
+
+
+def together(spark, arrays):
+    """All arrays as volumes of one table, some rows twice."""
+    rows = [mask_rows(spark, a, name) for name, a in arrays.items()]
+    return reduce(DataFrame.unionAll, [*rows, rows[0]])
+
+
+def test_parts_and_euler_numbers(spark):
+    arrays = volumes()
+    rows = t.materialize(together(spark, arrays))
+    found = {name: {} for name in arrays}
+    for r in t.part_sizes(rows, block=64).collect():
+        assert r.part == code((r.z, r.y, r.x))
+        found[r.volume_id][r.part] = r.voxels
+    summary = {r.volume_id: r for r in t.topology(rows, block=64).collect()}
+    for name, array in arrays.items():
+        expected = parts_of({tuple(map(int, p)) for p in np.argwhere(array)})
+        assert found[name] == {code(p): len(m) for p, m in expected.items()}, name
+        assert (summary[name].parts, summary[name].euler_number) == parts_and_euler(array), name
+        assert summary[name].voxels == array.sum()
+
+
+def test_every_voxel_gets_its_part(spark):
+    array = volumes()["sparse"]
+    expected = {q: code(p) for p, members in parts_of({tuple(map(int, p)) for p in np.argwhere(array)}).items() for q in members}
+    for block in (64, 128):
+        assert {(r.z, r.y, r.x): r.part for r in t.label_parts(mask_rows(spark, array), block).collect()} == expected
+
+
+def test_nothing_and_too_much(spark):
+    none = mask_rows(spark, np.ones((1, 1, 1))).limit(0)
+    assert t.topology(none).count() == 0 and t.outside(none, none).count() == 0
+    far = spark.createDataFrame([("v", 0, 0, 1 << 21)], "volume_id string, z int, y int, x int")
+    with pytest.raises(Exception, match="coordinates must lie between"):
+        t.part_sizes(far).count()
+
+
+def test_outside(spark):
+    mask, other = np.zeros((2, 3, 70), np.uint8), np.zeros((2, 3, 70), np.uint8)
+    mask[0, 1, 60:68] = 1
+    other[0, 1, 62:70] = 1
+    assert t.outside(mask_rows(spark, mask), mask_rows(spark, other)).first().outside == 2
+    assert t.outside(mask_rows(spark, mask), mask_rows(spark, mask)).first().outside == 0
+
+
+def test_touching_pairs(spark):
+    array = volumes()["noise"]
+    voxels = {tuple(map(int, p)) for p in np.argwhere(array)}
+    expected = sorted((code(p), code(q)) for p in voxels for q in neighbours(voxels, p) if p < q)
+    assert sorted((r.a, r.b) for r in t.touching_pairs(mask_rows(spark, array), 64).collect()) == expected
+
+
+def plain_graph(array):
+    """Nodes and branches by walking from voxel to voxel."""
+    voxels = {tuple(map(int, p)) for p in np.argwhere(array)}
+    degree = {p: len(neighbours(voxels, p)) for p in voxels}
+    kind = {p: "isolated" if n == 0 else "end" if n == 1 else "link" if n == 2 else "junction" for p, n in degree.items()}
+    node = {p: p for p in voxels if kind[p] in ("end", "isolated")}
+    nodes = {(code(p), kind[p], 1) for p in node}
+    for first, members in parts_of({p for p in voxels if kind[p] == "junction"}).items():
+        nodes.add((code(first), "junction", len(members)))
+        node |= dict.fromkeys(members, first)
+    branches = set()
+
+    def add(path):
+        inner = [p for p in path if kind[p] == "link"]
+        first = min(inner) if inner else min(p for p in (path[0], path[-1]) if kind[p] == "end") if kind[path[0]] == "end" and kind[path[-1]] == "end" else next(p for p in (path[0], path[-1]) if kind[p] == "end")
+        ends = sorted(code(node[p]) for p in (path[0], path[-1])) if path[0] in node else [None, None]
+        steps = [sum(abs(a - b) for a, b in zip(p, q)) for p, q in zip(path, path[1:])]
+        branches.add((code(first), *ends, len(set(inner)), *(steps.count(k) for k in (1, 2, 3))))
+
+    seen = set()
+    for p in node:
+        for q in neighbours(voxels, p):
+            if kind[p] == kind[q] == "junction":
+                continue
+            path = [p, q]
+            while kind[path[-1]] == "link":
+                path.append(next(r for r in neighbours(voxels, path[-1]) if r != path[-2]))
+            seen |= set(path)
+            add(path)
+    for p in voxels:
+        if kind[p] == "link" and p not in seen:
+            path = [p, neighbours(voxels, p)[0]]
+            while path[-1] != p:
+                path.append(next(r for r in neighbours(voxels, path[-1]) if r != path[-2]))
+            seen |= set(path)
+            add(path)
+    return nodes, branches
+
+
+def graphs():
+    arrays = {name: volumes()[name] for name in ("snake", "sparse")}
+    loop = np.zeros((3, 8, 9), np.uint8)
+    loop[1, 2:6, 2] = loop[1, 2:6, 6] = loop[1, 1, 3:6] = loop[1, 6, 3:6] = 1
+    arrays["loop"] = loop
+    tail = np.pad(loop, ((0, 0), (0, 0), (0, 70)))
+    tail[1, 3, 7:75] = 1
+    arrays["loop with a tail"] = tail
+    short = np.zeros((3, 12, 12), np.uint8)
+    short[1, 1, 1:3] = short[1, 5, 1] = 1
+    short[1, 8, 4:9] = short[1, 7, 6] = 1
+    arrays["short"] = short
+    return arrays
+
+
+def split(rows, names):
+    return {name: [r for r in rows if r.volume_id == name] for name in names}
+
+
+def test_graphs_of_voxels_and_of_skeletons(spark):
+    arrays = graphs()
+    masks = {name: shapes()[name] for name in ("cross", "ring", "balls")}
+    thin = t.materialize(skeletonise(together(spark, masks), block=64))
+    for name, mask in masks.items():
+        arrays[name] = np.zeros_like(mask)
+    for r in thin.collect():
+        arrays[r.volume_id][r.z, r.y, r.x] = 1
+    rows = together(spark, {name: a for name, a in arrays.items()}).select(*thin.columns)
+    nodes, branches = t.skeleton_graph(rows, block=64)
+    summary = {r.volume_id: r for r in t.graph_summary(nodes, branches).collect()}
+    nodes, branches = split(nodes.collect(), arrays), split(branches.collect(), arrays)
+    for name, array in arrays.items():
+        expected = plain_graph(array)
+        assert {(r.node, r.kind, r.voxels) for r in nodes[name]} == expected[0], name
+        got = [(r.branch, r.start, r.end, r.links, r.steps_1, r.steps_2, r.steps_3) for r in branches[name]]
+        assert len(got) == len(set(got)) and set(got) == expected[1], name
+        assert summary[name].parts == parts_and_euler(masks.get(name, array))[0], name
+        assert summary[name].node_voxels + summary[name].links == array.sum(), name
+    assert [r.start for r in branches["ring"]] == [None]
+    straight = [r for r in branches["short"] if r.links == 0]
+    assert straight and all(r.length == r.steps_1 + 2**0.5 * r.steps_2 + 3**0.5 * r.steps_3 for r in straight)
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(g), int(a), int(b)) for g, a, b in zip(rng.integers(0, 2, 150), rng.integers(0, 150, 150), rng.integers(0, 150, 150))]
+    edges += [(2, k, k + 1) for k in range(100)] + [(3, 5, 5)]
+    root = {}
+    for g, a, b in edges:
+        root.setdefault((g, a), a), root.setdefault((g, b), b)
+    for _ in range(300):
+        for g, a, b in edges:
+            root[g, a] = root[g, b] = min(root[g, a], root[g, b])
+    found = components(spark.createDataFrame(edges, "group int, a long, b long"))
+    assert {((r.group, r.node), r.root) for r in found.collect()} == {(k, v) for k, v in root.items() if k[1] != v}
+    assert components(spark.createDataFrame([], "group int, a long, b long")).count() == 0

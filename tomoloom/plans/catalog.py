@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tomoloom.functions.spread import spread_small
 from tomoloom.functions.storage import materialize
 from tomoloom.functions.text import file_extension, slug
-from tomoloom.operators import concepts, heat, inventory, lattice, logs, mesh, skeleton, volume
+from tomoloom.operators import concepts, heat, inventory, lattice, logs, mesh, skeleton, topology, volume
 from tomoloom.plans import derived as d
 from tomoloom.plans import reports
 
@@ -414,6 +414,48 @@ def mask_degree(spark, folder):
     return skeleton.skeleton_degree(solid)
 
 
+def _sparse(spark: SparkSession, folder: str) -> DataFrame:
+    """So few voxels that most touch two others or fewer."""
+    return d.volume(spark, folder).filter(F.col("v") >= 0.18)
+
+
+@_run
+def mask_parts(spark, folder):
+    return topology.part_sizes(_sparse(spark, folder)).drop("part")
+
+
+@_run
+def mask_topology(spark, folder):
+    return topology.topology(_mask(spark, folder).filter("m = 1"))
+
+
+@_run
+def mask_nodes(spark, folder):
+    return topology.skeleton_graph(_sparse(spark, folder))[0]
+
+
+@_run
+def mask_branches(spark, folder):
+    return topology.skeleton_graph(_sparse(spark, folder))[1].drop("length")
+
+
+@_run
+def skeleton_topology(spark, folder):
+    """What thinning must keep, and that it has taken voxels away and added none."""
+    mask = _mask(spark, folder).filter("m = 1")
+    thin = materialize(skeleton.skeletonise(mask, value="m"))
+    of = mask.groupBy("volume_id").agg(F.count(F.lit(1)).alias("_mask"))
+    shape = topology.topology(thin).join(topology.outside(thin, mask), "volume_id").join(of, "volume_id")
+    return shape.select("volume_id", "parts", "euler_number", "outside", (F.col("voxels") < F.col("_mask")).alias("thinner"))
+
+
+@_run
+def skeleton_branches(spark, folder):
+    """The strut graph of the skeleton as a whole: its parts, and voxels, ends and branches that have no place in it."""
+    thin = materialize(skeleton_voxels(spark, folder))
+    return reports.strut_graph(thin, *topology.skeleton_graph(thin))
+
+
 @_run
 def inventory_report(spark, folder):
     files = materialize(d.files(spark, folder).select("path", "content_md5"))
@@ -443,11 +485,9 @@ def nde_report(spark, folder):
             "ground_truth": (volume.compare_masks(mask, _mask(spark, folder, 0.08)), "volume_id", agreement),
             "struts": (strut_defects(spark, folder), "graph_id", ["struts", "missing", "broken", "missing_percent"]),
             "connectivity": (
-                skeleton.degree_counts(skeleton.skeleton_degree(mask.filter("m = 1"))).withColumn(
-                    "item", F.concat_ws("/", "volume_id", "kind")
-                ),
-                "item",
-                ["voxels"],
+                reports.connectivity(mask.filter("m = 1"), materialize(skeleton.skeletonise(mask))),
+                "volume_id",
+                ["parts", "euler_number", "outside", "graph_parts", "unplaced_voxels", "loose_ends"],
             ),
         }
     )

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tomoloom.functions.storage import materialize
 from tomoloom.functions.text import slug
-from tomoloom.operators import concepts, inventory
+from tomoloom.operators import concepts, inventory, topology
 
 
 def tidy(frame: DataFrame, section: str, item: str, metrics: list[str]) -> DataFrame:
@@ -98,6 +98,40 @@ def name_documents(manifest: DataFrame, documents: DataFrame) -> DataFrame:
     return manifest.join(named, "doc_id").withColumn("file", F.concat_ws("/", "folder", "file"))
 
 
+def strut_graph(skeleton: DataFrame, nodes: DataFrame, branches: DataFrame) -> DataFrame:
+    """(volume_id, parts, unplaced_voxels, loose_ends, half_branches) of a skeleton's graph; the last three are 0 if it is whole.
+
+    Every voxel lies in a node or is a link, every end has one branch, and a branch has two nodes or none.
+    """
+    voxels = skeleton.groupBy("volume_id").agg(F.count(F.lit(1)).alias("_voxels"))
+    summary = topology.graph_summary(nodes, branches)
+    ends = branches.select("volume_id", F.explode(F.array("start", "end")).alias("node")).groupBy("volume_id", "node").agg(
+        F.count(F.lit(1)).alias("_branches")
+    )
+    loose = (
+        nodes.filter("kind = 'end'")
+        .join(ends, ["volume_id", "node"], "left")
+        .groupBy("volume_id")
+        .agg(F.count_if(F.coalesce("_branches", F.lit(0)) != 1).alias("_loose"))
+    )
+    half = branches.groupBy("volume_id").agg(F.count_if(F.col("start").isNotNull() != F.col("end").isNotNull()).alias("_half"))
+    joined = voxels.join(summary, "volume_id").join(loose, "volume_id", "left").join(half, "volume_id", "left")
+    return joined.select(
+        "volume_id",
+        "parts",
+        (F.col("_voxels") - F.col("node_voxels") - F.col("links")).alias("unplaced_voxels"),
+        F.coalesce("_loose", F.lit(0)).alias("loose_ends"),
+        F.coalesce("_half", F.lit(0)).alias("half_branches"),
+    )
+
+
+def connectivity(mask: DataFrame, skeleton: DataFrame) -> DataFrame:
+    """One row per volume: the shape of its skeleton, and whether the strut graph drawn from it is whole."""
+    graph = strut_graph(skeleton, *topology.skeleton_graph(skeleton)).withColumnRenamed("parts", "graph_parts")
+    shape = topology.topology(skeleton).join(topology.outside(skeleton, mask), "volume_id")
+    return shape.join(graph, "volume_id")
+
+
 def nde_report(sections: Mapping[str, tuple[DataFrame, str, list[str]]]) -> DataFrame:
     """Inspection numbers of a lattice scan from any of the result tables: section -> (table, item column, metrics)."""
     return stack([tidy(frame, name, item, metrics) for name, (frame, item, metrics) in sections.items()])
