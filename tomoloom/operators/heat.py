@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomoloom.functions.spread import spread_groups
-from tomoloom.schemas import HEAT_RUN
+from tomoloom.schemas import HEAT_LINE
 
 # Page scale in pixels per point, blur radius, overlay strength, hits for full red, faintest shown.
 ZOOM, SIGMA, MAX_ALPHA, FULL_RED_HITS, FAINTEST = 2.2, 30.0, 0.68, 4.0, 0.10
@@ -98,8 +98,8 @@ def _bands(y: np.ndarray, reach: int) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(y[order]) > reach) + 1)
 
 
-def _blur_band(y, x, w, kernel: np.ndarray, height: int, width: int, above: float, low: int, high: int):
-    """Pixels in rows `low` to `high` with more than `above`, looking only at the rows and columns some hit reaches."""
+def _heat_band(y, x, w, kernel: np.ndarray, height: int, width: int, low: int, high: int):
+    """Heat of the rows `low` to `high` and the columns that some hit reaches: the rows, the columns, the values."""
     rows, at = np.unique(y, return_inverse=True)
     lines = np.zeros((rows.size, width))
     for start in range(0, w.size, 4096):
@@ -107,57 +107,106 @@ def _blur_band(y, x, w, kernel: np.ndarray, height: int, width: int, above: floa
         np.add.at(lines, at[part], w[part, None] * _spread(x[part], kernel, width))
     columns = _spread(rows, kernel, height, low, high)
     ys, xs = np.flatnonzero(columns.any(axis=0)), np.flatnonzero(lines.any(axis=0))
-    heat = columns[:, ys].T @ lines[:, xs]
-    py, px = np.nonzero(heat > above)
-    return ys[py] + low, xs[px], heat[py, px]
+    return ys + low, xs, columns[:, ys].T @ lines[:, xs]
 
 
-def blur(splats: DataFrame, height: Size, width: Size, sigma: float = SIGMA, above: float = 0.0) -> DataFrame:
-    """Gaussian-blurred heat of every page, as the pixels with more than `above`.
+def _blur_band(y, x, w, kernel: np.ndarray, height: int, width: int, above: float, low: int, high: int):
+    """Pixels of a band with more than `above`, in scan order."""
+    ys, xs, heat = _heat_band(y, x, w, kernel, height, width, low, high)
+    py, px = np.nonzero(heat > above)
+    return ys[py], xs[px], heat[py, px]
 
-    A hit at sigma 30 reaches 58,000 pixels, so expanding hits to rows would swamp the shuffle. A page is cut into
-    bands of rows, one for pages of usual size, and each band's splats, with those that reach into it, go to one task,
-    where both one-dimensional passes are a matrix product. `height` and `width` as in `splat`.
-    """
-    kernel = gaussian_kernel(sigma)
-    radius = kernel.size // 2
+
+def _banded(splats: DataFrame, height: Size, width: Size, radius: int) -> DataFrame:
+    """Splats with the bands of rows they reach; `_band` counts bands of `_tall` rows."""
     page = _page_key(height, width)
     tall = F.greatest(F.lit(4 * radius), F.lit(BAND_PIXELS) / F.greatest(_size(width), F.lit(1))).cast("int")
     first = F.floor(F.greatest(F.col("y") - radius, F.lit(0)) / tall)
     last = F.floor(F.least(F.col("y") + radius, _size(height) - 1) / tall)
-    banded = splats.select(
-        *page, "y", "x", "w", tall.alias("_tall"), F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("_band")
-    )
+    bands = F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("_band")
+    return splats.select(*page, "y", "x", "w", tall.alias("_tall"), bands)
+
+
+def _band_of(table: pa.Table, height: Size, width: Size) -> tuple:
+    """y, x, w of one band's splats, the page's size, and the band's first row and the row behind it."""
+    y, x, w = (table.column(c).to_numpy() for c in ("y", "x", "w"))
+    high, wide = (table.column(v)[0].as_py() if isinstance(v, str) else v for v in (height, width))
+    tall = table.column("_tall")[0].as_py()
+    low = table.column("_band")[0].as_py() * tall
+    return y, x, w, high, wide, low, min(low + tall, high)
+
+
+def blur_lines(splats: DataFrame, height: Size, width: Size, sigma: float = SIGMA, above: float = 0.0) -> DataFrame:
+    """Gaussian-blurred heat as lines `(doc_id, page_no, y, runs)`: the stretches of pixels with more than `above`.
+
+    `runs` is an array of (x, w), where `w` lists neighbouring pixels from `x` on; lines without any are absent. A hit at
+    sigma 30 reaches 58,000 pixels, so expanding hits to rows would swamp the shuffle. A page is cut into bands of rows,
+    one for pages of usual size, and each band's splats, with those that reach into it, go to one task, where both
+    one-dimensional passes are a matrix product. `height` and `width` as in `splat`.
+    """
+    kernel = gaussian_kernel(sigma)
 
     def one_band(table: pa.Table) -> pa.Table:
-        y, x, w = (table.column(c).to_numpy() for c in ("y", "x", "w"))
-        high, wide = (table.column(v)[0].as_py() if isinstance(v, str) else v for v in (height, width))
-        tall = table.column("_tall")[0].as_py()
-        low = table.column("_band")[0].as_py() * tall
-        stop = min(low + tall, high)
+        y, x, w, high, wide, low, stop = _band_of(table, height, width)
         parts = [_blur_band(y[b], x[b], w[b], kernel, high, wide, above, low, stop) for b in _bands(y, kernel.size)]
         py, px, heat = (np.concatenate(column) for column in zip(*parts, strict=True))
         starts = np.flatnonzero((np.diff(px, prepend=-2) != 1) | (np.diff(py, prepend=-1) != 0))
-        n = starts.size
-        same = {c: pa.array([table.column(c)[0].as_py()] * n, table.column(c).type) for c in ("doc_id", "page_no")}
+        lines = np.flatnonzero(np.diff(py[starts], prepend=-1) != 0)
+        w = pa.ListArray.from_arrays(np.append(starts, px.size).astype(np.int32), pa.array(heat))
+        runs = pa.StructArray.from_arrays([pa.array(px[starts].astype(np.int32)), w], ["x", "w"])
+        n = lines.size
         return pa.table(
             {
-                **same,
-                "y": pa.array(py[starts].astype(np.int32)),
-                "x": pa.array(px[starts].astype(np.int32)),
-                "run": pa.ListArray.from_arrays(np.append(starts, px.size).astype(np.int32), pa.array(heat)),
+                **{c: pa.array([table.column(c)[0].as_py()] * n, table.column(c).type) for c in ("doc_id", "page_no")},
+                "y": pa.array(py[starts[lines]].astype(np.int32)),
+                "runs": pa.ListArray.from_arrays(np.append(lines, starts.size).astype(np.int32), runs),
             }
         )
 
-    # Neighbouring pixels of a line leave Python as one list and become rows on the JVM side.
     kinds = {c: splats.schema[c].dataType.simpleString() for c in ("doc_id", "page_no")}
-    schema = f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, {HEAT_RUN}"
-    key = [*page, "_band"]
-    runs = spread_groups(banded, *key).groupBy(*key).applyInArrow(one_band, schema)
+    schema = f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, {HEAT_LINE}"
+    key = [*_page_key(height, width), "_band"]
+    banded = _banded(splats, height, width, kernel.size // 2)
+    return spread_groups(banded, *key).groupBy(*key).applyInArrow(one_band, schema)
+
+
+def blur(splats: DataFrame, height: Size, width: Size, sigma: float = SIGMA, above: float = 0.0) -> DataFrame:
+    """The same as pixels `(doc_id, page_no, y, x, w)`. Lines leave Python as lists and become rows on the JVM side."""
+    runs = blur_lines(splats, height, width, sigma, above).select("doc_id", "page_no", "y", F.inline("runs").alias("x", "run"))
     pixels = runs.select("doc_id", "page_no", "y", "x", F.posexplode("run").alias("_i", "w"))
     return pixels.select("doc_id", "page_no", "y", (F.col("x") + F.col("_i")).alias("x"), "w")
 
 
+def heat_area(
+    splats: DataFrame, height: Size, width: Size, sigma: float = SIGMA, full_red_hits: float = FULL_RED_HITS
+) -> DataFrame:
+    """(doc_id, page_no, visible, full_red, heat): pixels that show, those at full red, and the sum over all pixels.
+
+    Numbers of whole pages need no pixel to leave the task that blurs its band: a band gives one row.
+    """
+    kernel = gaussian_kernel(sigma)
+    ceiling = heat_ceiling(sigma, full_red_hits)
+
+    def one_band(table: pa.Table) -> pa.Table:
+        y, x, w, high, wide, low, stop = _band_of(table, height, width)
+        visible = full = 0
+        total = 0.0
+        for b in _bands(y, kernel.size):
+            *_, heat = _heat_band(y[b], x[b], w[b], kernel, high, wide, low, stop)
+            norm = heat / ceiling
+            visible += np.count_nonzero(norm >= FAINTEST)
+            full += np.count_nonzero(norm >= 1.0)
+            total += heat.sum()
+        same = {c: table.column(c).slice(0, 1) for c in ("doc_id", "page_no")}
+        return pa.table({**same, "visible": [visible], "full_red": [full], "heat": [float(total)]})
+
+    kinds = {c: splats.schema[c].dataType.simpleString() for c in ("doc_id", "page_no")}
+    schema = f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, visible bigint, full_red bigint, heat double"
+    key = [*_page_key(height, width), "_band"]
+    parts = spread_groups(_banded(splats, height, width, kernel.size // 2), *key).groupBy(*key).applyInArrow(one_band, schema)
+    return parts.groupBy("doc_id", "page_no").agg(*(F.sum(c).alias(c) for c in ("visible", "full_red", "heat")))
+
+
 def heat_ceiling(sigma: float = SIGMA, full_red_hits: float = FULL_RED_HITS) -> float:
     """Heat shown as full red: that many times the peak of one isolated hit."""
     return max(full_red_hits / (2 * np.pi * sigma**2), 1e-12)
@@ -172,22 +221,45 @@ def with_alpha(
     heat: DataFrame, sigma: float = SIGMA, full_red_hits: float = FULL_RED_HITS, max_alpha: float = MAX_ALPHA
 ) -> DataFrame:
     """Add `norm` (0..1 of full red) and `alpha`; faint pixels are fully transparent."""
-    norm = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("w") / F.lit(heat_ceiling(sigma, full_red_hits))))
-    alpha = F.when(F.col("norm") < FAINTEST, 0.0).otherwise(F.col("norm") * max_alpha)
-    return heat.withColumn("norm", norm).withColumn("alpha", alpha)
+    norm = _norm(F.col("w"), heat_ceiling(sigma, full_red_hits))
+    return heat.withColumn("norm", norm).withColumn("alpha", _alpha(F.col("norm"), max_alpha))
+
+
+def _norm(w: Column, ceiling: float) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), w / F.lit(ceiling)))
+
+
+def _alpha(norm: Column, max_alpha: float) -> Column:
+    return F.when(norm < FAINTEST, 0.0).otherwise(norm * max_alpha)
+
+
+def _channel(norm: Column, i: int) -> Column:
+    colour = F.lit(float(RAMP[-1][1][i]))
+    for (t0, c0), (t1, c1) in reversed(list(zip(RAMP[:-1], RAMP[1:], strict=True))):
+        share = (norm - t0) / (t1 - t0)
+        colour = F.when(norm < t1, c0[i] + share * (c1[i] - c0[i])).otherwise(colour)
+    return colour
 
 
 def with_colour(heat: DataFrame) -> DataFrame:
     """Add `r, g, b` of the ramp at `norm`."""
+    return heat.withColumns({name: _channel(F.col("norm"), i) for i, name in enumerate("rgb")})
 
-    def channel(i: int) -> Column:
-        colour = F.lit(float(RAMP[-1][1][i]))
-        for (t0, c0), (t1, c1) in reversed(list(zip(RAMP[:-1], RAMP[1:], strict=True))):
-            share = (F.col("norm") - t0) / (t1 - t0)
-            colour = F.when(F.col("norm") < t1, c0[i] + share * (c1[i] - c0[i])).otherwise(colour)
-        return colour
 
-    return heat.withColumns({name: channel(i) for i, name in enumerate("rgb")})
+def colour_lines(
+    lines: DataFrame, sigma: float = SIGMA, full_red_hits: float = FULL_RED_HITS, max_alpha: float = MAX_ALPHA
+) -> DataFrame:
+    """Lines of heat with their pixels toned and coloured: `runs` becomes an array of (x, dots), `dots` of (alpha, r, g, b)."""
+    ceiling = heat_ceiling(sigma, full_red_hits)
+
+    def dot(norm: Column) -> Column:
+        return F.struct(_alpha(norm, max_alpha).alias("alpha"), *(_channel(norm, i).alias(c) for i, c in enumerate("rgb")))
+
+    def run(r: Column) -> Column:
+        norms = F.transform(r["w"], lambda w: _norm(w, ceiling))
+        return F.struct(r["x"].alias("x"), F.transform(norms, dot).alias("dots"))
+
+    return lines.select("doc_id", "page_no", "y", F.transform("runs", run).alias("runs"))
 
 
 def overlay(pixels: DataFrame, coloured: DataFrame) -> DataFrame:
@@ -204,3 +276,50 @@ def overlay(pixels: DataFrame, coloured: DataFrame) -> DataFrame:
         return F.least(F.lit(255.0), F.greatest(F.lit(0.0), value)).cast("int").alias(channel)
 
     return joined.select(*key, *(mixed(c) for c in "rgb"))
+
+
+def overlay_lines(page: DataFrame, coloured: DataFrame) -> DataFrame:
+    """Blend coloured lines of heat over whole page lines, which stay run-length coded.
+
+    `page` holds every line of its pages as `(doc_id, page_no, y, runs)`, `runs` an array of (x, n, r, g, b): `n` pixels of
+    one colour from `x` on, in order and without gaps. The result has the same form; a pixel under visible heat is a run of
+    its own. Lines without heat, and heat beyond a page, change nothing. Only lines are shuffled, no pixels.
+    """
+    key = ["doc_id", "page_no", "y"]
+    heat = coloured.select(*key, F.col("runs").alias("_heat")).hint("merge")
+
+    def mixed(base: Column, dot: Column, channel: str) -> Column:
+        value = base[channel] * (1 - dot["alpha"]) + dot[channel] * dot["alpha"]
+        return F.least(F.lit(255.0), F.greatest(F.lit(0.0), value)).cast("int").cast("double").alias(channel)
+
+    def piece(base: Column, low: Column, n: Column) -> Column:
+        return F.struct(low.alias("x"), n.alias("n"), *(base[c].alias(c) for c in "rgb"))
+
+    def reach(base: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        """First pixel and length of what a base run shares with low to high - 1."""
+        first = F.greatest(base["x"], low)
+        return first, F.least(base["x"] + base["n"], high) - first
+
+    def kept(base: Column) -> Column:
+        return F.filter(F.transform("_gaps", lambda g: piece(base, *reach(base, g["low"], g["high"]))), lambda p: p["n"] > 0)
+
+    def blended(base: Column) -> Column:
+        def under(run: Column) -> Column:
+            first, n = reach(base, run["x"], run["x"] + F.size(run["dots"]))
+            dots = F.slice(run["dots"], first - run["x"] + 1, F.greatest(n, F.lit(0)))
+
+            def one(dot: Column, i: Column) -> Column:
+                return F.struct((first + i).alias("x"), F.lit(1).alias("n"), *(mixed(base, dot, c) for c in "rgb"))
+
+            return F.when(n > 0, F.transform(dots, one)).otherwise(F.array().cast("array<struct<x:int,n:int,r:double,g:double,b:double>>"))
+
+        return F.flatten(F.transform("_heat", under))
+
+    ends = F.transform("_heat", lambda r: r["x"] + F.size(r["dots"]))
+    gaps = F.arrays_zip(
+        F.concat(F.array(F.lit(0)), ends).alias("low"), F.concat(F.transform("_heat", lambda r: r["x"]), F.array(F.lit(2**31 - 1))).alias("high")
+    )
+    joined = page.join(heat, key, "left").withColumn("_gaps", F.when(F.col("_heat").isNotNull(), gaps))
+    parts = F.flatten(F.transform("runs", lambda base: F.concat(kept(base), blended(base))))
+    runs = F.when(F.col("_heat").isNull(), F.col("runs")).otherwise(F.array_sort(parts))
+    return joined.select(*key, runs.alias("runs"))

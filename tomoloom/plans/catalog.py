@@ -337,20 +337,29 @@ def heat_colour(spark, folder):
 
 @_run
 def heat_composite(spark, folder):
-    page = heat.overlay(d.page_pixels(spark, folder), _heat(spark, folder))
+    """Whole pages, every line of them, blended with their heat."""
+    blurred = heat.blur_lines(_splats(spark, folder), *PAGE, sigma=BLUR_SIGMA, above=heat.visible_heat(BLUR_SIGMA))
+    page = heat.overlay_lines(d.page_lines(spark, folder), heat.colour_lines(blurred, BLUR_SIGMA))
+
+    def total(value):
+        return F.sum(F.aggregate("runs", F.lit(0).cast("bigint"), lambda sum_, r: sum_ + value(r).cast("bigint")))
+
     return page.groupBy("doc_id", "page_no").agg(
-        F.count(F.lit(1)).alias("dots"), *(F.sum(F.col(c).cast("bigint")).alias(c) for c in "rgb")
+        total(lambda r: r["n"]).alias("pixels"), *(total(lambda r, c=c: r["n"] * r[c]).alias(c) for c in "rgb")
     )
 
 
 @_run
 def heat_density(spark, folder):
     """Visible area per page at the full blur radius; too many pixels for a plain SQL check."""
-    blurred = heat.blur(_splats(spark, folder), *PAGE, above=heat.visible_heat())
-    shown = heat.with_alpha(blurred).filter("alpha > 0")
-    return shown.groupBy("doc_id", "page_no").agg(
-        F.count(F.lit(1)).alias("visible"), F.count_if(F.col("norm") >= 1.0).alias("full_red")
-    )
+    return heat.heat_area(_splats(spark, folder), *PAGE).select("doc_id", "page_no", "visible", "full_red")
+
+
+@_run
+def heat_conserved(spark, folder):
+    """Heat of each page at the full blur radius: mirrored edges keep the sum of the hits' weights."""
+    area = heat.heat_area(_splats(spark, folder), *PAGE)
+    return area.select("doc_id", "page_no", _scaled(F.col("heat"), 1000).alias("heat"))
 
 
 @_run

@@ -60,6 +60,10 @@ _TABLES = {
         from (select *, least(1.0, w / (4.0 / (2 * pi() * 4.0)))::double norm from blurred)""",
     "coloured": """
         select *, {r} r, {g} g, {b} b from toned""",
+    "dot": """
+        select doc_id, page_no, y, x, min(shade) gray from (
+          select doc_id, page_no, trunc((y0 + y1) / 2 * 2.2::double)::int y, trunc((x0 + x1) / 2 * 2.2::double)::int x,
+            greatest(0, 255 - 8 * length(word)) shade from word_box) where x < 1254 group by all""",
     "strut": """
         select concat('scan_', o_orderkey % 8) graph_id, o_orderkey strut_id, (o_orderkey % 8)::double x0,
           (o_custkey % 8)::double y0, (o_orderkey % 250)::double z0, ((o_orderkey + o_custkey) % 8)::double x1,
@@ -455,18 +459,21 @@ _check(
     + ", ".join(f"sum(floor({c} * 100 + 0.5)::bigint)::bigint {c}" for c in "rgb")
     + " from coloured where alpha > 0 group by all",
 )
+_check(
+    "heat_conserved", _SPLAT, "select doc_id, page_no, floor(sum(w) * 1000 + 0.5)::bigint heat from splat group by all"
+)
+# A page is white but for its dots and what the heat changes.
 _check(
     "heat_composite",
-    _BLUR + " toned coloured",
-    "select doc_id, page_no, count(*) dots, "
-    + ", ".join(
-        f"sum(trunc(least(255, gray * (1 - coalesce(alpha, 0)) + coalesce({c}, 0) * coalesce(alpha, 0)))::bigint)::bigint {c}"
-        for c in "rgb"
-    )
-    + """ from (select doc_id, page_no, y, x, min(shade)::double gray from (
-        select doc_id, page_no, trunc((y0 + y1) / 2 * 2.2::double)::int y, trunc((x0 + x1) / 2 * 2.2::double)::int x,
-          greatest(0, 255 - 8 * length(word)) shade from word_box) where x < 1254 group by all)
-    left join coloured using (doc_id, page_no, y, x) group by all""",
+    _BLUR + " toned coloured dot",
+    """select doc_id, page_no, 1254 * 1584::bigint pixels, """
+    + ", ".join(f"(1254 * 1584 * 255 + coalesce(dark, 0) + coalesce({c}, 0))::bigint {c}" for c in "rgb")
+    + """ from (select distinct doc_id, page_no from word_box)
+    left join (select doc_id, page_no, sum(gray - 255) dark from dot group by all) using (doc_id, page_no)
+    left join (select doc_id, page_no, """
+    + ", ".join(f"sum(trunc(least(255, base * (1 - alpha) + {c} * alpha)) - base) {c}" for c in "rgb")
+    + """ from (select c.*, coalesce(gray, 255)::double base from coloured c left join dot using (doc_id, page_no, y, x)
+        where alpha > 0) group by all) using (doc_id, page_no)""",
 )
 _check(
     "log_strings",

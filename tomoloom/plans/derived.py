@@ -80,6 +80,26 @@ def page_pixels(spark: SparkSession, folder: str) -> DataFrame:
     return dots.filter(F.col("x") < PAGE_WIDTH).select("*", F.col("pr").alias("pg"), F.col("pr").alias("pb"))
 
 
+def page_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pages whole: every line as runs of one colour, all white between the dots."""
+    key = ["doc_id", "page_no"]
+    white = F.lit(255.0)
+
+    def run(x, n, gray):
+        return F.struct(x.alias("x"), n.cast("int").alias("n"), gray.alias("r"), gray.alias("g"), gray.alias("b"))
+
+    dots = page_pixels(spark, folder).groupBy(*key, "y").agg(F.array_sort(F.collect_list(F.struct("x", "pr"))).alias("dots"))
+    before = F.concat(F.array(F.lit(0)), F.transform("dots", lambda d: d["x"] + 1))
+    behind = F.concat(F.transform("dots", lambda d: d["x"]), F.array(F.lit(PAGE_WIDTH)))
+    between = F.filter(F.zip_with(before, behind, lambda low, high: run(low, high - low, white)), lambda r: r["n"] > 0)
+    spotted = F.array_sort(F.concat(between, F.transform("dots", lambda d: run(d["x"], F.lit(1), d["pr"]))))
+    pages = word_boxes(spark, folder).select(*key).distinct()
+    lines = pages.select(*key, F.explode(F.sequence(F.lit(0), F.lit(PAGE_HEIGHT - 1))).alias("y"))
+    plain = F.array(run(F.lit(0), F.lit(PAGE_WIDTH), white))
+    joined = lines.join(dots.hint("merge"), [*key, "y"], "left")
+    return joined.select(*key, "y", F.when(F.col("dots").isNull(), plain).otherwise(spotted).alias("runs"))
+
+
 def triangles(spark: SparkSession, folder: str) -> DataFrame:
     """Each order is a triangle with whole-number corners; the order status names its mesh."""
     return table(spark, folder, "orders").selectExpr(

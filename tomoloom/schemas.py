@@ -16,7 +16,7 @@ WORD_BOX = (
     "doc_id bigint, page_no int, word_no int, x0 double, y0 double, x1 double, y1 double, word string"
 )
 # What follows a page's own key in a line of heat.
-HEAT_RUN = "y int, x int, run array<double>"
+HEAT_LINE = "y int, runs array<struct<x: int, w: array<double>>>"
 # Only `junctions[].position` is read; struts and cells are counted whatever they hold, hence VARIANT.
 LATTICE_JSON = (
     "junctions array<struct<position: array<double>>>, struts array<variant>, unit_cells array<variant>"
