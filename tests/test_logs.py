@@ -72,8 +72,39 @@ def test_text_that_is_not_one_json_value_gives_nothing(spark, line):
     ["(a)", "  (a(b)c)(d)", "(a", "a)", "x\n(a)", " = (((1)(2)))) ", "(\n)", "()", "(()", '("a)b")', "((a)(b(c)))z)", ""],
 )
 def test_balanced_argument(spark, tail):
-    frame = spark.createDataFrame([(tail,)], "t string")
-    assert frame.select(logs.balanced_argument(F.col("t")).alias("a")).first()["a"] == matching_close(tail)
+    frame = spark.createDataFrame([(f"x {logs.CALL}{tail}",)], "t string")
+    assert frame.select(logs.call_arguments(F.col("t")).alias("a")).first()["a"] == [matching_close(tail)]
+
+
+def test_several_calls_nested_and_unclosed(spark):
+    text = f") {logs.CALL}(a {logs.CALL}(b) c) {logs.CALL}\n(d) {logs.CALL}(e {logs.CALL}(f"
+    tails = text.split(logs.CALL)[1:]
+    expected = [matching_close(logs.CALL.join(tails[k:])) for k in range(len(tails))]
+    assert expected == [f"a {logs.CALL}(b) c", "b", None, None, None]
+    assert spark.createDataFrame([(text,)], "t string").select(logs.call_arguments(F.col("t")).alias("a")).first()["a"] == expected
+
+
+def test_a_very_long_line(spark):
+    calls = " ".join(call('{"find":[{"pattern":"p%d ((()))"}]}' % k) + " " + logs.CALL + "(" for k in range(12_000))
+    line = event("(" * 80_000 + calls)
+    assert len(line) > 1 << 20
+    assert logs.keywords(events(spark, [line])).count() == 12_000
+
+
+def test_repeated_members_and_odd_numbers(spark):
+    kept, lost = call('{"find":[{"pattern":"kept"}]}'), call('{"find":[{"pattern":"lost"}]}')
+    lines = [
+        '{"a": %s, "b": NaN, "a": %s}' % (json.dumps(lost), json.dumps(kept)),
+        '{"a": {"x": %s}, "n": [-Infinity, Infinity], "b": "NaN", "a": 1}' % json.dumps(lost),
+        '{"x": -NaN, "y": %s}' % json.dumps(lost),
+        '{"x": NaN, "y": "say \\"NaN\\" and Infinity"}',
+        '{"p": {"k": "one"}, "q": {"k": "two"}, "k" : "three", "p": {"k": "four"}}',
+        event(call('{"find":[{"pattern":"with NaN"}], "n": NaN}')),
+    ]
+    expected = [every_string(json.loads(line)) if "-NaN" not in line else [] for line in lines]
+    found = logs.json_strings(events(spark, lines)).orderBy("at", "str_no").collect()
+    assert [[r.text for r in found if r.at == k] for k in range(1, len(lines) + 1)] == expected
+    assert mined(spark, lines) == [("pattern", 1, "kept"), ("pattern", 6, "with NaN")]
 
 
 def test_keywords_in_first_seen_order(spark):

@@ -27,13 +27,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder[app]
 
 
+def shared_path(spark: SparkSession, name: str = "") -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark)}/tomoloom-{uuid.uuid4().hex}{name}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once and read it back.
 
     Cuts lineage without tying data to one executor, and gives the optimizer the true size, so a following join
     broadcasts this side only when it is below `spark.sql.autoBroadcastJoinThreshold`.
     """
-    path = f"{shared_folder(df.sparkSession)}/tomoloom-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

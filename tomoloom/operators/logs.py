@@ -1,12 +1,18 @@
 """Search keywords from agent logs: one JSON event per line, with web calls written inside its strings.
 
-Every step is a column expression on the line, so lines are never moved until the few keywords found are deduplicated.
+Lines are never moved until the few keywords found are deduplicated. Nearly every step is a column expression; Python only
+walks lines that repeat a key, and matches parentheses in the few texts that hold a call.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tomoloom.functions.storage import materialize
 from tomoloom.functions.text import is_sealed_blob, strip
@@ -17,6 +23,9 @@ FIELDS = (("query", "search_query", "q"), ("pattern", "find", "pattern"))
 SHORTEST = 20
 BLOCK_MARK = "---\n"
 
+_CALL, _PARENTHESIS = re.compile(re.escape(CALL)), re.compile("[()]")
+_OPENING = re.compile(r"[^(\n]*\(")
+
 # Stand-ins for escaped backslash and quote; a JSON string cannot hold these characters unescaped.
 _BACKSLASH, _QUOTE = "\x01", "\x02"
 
@@ -32,32 +41,75 @@ def json_value(text: Column) -> Column:
     return F.when(as_element.isNotNull(), F.try_variant_get(as_field, "$.v", "variant"))
 
 
+def _flat(text: Column) -> Column:
+    """Text whose only quotes are those around its strings."""
+    return F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+
+def _unflat(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+
+
+def plain_numbers(text: Column) -> Column:
+    """Text with null in place of NaN and infinities outside its strings, which the parser does not know."""
+    parts = F.split(_flat(text), '"', -1)
+    outside = F.transform(parts, lambda s, i: F.when(i % 2 == 0, F.regexp_replace(s, "-?Infinity|NaN", "null")).otherwise(s))
+    return F.when(F.rlike(text, F.lit("NaN|Infinity")), _unflat(F.array_join(outside, '"'))).otherwise(text)
+
+
 def string_literals(line: Column) -> Column:
     """The quoted string values of a JSON text, depth first in source order, object keys left out."""
-    flat = F.replace(F.replace(line, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
-    literals = F.regexp_extract_all(flat, F.lit(r'"[^"]*"(?:\s*:)?'), F.lit(0))
-    values = F.filter(literals, lambda s: ~s.endswith(":"))
-    return F.transform(
-        values, lambda s: F.replace(F.replace(s, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
-    )
+    literals = F.regexp_extract_all(_flat(line), F.lit(r'"[^"]*"(?:\s*:)?'), F.lit(0))
+    return F.transform(F.filter(literals, lambda s: ~s.endswith(":")), _unflat)
 
 
 def decode_literal(literal: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(literal), "$", "string")
 
 
+def repeats_a_key(line: Column) -> Column:
+    """Whether two keys of a JSON text are written alike, in one object or in several."""
+    keys = F.regexp_extract_all(_flat(line), F.lit(r'"[^"]*"\s*:'), F.lit(0))
+    return F.size(F.array_distinct(F.transform(keys, lambda k: F.rtrim(F.rtrim(k), F.lit(":"))))) < F.size(keys)
+
+
+def _walk(value, out: list[str]) -> None:
+    if isinstance(value, str):
+        out.append(value)
+    elif isinstance(value, dict | list):
+        for part in value.values() if isinstance(value, dict) else value:
+            _walk(part, out)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _strings_of_last_members(lines: pa.Array) -> pa.Array:
+    """Strings of JSON texts in which a key may be repeated: its last value stands at its first place."""
+    found = []
+    for line in lines.to_pylist():
+        strings: list[str] = []
+        if line is not None:
+            try:
+                _walk(json.loads(line), strings)
+            except (ValueError, RecursionError):
+                strings = []
+        found.append(None if line is None else [s.encode("utf-8", "replace").decode() for s in strings])
+    return pa.array(found, pa.list_(pa.string()))
+
+
 def json_strings(events: DataFrame, line: str = "line") -> DataFrame:
     """All string values of each JSON line as `(…, str_no, text)`; lines that are not JSON give none.
 
-    Sets `spark.sql.variant.allowDuplicateKeys`, so that a line which repeats a key is read whatever the session had.
+    NaN and infinities are read as numbers. Where an object repeats a key only its last value counts; such lines, and
+    those whose objects share a key, are walked in Python, all others by expressions.
     """
-    events.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     kept = [c for c in events.columns if c != line]
-    return (
-        events.filter(json_value(strip(F.col(line))).isNotNull())
-        .select(*kept, F.posexplode(string_literals(F.col(line))).alias("str_no", "_literal"))
-        .select(*kept, "str_no", decode_literal(F.col("_literal")).alias("text"))
-    )
+    text = plain_numbers(strip(F.col(line)))
+    read = events.select(*kept, text.alias("_line")).withColumn("_twice", repeats_a_key(F.col("_line")))
+    valid = read.filter(F.col("_twice") | json_value(F.col("_line")).isNotNull())
+    walked = _strings_of_last_members(F.when(F.col("_twice"), F.col("_line")))
+    simple = F.transform(string_literals(F.col("_line")), decode_literal)
+    strings = valid.select(*kept, F.when(F.col("_twice"), walked).otherwise(simple).alias("_strings"))
+    return strings.select(*kept, F.posexplode("_strings").alias("str_no", "text"))
 
 
 def candidate_strings(strings: DataFrame, text: str = "text") -> DataFrame:
@@ -66,36 +118,28 @@ def candidate_strings(strings: DataFrame, text: str = "text") -> DataFrame:
     return stripped.filter(F.length(text) >= SHORTEST).filter(~is_sealed_blob(F.col(text)))
 
 
-def call_tails(text: Column) -> Column:
-    """For each occurrence of the call name, everything after it."""
-    parts = F.split(text, CALL.replace(".", r"\."), -1)
-    return F.transform(
-        F.sequence(F.lit(2), F.size(parts)),
-        lambda k: F.array_join(F.slice(parts, k, F.size(parts)), CALL),
-    )
-
-
-def balanced_argument(tail: Column) -> Column:
-    """What the first parenthesis encloses, up to its matching close; null without one before a line break.
+def _enclosed(text: str) -> list[str | None]:
+    """For each occurrence of the call name, what the first parenthesis after it encloses; one pass over the text.
 
-    Walks from one closing parenthesis to the next: the k-th closes the first when k - 1 were opened inside.
+    None if there is no parenthesis before a line break, or it is never closed. A parenthesis in a quoted string counts.
     """
-    opening, line_break = F.instr(tail, "("), F.instr(tail, "\n")
-    reachable = (opening > 0) & ((line_break == 0) | (opening < line_break))
-    closed = F.split(F.substr(tail, opening + 1), r"\)", -1)
-    opened = F.transform(closed, lambda s: F.length(s) - F.length(F.replace(s, F.lit("("))))
-    start = F.struct(F.lit(0).alias("inside"), F.lit(0).alias("end"))
-
-    def step(state: Column, k: Column) -> Column:
-        inside = state["inside"] + F.element_at(opened, k)
-        return F.when(state["end"] > 0, state).otherwise(
-            F.struct(inside.alias("inside"), F.when(inside == k - 1, k).otherwise(F.lit(0)).alias("end"))
-        )
+    closes, open_ = {}, []
+    for mark in _PARENTHESIS.finditer(text):
+        if mark[0] == "(":
+            open_.append(mark.start())
+        elif open_:
+            closes[open_.pop()] = mark.start()
+    found = []
+    for call in _CALL.finditer(text):
+        start = _OPENING.match(text, call.end())
+        stop = closes.get(start.end() - 1) if start else None
+        found.append(None if stop is None else text[start.end() : stop])
+    return found
+
 
-    # The last piece has no closing parenthesis after it.
-    places = F.filter(F.sequence(F.lit(1), F.size(closed)), lambda k: k < F.size(closed))
-    end = F.aggregate(places, start, step, lambda state: state["end"])
-    return F.when(reachable & (end > 0), F.array_join(F.slice(closed, F.lit(1), end), ")"))
+@F.arrow_udf(ArrayType(StringType()))
+def call_arguments(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else _enclosed(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
 def web_calls(events: DataFrame, line: str = "line") -> DataFrame:
@@ -109,8 +153,8 @@ def web_calls(events: DataFrame, line: str = "line") -> DataFrame:
     texts = candidate_strings(json_strings(events.filter(possible), line)).filter(
         F.contains(F.col("text"), F.lit(CALL))
     )
-    tails = texts.select(*kept, "str_no", F.posexplode(call_tails(F.col("text"))).alias("call_no", "_tail"))
-    calls = tails.select(*kept, "str_no", "call_no", json_value(balanced_argument(F.col("_tail"))).alias("argument"))
+    found = texts.select(*kept, "str_no", F.posexplode(call_arguments(F.col("text"))).alias("call_no", "_argument"))
+    calls = found.select(*kept, "str_no", "call_no", json_value(plain_numbers(F.col("_argument"))).alias("argument"))
     return calls.filter(F.startswith(F.schema_of_variant("argument"), F.lit("OBJECT")))
 
 

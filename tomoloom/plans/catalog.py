@@ -12,7 +12,11 @@ from tomoloom.functions.storage import materialize
 from tomoloom.functions.text import file_extension, slug
 from tomoloom.operators import concepts, heat, inventory, lattice, logs, mesh, skeleton, topology, volume
 from tomoloom.plans import derived as d
-from tomoloom.plans import reports
+from tomoloom.plans import jobs, reports, stored
+from tomoloom.sources import register
+from tomoloom.sources.files import digest_tree, list_tree, read_prompt, top_folders
+from tomoloom.sources.headers import lines_of, volume_headers
+from tomoloom.sources.stl import stl_counts
 
 THRESHOLD = 0.05
 SWEEP = (-0.1, 0.0, 0.05, 0.1)
@@ -377,8 +381,8 @@ def log_property_strings(spark, folder):
 
 @_run
 def log_call_arguments(spark, folder):
-    calls = logs.web_calls(d.agent_log(spark, folder))
-    return calls.select("at.*", "str_no", "call_no", F.to_json("argument").alias("argument"))
+    items = logs.call_keywords(logs.web_calls(d.agent_log(spark, folder)))
+    return items.select("at.*", "str_no", "call_no", "kind", "item_no", "text")
 
 
 @_run
@@ -465,6 +469,110 @@ def skeleton_branches(spark, folder):
     return reports.strut_graph(thin, *topology.skeleton_graph(thin))
 
 
+def _scan(spark: SparkSession, folder: str) -> str:
+    register(spark)
+    return stored.scan_file(spark, folder)
+
+
+@_run
+def file_volume(spark, folder):
+    """A volume written to one `.npy` file by many tasks and read back by slabs, in sums of its planes."""
+    voxels = jobs.read_volume(spark, _scan(spark, folder))
+    return voxels.groupBy("z").agg(F.count(F.lit(1)).alias("voxels"), F.sum(_scaled(F.col("v") * (F.col("x") + 1), 1e6)).alias("total"))
+
+
+@_run
+def file_plane(spark, folder):
+    """The middle plane of the file: a filter on z, of which the source plans one partition."""
+    path = _scan(spark, folder)
+    return jobs.read_volume(spark, path).filter(F.col("z") == jobs.volume_shape(path)[0] // 2).drop("volume_id")
+
+
+@_run
+def file_segment(spark, folder):
+    """File to mask file; the mask's planes and the job's own count."""
+    mask_path = stored.shared_path(spark, ".npy").removeprefix("file:")
+    job = jobs.segment_file(spark, _scan(spark, folder), mask_path, THRESHOLD)
+    planes = jobs.read_volume(spark, mask_path).groupBy("z").agg(F.sum("v").cast("bigint").alias("foreground"))
+    return planes.withColumn("reported", F.lit(job["foreground_voxels"]).cast("bigint"))
+
+
+@_run
+def file_slice(spark, folder):
+    """One slice of the file along its second axis, stored as gray pixels."""
+    out = stored.shared_path(spark)
+    jobs.slice_file(spark, _scan(spark, folder), out, 3, 1)
+    return spark.read.parquet(out).select("row", "col", "gray")
+
+
+@_run
+def file_skeleton(spark, folder):
+    """Mask file to skeleton file: its shape, and what thinning must keep."""
+    mask, thin = (stored.shared_path(spark, ".npy").removeprefix("file:") for _ in range(2))
+    jobs.segment_file(spark, _scan(spark, folder), mask, THRESHOLD)
+    jobs.skeletonise_file(spark, mask, thin)
+    shape, dtype = jobs.volume_header(thin)
+    voxels = materialize(jobs.read_volume(spark, thin).filter("v > 0").withColumn("volume_id", F.lit("scan")))
+    solid = jobs.read_volume(spark, mask).filter("v > 0").withColumn("volume_id", F.lit("scan"))
+    found = topology.topology(voxels).join(topology.outside(voxels, solid), "volume_id")
+    extent = [F.lit(n).alias(c) for c, n in zip(("nz", "ny", "nx"), shape)]
+    return found.select(*extent, F.lit(dtype).alias("dtype"), "parts", "euler_number", "outside")
+
+
+@_run
+def file_tiff(spark, folder):
+    """TIFF stacks by a header table made in tasks, in sums of their planes."""
+    register(spark)
+    place = stored.tiff_files(spark, folder)
+    headers = volume_headers(list_tree(spark, place), "full_path")
+    lines = lines_of(spark, headers, "tiff_stack")
+    total = F.aggregate("run", F.lit(0.0), lambda a, v: a + v)
+    name = F.regexp_extract("volume_id", r"([^/]+)\.tif$", 1).alias("volume_id")
+    return lines.groupBy(name, "z").agg(F.sum(F.size("run")).alias("voxels"), F.sum(total * (F.col("y") + 1)).cast("bigint").alias("total"))
+
+
+@_run
+def file_meshes(spark, folder):
+    """Triangles of STL files, with the count that each header names."""
+    register(spark)
+    place = stored.mesh_files(spark, folder)
+    name = F.regexp_extract("mesh_id", r"([^/]+)\.stl$", 1).alias("mesh_id")
+    named = stl_counts(list_tree(spark, place).select("full_path").withColumnRenamed("full_path", "path"))
+    counts = named.withColumnRenamed("path", "mesh_id").select(name, F.col("n_triangles").alias("named"))
+    corners = sum((F.col(f"{v}{axis}") * k for k, (v, axis) in enumerate(((v, a) for v in "abc" for a in "xyz"), 1)), F.lit(0.0))
+    found = spark.read.format("stl_mesh").load(place.removeprefix("file:"))
+    sums = found.groupBy(name).agg(
+        F.count(F.lit(1)).alias("triangles"), F.max("tri_id").alias("last"), F.sum(corners).cast("bigint").alias("total")
+    )
+    return sums.join(counts, "mesh_id")
+
+
+@_run
+def file_tree(spark, folder):
+    """Every file below a folder with its length and content digest."""
+    return digest_tree(spark, stored.document_files(spark, folder))
+
+
+@_run
+def file_top_folders(spark, folder):
+    return top_folders(spark, stored.document_files(spark, folder))
+
+
+@_run
+def file_prompts(spark, folder):
+    """Concepts of every document read as a prompt file."""
+    prompts = read_prompt(spark, f"{stored.document_files(spark, folder)}/*/*")
+    wanted = prompts.select(F.regexp_extract("set_id", r"doc_(\d+)", 1).cast("bigint").alias("set_id"), "value")
+    return concepts.prompt_concepts(wanted).groupBy("set_id").agg(F.count(F.lit(1)).alias("concepts"))
+
+
+@_run
+def file_log(spark, folder):
+    """Keywords of a log in several files, each with the file and line it was first seen on."""
+    found = jobs.mine_log(spark, stored.log_files(spark, folder))
+    return found.select("kind", F.regexp_extract("file", r"part=(\d+)", 1).cast("int").alias("part"), "line_num", "text")
+
+
 @_run
 def inventory_report(spark, folder):
     files = materialize(d.files(spark, folder).select("path", "content_md5"))

@@ -96,12 +96,17 @@ _TABLES = {
         select graph_no, 21::bigint junctions, label::bigint struts, case when even then 2 else 0 end::bigint unit_cells,
           list_min(xs) min_x, list_min(ys) min_y, list_min(zs) min_z, list_max(xs) max_x, list_max(ys) max_y,
           list_max(zs) max_z from graph_doc""",
-    "log_kept": "select conv_id, turn, role from conversations where conv_id % 11 <> 3 and conv_id % 13 <> 5",
+    "log_item": """
+        select conv_id, turn, 2::int str_no, unnest([0, 0, 1])::int call_no, unnest(['query', 'query', 'pattern']) kind,
+          unnest([0, 1, 0])::int item_no,
+          unnest([concat(role, ' lattice (turn ', turn, ')'), translate(text, '()', '[]'), concat('conv ', conv_id % 5)]) "text"
+        from conversations where conv_id % 11 <> 3 and conv_id % 13 <> 5""",
     "keyword": """
-        select * from (
-          select 'query' kind, conv_id, turn, concat(role, ' lattice (turn ', turn::varchar, ')') "text" from log_kept
-          union all select 'pattern', conv_id, turn, concat('conv ', (conv_id % 5)::varchar) from log_kept)
-        qualify row_number() over (partition by kind, "text" order by conv_id, turn) = 1""",
+        select * from (select kind, conv_id, turn, call_no, item_no, "text" from log_item where "text" <> '')
+        qualify row_number() over (partition by kind, "text" order by conv_id, turn, call_no, item_no) = 1""",
+    "log_line": """
+        select conv_id, turn, (conv_id % 8)::int part, row_number() over (partition by conv_id % 8 order by conv_id, turn) line_num
+        from conversations""",
     "degree": """
         select a.volume_id, a.z, a.y, a.x, (count(*) - 1)::int degree
         from (select * from mask where m = 1) a join (select * from mask where m = 1) b
@@ -110,7 +115,10 @@ _TABLES = {
     "kinds": """
         select *, case degree when 0 then 'isolated' when 1 then 'end' when 2 then 'link' else 'junction' end kind
         from degree""",
-    "solid": "select volume_id, z, y, x, (z::bigint << 42) + (y::bigint << 21) + x p from volume where v >= {solid}",
+    "stack": """
+        select 'scan' volume_id, vec_id::int z, (p // 8)::int y, (p % 8)::int x, e::float v
+        from (select vec_id, unnest(embedding) e, generate_subscripts(embedding, 1) - 1 p from embeddings)""",
+    "solid": "select volume_id, z, y, x, (z::bigint << 42) + (y::bigint << 21) + x p from {voxels} where v >= {solid}",
     "touch": """
         select a.volume_id, a.p a, b.p b, a.d from (
           select *, z + dz bz, y + dy b_y, x + dx bx, abs(dz) + abs(dy) + abs(dx) d from solid, (
@@ -185,6 +193,7 @@ def _channel(i: int) -> str:
 
 _FILL = {
     "concepts": ", ".join(f"({i}, '{c}')" for i, c in enumerate(CONCEPTS)),
+    "voxels": "volume",
     "stopwords": ", ".join(f"'{w}'" for w in dict.fromkeys(STOPWORDS)),
     "r": _channel(0),
     "g": _channel(1),
@@ -353,6 +362,15 @@ _check(
         "{stopwords}", _FILL["stopwords"]
     ),
 )
+_check(
+    "file_prompts",
+    "",
+    """select doc_id set_id, count(distinct lower(t)) concepts
+    from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) t from documents)
+    where lower(t) not in ({stopwords}) and (length(t) >= 3 or (length(t) >= 2 and upper(t) = t)) group by 1""".replace(
+        "{stopwords}", _FILL["stopwords"]
+    ),
+)
 _check("auto_concepts", "word_box term", "select * from term")
 _check("concept_hits", _HITS, "select doc_id, page_no, word_no, concept from hit")
 _check("page_hits", _HITS + " page_hit", "select * from page_hit")
@@ -486,14 +504,15 @@ _check(
     "",
     """select event_id, unnest([0, 1])::int str_no, unnest([event_type, concat('u', user_id)]) "text" from events""",
 )
+_check("log_call_arguments", "log_item", """select * from log_item where "text" <> ''""")
+_check("log_keywords", "log_item keyword", 'select kind, conv_id, turn, "text" from keyword')
+_check("log_keyword_counts", "log_item keyword", "select kind, count(*) keywords from keyword group by all")
 _check(
-    "log_call_arguments",
-    "log_kept",
-    """select conv_id, turn, 1::int str_no, 0::int call_no, concat('{"find":[{"pattern":"conv ', conv_id % 5,
-      '"}],"search_query":[{"q":"', role, ' lattice (turn ', turn, ')"}]}') argument from log_kept""",
+    "file_log",
+    "log_item log_line",
+    """select kind, part, line_num, "text" from (select * from log_item where "text" <> '') join log_line using (conv_id, turn)
+    qualify row_number() over (partition by kind, "text" order by part, line_num, call_no, item_no) = 1""",
 )
-_check("log_keywords", "log_kept keyword", "select * from keyword")
-_check("log_keyword_counts", "log_kept keyword", "select kind, count(*) keywords from keyword group by all")
 _check(
     "blob_filter",
     "",
@@ -528,6 +547,49 @@ _check(
     from part join euler using (volume_id) group by all""",
     solid=0.05,
 )
+_check(
+    "file_volume",
+    "stack",
+    "select z, count(*) voxels, sum(floor(v::double * (x + 1) * 1e6 + 0.5)::bigint)::bigint total from stack group by all",
+)
+_check("file_plane", "stack", "select z, y, x, v::double v from stack where z = (select count(*) from embeddings) // 2")
+_check(
+    "file_segment",
+    "stack",
+    """select z, count(*) filter (v >= 0.05::float) foreground,
+      (select count(*) from stack where v >= 0.05::float) reported from stack group by all""",
+)
+_check(
+    "file_slice",
+    "stack",
+    """select z "row", x col, floor((v::double - low) / (high - low) * 255)::int gray
+    from stack, (select min(v)::double low, max(v)::double high from stack where y = 3) where y = 3""",
+)
+_check(
+    "file_skeleton",
+    "stack solid touch part cell euler",
+    """select (select count(*) from embeddings)::int nz, 8 ny, 8 nx, 'bool' dtype, count(distinct root) parts,
+      any_value(euler_number) euler_number, 0::bigint outside from part join euler using (volume_id)""",
+    voxels="stack",
+    solid="0.05::float",
+)
+_check(
+    "file_tiff", "volume", "select volume_id, z, count(*) voxels, sum(g * (y + 1))::bigint total from volume group by all"
+)
+_check(
+    "file_meshes",
+    "triangle",
+    """select mesh_id, count(*) triangles, count(*) - 1 "last", count(*) named, sum("""
+    + " + ".join(f"{k} * {v}{axis}" for k, (v, axis) in enumerate(((v, a) for v in "abc" for a in "xyz"), 1)).replace("by", '"by"')
+    + """)::bigint total from triangle group by all""",
+)
+_check(
+    "file_tree",
+    "files",
+    """select path, octet_length(encode(text))::bigint length, content_md5
+    from files join documents on regexp_extract(path, 'doc_([0-9]+)', 1)::bigint = doc_id""",
+)
+_check("file_top_folders", "", 'select distinct source folder from documents')
 _GRAPH = "volume solid touch voxel named item branch_step branch_end"
 _check(
     "mask_nodes",

@@ -5,7 +5,7 @@ Each function takes the session and the folder of Parquet tables. `plans.checks`
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomoloom.functions.spread import spread_small
@@ -169,21 +169,42 @@ def graph_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_EVENT = (
-    r"""'{"type":"event","payload":{"args":["await tools.web__run({\\"search_query\\":[{\\"q\\":\\"', role, """
-    r"""' lattice (turn ', cast(turn as string), ')\\"}],\\"find\\":[{\\"pattern\\":\\"conv ', """
-    r"""cast(conv_id % 5 as string), '\\"}]})"]}}'"""
-)
+def agent_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Each conversation turn is a log line, some blank, some cut off. `at` is its place: conversation, then turn.
 
+    A line's event holds the whole message in two calls of one string, a call that is never closed in the next, a member
+    that is written twice, and in every third line a number that is none.
+    """
 
-def agent_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Each conversation turn is a log line, some blank, some cut off. `at` is its place: conversation, then turn."""
-    return table(spark, folder, "conversations").selectExpr(
-        "struct(conv_id, turn) as at",
-        "case when conv_id % 11 = 3 then '' "
-        "when conv_id % 13 = 5 then concat('{\"broken', cast(turn as string)) "
-        f"else concat({_EVENT}) end as line",
+    def quoted(text: Column) -> Column:
+        listed = F.to_json(F.array(text))
+        return F.substring(listed, 2, 1 << 30).substr(F.lit(1), F.length(listed) - 2)
+
+    def call(argument: Column) -> Column:
+        return F.concat(F.lit("await tools.web__run("), argument, F.lit(")"))
+
+    def listing(field: str, item: str, *texts: Column) -> Column:
+        return F.to_json(F.struct(F.array(*(F.struct(t.alias(item)) for t in texts)).alias(field)))
+
+    message = F.translate("text", "()", "[]")
+    turn = F.concat("role", F.lit(" lattice (turn "), F.col("turn").cast("string"), F.lit(")"))
+    group = F.concat(F.lit("conv "), (F.col("conv_id") % 5).cast("string"))
+    both = F.concat(
+        call(listing("search_query", "q", turn, message)), F.lit(" then ("), call(listing("find", "pattern", group)), F.lit(")")
+    )
+    unclosed = F.concat(F.lit("later (tools.web__run("), listing("find", "pattern", F.lit("never closed")))
+    replaced = call(listing("find", "pattern", F.lit("replaced")))
+    score = F.when(F.col("turn") % 3 == 0, "NaN").otherwise("0.5")
+    event = F.concat(
+        F.lit('{"type":"event","note":'), quoted(replaced), F.lit(',"score":'), score, F.lit(',"note":"kept","payload":{"args":['),
+        quoted(both), F.lit(","), quoted(unclosed), F.lit("]}}"),
+    )
+    line = (
+        F.when(F.col("conv_id") % 11 == 3, "")
+        .when(F.col("conv_id") % 13 == 5, F.concat(F.lit('{"broken'), F.col("turn").cast("string")))
+        .otherwise(event)
     )
+    return table(spark, folder, "conversations").select(F.struct("conv_id", "turn").alias("at"), line.alias("line"))
 
 
 def message_log(spark: SparkSession, folder: str) -> DataFrame:

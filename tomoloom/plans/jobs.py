@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tomoloom.functions.storage import materialize
 from tomoloom.operators import concepts, heat, inventory, lattice, logs, mesh, skeleton, volume
 from tomoloom.plans import reports
-from tomoloom.sources import explode_lines, read_voxels
+from tomoloom.sources import explode_lines
 from tomoloom.sources.files import (
     digest_tree,
     list_tree,
@@ -22,6 +22,7 @@ from tomoloom.sources.files import (
     read_prompt,
     top_folders,
 )
+from tomoloom.sources.headers import HEADER, lines_of, volume_headers
 from tomoloom.sources.npy import npy_shape
 from tomoloom.sources.stl import stl_counts
 from tomoloom.sources.tiff import read_directory
@@ -129,10 +130,9 @@ def explore_folder(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     volumes = inventory.duplicates(inventory.volume_files(inventory.describe_files(digests)))
     located = list_tree(spark, root).select("path", F.regexp_replace("full_path", "^file:", "").alias("volume_id"))
     firsts = materialize(volumes.filter(~F.col("is_duplicate")).select("path", "ext").join(located, "path"))
-    # File names only; the readers open each file's header on the driver in any case.
-    chosen = [(row.volume_id, row.ext) for row in firsts.select("volume_id", "ext").collect()]
-    kinds = {"npy_volume": [p for p, e in chosen if e == ".npy"], "tiff_stack": [p for p, e in chosen if e != ".npy"]}
-    scans = [read_voxels(spark, name, files="\n".join(paths)) for name, paths in kinds.items() if paths]
+    headers = volume_headers(firsts, "volume_id")
+    kinds = [row.kind for row in spark.read.schema(HEADER).parquet(headers).select("kind").distinct().collect()]
+    scans = [explode_lines(lines_of(spark, headers, kind)) for kind in sorted(kinds)]
     names = firsts.select("volume_id", "path")
 
     def named(result: DataFrame) -> DataFrame:

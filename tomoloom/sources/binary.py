@@ -7,9 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyarrow.dataset import dataset
 from pyspark.sql.datasource import EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan
 from pyspark.sql.datasource import LessThanOrEqual
 
+from tomoloom.functions.paths import located
+
 BATCH_VALUES = 1 << 18
 SLAB_VALUES = 1 << 21
 
@@ -25,20 +29,27 @@ class Span(InputPartition):
 
 def list_files(path: str, suffixes: tuple[str, ...]) -> list[str]:
     """The file itself, or every file below a folder with one of the suffixes, in byte order."""
-    path = path.removeprefix("file:")
-    if os.path.isfile(path):
-        suffix = os.path.splitext(path)[1].lower()
+    store, inner = located(path)
+    shown = inner if isinstance(store, fs.LocalFileSystem) else path.rstrip("/")
+    kind = store.get_file_info(inner).type
+    if kind == fs.FileType.File:
+        suffix = os.path.splitext(inner)[1].lower()
         if suffix not in suffixes:
             raise ValueError(f"Unsupported file type '{suffix}'. Expected {' or '.join(suffixes)}.")
-        return [path]
-    if not os.path.isdir(path):
-        raise FileNotFoundError(f"input file not found at {path}")
-    return sorted(
-        os.path.join(folder, name)
-        for folder, _, names in os.walk(path)
-        for name in names
-        if os.path.splitext(name)[1].lower() in suffixes
-    )
+        return [shown]
+    if kind != fs.FileType.Directory:
+        raise FileNotFoundError(f"input file not found at {shown}")
+    found = store.get_file_info(fs.FileSelector(inner, recursive=True))
+    below = [f.path for f in found if f.type == fs.FileType.File and os.path.splitext(f.path)[1].lower() in suffixes]
+    return sorted(shown + name.removeprefix(inner) for name in below)
+
+
+def planned_headers(options) -> list[dict] | None:
+    """Rows of the header table that the `headers` option names, by path; None without the option."""
+    if "headers" not in options:
+        return None
+    store, inner = located(options["headers"])
+    return dataset(inner, filesystem=store, format="parquet").to_table().sort_by("path").to_pylist()
 
 
 def chosen_files(options, suffixes: tuple[str, ...]) -> list[str]:

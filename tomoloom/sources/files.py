@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from urllib.parse import quote, unquote
+from urllib.parse import unquote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tomoloom.functions.paths import located
 from tomoloom.functions.storage import materialize
 from tomoloom.schemas import LATTICE_JSON
 
@@ -67,10 +67,7 @@ def digest_tree(spark: SparkSession, root: str) -> DataFrame:
         for batch in batches:
             digests = []
             for name in batch.column("full_path").to_pylist():
-                if name.startswith("file:"):
-                    store, path = fs.LocalFileSystem(), re.sub(r"^file:/+", "/", name)
-                else:
-                    store, path = fs.FileSystem.from_uri(quote(name, safe=":/"))
+                store, path = located(name)
                 digest = hashlib.md5()
                 with store.open_input_stream(path) as handle:
                     while block := handle.read(READ_BYTES):

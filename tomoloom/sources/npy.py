@@ -9,18 +9,54 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, WriterCommitMessage
 
+from tomoloom.functions.paths import located, open_file
 from tomoloom.schemas import LINE
-from tomoloom.sources.binary import SLAB_VALUES, Span, ZRange, chosen_files, line_batches, split_spans
+from tomoloom.sources.binary import SLAB_VALUES, Span, ZRange, chosen_files, line_batches, planned_headers, split_spans
+
+
+@dataclass
+class NpyHeader:
+    shape: tuple[int, ...]
+    dtype: np.dtype
+    fortran: bool
+    offset: int
+
+
+def read_header(handle) -> NpyHeader:
+    """What an open `.npy` file holds, from its header alone."""
+    version = np.lib.format.read_magic(handle)
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, fortran, dtype = read(handle)
+    return NpyHeader(shape, dtype, fortran, handle.tell())
 
 
 def npy_shape(path: str) -> tuple[tuple[int, ...], np.dtype]:
     """Shape and dtype from the header alone."""
-    array = np.load(path, mmap_mode="r")
-    return array.shape, array.dtype
+    with open_file(path) as handle:
+        header = read_header(handle)
+    return header.shape, header.dtype
+
+
+def planes(path: str, start: int, stop: int):
+    """Planes `start` to `stop - 1` of a 3D file, read a plane at a time; the layout with z innermost is read whole."""
+    with open_file(path) as handle:
+        head = read_header(handle)
+        nz, ny, nx = head.shape
+        if head.fortran and min(ny, nx) > 0:
+            handle.seek(head.offset)
+            whole = np.frombuffer(handle.read(nz * ny * nx * head.dtype.itemsize), head.dtype)
+            yield from whole.reshape(head.shape, order="F")[start:stop]
+            return
+        size = ny * nx * head.dtype.itemsize
+        for z in range(start, stop):
+            yield np.frombuffer(handle.read_at(size, head.offset + z * size), head.dtype).reshape(ny, nx)
 
 
 class NpyVolume(DataSource):
-    """Options: `path` (file or folder) or `files` (one path per line), `slab` (z planes per task). The volume's id is its file path."""
+    """Options: `path` (file or folder), `files` (one path per line) or `headers` (see `sources.headers`), `slab` (z planes per task).
+
+    The volume's id is its file path.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -38,7 +74,8 @@ class NpyVolume(DataSource):
 
 class NpyReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.files = chosen_files(options, (".npy",))
+        self.planned = planned_headers(options)
+        self.files = chosen_files(options, (".npy",)) if self.planned is None else []
         self.slab = int(options["slab"]) if "slab" in options else None
         self.z = ZRange()
 
@@ -49,19 +86,21 @@ class NpyReader(DataSourceReader):
 
     def partitions(self):
         spans = []
-        for path in self.files:
-            shape, _ = npy_shape(path)
+        if self.planned is None:
+            shapes = ((path, npy_shape(path)[0]) for path in self.files)
+        else:
+            shapes = ((row["path"], row["shape"]) for row in self.planned)
+        for path, shape in shapes:
             if len(shape) != 3:
                 raise ValueError(f"expected a 3D array, got shape {shape}")
-            planes = self.slab or SLAB_VALUES // max(1, shape[1] * shape[2])
-            spans += split_spans(path, shape[0], planes, self.z.low, self.z.high)
+            per_task = self.slab or SLAB_VALUES // max(1, shape[1] * shape[2])
+            spans += split_spans(path, shape[0], per_task, self.z.low, self.z.high)
         return spans or [Span("", 0, 0)]
 
     def read(self, span: Span):
         if span.stop > span.start:
-            array = np.load(span.path, mmap_mode="r")
-            for z in range(span.start, span.stop):
-                yield from line_batches(span.path, z, array[z])
+            for z, plane in enumerate(planes(span.path, span.start, span.stop), span.start):
+                yield from line_batches(span.path, z, plane)
 
 
 @dataclass
@@ -78,7 +117,7 @@ class NpyWriter(DataSourceArrowWriter):
     """
 
     def __init__(self, options, schema, overwrite: bool) -> None:
-        self.path = options["path"].removeprefix("file:")
+        self.path = located(options["path"])[1]
         if os.path.splitext(self.path)[1].lower() != ".npy":
             raise ValueError("output_filepath must end with '.npy'")
         if os.path.exists(self.path) and not overwrite:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
+from tomoloom.functions.paths import open_file
 from tomoloom.schemas import TRIANGLE
 from tomoloom.sources.binary import BATCH_VALUES, Span, list_files, split_spans
 
@@ -21,7 +21,7 @@ RECORDS_PER_TASK = 1 << 18
 
 
 def header_count(path: str) -> int:
-    with open(path, "rb") as handle:
+    with open_file(path) as handle:
         head = handle.read(HEADER_BYTES)
     return struct.unpack("<I", head[80:84])[0]
 
@@ -49,7 +49,9 @@ class StlReader(DataSourceReader):
         spans = []
         for path in self.files:
             n = header_count(path)
-            if os.path.getsize(path) < HEADER_BYTES + n * RECORD.itemsize:
+            with open_file(path) as handle:
+                size = handle.size()
+            if size < HEADER_BYTES + n * RECORD.itemsize:
                 raise ValueError(f"{path}: file is shorter than the {n} triangles its header names")
             spans += split_spans(path, n, self.records)
         return spans or [Span("", 0, 0)]
@@ -61,7 +63,7 @@ class StlReader(DataSourceReader):
         )
         for start in range(span.start, span.stop, BATCH_VALUES):
             n = min(BATCH_VALUES, span.stop - start)
-            with open(span.path, "rb") as handle:
+            with open_file(span.path) as handle:
                 handle.seek(HEADER_BYTES + start * RECORD.itemsize)
                 corners = np.frombuffer(handle.read(n * RECORD.itemsize), RECORD)["corners"].astype(np.float64)
             ids = pa.DictionaryArray.from_arrays(np.zeros(n, np.int32), [span.path]).dictionary_decode()
@@ -80,7 +82,7 @@ def stl_counts(listing: DataFrame) -> DataFrame:
     def count(batches):
         for batch in batches:
             paths = batch.column("path")
-            counts = [header_count(p.as_py().removeprefix("file:")) for p in paths]
+            counts = [header_count(p.as_py()) for p in paths]
             yield pa.RecordBatch.from_arrays([paths, pa.array(counts, pa.int64())], ["path", "n_triangles"])
 
     return listing.select(F.col("path").cast("string")).mapInArrow(count, "path string, n_triangles bigint")

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tomoloom.functions.paths import open_file
 from tomoloom.schemas import LINE
-from tomoloom.sources.binary import SLAB_VALUES, ZRange, chosen_files, line_batches
+from tomoloom.sources.binary import SLAB_VALUES, ZRange, chosen_files, line_batches, planned_headers
 
 # TIFF tag numbers and field types (TIFF 6.0; type 16 is the 64-bit offset of large files).
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES = 256, 257, 258, 259, 273, 277
@@ -25,6 +26,15 @@ class Page:
     dtype: str
     strips: list[tuple[int, int]]
 
+    def row(self) -> dict:
+        places = [{"offset": offset, "size": size} for offset, size in self.strips]
+        return {"height": self.shape[0], "width": self.shape[1], "dtype": self.dtype, "strips": places}
+
+    @classmethod
+    def from_row(cls, row: dict) -> Page:
+        places = [(s["offset"], s["size"]) for s in row["strips"]]
+        return cls((row["height"], row["width"]), row["dtype"], places)
+
 
 @dataclass
 class PageRange(InputPartition):
@@ -70,7 +80,7 @@ def _page(order: str, tags: dict[int, tuple], path: str) -> Page:
 def read_directory(path: str) -> list[Page]:
     """All pages of a file, found by following the chain of page directories; pixels are not touched."""
     pages = []
-    with open(path, "rb") as handle:
+    with open_file(path) as handle:
         order = {b"II": "<", b"MM": ">"}.get(handle.read(2))
         version = struct.unpack((order or "<") + "H", handle.read(2))[0]
         if order is None or version not in (42, 43):
@@ -98,7 +108,10 @@ def read_directory(path: str) -> list[Page]:
 
 
 class TiffStack(DataSource):
-    """Options: `path` (file or folder) or `files` (one path per line), `pages` (planes per task). The volume's id is its file path."""
+    """Options: `path` (file or folder), `files` (one path per line) or `headers` (see `sources.headers`), `pages` (planes per task).
+
+    The volume's id is its file path.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -113,7 +126,8 @@ class TiffStack(DataSource):
 
 class TiffReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.files = chosen_files(options, (".tif", ".tiff"))
+        self.planned = planned_headers(options)
+        self.files = chosen_files(options, (".tif", ".tiff")) if self.planned is None else []
         self.per_task = int(options["pages"]) if "pages" in options else None
         self.z = ZRange()
 
@@ -124,8 +138,13 @@ class TiffReader(DataSourceReader):
 
     def partitions(self):
         ranges = []
-        for path in self.files:
-            pages = read_directory(path)
+        if self.planned is None:
+            listed = ((path, read_directory(path)) for path in self.files)
+        else:
+            listed = ((row["path"], [Page.from_row(p) for p in row["pages"]]) for row in self.planned)
+        for path, pages in listed:
+            if not pages:
+                continue
             high = len(pages) if self.z.high is None else min(len(pages), self.z.high)
             height, width = pages[0].shape
             step = self.per_task or max(1, SLAB_VALUES // max(1, height * width))
@@ -136,7 +155,7 @@ class TiffReader(DataSourceReader):
     def read(self, part: PageRange):
         if not part.pages:
             return
-        with open(part.path, "rb") as handle:
+        with open_file(part.path) as handle:
             for z, page in enumerate(part.pages, start=part.first):
                 raw = bytearray()
                 for offset, size in page.strips:
