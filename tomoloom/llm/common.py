@@ -43,6 +43,14 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def names_one_row(docs: DataFrame) -> bool:
     """Whether every row has an id of its own."""
     seen = docs.agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("ids")).first()

@@ -247,7 +247,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHAR
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
-    """`docs` without the contaminated ones, all columns kept."""
+    """`docs` without the contaminated ones, all columns kept, whatever their names.
+
+    Null and empty texts stay; repeated rows, rows without an id and texts of any length are judged by their whole text.
+    """
     prepare(docs.sparkSession)
-    marked = docs.withColumn("_bench_items", items_column(benchmark, F.col("text"), share))
-    return marked.filter(F.size("_bench_items") == 0).drop("_bench_items")
+    return docs.filter(F.size(items_column(benchmark, F.col("text"), share)) == 0)

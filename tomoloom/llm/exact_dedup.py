@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomoloom.functions.storage import materialize
-from tomoloom.llm.common import texts
+from tomoloom.llm.common import texts, unused, with_key
 
 DIGEST = ["text_sha256", "check", "n_bytes"]
 FAN_IN = 8
@@ -65,20 +65,27 @@ def exact_groups(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """`docs` without the copies: of rows with equal text, the one with the largest doc_id, all columns kept."""
-    numbered = materialize(docs.withColumn("_dedup_row", F.monotonically_increasing_id()))
+    """`docs` without the copies: of rows with equal text, the one with the largest doc_id, all columns kept.
+
+    Null texts equal empty ones, a null id is smaller than any other, and of rows that repeat id and text one stays. Rows
+    are named by their id where it names one row, and the table is written again only where it does not.
+    """
+    key = unused(docs, "_dedup_row")
+    numbered = with_key(docs, key)
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     first = materialize(
-        numbered.groupBy(
+        numbered.select(
             F.spark_partition_id().alias("run"),
             F.sha2(body, 256).alias("text_sha256"),
             F.xxhash64(body).alias("check"),
             F.octet_length(body).alias("n_bytes"),
-        ).agg(F.max(F.struct("doc_id", F.col("_dedup_row").alias("row"))).alias("best"), F.count(F.lit(1)).alias("size"))
+            F.struct("doc_id", F.col(key).alias("row")).alias("one"),
+        )
+        .groupBy("run", "text_sha256", "check", "n_bytes")
+        .agg(F.max("one").alias("best"), F.count(F.lit(1)).alias("size"))
     )
     merged, left = first, (first.agg(F.max("run")).first()[0] or 0) + 1
     while left > 1:
         merged = _merge(merged, fan_in)
         left = -(-left // fan_in)
-    stay = merged.select(F.col("best.row").alias("_dedup_row"))
-    return numbered.join(stay, "_dedup_row", "left_semi").drop("_dedup_row")
+    return numbered.join(merged.select(F.col("best.row").alias(key)), key, "left_semi").drop(key)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomoloom.functions.storage import discard, materialize
-from tomoloom.llm.common import keyed, mix, prepare, sieve, sieve_cell, sieve_table, text_blocks, with_key, words
+from tomoloom.llm.common import keyed, mix, prepare, sieve, sieve_cell, sieve_table, text_blocks, unused, with_key, words
 from tomoloom.llm.components import components
 
 WORDS = 5
@@ -390,7 +390,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Texts without words are no copies of each other and stay.
     """
-    whole = with_key(docs, "_near_ref")
-    rows = whole.select(F.col("_near_ref").alias("ref"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    gone = materialize(classes(rows).filter(~F.col("stays")).select(F.col("ref").alias("_near_ref")))
-    return whole.join(gone, "_near_ref", "left_anti").drop("_near_ref")
+    key = unused(docs, "_near_ref")
+    whole = with_key(docs, key)
+    rows = whole.select(F.col(key).alias("ref"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    gone = materialize(classes(rows).filter(~F.col("stays")).select(F.col("ref").alias(key)))
+    return whole.join(gone, key, "left_anti").drop(key)

@@ -196,8 +196,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """`docs` without the documents that the chain calls toxic, all columns kept."""
+    """`docs` without the documents that the chain calls toxic, all columns kept, whatever their names.
+
+    Null and empty texts, texts of any length, repeated rows and rows without an id are judged by their text like all others.
+    """
     prepare(docs.sparkSession)
     chain = fit(docs, labels, rows)
-    marked = docs.withColumn("_toxic_p", chain_column(chain, F.col("text"))[LABEL])
-    return marked.filter(F.col("_toxic_p") < 0.5).drop("_toxic_p")
+    return docs.filter(chain_column(chain, F.col("text"))[LABEL] < 0.5)
