@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from binaries import write_stl, write_tiff
 from tomoloom.operators import lattice
-from tomoloom.sources import read_voxels
+from tomoloom.functions.paths import open_file
+from tomoloom.sources import explode_lines, read_voxels
+from tomoloom.sources.headers import lines_of, volume_headers
+from tomoloom.sources.tiff import Page, read_directory
 from tomoloom.plans.jobs import read_volume, store_voxels, volume_shape
 from tomoloom.sources.files import digest_tree, list_tree, log_lines, number_lines, read_lattice_json, read_prompt
 from tomoloom.sources.stl import header_count, stl_counts
@@ -67,9 +70,50 @@ def test_tiff_stack(spark, tmp_path, order, dtype):
     assert np.array_equal(to_array(read_volume(spark, str(tmp_path / "v.TIFF")), array.shape), array.astype("f8"))
 
 
-def test_compressed_tiff_is_refused(tmp_path, array):
-    write_tiff(tmp_path / "v.tif", array, compression=5)
-    with pytest.raises(ValueError, match="compressed TIFF"):
+LAYOUTS = [
+    {"compression": code, "predictor": predictor, "tile": tile, "order": order}
+    for code in (1, 5, 8, 32946, 32773)
+    for predictor, tile, order in ((1, None, "<"), (2, None, ">"), (2, (16, 16), "<"), (1, (16, 32), ">"))
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS, ids=lambda o: "-".join(map(str, o.values())))
+def test_tiff_layouts(tmp_path, layout):
+    rng = np.random.default_rng(7)
+    # Long even stretches and noise, and so many kinds of pairs that the widest codes and a cleared table occur.
+    array = np.concatenate([rng.integers(0, 1 << 16, (1, 70, 45)), rng.integers(7, 9, (1, 70, 45)), np.full((1, 70, 45), 300)]).astype("u2")
+    write_tiff(tmp_path / "v.tif", array, rows_per_strip=33, **layout)
+    pages = read_directory(str(tmp_path / "v.tif"))
+    with open_file(str(tmp_path / "v.tif")) as handle:
+        assert all(np.array_equal(page.read(handle), plane) for page, plane in zip(pages, array, strict=True))
+        assert [Page.from_row(p.row()) for p in pages] == pages
+
+
+def test_compressed_tiles_through_headers(spark, tmp_path):
+    arrays = {f"v{k}.tif": np.random.default_rng(k).integers(0, 9, (3, 20, 30)).astype("i4") for k in range(3)}
+    for k, (name, array) in enumerate(arrays.items()):
+        write_tiff(tmp_path / name, array, compression=(5, 8, 32773)[k], predictor=2, tile=(16, 16))
+    np.save(tmp_path / "v.npy", arrays["v0.tif"])
+    listed = spark.createDataFrame([(str(p),) for p in tmp_path.iterdir()], "path string")
+    headers = volume_headers(listed)
+    rows = {r.path: (r.kind, tuple(r.shape), r.dtype) for r in spark.read.parquet(headers).collect()}
+    assert rows[str(tmp_path / "v.npy")] == ("npy_volume", (3, 20, 30), "int32") and len(rows) == 4
+    for kind, names in (("tiff_stack", list(arrays)), ("npy_volume", ["v.npy"])):
+        voxels = explode_lines(lines_of(spark, headers, kind))
+        for name in names:
+            one = voxels.filter(F.col("volume_id") == str(tmp_path / name))
+            assert np.array_equal(to_array(one, (3, 20, 30)), arrays.get(name, arrays["v0.tif"]))
+        assert voxels.filter("z = 1").count() == 600 * len(names)
+    with pytest.raises(Exception, match="Unsupported file type '.raw'"):
+        volume_headers(spark.createDataFrame([(str(tmp_path / "flat.raw"),)], "path string"))
+
+
+def test_unknown_tiff_layouts_are_refused(tmp_path, array):
+    write_tiff(tmp_path / "v.tif", array, compression=7)
+    with pytest.raises(ValueError, match="unsupported TIFF compression 7"):
+        volume_shape(str(tmp_path / "v.tif"))
+    write_tiff(tmp_path / "v.tif", array.astype("f4"), predictor=2)
+    with pytest.raises(ValueError, match="unsupported TIFF predictor 2"):
         volume_shape(str(tmp_path / "v.tif"))
 
 

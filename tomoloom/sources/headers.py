@@ -15,7 +15,8 @@ from tomoloom.sources.tiff import read_directory
 
 HEADER = (
     "path string, kind string, shape array<bigint>, dtype string, "
-    "pages array<struct<height: bigint, width: bigint, dtype: string, strips: array<struct<offset: bigint, size: bigint>>>>"
+    "pages array<struct<height: bigint, width: bigint, dtype: string, strips: array<struct<offset: bigint, size: bigint>>, "
+    "block: array<bigint>, codec: int, predictor: int, tiled: boolean>>"
 )
 KINDS = {".npy": "npy_volume", ".tif": "tiff_stack", ".tiff": "tiff_stack"}
 
@@ -45,6 +46,7 @@ def volume_headers(files: DataFrame, path: str = "path") -> str:
         pa.struct(
             [("height", pa.int64()), ("width", pa.int64()), ("dtype", pa.string())]
             + [("strips", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())])))]
+            + [("block", pa.list_(pa.int64())), ("codec", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_())]
         )
     )
     schema = pa.schema(

@@ -1,4 +1,4 @@
-"""`tiff_stack`: multi-page uncompressed TIFF volumes as lines of voxels, one z plane per page."""
+"""`tiff_stack`: multi-page TIFF volumes, plain or compressed, in strips or tiles, as lines of voxels, one z plane per page."""
 
 from __future__ import annotations
 
@@ -10,30 +10,60 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tomoloom.functions.paths import open_file
 from tomoloom.schemas import LINE
+from tomoloom.sources.tiff_blocks import CODECS, DIFFERENCES, NONE, PLAIN, decode_block
 from tomoloom.sources.binary import SLAB_VALUES, ZRange, chosen_files, line_batches, planned_headers
 
 # TIFF tag numbers and field types (TIFF 6.0; type 16 is the 64-bit offset of large files).
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES = 256, 257, 258, 259, 273, 277
-ROWS_PER_STRIP, STRIP_BYTES, TILE_WIDTH, SAMPLE_FORMAT = 278, 279, 322, 339
+ROWS_PER_STRIP, STRIP_BYTES, PREDICTOR, SAMPLE_FORMAT = 278, 279, 317, 339
+TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
 FIELD_TYPES = {1: "B", 3: "H", 4: "I", 16: "Q"}
 
 
 @dataclass
 class Page:
-    """Where one plane's pixels lie in the file."""
+    """Where one plane's pixels lie in the file, and how: blocks of one size, line by line, the last ones may reach over."""
 
     shape: tuple[int, int]
     dtype: str
     strips: list[tuple[int, int]]
+    block: tuple[int, int]
+    codec: int
+    predictor: int
+    tiled: bool
 
     def row(self) -> dict:
         places = [{"offset": offset, "size": size} for offset, size in self.strips]
-        return {"height": self.shape[0], "width": self.shape[1], "dtype": self.dtype, "strips": places}
+        return {
+            "height": self.shape[0],
+            "width": self.shape[1],
+            "dtype": self.dtype,
+            "strips": places,
+            "block": list(self.block),
+            "codec": self.codec,
+            "predictor": self.predictor,
+            "tiled": self.tiled,
+        }
 
     @classmethod
     def from_row(cls, row: dict) -> Page:
         places = [(s["offset"], s["size"]) for s in row["strips"]]
-        return cls((row["height"], row["width"]), row["dtype"], places)
+        layout = (tuple(row["block"]), row["codec"], row["predictor"], row["tiled"])
+        return cls((row["height"], row["width"]), row["dtype"], places, *layout)
+
+    def read(self, handle) -> np.ndarray:
+        """The plane's pixels, one block in memory besides it."""
+        height, width = self.shape
+        tall, wide = self.block
+        out = np.empty(self.shape, np.dtype(self.dtype).newbyteorder("="))
+        across = -(-width // wide)
+        for k, (offset, size) in enumerate(self.strips):
+            y, x = k // across * tall, k % across * wide
+            rows = tall if self.tiled else min(tall, height - y)
+            handle.seek(offset)
+            pixels = decode_block(handle.read(size), self.codec, self.predictor, self.dtype, rows, wide)
+            out[y : y + tall, x : x + wide] = pixels[: height - y, : width - x]
+        return out
 
 
 @dataclass
@@ -63,18 +93,27 @@ def _page(order: str, tags: dict[int, tuple], path: str) -> Page:
     def one(tag: int, default: int) -> int:
         return tags.get(tag, (default,))[0]
 
-    if one(COMPRESSION, 1) != 1:
-        raise ValueError(f"{path}: compressed TIFF pages are not supported (compression {one(COMPRESSION, 1)})")
-    if TILE_WIDTH in tags or STRIP_OFFSETS not in tags:
-        raise ValueError(f"{path}: tiled TIFF pages are not supported")
+    if one(COMPRESSION, NONE) not in CODECS:
+        raise ValueError(f"{path}: unsupported TIFF compression {one(COMPRESSION, NONE)}")
+    tiled = TILE_WIDTH in tags
+    offsets, sizes = (TILE_OFFSETS, TILE_BYTES) if tiled else (STRIP_OFFSETS, STRIP_BYTES)
+    if offsets not in tags or sizes not in tags:
+        raise ValueError(f"{path}: a TIFF page does not say where its pixels are")
     if one(SAMPLES, 1) != 1:
         raise ValueError(f"{path}: expected one sample per pixel, got {one(SAMPLES, 1)}")
     height, width, bits = one(HEIGHT, 0), one(WIDTH, 0), one(BITS, 1)
     letter = {1: "u", 2: "i", 3: "f"}.get(one(SAMPLE_FORMAT, 1))
     if letter is None or bits not in (8, 16, 32, 64):
         raise ValueError(f"{path}: unsupported pixel type ({bits} bits)")
-    strips = list(zip(tags[STRIP_OFFSETS], tags[STRIP_BYTES], strict=True))
-    return Page((height, width), f"{order}{letter}{bits // 8}", strips)
+    predictor = one(PREDICTOR, PLAIN)
+    if predictor not in (PLAIN, DIFFERENCES) or (predictor == DIFFERENCES and letter == "f"):
+        raise ValueError(f"{path}: unsupported TIFF predictor {predictor}")
+    strips = list(zip(tags[offsets], tags[sizes], strict=True))
+    # Without a number of lines a strip holds them all.
+    block = (one(TILE_HEIGHT, 0), one(TILE_WIDTH, 0)) if tiled else (min(one(ROWS_PER_STRIP, height), height) or 1, width)
+    if len(strips) < -(-height // max(block[0], 1)) * -(-width // max(block[1], 1)):
+        raise ValueError(f"{path}: a TIFF page names too few strips or tiles")
+    return Page((height, width), f"{order}{letter}{bits // 8}", strips, block, one(COMPRESSION, NONE), predictor, tiled)
 
 
 def read_directory(path: str) -> list[Page]:
@@ -157,9 +196,4 @@ class TiffReader(DataSourceReader):
             return
         with open_file(part.path) as handle:
             for z, page in enumerate(part.pages, start=part.first):
-                raw = bytearray()
-                for offset, size in page.strips:
-                    handle.seek(offset)
-                    raw += handle.read(size)
-                pixels = np.frombuffer(raw, dtype=page.dtype, count=page.shape[0] * page.shape[1])
-                yield from line_batches(part.path, z, pixels.reshape(page.shape))
+                yield from line_batches(part.path, z, page.read(handle))
