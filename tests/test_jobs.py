@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pytest
 
+from arrays import parts_and_euler
 from binaries import write_stl, write_tiff
 from test_concepts import boxes
 from test_volume import GOLDEN, GOLDEN_MASK, otsu_by_hand
@@ -101,6 +102,45 @@ def test_explore_folder(spark, tmp_path):
     histograms = found["histograms"].orderBy("name", "bin").collect()
     assert sorted({r.name for r in histograms}) == ["copies__a.tif", "scans__c.npy"]
     assert [r.voxels for r in histograms[:200]] == np.histogram(array, bins=200)[0].tolist()
+    stored = {r.volume_id: (tuple(r.shape), r.dtype, r.max_v) for r in found["volumes"].collect()}
+    assert stored == {
+        "copies/a.tif": ((3, 4, 5), "uint16", array.max()),
+        "scans/c.npy": ((3, 4, 5), "float64", (array / 7).max()),
+    }
+
+
+def test_explore_a_folder_without_volumes(spark, tmp_path):
+    (tmp_path / "note.txt").write_text("x")
+    found = jobs.explore_folder(spark, str(tmp_path))
+    assert sorted(found) == ["duplicates", "report"] and found["duplicates"].count() == 0
+
+
+def test_inspect_file(spark, tmp_path):
+    # A square ring with a tail of its own thickness, and a small block apart from it.
+    solid = np.zeros((9, 24, 40), "f4")
+    solid[3:6, 3:18, 3:18] = 0.8
+    solid[3:6, 6:15, 6:15] = 0.1
+    solid[3:6, 9:12, 15:32] = 0.8
+    solid[3:6, 20:23, 34:37] = 0.5
+    np.save(tmp_path / "scan.npy", solid)
+    found = jobs.inspect_file(spark, str(tmp_path / "scan.npy"), 0.5)
+    report = {(r.section, r.metric): r.value for r in found["report"].collect()}
+    assert report["segmentation", "foreground_voxels"] == (solid >= 0.5).sum()
+    assert report["segmentation", "background_voxels"] == (solid < 0.5).sum()
+    assert [report["metadata", n] for n in ("nz", "ny", "nx")] == [9, 24, 40]
+    assert (report["connectivity", "parts"], report["connectivity", "euler_number"]) == parts_and_euler(solid >= 0.5)
+    assert report["connectivity", "graph_parts"] == 2
+    assert all(report["connectivity", n] == 0 for n in ("outside", "unplaced_voxels", "loose_ends"))
+    # The ring is one branch from a junction back to it, the tail another one from there to an end.
+    kinds = {r.node: r.kind for r in found["nodes"].collect()}
+    branches = found["branches"].collect()
+    assert report["struts", "struts"] == len(branches) and report["nodes", "junctions"] == 1
+    (ring,) = [r for r in branches if r.start == r.end]
+    (tail,) = [r for r in branches if r.start != r.end and ring.start in (r.start, r.end)]
+    assert {kinds[tail.start], kinds[tail.end]} == {"junction", "end"} and ring.length > tail.length > 8
+    np.save(tmp_path / "none.npy", np.zeros((3, 3, 3), "f4"))
+    with pytest.raises(ValueError, match="^input mask has no foreground voxels to skeletonize$"):
+        jobs.inspect_file(spark, str(tmp_path / "none.npy"), 0.5)
 
 
 def test_mine_log(spark, tmp_path):

@@ -604,7 +604,7 @@ def nde_report(spark, folder):
             "connectivity": (
                 reports.connectivity(mask.filter("m = 1"), materialize(skeleton.skeletonise(mask))),
                 "volume_id",
-                ["parts", "euler_number", "outside", "graph_parts", "unplaced_voxels", "loose_ends"],
+                reports.CONNECTIVITY,
             ),
         }
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomoloom.functions.storage import materialize
-from tomoloom.operators import concepts, heat, inventory, lattice, logs, mesh, skeleton, volume
+from tomoloom.operators import concepts, heat, inventory, lattice, logs, mesh, skeleton, topology, volume
 from tomoloom.plans import reports
 from tomoloom.sources import explode_lines
 from tomoloom.sources.files import (
@@ -108,6 +108,38 @@ def skeletonise_file(spark: SparkSession, input_path: str, output_path: str) ->
     return {"output": output_path, "shape": shape, "skeleton_voxels": thin.count()}
 
 
+def inspect_file(spark: SparkSession, input_path: str, threshold: float) -> dict[str, DataFrame]:
+    """Inspection report of a scan file: threshold, skeleton and strut graph, in one tidy table.
+
+    Besides the `report`, the `skeleton` voxels and the graph's `nodes` and `branches`. Sections are the volume's metadata,
+    its segmentation, the skeleton's connectivity, and what the strut graph holds.
+    """
+    volume.check_threshold(threshold)
+    shape, dtype = volume_header(input_path)
+    volume.check_rank(shape)
+    lines = read_lines(spark, input_path)
+    mask = materialize(explode_lines(volume.segment_lines(lines, threshold, dtype)).withColumnRenamed("v", "m").filter("m <> 0"))
+    if mask.isEmpty():
+        raise ValueError("input mask has no foreground voxels to skeletonize")
+    thin = materialize(skeleton.skeletonise(mask))
+    nodes, branches = topology.skeleton_graph(thin)
+    total = int(np.prod(shape))
+    counted = mask.groupBy("volume_id").agg(F.count(F.lit(1)).alias("foreground_voxels"))
+    stats = counted.withColumn("background_voxels", F.lit(total) - F.col("foreground_voxels"))
+    struts = branches.groupBy("volume_id").agg(
+        F.count(F.lit(1)).alias("struts"), F.sum("length").alias("total_length"), F.max("length").alias("longest")
+    )
+    ends = topology.graph_summary(nodes, branches).select("volume_id", "junctions", "ends", "isolated", "closed")
+    sections = {
+        "metadata": (volume.profile(explode_lines(lines)), "volume_id", ["nz", "ny", "nx", "n_voxels", "min_v", "max_v", "mean_v"]),
+        "segmentation": (stats, "volume_id", ["foreground_voxels", "background_voxels"]),
+        "connectivity": (reports.connectivity(mask, thin, (nodes, branches)), "volume_id", reports.CONNECTIVITY),
+        "struts": (struts, "volume_id", ["struts", "total_length", "longest"]),
+        "nodes": (ends, "volume_id", ["junctions", "ends", "isolated", "closed"]),
+    }
+    return {"report": reports.nde_report(sections), "skeleton": thin, "nodes": nodes, "branches": branches}
+
+
 def store_voxels(table: DataFrame, path: str) -> None:
     """Write a voxel, mask or skeleton table partitioned by volume and slab, each slab in scan order."""
     slabbed = table.withColumn("z_slab", F.floor(F.col("z") / SLAB).cast("int"))
@@ -123,6 +155,7 @@ def store_voxels(table: DataFrame, path: str) -> None:
 def explore_folder(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Inventory report of a data folder, pairs of duplicate volumes, and the 200-bin histogram of each distinct one.
 
+    `volumes` gives each distinct one's shape and stored type, from its header, with its least, largest and mean value.
     Duplicate volumes are hashed but neither profiled nor counted into bins. `histograms` names each one by its path
     with `__` for the separators.
     """
@@ -146,11 +179,13 @@ def explore_folder(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     meshes = meshes.withColumnRenamed("path", "mesh_id")
     voxels = reports.stack(scans) if scans else None
     stats = named(volume.profile(voxels)) if scans else None
+    stored = named(spark.read.schema(HEADER).parquet(headers).select(F.col("path").alias("volume_id"), "shape", "dtype"))
     found = {
         "report": reports.inventory_report(digests, stats, graphs, meshes, top_folders(spark, root)),
         "duplicates": volumes.filter("is_duplicate").select("path", "first_path"),
     }
     if scans:
+        found["volumes"] = stored.join(stats.select("volume_id", "min_v", "max_v", "mean_v"), "volume_id")
         bins = named(volume.histogram(voxels))
         found["histograms"] = bins.withColumn("name", F.replace("volume_id", F.lit("/"), F.lit("__")))
     return found

@@ -125,9 +125,15 @@ def strut_graph(skeleton: DataFrame, nodes: DataFrame, branches: DataFrame) -> D
     )
 
 
-def connectivity(mask: DataFrame, skeleton: DataFrame) -> DataFrame:
-    """One row per volume: the shape of its skeleton, and whether the strut graph drawn from it is whole."""
-    graph = strut_graph(skeleton, *topology.skeleton_graph(skeleton)).withColumnRenamed("parts", "graph_parts")
+CONNECTIVITY = ["parts", "euler_number", "outside", "graph_parts", "unplaced_voxels", "loose_ends"]
+
+
+def connectivity(mask: DataFrame, skeleton: DataFrame, graph: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row per volume: the shape of its skeleton, and whether the strut graph drawn from it is whole.
+
+    `graph` is the skeleton's nodes and branches where they are at hand.
+    """
+    graph = strut_graph(skeleton, *(graph or topology.skeleton_graph(skeleton))).withColumnRenamed("parts", "graph_parts")
     shape = topology.topology(skeleton).join(topology.outside(skeleton, mask), "volume_id")
     return shape.join(graph, "volume_id")
 
