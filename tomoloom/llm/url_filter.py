@@ -1,9 +1,11 @@
-"""Verdicts on urls: rules first, then trust and distrust that spread over links between hosts.
-
-Links are counted per pair of hosts before anything is joined. Trust starts at hosts with pages that an allow rule fits
-and follows the links (personalised PageRank); distrust starts at hosts with pages that a block rule fits and follows
-them backwards, because who links to a blocked host is suspect. Both walks run in one iteration over tables of one row
-per host. DataFrame operations only.
+"""Verdicts on urls: rules first, then trust and distrust that spread over edges between hosts.
+
+Two hosts share an edge if a page of one links to the other, and a host has edges to and from the nearest known host
+above it (`m.shop.example` and `shop.example`). However many pages repeat a link, it is one edge. Trust starts at every
+host as the share of its pages that an allow rule fits and follows the edges (personalised PageRank); distrust starts as
+the share that a block rule fits and follows them backwards, because who links to a blocked host is suspect. Shares are a
+host's own, and no sum over all hosts enters, so another host's number of pages moves no verdict. Both walks run together,
+over tables of one row per host, until what still moves is small beside what has settled. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomoloom.functions.storage import materialize
+from tomoloom.functions.storage import discard, materialize
 
 
 class Rule(NamedTuple):
@@ -33,9 +35,16 @@ RULES = (
     Rule("block", "example.com", "/de/"),
     Rule("allow", "org", "/fr/"),
 )
-ROUNDS, DAMPING = 8, 0.85
+#: Part of a host's weight that goes on along its edges.
+DAMPING = 0.85
+#: A host is blocked with at least so much distrust, and more than so many times its trust.
+LEAST, RATIO = 0.05, 1.0
+#: The walks end when no host's weight grew by more than this part of itself and of `LEAST` in a round.
+TOLERANCE = 1e-3
+#: Longest name of a host that can have one above it.
+LONGEST_NAME = 253
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?is)href\s*=\s*["']?([a-z][a-z0-9+.\-]*://[^"'\s>]+)"""
+LINK = r"""(?is)href\s*=\s*["']?((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -65,84 +74,100 @@ def verdict_of(rule: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """src, dst and number of links between different hosts."""
+    """src, dst: pairs of different hosts of which a page of the first links to the second.
+
+    A link without a scheme (`//host/path`) counts; one without a host stays on its page's host and is no pair.
+    """
     links = pages.select(
         host_of(F.col("url")).alias("src"),
         F.explode(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(LINK), F.lit(1))).alias("link"),
-    ).select("src", host_of(F.col("link")).alias("dst"))
-    return (
-        links.filter((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != ""))
-        .groupBy("src", "dst")
-        .agg(F.count(F.lit(1)).alias("n"))
     )
+    full = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), F.col("link"))).otherwise(F.col("link"))
+    found = links.select("src", host_of(full).alias("dst"))
+    return found.filter((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).distinct()
 
 
-def spread(seeds: DataFrame, links: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """Stationary weight per (walk, host). seeds: walk, host, seed (sums to 1 per walk); links: walk, src, dst, n.
+def hosts_above(hosts: DataFrame) -> DataFrame:
+    """host, above: the longest name of another host in the table that ends the host's name after a dot."""
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(2), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    named = hosts.filter((F.instr("host", ".") > 0) & (F.length("host") <= LONGEST_NAME)).select("host", F.explode(ends).alias("above"))
+    known = hosts.select(F.col("host").alias("above")).filter("above <> ''")
+    return named.join(known, "above").groupBy("host").agg(F.max_by("above", F.length("above")).alias("above"))
 
-    Weight at a host without links stays out; ranks are compared after `normalised`.
-    """
-    out = links.groupBy("walk", "src").agg(F.sum("n").alias("out"))
-    steps = materialize(
-        links.join(out, ["walk", "src"]).select("walk", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out")).alias("p"))
+
+def host_edges(pages: DataFrame) -> DataFrame:
+    """src, dst: links between hosts, and both ways between a host of a page or link and the nearest one above it."""
+    links = materialize(host_links(pages))
+    named = pages.select(host_of(F.col("url")).alias("host")).unionByName(
+        links.select(F.explode(F.array("src", "dst")).alias("host"))
     )
-    rank = seeds.select("walk", "host", F.col("seed").alias("weight"))
-    for _ in range(rounds):
-        moved = rank.join(steps, ["walk", "host"]).select(
-            "walk", F.col("dst").alias("host"), (F.col("weight") * F.col("p") * damping).alias("weight")
-        )
-        start = seeds.select("walk", "host", (F.col("seed") * (1 - damping)).alias("weight"))
-        rank = materialize(moved.unionByName(start).groupBy("walk", "host").agg(F.sum("weight").alias("weight")))
-    return rank
+    above = materialize(hosts_above(named.filter("host <> ''").distinct()))
+    up = above.select(F.col("host").alias("src"), F.col("above").alias("dst"))
+    return links.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def host_scores(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """One row per host of a page: host, trust, distrust (each summing to 1 over all hosts it reached), blocked.
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """walk, host, weight: a host's seed, and the damped weight that reaches it, split evenly over a host's edges.
 
-    A host is blocked if it holds more distrust than trust, and more than an equal share for every host would give.
+    seeds: walk, host, weight; edges: walk, src, dst. A round sends on what the last one brought, until that is small.
+    """
+    out = edges.groupBy("walk", "src").agg((F.lit(damping) / F.count(F.lit(1))).alias("part"))
+    steps = materialize(edges.join(out, ["walk", "src"]).select("walk", F.col("src").alias("host"), "dst", "part"))
+    rank = materialize(seeds.select("walk", "host", "weight", F.col("weight").alias("fresh")))
+    moving = F.col("fresh") > tolerance * (F.col("weight") + LEAST)
+    while not rank.filter(moving).isEmpty():
+        brought = (F.col("fresh") * F.col("part")).alias("fresh")
+        moved = rank.join(steps, ["walk", "host"]).select("walk", F.col("dst").alias("host"), brought.alias("weight"), brought)
+        held = rank.select("walk", "host", "weight", F.lit(0.0).alias("fresh"))
+        both = held.unionByName(moved).groupBy("walk", "host")
+        last, rank = rank, materialize(both.agg(F.sum("weight").alias("weight"), F.sum("fresh").alias("fresh")))
+        discard(last)
+    return rank.select("walk", "host", "weight")
+
+
+def host_scores(
+    pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DAMPING, tolerance: float = TOLERANCE
+) -> DataFrame:
+    """One row per host of a page: host, trust, distrust, blocked.
+
+    A host is blocked if its distrust is at least `LEAST` and more than `RATIO` times its trust.
     """
     named = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     named = named.withColumn("verdict", verdict_of(matching_rule(F.col("host"), F.col("path"), rules), rules))
     hosts = materialize(
         named.groupBy("host").agg(
-            F.count_if(F.col("verdict") == "allow").alias("allow"), F.count_if(F.col("verdict") == "block").alias("block")
+            (F.count_if(F.col("verdict") == "allow") / F.count(F.lit(1))).alias("trust"),
+            (F.count_if(F.col("verdict") == "block") / F.count(F.lit(1))).alias("distrust"),
         )
     )
-    total = hosts.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"), F.count(F.lit(1)).alias("hosts")).first()
-    walks = F.explode(
-        F.array(
-            F.struct(F.lit("trust").alias("walk"), (F.col("allow") / max(total.allow or 0, 1)).alias("seed")),
-            F.struct(F.lit("distrust").alias("walk"), (F.col("block") / max(total.block or 0, 1)).alias("seed")),
-        )
+    walks = F.explode(F.array(*(F.struct(F.lit(w).alias("walk"), F.col(w).alias("weight")) for w in ("trust", "distrust"))))
+    seeds = hosts.filter("host <> ''").select("host", walks.alias("s")).select("s.walk", "host", "s.weight").filter("weight > 0")
+    edges = materialize(host_edges(pages))
+    both = edges.select(F.lit("trust").alias("walk"), "src", "dst").unionByName(
+        edges.select(F.lit("distrust").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"))
     )
-    seeds = hosts.filter("host <> ''").select("host", walks.alias("s")).select("s.walk", "host", "s.seed").filter("seed > 0")
-    links = materialize(host_links(pages))
-    both = links.select(F.lit("trust").alias("walk"), "src", "dst", "n").unionByName(
-        links.select(F.lit("distrust").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    )
-    rank = spread(materialize(seeds), both, rounds, damping)
-    reached = {r.walk: r.weight for r in rank.groupBy("walk").agg(F.sum("weight").alias("weight")).collect()}
-    share = lambda walk: F.coalesce(
-        F.sum(F.when(F.col("walk") == walk, F.col("weight"))) / F.lit(reached.get(walk, 1.0)), F.lit(0.0)
-    ).alias(walk)
-    scored = rank.groupBy("host").agg(share("trust"), share("distrust"))
-    equal = (1 + 1e-9) / max(total.hosts, 1)
+    weight = lambda walk: F.coalesce(F.sum(F.when(F.col("walk") == walk, F.col("weight"))), F.lit(0.0)).alias(walk)
+    scored = spread(seeds, both, damping, tolerance).groupBy("host").agg(weight("trust"), weight("distrust"))
     return (
         hosts.select("host")
         .join(scored, "host", "left")
         .select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-        .withColumn("blocked", (F.col("distrust") > F.col("trust") + 1e-12) & (F.col("distrust") > equal))
+        .withColumn("blocked", (F.col("distrust") >= LEAST) & (F.col("distrust") > RATIO * F.col("trust") + 1e-9))
     )
 
 
-def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def url_verdicts(
+    pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DAMPING, tolerance: float = TOLERANCE
+) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
     A null url or one without `://` has empty host and path; the empty host is no seed and is allowed. Null html has no
-    links. Repeated rows each give a row and count each; an empty table gives none; other columns are ignored. The rules
-    are a short parameter list; of two that fit, the one with the longer name decides.
+    links; very long html is searched whole, very long urls are read whole, and hosts beyond a valid name's length have no
+    host above them. Repeated rows each give a row and count each in their host's shares; an empty table gives none; other
+    columns are ignored. The rules are a short parameter list; of two that fit, the one with the longer name decides.
     """
-    scores = materialize(host_scores(pages, rules, rounds, damping))
+    scores = materialize(host_scores(pages, rules, damping, tolerance))
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn(
         "rule", matching_rule(F.col("host"), F.col("path"), rules)
     )
@@ -157,41 +182,43 @@ def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int
     )
 
 
-def check_sql(rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> str:
-    """The same verdicts in plain SQL: every round is a table expression."""
-    by_length = sorted(rules, key=lambda r: -len(r.name))
-    fit = "\n".join(
-        f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{r.name}'"
-        for r in by_length
-    )
-    says = " ".join(f"when '{r.name}' then '{r.verdict}'" for r in rules)
-    rank = "".join(
-        f"""
-, r{k} as materialized (select walk, host, sum(weight) as weight from (
-    select r.walk, s.dst as host, r.weight * s.p * {damping} as weight from r{k - 1} r join steps s on r.walk = s.walk and r.host = s.src
-    union all select walk, host, seed * (1 - {damping}) from seeds) group by walk, host)"""
-        for k in range(1, rounds + 1)
-    )
-    host = lambda url: f"translate(regexp_extract(coalesce({url}, ''), '^.*?://([^/?#]*)', 1, 's'), '{UPPER}', '{LOWER}')"
-    link = r"""(?is)href\s*=\s*["'']?([a-z][a-z0-9+.\-]*://[^"''\s>]+)"""
-    return f"""
-with named as (select page_id, html, {host('url')} as host,
-    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path from pages)
-, judged as (select *, case {fit} end as rule from named)
-, ruled as (select *, case rule {says} end as verdict from judged)
-, hosts as (select host, count(*) filter (verdict = 'allow') as allow, count(*) filter (verdict = 'block') as block from ruled group by host)
-, seeds as (select 'trust' as walk, host, allow / greatest((select sum(allow) from hosts), 1) as seed from hosts where host <> '' and allow > 0
-    union all select 'distrust', host, block / greatest((select sum(block) from hosts), 1) from hosts where host <> '' and block > 0)
-, raw as (select host as src, {host('link')} as dst
-    from (select host, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) as link from named))
-, links as (select src, dst, count(*) as n from raw where src <> dst and src <> '' and dst <> '' group by src, dst)
-, walks as (select 'trust' as walk, src, dst, n from links union all select 'distrust', dst, src, n from links)
-, steps as (select walk, src, dst, n / sum(n) over (partition by walk, src) as p from walks)
-, r0 as (select walk, host, seed as weight from seeds){rank}
-, shares as (select walk, host, weight / sum(weight) over (partition by walk) as share from r{rounds})
-, bad as (select h.host, coalesce(t.share, 0) as trust, coalesce(d.share, 0) as distrust from hosts h
-    left join shares t on t.host = h.host and t.walk = 'trust' left join shares d on d.host = h.host and d.walk = 'distrust')
-select page_id, r.host, path, rule, coalesce(verdict,
-    case when distrust > trust + 1e-12 and distrust > (1 + 1e-9) / (select count(*) from hosts) then 'block' else 'allow' end) as verdict
-from ruled r join bad on r.host = bad.host
+def check_sql(most: int = 80) -> str:
+    """The verdicts in plain SQL, from the rules as the contract words them; the walks run `most` rounds at most."""
+    # The rules, longest first.
+    return rf"""
+with recursive cut as (select page_id, html, coalesce(url, '') as url, instr(coalesce(url, ''), '://') as place from pages)
+, split as (select page_id, html, case when place > 0 then regexp_extract(url[place + 3:], '^[^/?#]*') else '' end as raw,
+    case when place > 0 then regexp_extract(url[place + 3:], '^[^?#]*') else '' end as tail from cut)
+, named as (select page_id, html, tail[length(raw) + 1:] as path,
+    translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host from split)
+, ruled as (select page_id, html, host, path, case
+    when '.' || host like '%.example.net' and path like '/en/%' then 'example.net/en/'
+    when '.' || host like '%.example.com' and path like '/de/%' then 'example.com/de/'
+    when '.' || host like '%.org' and path like '/fr/%' then 'org/fr/'
+    when '.' || host like '%.net' and path like '/%' then 'net/' end as rule from named)
+, hosts as (select host, avg((rule is not null and rule in ('example.net/en/', 'org/fr/'))::int) as allow,
+    avg((rule is not null and rule in ('example.com/de/', 'net/'))::int) as block from ruled group by host)
+, found as (select host as src, unnest(regexp_extract_all(coalesce(html, ''),
+    '(?is)href\s*=\s*["'']?((?:[a-z][a-z0-9+.\-]*:)?//[^"''\s>]+)', 1)) as link from named)
+, ends as (select src, translate(regexp_extract(link[instr(link, '//') + 2:], '^[^/?#]*'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as dst from found)
+, links as (select distinct src, dst from ends where src <> dst and src <> '' and dst <> '')
+, known as (select host from hosts where host <> '' union select src from links union select dst from links)
+, dots as (select host, unnest(range(1, length(host) + 1)) as place from known where length(host) <= 253)
+, endings as (select host, host[place + 1:] as ending from dots where host[place] = '.')
+, above as (select e.host, arg_max(k.host, length(k.host)) as up from endings e join known k on k.host = e.ending group by e.host)
+, edges as (select src, dst from links union select host, up from above union select up, host from above)
+, steps as (select 'trust' as walk, src, dst, {DAMPING} / count(*) over (partition by src) as part from edges
+    union all select 'distrust', dst, src, {DAMPING} / count(*) over (partition by dst) from edges)
+, moves as (select 0 as k, 'trust' as walk, host, allow as weight from hosts where host <> '' and allow > 0
+    union all select 0, 'distrust', host, block from hosts where host <> '' and block > 0
+    union all select k + 1, walk, host, sum(weight) from (
+        select m.k, s.walk, s.dst as host, m.weight * s.part as weight from moves m join steps s on s.walk = m.walk and s.src = m.host
+        where m.k < {most}) group by k, walk, host)
+, scores as (select host, coalesce(sum(weight) filter (walk = 'trust'), 0) as trust,
+    coalesce(sum(weight) filter (walk = 'distrust'), 0) as distrust from moves group by host)
+select r.page_id, r.host, r.path, r.rule, case when rule in ('example.net/en/', 'org/fr/') then 'allow'
+    when rule in ('example.com/de/', 'net/') then 'block'
+    when distrust >= {LEAST} and distrust > {RATIO} * trust + 1e-9 then 'block' else 'allow' end as verdict
+from ruled r left join scores on r.host = scores.host
 """
