@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tomoloom.llm import jaccard_join as join
+from tomoloom.llm.common import keyed
 from tomoloom.llm.components import components
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -71,9 +72,7 @@ def corpus(rng):
 @pytest.mark.parametrize("frequent", [False, True])
 def test_same_classes(spark, monkeypatch, frequent):
     if frequent:
-        monkeypatch.setattr(join, "ABOVE_MEAN", 0)
-        monkeypatch.setattr(join, "AT_LEAST", 2)
-        monkeypatch.setattr(join, "PART", 4)
+        monkeypatch.setattr(join, "LIMIT", 3)
     rows = corpus(random.Random(4))
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, entry string").repartition(4)
     assert run(docs) == brute(rows)
@@ -93,21 +92,54 @@ def test_near_copies_go(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
 
 
-def test_entries_keep_the_bound():
-    """Without shared entries of frequent pairs, two linked sets share `fewest` rare tokens, either's."""
+def test_entries_keep_the_bound(spark):
+    """Without shared entries of frequent pairs, two linked sets share as many rare tokens as either bound says."""
     rng = np.random.default_rng(3)
-    counts = rng.integers(0, 1000, join.CELLS)
-    for _ in range(300):
+    cases = []
+    for k in range(600):
         size = int(rng.integers(1, 400))
         one = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
         gone = int(rng.integers(0, join.spare(len(one)) + 1))
         other = np.unique(np.concatenate([one[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, gone + 1))).astype(np.uint64)]))
         if not join.linked(one, other):
             continue
-        (a, pa), (b, pb) = (join.entries(s, counts, 100.0) for s in (one, other))
-        pairs = np.intersect1d(a[pa > 0], b[pb > 0])
-        rare = np.intersect1d(a[pa == 0], b[pb == 0])
-        assert len(pairs) or len(rare) >= max(join.fewest(len(one)), join.fewest(len(other)))
+        often = np.uint64(rng.integers(0, 11))
+        (a, pa), (b, pb) = (join.entries(s, s % np.uint64(10) < often) for s in (one, other))
+        rare = len(np.intersect1d(a[~pa], b[~pb]))
+        if not len(np.intersect1d(a[pa], b[pb])):
+            assert rare >= max(join.fewest(len(one)), join.fewest(len(other)))
+            cases.append((len(one), len(other), rare))
+    assert len(cases) > 200
+    bounds = spark.createDataFrame(cases, "n_a int, n_b int, rare int").selectExpr(
+        "rare", f"least({join._lacking('n_a', 'n_b')}, {join._lacking('n_b', 'n_a')}) as need"
+    )
+    assert bounds.filter("rare < need").count() == 0
+
+
+def test_frequent_tokens_are_indexed_in_pairs(spark, monkeypatch):
+    """Prefixes that hold a frequent token are extended; no token is left that indexes more sets than the limit."""
+    monkeypatch.setattr(join, "LIMIT", 5)
+    monkeypatch.setattr(join, "EXTENSIONS", 50)
+    common = [f"c{i}" for i in range(30)]
+    texts = [" ".join([*common, *(f"own{k}x{i}" for i in range(k * 4 % 90))]) for k in range(24)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = keyed(rows)
+    index = join._indexed(rows, np.zeros(1 << (join.FREQUENT_BITS - 6), np.int64))
+    extended = join._extended(rows, index)[0].collect()
+    assert sorted(r.doc_id for r in extended) == list(range(24))
+    held = {}
+    for r in extended:
+        for entry, part in zip(r.entry, r.part):
+            held.setdefault((entry, part), set()).add(r.doc_id)
+    assert max(len(v) for (_, part), v in held.items() if part < 0) < 5
+    assert any(len(v) > 1 for (_, part), v in held.items() if part == 0)
+    assert run(rows.select("doc_id", "text")) == brute(list(enumerate(texts)))
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(40_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[: 36_000])), (3, " ".join(words[20_000:])), (4, "x" * 300_000), (5, "x" * 300_000 + " y")]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
 def test_components_of_chains(spark):

@@ -160,11 +160,9 @@ def sieve_cell(key: str | Column, bits: int = SIEVE_BITS) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
 
 
-def sieve_table(members: DataFrame, key: str, bits: int = SIEVE_BITS) -> np.ndarray:
-    """The bitmap of a table's keys as 64-bit words."""
-    words = members.select(sieve_cell(key, bits).alias("cell")).selectExpr(
-        "shiftright(cell, 6) as word", "shiftleft(1L, cast(cell % 64 as int)) as bit"
-    )
+def bitmap(cells: DataFrame, bits: int) -> np.ndarray:
+    """A column `cell` of numbers below 2^bits as a bitmap of 64-bit words."""
+    words = cells.selectExpr("shiftright(cell, 6) as word", "shiftleft(1L, cast(cell % 64 as int)) as bit")
     written = materialize(words.groupBy("word").agg(F.bit_or("bit").alias("bit")))
     table = np.zeros(1 << (bits - 6), np.int64)
     # The driver takes the words in slices of fixed size.
@@ -175,6 +173,11 @@ def sieve_table(members: DataFrame, key: str, bits: int = SIEVE_BITS) -> np.ndar
     return table
 
 
+def sieve_table(members: DataFrame, key: str, bits: int = SIEVE_BITS) -> np.ndarray:
+    """The bitmap of a table's keys as 64-bit words."""
+    return bitmap(members.select(sieve_cell(key, bits).alias("cell")), bits)
+
+
 def sieve(members: DataFrame, key: str, bits: int = SIEVE_BITS) -> Callable[[str], Column]:
     """A test on a column that every member of the table passes, and few others while the table is not much larger."""
     held = members.sparkSession.sparkContext.broadcast(sieve_table(members, key, bits))

@@ -1,9 +1,9 @@
 """Near-duplicate classes by a Jaccard join on word shingles, with token-combination prefixes.
 
-Shingles are tokens. A small sketch of all shingle counts orders them, rare ones first, and calls those far above the
-sketch's noise frequent. Of each set only a prefix is indexed: a rare token by itself, a frequent one only in pairs of
-frequent tokens of one subclass. A pair needs two shared tokens, so the prefix is extended until the tokens that a
-linked partner may lack cannot spoil every entry:
+Shingles are tokens, in the order of their hashes. Of each set only a prefix is indexed. The sets of each entry are counted,
+and a token that indexes `LIMIT` sets or more is frequent: it goes to the end of the order, the prefixes that held it are
+extended, and it is indexed only in pairs of frequent tokens of one subclass. A pair needs two shared tokens, so the prefix
+is extended until the tokens that a linked partner may lack cannot spoil every entry:
 
     rare tokens + sum over subclasses of (tokens - 1)  >=  tokens of the set that a partner may lack + extra.
 
@@ -14,31 +14,33 @@ each set is indexed for its own level and the next.
 
 Entries with one set are dropped, and so are sets that keep neither an entry of two tokens nor `fewest` rare ones. In the
 entries left, sets are compared with one leader at a time: links join sets into components, and later rounds take other
-leaders and only those sets that are not yet in the leader's component. What is left after the rounds, different
-components that meet in an entry, is compared in full, so no link is lost. Comparing is exact, on the whole sets.
+leaders and only those sets that are not yet in the leader's component. What is left after the rounds, sets of different
+components that meet in as many entries as linked sets of their sizes must, is compared too, so no link is lost. Comparing
+is exact, on the whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomoloom.functions.storage import discard, materialize
-from tomoloom.llm.common import keyed, mix, prepare, sieve, sieve_cell, sieve_table, text_blocks, unused, with_key, words
+from tomoloom.llm.common import bitmap, keyed, mix, prepare, sieve, sieve_cell, sieve_table, text_blocks, unused, with_key, words
 from tomoloom.llm.components import components
 
 WORDS = 5
-CELLS = 1 << 17
-#: A token is frequent if its cell holds so many times the mean, and at least so many.
-ABOVE_MEAN, AT_LEAST = 4, 256
-#: Sets that one part of a frequent entry holds, about.
-PART = 4096
+#: Sets that a token indexes by itself, at most; whatever the corpus' size.
+LIMIT = 128
+#: Bits of the map of frequent tokens. Others that fall in their cells are taken for frequent too, which loses no link.
+FREQUENT_BITS = 26
+#: How often prefixes are extended, at most. Tokens that became frequent by the last time stay indexed by themselves.
+EXTENSIONS = 3
 ROUNDS = 5
 #: Bits of the sieve of entries that several sets have.
 ENTRY_BITS = 26
@@ -105,21 +107,16 @@ def subclasses(level: int) -> int:
     return max(1, int((4 / 3) ** level / 8))
 
 
-def entries(tokens: np.ndarray, counts: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index entries of a set; for frequent pairs the number of parts that their sets are dealt to, 0 for rare tokens."""
+def entries(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index entries of a set, and which of them are pairs of frequent tokens. `frequent` is a flag per token."""
     size = len(tokens)
     if size <= 1:
-        return tokens, np.zeros(size, np.int64)
+        return tokens, np.zeros(size, bool)
     need = spare(size) + extra(size)
-    held = counts[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]
-    frequent = held > max(ABOVE_MEAN * mean, AT_LEAST)
-    rank = np.minimum((held / (mean + 1)).astype(np.int64), 1 << 20)
-    order = np.lexsort((tokens, rank, frequent))
-    tokens, held, rare = tokens[order], held[order], int(size - frequent.sum())
-    single = tokens[: min(rare, need)]
-    keys, parts = [single], [np.zeros(len(single), np.int64)]
-    if rare < need:
-        common, seen = tokens[rare:], held[rare:]
+    single = tokens[~frequent][:need]
+    keys, pairs = [single], [np.zeros(len(single), bool)]
+    if len(single) < need:
+        common = tokens[frequent]
         own = level_of(size)
         for level in (own, own + 1):
             count = subclasses(level)
@@ -128,14 +125,14 @@ def entries(tokens: np.ndarray, counts: np.ndarray, mean: float) -> tuple[np.nda
             first = np.zeros(len(common), bool)
             first[np.unique(group, return_index=True)[1]] = True
             gained = np.cumsum(~first)
-            stop = int(np.searchsorted(gained, need - rare)) + 1
+            stop = int(np.searchsorted(gained, need - len(single))) + 1
             by = np.argsort(group[:stop], kind="stable")
             one, other = _pairs(group[:stop][by])
             one, other = by[one], by[other]
             low, high = np.minimum(one, other), np.maximum(one, other)
             keys.append(mix(common[low] * _ODD[1] ^ mix(common[high] * _ODD[2] ^ np.uint64(level + 1))))
-            parts.append(1 + np.minimum(seen[low], seen[high]) // PART)
-    return np.concatenate(keys), np.concatenate(parts)
+            pairs.append(np.ones(len(low), bool))
+    return np.concatenate(keys), np.concatenate(pairs)
 
 
 def _pairs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,45 +146,35 @@ def _pairs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, other
 
 
-def _sketch(rows: DataFrame) -> tuple[np.ndarray, float]:
-    """Number of set members per cell, and the mean of all cells."""
+def _set(table: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (table[cell >> 6] >> (cell & 63) & 1) == 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for _, offsets, data in text_blocks(batch["text"]):
-                for tokens in shingle_sets(data, offsets):
-                    cells += np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if len(tokens) > CELLS else 0
-                    if len(tokens) <= CELLS:
-                        np.add.at(cells, (tokens & np.uint64(CELLS - 1)).astype(np.int64), 1)
-        used = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], ["cell", "n"])
 
-    found = rows.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(CELLS, np.int64)
-    counts[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return counts, counts.sum() / CELLS
+def frequent_cell(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - FREQUENT_BITS)).astype(np.int64)
+
 
+def _frequent(entry: DataFrame) -> np.ndarray:
+    """Bitmap of tokens, in a column `entry`."""
+    return bitmap(entry.select(F.shiftrightunsigned("entry", 64 - FREQUENT_BITS).alias("cell")), FREQUENT_BITS)
 
-def _indexed(rows: DataFrame, counts: np.ndarray, mean: float) -> DataFrame:
-    """ref, doc_id, n, two 64-bit digests of the set, and its index entries with their part."""
-    held = rows.sparkSession.sparkContext.broadcast(counts)  # CELLS numbers
+
+def _indexed(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """ref, doc_id, n, two 64-bit digests of the set, and its index entries: part is 0 for a pair, -1 for a token."""
+    held = rows.sparkSession.sparkContext.broadcast(frequent)  # 2^FREQUENT_BITS bits
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = held.value
         for batch in batches:
-            ref = batch["ref"].to_numpy(zero_copy_only=False)
             for row, offsets, data in text_blocks(batch["text"]):
                 sizes, needs, one, two, keys, parts = [], [], [], [], [], []
-                for i, tokens in enumerate(shingle_sets(data, offsets)):
+                for tokens in shingle_sets(data, offsets):
                     sizes.append(len(tokens))
                     needs.append(fewest(len(tokens)))
                     one.append(int(mix(tokens ^ _ODD[2]).sum(dtype=np.uint64).view(np.int64)))
                     two.append(int(mix(tokens ^ _ODD[3]).sum(dtype=np.uint64).view(np.int64)))
-                    key, part = entries(tokens, counts, mean)
-                    own = int(mix(np.array([ref[row + i]], np.int64).view(np.uint64) ^ _ODD[0])[0] >> np.uint64(8))
+                    key, pair = entries(tokens, _set(held.value, frequent_cell(tokens)))
                     keys.append(key.view(np.int64))
-                    parts.append(np.where(part > 0, own % np.maximum(part, 1), -1).astype(np.int32))
+                    parts.append(pair.astype(np.int32) - 1)
                 ends = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in (keys, parts)]
                 part = batch.slice(row, len(sizes))
@@ -199,27 +186,64 @@ def _indexed(rows: DataFrame, counts: np.ndarray, mean: float) -> DataFrame:
     return rows.mapInArrow(index, "ref long, doc_id long, n int, need int, one long, two long, entry array<long>, part array<int>")
 
 
-def _sharing(index: DataFrame) -> DataFrame:
-    """ref, n, need, entry, part, central of the sets that can have a partner, with those of their entries that others
-    have too. `central` is how many sets share the set's entries, so it is largest in the middle of a group."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """entry, many: how many rows hold each entry that more than one holds."""
+    return rows.groupBy("entry").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+
+
+def _touched(table: np.ndarray, spark: SparkSession) -> Callable[[str], Column]:
+    """Whether a list of tokens holds one that is in the bitmap of frequent tokens."""
+    held = spark.sparkContext.broadcast(table)
+
+    def touched(lists: pa.Array) -> pa.Array:
+        hit = _set(held.value, frequent_cell(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)))
+        before = np.append(0, np.cumsum(hit))
+        ends = np.cumsum(np.append(0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+        return pa.array(before[ends[1:]] > before[ends[:-1]])
+
+    return F.arrow_udf(touched, "boolean")
 
-    def counted(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("entry").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
 
-    def kept(rows: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
-        """Without entries that fail the sieve, and without sets that have too few left."""
-        held = rows.sparkSession.sparkContext.broadcast(table)
-        shared = F.arrow_udf(_passes(held), "array<boolean>")(F.transform("entry", lambda e: sieve_cell(e, bits)))
-        zipped = F.filter(F.arrays_zip("entry", "part", shared.alias("shared")), lambda e: e["shared"])
-        lone = F.size(F.filter("e", lambda e: e["part"] < 0))
-        return rows.select("ref", "n", "need", zipped.alias("e")).filter((lone >= F.col("need")) | (F.size("e") > lone))
+def _extended(rows: DataFrame, index: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """The index with its longer prefixes, and the bitmap of entries that several sets may have.
 
-    first = kept(index.select("ref", "n", "need", "entry", "part"), sieve_table(counted(index.select(F.explode("entry").alias("entry"))), "entry", ENTRY_BITS), ENTRY_BITS)
+    Only sets whose first prefix holds a frequent token have another prefix then.
+    """
+    spark = rows.sparkSession
+    counts = materialize(_counted(index.select(F.explode("entry").alias("entry"))))
+    shared = sieve_table(counts, "entry", ENTRY_BITS)
+    heavy = counts.filter(F.col("many") >= LIMIT)
+    frequent, longer = np.zeros(1 << (FREQUENT_BITS - 6), np.int64), None
+    for _ in range(EXTENSIONS):
+        if heavy.isEmpty():
+            break
+        frequent |= _frequent(heavy)
+        refs = materialize(index.filter(_touched(frequent, spark)("entry")).select("ref"))
+        bodies = rows.filter(sieve(refs, "ref")("ref")).join(refs, "ref", "left_semi")
+        if longer is not None:
+            discard(longer)
+        longer = materialize(_indexed(bodies, frequent))
+        tokens = longer.select(F.explode(F.arrays_zip("entry", "part")).alias("e")).select("e.*").filter("part < 0")
+        heavy = _counted(tokens).filter(F.col("many") >= LIMIT)
+    if longer is None:
+        return index, shared
+    shared |= sieve_table(longer.select(F.explode("entry").alias("entry")), "entry", ENTRY_BITS)
+    return index.filter(~_touched(frequent, spark)("entry")).unionByName(longer), shared
+
+
+def _sharing(index: DataFrame, table: np.ndarray) -> DataFrame:
+    """ref, n, need, entry, part, central of the sets that can have a partner, with those of their entries that others
+    have too. `central` is how many sets share the set's entries, so it is largest in the middle of a group. `table` is
+    the bitmap of entries that several sets may have."""
+    held = index.sparkSession.sparkContext.broadcast(table)
+    passes = F.arrow_udf(_passes(held), "array<boolean>")(F.transform("entry", lambda e: sieve_cell(e, ENTRY_BITS)))
+    zipped = F.filter(F.arrays_zip("entry", "part", passes.alias("shared")), lambda e: e["shared"])
+    few = F.size(F.filter("e", lambda e: e["part"] < 0))
+    first = index.select("ref", "n", "need", zipped.alias("e")).filter((few >= F.col("need")) | (F.size("e") > few))
     left = materialize(first.select("ref", "n", "need", F.explode("e").alias("e")).select("ref", "n", "need", "e.entry", "e.part"))
-    shared = left.join(counted(left), "entry")
     # Once more, exactly: entries that others have too, of sets that keep enough of them.
     lone = F.count_if(F.col("part") < 0)
-    enough = materialize(shared)
+    enough = materialize(left.join(_counted(left), "entry"))
     refs = enough.groupBy("ref").agg((lone >= F.first("need")).alias("rare"), (F.count(F.lit(1)) > lone).alias("pair"), F.sum("many").alias("central"))
     refs = refs.filter("rare or pair").select("ref", "central")
     out = materialize(enough.drop("many").join(refs, "ref"))
@@ -261,65 +285,56 @@ def _ordered(one: str, other: str) -> list:
 FITS = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
 
 
-def _enough(met: DataFrame) -> DataFrame:
+def _lacking(one: str, other: str) -> str:
+    """Tokens that a prefix of `one` shares at least with one of `other` that reaches as far, by the sets' sizes.
+
+    Linked sets have 3/7 of the sum of their sizes in common, so `one` lacks no more than the others of its own.
+    """
+    return f"{one} div 4 + 1 + ({one} div 4) div 3 - {one} + (3 * ({one} + {other}) + 6) div 7"
+
+
+def _enough(met: DataFrame, whole: bool) -> DataFrame:
     """a, b of the pairs (x, n_a, need_a, y, n_b, need_b, part, one row per entry) that can be links: of fitting size,
-    with a frequent pair or as many rare tokens in common as either set's linked partners must have."""
+    with a frequent pair or enough rare tokens in common. Enough is what linked sets of the two sizes share at least, if
+    the pair's `whole` entries are there, else what either's linked partners of any size do."""
+    least = f"least({_lacking('n_a', 'n_b')}, {_lacking('n_b', 'n_a')})" if whole else "greatest(need_a, need_b)"
     counted = (
         met.filter(FITS)
         .groupBy(*_ordered("x", "y"))
         .agg(
             F.count_if(F.col("part") < 0).alias("rare"),
             F.count_if(F.col("part") >= 0).alias("pairs"),
-            F.max(F.greatest("need_a", "need_b")).alias("need"),
+            F.max(F.expr(least)).alias("need"),
         )
     )
     return counted.filter("pairs > 0 or rare >= need").select("a", "b")
 
 
 def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a set and the leader of its part of an entry, then of the parts' leaders and the entry's leader.
+    """Pairs of a set and the leader of an entry.
 
     The first leaders are the most central sets, later ones central sets drawn by hash. A pair that meets its leader in
     too few entries waits for a later round.
     """
     drawn = F.lit(1.0) if turn == 0 else 0.5 + F.pmod(F.xxhash64("ref", F.lit(turn)), F.lit(1 << 20)) / (1 << 20)
-    best = F.max(F.struct((F.col("central") * drawn).alias("w"), F.col("ref"), F.col("n"), F.col("need"), F.col("comp"), F.col("central"))).alias("top")
-    leaders = members.groupBy("entry", "part").agg(best)
-    chosen = leaders.select("entry", "part", "top.*")
-    top = chosen.groupBy("entry").agg(best)
-
-    def against(rows: DataFrame, tops: DataFrame, keys: list[str]) -> DataFrame:
-        met = rows.join(tops, keys).filter(F.col("comp") != F.col("top.comp"))
-        return met.select(
+    best = F.max(F.struct((F.col("central") * drawn).alias("w"), F.col("ref"), F.col("n"), F.col("need"), F.col("comp"))).alias("top")
+    met = members.join(members.groupBy("entry").agg(best), "entry").filter(F.col("comp") != F.col("top.comp"))
+    return _enough(
+        met.select(
             F.col("ref").alias("x"), F.col("n").alias("n_a"), F.col("need").alias("need_a"), "part",
             F.col("top.ref").alias("y"), F.col("top.n").alias("n_b"), F.col("top.need").alias("need_b"),
-        )
-
-    lower = against(members, leaders, ["entry", "part"])
-    upper = against(chosen.filter("part > 0"), top, ["entry"])
-    return _enough(lower.unionByName(upper))
+        ),
+        whole=False,
+    )
 
 
 def _rest(members: DataFrame) -> DataFrame:
-    """Pairs of sets of different components that may be links.
-
-    Sets that meet in rare entries are counted there. Where components meet in entries of two frequent tokens, which
-    near copies have in great number, each pair of components is taken once, with all pairs of their members.
-    """
-    def mixed(rows: DataFrame) -> DataFrame:
-        both = rows.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-        return rows.join(both.select("entry"), "entry", "left_semi")
-
-    rare = mixed(members.filter("part < 0")).select("entry", "part", "ref", "n", "need", "comp")
-    right = rare.select("entry", F.col("ref").alias("y"), F.col("n").alias("n_b"), F.col("need").alias("need_b"), F.col("comp").alias("other"))
-    met = rare.withColumnsRenamed({"ref": "x", "n": "n_a", "need": "need_a"}).join(right, "entry").filter("x < y and comp <> other")
-    counted = _enough(met)
-    groups = mixed(members.filter("part >= 0")).select("entry", "comp").distinct()
-    meet = groups.join(groups.withColumnRenamed("comp", "other"), "entry").filter("comp < other").select("comp", "other").distinct()
-    sets = members.filter("part >= 0").select("ref", "n", "comp").distinct()
-    ones = meet.join(sets.select("comp", F.col("ref").alias("x"), F.col("n").alias("n_a")), "comp")
-    both = ones.join(sets.select(F.col("comp").alias("other"), F.col("ref").alias("y"), F.col("n").alias("n_b")), "other")
-    return counted.unionByName(both.filter(FITS).select(*_ordered("x", "y"))).distinct()
+    """Pairs of sets of different components that may be links: those that meet in entries where components mix."""
+    both = members.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    mixed = members.join(both.select("entry"), "entry", "left_semi").select("entry", "part", "ref", "n", "need", "comp")
+    right = mixed.select("entry", F.col("ref").alias("y"), F.col("n").alias("n_b"), F.col("need").alias("need_b"), F.col("comp").alias("other"))
+    met = mixed.withColumnsRenamed({"ref": "x", "n": "n_a", "need": "need_a"}).join(right, "entry")
+    return _enough(met.filter("x < y and comp <> other"), whole=True)
 
 
 def _links(rows: DataFrame, postings: DataFrame) -> DataFrame:
@@ -350,15 +365,14 @@ def classes(rows: DataFrame) -> DataFrame:
     Equal sets are one node of the join: the one with the smallest ref stands for them.
     """
     prepare(rows.sparkSession)
-    counts, mean = _sketch(rows)
-    index = materialize(_indexed(rows, counts, mean))
+    index = materialize(_indexed(rows, np.zeros(1 << (FREQUENT_BITS - 6), np.int64)))
     heads = materialize(index.select("ref", "doc_id", "n", "one", "two"))
     nodes = materialize(
         heads.filter("n > 0").groupBy("n", "one", "two").agg(F.min("ref").alias("node"), F.min("doc_id").alias("smallest"))
     )
     # Copies that the sieve lets pass are compared like any other text.
     standing = index.filter(sieve(nodes.select(F.col("node").alias("ref")), "ref")("ref"))
-    links = _links(rows, _sharing(standing))
+    links = _links(rows, _sharing(*_extended(rows, standing)))
     discard(index)
     comp = components(links)
     smallest = nodes.join(comp, "node", "left").select("node", "n", "one", "two", "smallest", F.coalesce("comp", "node").alias("comp"))
@@ -380,7 +394,8 @@ def shingle_components(docs: DataFrame) -> DataFrame:
 
     Null texts, empty ones and ones without words have no shingle and link with nothing. Repeated rows each give a row;
     a null id is never the smallest unless its component has no other. An empty table gives no rows; other columns are
-    ignored. Shingles are compared by 64-bit hashes, equal sets by two more.
+    ignored. Very long texts have longer prefixes and are compared whole. Shingles are compared by 64-bit hashes, equal
+    sets by two more.
     """
     return classes(keyed(docs)).select("doc_id", "n_shingles", "component_id")
 
