@@ -330,8 +330,13 @@ def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
 
 def _rest(members: DataFrame) -> DataFrame:
     """Pairs of sets of different components that may be links: those that meet in entries where components mix."""
-    both = members.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    mixed = members.join(both.select("entry"), "entry", "left_semi").select("entry", "part", "ref", "n", "need", "comp")
+    marks = [F.bit_xor(F.xxhash64("ref", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+    both = members.groupBy("entry", "part").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("many"), *marks)
+    both = materialize(both.filter("low < high"))
+    # One frequent pair in common is enough, so of pairs that index the very same sets one is taken.
+    pairs = both.filter("part >= 0").groupBy("many", "mark1", "mark2").agg(F.min("entry").alias("entry")).select("entry")
+    kept = both.filter("part < 0").select("entry").unionByName(pairs)
+    mixed = members.join(kept, "entry", "left_semi").select("entry", "part", "ref", "n", "need", "comp")
     right = mixed.select("entry", F.col("ref").alias("y"), F.col("n").alias("n_b"), F.col("need").alias("need_b"), F.col("comp").alias("other"))
     met = mixed.withColumnsRenamed({"ref": "x", "n": "n_a", "need": "need_a"}).join(right, "entry")
     return _enough(met.filter("x < y and comp <> other"), whole=True)
