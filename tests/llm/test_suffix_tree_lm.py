@@ -4,7 +4,6 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
 from tomoloom.llm import suffix_tree_lm as lm
@@ -98,16 +97,3 @@ def test_no_training_rows(spark):
 
 def test_empty_table(spark):
     assert lm.text_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_states_sum_to_one():
-    keys = np.frombuffer(b"".join(bytes([97 + i % 3, 98 + i % 2, 97, 98 + i % 5, 97 + i % 3, 97 + i % 5 + i % 3, 0, 0]) for i in range(900)), "<u8")
-    levels = []
-    for d in range(lm.DEPTH + 1):
-        part, n = np.unique(keys >> np.uint64(8 * (lm.DEPTH - d)), return_counts=True)
-        levels.append((part, n))
-    tree = lm.grow(levels, len(keys))
-    assert len(tree.parent) > 3
-    for context in keys[:40] & np.uint64((1 << 8 * lm.DEPTH) - 1):
-        every = context | np.arange(256, dtype=np.uint64) << np.uint64(8 * lm.DEPTH)
-        assert (10 ** tree.score(every)).sum() == pytest.approx(1)

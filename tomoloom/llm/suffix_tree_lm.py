@@ -9,17 +9,18 @@ longest kept suffix of what stands before it.
 Counting covers all texts: tasks count, Spark adds up. Sums, divergence and smoothed values are joins of one table per
 depth (`_values`); every (context, byte) that stands in a text gets its value, and the driver holds no tree. Words and
 (context, byte) pairs that make up a share of WORD_SHARE or GRAM_SHARE of the training tokens or bytes travel to the
-tasks; all others meet their value in a join.
+tasks. For all others, documents are gathered in chunks of some CHUNK_BYTES; a chunk asks once for every key that it
+holds, and the parts of the table of values answer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +33,14 @@ SHARE, LEAST_COUNT = 0.0, 4
 DIVERGENCE = 0.01
 PRIOR = 8.0
 #: What travels to the tasks, at most 1 / WORD_SHARE words and 1 / GRAM_SHARE values; the rest is joined.
-WORD_SHARE, GRAM_SHARE = 1e-5, 1e-6
+WORD_SHARE, GRAM_SHARE = 1e-5, 5e-7
 SPACE, END = 32, 10
 #: Kinds of counted keys; HELD are bytes of held-out texts, which count nothing.
 WORD, GRAM, HELD = 0, 1, 2
-#: Kinds of the rows that carry a document's own figures.
-BASE, SCORE, TOKENS, KNOWN = -1, -2, -3, -4
+#: Bytes of text, about, that are scored together, so that a key that several of them have is asked for once.
+CHUNK_BYTES = 8 << 20
+#: Keys of a part of a table of values and occurrences of all of them, about.
+PART_KEYS, PART_PLACES = 1 << 18, 1 << 22
 
 
 def symbols(low: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,114 +67,6 @@ def grams(out: np.ndarray, scored: np.ndarray) -> np.ndarray:
     return eight_bytes(out)[scored - DEPTH] & np.uint64((1 << 8 * (DEPTH + 1)) - 1)
 
 
-@dataclass
-class Tree:
-    states: Lookup  # of context and depth; the root is state 0
-    parent: np.ndarray
-    backoff: np.ndarray  # log10 of the weight that the shorter context has
-    entries: Lookup  # of state and byte
-    value: np.ndarray  # log10 probability per entry
-
-    def score(self, gram: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each gram."""
-        state = np.zeros(len(gram), np.int64)
-        alive = np.arange(len(gram))
-        context = gram & np.uint64((1 << 8 * DEPTH) - 1)
-        for depth in range(1, DEPTH + 1):
-            found = self.states.find(_state_key(context[alive] >> np.uint64(8 * (DEPTH - depth)), depth))
-            kept = found >= 0
-            alive = alive[kept]
-            state[alive] = found[kept]
-            if not len(alive):
-                break
-        byte = gram >> np.uint64(8 * DEPTH)
-        out = np.zeros(len(gram))
-        left = np.arange(len(gram))
-        while len(left):
-            found = self.entries.find(state[left].astype(np.uint64) << np.uint64(8) | byte[left])
-            known = found >= 0
-            out[left[known]] += self.value[found[known]]
-            left = left[~known]
-            out[left] += self.backoff[state[left]]
-            state[left] = self.parent[state[left]]
-        return out
-
-
-def _state_key(context: np.ndarray, depth: int) -> np.ndarray:
-    return context | np.uint64(depth) << np.uint64(8 * DEPTH)
-
-
-def grow(levels: list[tuple[np.ndarray, np.ndarray]], total: int, share: float = SHARE, divergence: float = DIVERGENCE) -> Tree:
-    """The tree of counts per depth: keys (context bytes, then the next byte) and counts. Without counts, only the root.
-
-    The same tree as in `_values`, in one process, for counts that fit it.
-    """
-    least = max(share * total, LEAST_COUNT)
-    split = []
-    for depth, (key, n) in enumerate(levels):
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order].astype(float)
-        context, byte = key & np.uint64((1 << 8 * depth) - 1), key >> np.uint64(8 * depth)
-        names, at = np.unique(context, return_inverse=True)
-        split.append((names, at, byte, n, np.bincount(at, n, len(names)), Lookup(key), context))
-    kept = [np.zeros(len(s[0]), bool) for s in split]
-    for depth in range(1, len(split)):
-        names, at, byte, n, sums, _, context = split[depth]
-        shorter = split[depth - 1]
-        up = shorter[5].find((context >> np.uint64(8)) | byte << np.uint64(8 * (depth - 1)))
-        mother = shorter[1][up]
-        gain = n / sums[at] * np.log((n / sums[at]) / (shorter[3][up] / shorter[4][mother]))
-        kept[depth] = (sums >= least) & (np.bincount(at, gain, len(names)) >= divergence)
-    for depth in range(len(split) - 1, 1, -1):
-        kept[depth - 1] |= np.isin(split[depth - 1][0], split[depth][0][kept[depth]] >> np.uint64(8))
-    # States, the root first; then their entries, each from the shorter context's.
-    root = np.ones(256)
-    if len(levels) and len(levels[0][0]):
-        root[levels[0][0].astype(np.int64)] += levels[0][1]
-    keys, parent, backoff = [np.zeros(1, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(1)]
-    entry, value = [np.arange(256, dtype=np.uint64)], [np.log10(root / root.sum())]
-    count = 1
-    numbers = {0: (np.zeros(1, np.uint64), np.zeros(1, np.int64))}
-    held, probability = Lookup(entry[0]), 10 ** value[0]
-    for depth in range(1, len(split)):
-        names, at, byte, n, sums, _, context = split[depth]
-        chosen = np.flatnonzero(kept[depth])
-        if not len(chosen):
-            break
-        number = np.full(len(names), -1)
-        number[chosen] = count + np.arange(len(chosen))
-        above, above_number = numbers[depth - 1]
-        mother = above_number[np.searchsorted(above, names[chosen] >> np.uint64(8))]
-        weight = PRIOR / (sums[chosen] + PRIOR)
-        mine = number[at] >= 0
-        place = np.searchsorted(chosen, at[mine])
-        shorter = _chance(held, probability, mother[place], byte[mine], parent, backoff)
-        p = (n[mine] + PRIOR * shorter) / (sums[at[mine]] + PRIOR)
-        keys.append(_state_key(names[chosen], depth))
-        parent.append(mother)
-        backoff.append(np.log10(weight))
-        entry.append(number[at[mine]].astype(np.uint64) << np.uint64(8) | byte[mine])
-        value.append(np.log10(p))
-        numbers[depth] = names[chosen], number[chosen]
-        count += len(chosen)
-        held, probability = Lookup(np.concatenate(entry)), 10 ** np.concatenate(value)
-    return Tree(Lookup(np.concatenate(keys)), np.concatenate(parent), np.concatenate(backoff), held, np.concatenate(value))
-
-
-def _chance(held: Lookup, probability: np.ndarray, state: np.ndarray, byte: np.ndarray, parent: list, backoff: list) -> np.ndarray:
-    """Smoothed probability of a byte in a state that is already there."""
-    up, weight = np.concatenate(parent), 10 ** np.concatenate(backoff)
-    state, out, left = state.copy(), np.ones(len(state)), np.arange(len(state))
-    while len(left):
-        found = held.find(state[left].astype(np.uint64) << np.uint64(8) | byte[left])
-        known = found >= 0
-        out[left[known]] *= probability[found[known]]
-        left = left[~known]
-        out[left] *= weight[state[left]]
-        state[left] = up[state[left]]
-    return out
-
-
 def _counts(rows: DataFrame) -> DataFrame:
     """kind, key, n: words of the training texts, and bytes of all texts with what stands before them.
 
@@ -253,56 +148,101 @@ def _values(found: DataFrame, total: int) -> DataFrame:
     return values
 
 
-def _own(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of each text, their texts, and how often each is there."""
-    order = np.lexsort((ids, doc))
-    ids, doc = ids[order], doc[order]
-    new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (doc[1:] != doc[:-1]))) if len(ids) else np.zeros(0, np.int64)
-    return ids[new], doc[new], np.diff(np.append(new, len(ids)))
-
-
-def _document_rows(
-    rows: DataFrame, words: tuple[np.ndarray, np.ndarray], bytes_: tuple[np.ndarray, np.ndarray], end_value: float, end_known: int
-) -> DataFrame:
-    """ref, kind, key, n, x: a row per document and word or byte that isn't common, and four with the document's own figures."""
-    held = rows.sparkSession.sparkContext.broadcast((Lookup(words[0]), words[1], Lookup(bytes_[0]), bytes_[1]))
+def _held(frame: DataFrame) -> tuple[Lookup, np.ndarray]:
+    found = frame.toPandas()
+    return Lookup(found["key"].to_numpy(np.int64).view(np.uint64)), found["value"].to_numpy(float)
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a table that a key is in."""
+    return (mix(keys ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(parts)).astype(np.int64)
+
+
+def _asked(chunks: DataFrame, common: Broadcast, parts: dict[int, int]) -> DataFrame:
+    """kind, part, chunk, keys: what each chunk of documents needs to know, a row per part of the table it is in."""
+
+    def ask(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, chunk = {WORD: Tally(), GRAM: Tally()}, None
+        for batch in group:
+            chunk = batch["chunk"][0].as_py()
+            for _, offsets, data in text_blocks(batch["text"]):
+                low, start, length, doc = word_spans(data, offsets)
+                found = {WORD: span_ids(low, start, length), GRAM: grams(*symbols(low, start, length, doc, len(offsets) - 1)[:2])}
+                for kind, keys in found.items():
+                    wanted[kind].add(keys[common.value[kind][0].find(keys) < 0])
+        for kind, tally in wanted.items():
+            keys = tally.take()[0]
+            part = _part(keys, parts[kind])
+            order = np.argsort(part, kind="stable")
+            keys, part = keys[order], part[order]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "kind": pa.array(np.full(len(first), kind, np.int32)),
+                    "part": pa.array(part[first]),
+                    "chunk": pa.array(np.full(len(first), chunk or 0, np.int64)),
+                    "keys": pa.array([keys[a:b].tobytes() for a, b in zip(first, [*first[1:], len(keys)])], pa.binary()),
+                }
+            )
 
-    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, value, states, chance = held.value
-        for batch in batches:
-            ref = batch["ref"].to_numpy(zero_copy_only=False)
-            for row, offsets, data in text_blocks(batch["text"]):
-                docs = len(offsets) - 1
-                low, start, length, text = word_spans(data, offsets)
-                ids, doc = span_ids(low, start, length), text
-                found = known.find(ids)
-                common = found >= 0
-                base = np.bincount(doc[common], value[found[common]], docs) + end_value
-                tokens = np.bincount(doc, minlength=docs) + 1
-                knows = np.bincount(doc[common], minlength=docs) + end_known
-                ids, doc, many = _own(ids[~common], doc[~common])
-                out, scored, of = symbols(low, start, length, text, docs)
-                gram = grams(out, scored)
-                found = states.find(gram)
-                common = found >= 0
-                score = np.bincount(of[common], chance[found[common]], docs)
-                gram, of, often = _own(gram[~common], of[~common])
-                own = ref[row : row + docs]
-                # Rows of figures are dealt out by a key of their own.
-                spread = mix(own.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-                kinds = np.repeat([WORD, GRAM, BASE, SCORE, TOKENS, KNOWN], [len(ids), len(gram), docs, docs, docs, docs])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([own[doc], own[of], np.tile(own, 4)])),
-                        pa.array(kinds.astype(np.int32)),
-                        pa.array(np.concatenate([ids.view(np.int64), gram.view(np.int64), np.tile(spread, 4)])),
-                        pa.array(np.concatenate([many, often, np.ones(4 * docs, np.int64)]).astype(np.int32)),
-                        pa.array(np.concatenate([np.zeros(len(ids) + len(gram)), base, score, tokens, knows])),
-                    ],
-                    ["ref", "kind", "key", "n", "x"],
+    return chunks.groupBy("chunk").applyInArrow(ask, "kind int, part long, chunk long, keys binary")
+
+
+def _parts(keys: pa.Array, parts: pa.Array) -> pa.Array:
+    return pa.array(_part(keys.to_numpy(zero_copy_only=False).view(np.uint64), parts[0].as_py() if len(parts) else 1))
+
+
+def _answer(asked: pa.Table, values: pa.Table) -> pa.Table:
+    """kind, chunk, keys and the values of those that the table has."""
+    table = Lookup(values["key"].to_numpy().view(np.uint64))
+    value, keys, found = values["value"].to_numpy(), [], []
+    for held in asked["keys"]:
+        own = np.frombuffer(held.as_buffer(), np.uint64)
+        at = table.find(own)
+        keys.append(own[at >= 0].tobytes())
+        found.append(value[at[at >= 0]].tobytes())
+    return pa.table({"kind": asked["kind"], "chunk": asked["chunk"], "keys": pa.array(keys, pa.binary()), "found": pa.array(found, pa.binary())})
+
+
+def _scored(common: Broadcast, floor: float, end: tuple[float, int]):
+    """Figures of a chunk's documents from the common values and those that came for the chunk."""
+
+    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        own = {}
+        for kind in (WORD, GRAM):
+            rows = answers.filter(pc.equal(answers["kind"], kind))
+            keys, found = (b"".join(rows[c].to_pylist()) for c in ("keys", "found"))
+            own[kind] = Lookup(np.frombuffer(keys, np.uint64)), np.frombuffer(found, np.float64)
+
+        def value(kind: int, keys: np.ndarray) -> np.ndarray:
+            """NaN where neither table has the key."""
+            out = np.full(len(keys), np.nan)
+            for table, held in (common.value[kind], own[kind]):
+                left = np.flatnonzero(np.isnan(out))
+                at = table.find(keys[left])
+                out[left[at >= 0]] = held[at[at >= 0]]
+            return out
+
+        figures = []
+        for _, offsets, data in text_blocks(docs["text"]):
+            many = len(offsets) - 1
+            low, start, length, doc = word_spans(data, offsets)
+            word = value(WORD, span_ids(low, start, length))
+            known = ~np.isnan(word)
+            out, scored, of = symbols(low, start, length, doc, many)
+            figures.append(
+                (
+                    np.bincount(doc, minlength=many) + 1,
+                    np.bincount(doc[known], minlength=many) + end[1],
+                    np.bincount(doc, np.where(known, word, floor), many) + end[0],
+                    np.bincount(of, value(GRAM, grams(out, scored)), many),
                 )
+            )
+        columns = [np.concatenate(c) for c in zip(*figures)] if figures else [np.zeros(0, t) for t in (int, int, float, float)]
+        names = ["n_tokens", "n_known", "base_score", "score"]
+        return pa.table([docs["doc_id"], docs["held_out"], *(pa.array(c) for c in columns)], ["doc_id", "held_out", *names])
 
-    return rows.select("ref", "text").mapInArrow(figures, "ref long, kind int, key long, n int, x double")
+    return score
 
 
 def text_scores(docs: DataFrame) -> DataFrame:
@@ -320,32 +260,36 @@ def text_scores(docs: DataFrame) -> DataFrame:
     counts = materialize(_counts(rows.withColumn("held_out", out)))
     words = counts.filter(F.col("kind") == WORD)
     seen = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).first()
-    ends = rows.filter(~out).count()
+    read = rows.agg(F.count_if(~out).alias("ends"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    ends = read.ends
     total, distinct = (seen.n or 0) + ends, seen.distinct + (ends > 0)
     floor = float(total + distinct + 1)
     places = counts.filter(F.col("kind") == GRAM)
     size = places.agg(F.sum("n")).first()[0] or 0
-    chances = _values(places, size)
-    frequent = words.filter(F.col("n") >= max(2, WORD_SHARE * total)).select("key", "n").toPandas()  # 1 / WORD_SHARE at most
-    value = np.log10((frequent["n"].to_numpy(float) + 1) / floor)
-    common = frequent["key"].to_numpy(np.int64).view(np.uint64), value
-    likely = chances.filter(F.col("n") >= max(2, GRAM_SHARE * size)).select("key", "value").toPandas()  # 1 / GRAM_SHARE at most
-    states = likely["key"].to_numpy(np.int64).view(np.uint64), likely["value"].to_numpy(float)
-    parts = _document_rows(rows, common, states, float(np.log10((ends + 1) / floor)), int(ends > 0))
-    valued = words.select("kind", "key", F.log10((F.col("n") + 1) / floor).alias("value")).unionByName(
-        chances.select(F.lit(GRAM).alias("kind"), "key", "value")
-    )
-    joined = parts.join(valued, ["kind", "key"], "left")
-    figure = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("x")))
-    rest = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0))
-    added = joined.groupBy("ref").agg(
-        (figure(BASE) + rest(WORD, F.col("n") * F.coalesce("value", F.lit(float(-np.log10(floor)))))).alias("base_score"),
-        (figure(SCORE) + rest(GRAM, F.col("n") * F.col("value"))).alias("score"),
-        figure(TOKENS).cast("long").alias("n_tokens"),
-        (figure(KNOWN).cast("long") + rest(WORD, F.when(F.col("value").isNotNull(), F.col("n")))).alias("n_known"),
+    values = {
+        WORD: words.select("key", "n", F.log10((F.col("n") + 1) / floor).alias("value")),
+        GRAM: _values(places, size),
+    }
+    often = {WORD: WORD_SHARE * total, GRAM: GRAM_SHARE * size}
+    # Bounded: at most 1 / WORD_SHARE words and 1 / GRAM_SHARE bytes with their contexts.
+    common = spark.sparkContext.broadcast({k: _held(v.filter(F.col("n") >= max(2, often[k])).select("key", "value")) for k, v in values.items()})
+    rare = {k: v.filter(F.col("n") < max(2, often[k])).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first() for k, v in values.items()}
+    parts = {k: 1 + max(many // PART_KEYS, times // PART_PLACES) for k, (many, times) in rare.items()}
+    chunks = rows.select(
+        F.pmod(F.xxhash64("ref"), F.lit(1 + (read.bytes or 0) // CHUNK_BYTES)).alias("chunk"), "doc_id", out, "text"
     )
-    # The id itself is the key unless ids repeat.
-    named = rows.select("ref", "doc_id").join(added, "ref")
-    return named.select(
-        "doc_id", out, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
+    part = F.arrow_udf(_parts, "long")
+    table = None
+    for kind, frame in values.items():
+        one = frame.filter(F.col("n") < max(2, often[kind])).select(F.lit(kind).alias("kind"), part("key", F.lit(parts[kind])).alias("part"), "key", "value")
+        table = one if table is None else table.unionByName(one)
+    answers = (
+        _asked(chunks.select("chunk", "text"), common, parts)
+        .groupBy("kind", "part")
+        .cogroup(table.groupBy("kind", "part"))
+        .applyInArrow(_answer, "kind int, chunk long, keys binary, found binary")
     )
+    end = float(np.log10((ends + 1) / floor)), int(ends > 0)
+    figures = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(common, -float(np.log10(floor)), end), figures)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
