@@ -38,7 +38,7 @@ SPACE, END = 32, 10
 #: Kinds of counted keys; HELD are bytes of held-out texts, which count nothing.
 WORD, GRAM, HELD = 0, 1, 2
 #: Bytes of text, about, that are scored together, so that a key that several of them have is asked for once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 #: Keys of a part of a table of values and occurrences of all of them, about.
 PART_KEYS, PART_PLACES = 1 << 18, 1 << 22
 
@@ -284,7 +284,7 @@ def text_scores(docs: DataFrame) -> DataFrame:
         one = frame.filter(F.col("n") < max(2, often[kind])).select(F.lit(kind).alias("kind"), part("key", F.lit(parts[kind])).alias("part"), "key", "value")
         table = one if table is None else table.unionByName(one)
     answers = (
-        _asked(chunks.select("chunk", "text"), common, parts)
+        _asked(chunks, common, parts)  # the same columns as below, so that one exchange serves both
         .groupBy("kind", "part")
         .cogroup(table.groupBy("kind", "part"))
         .applyInArrow(_answer, "kind int, chunk long, keys binary, found binary")
