@@ -57,6 +57,21 @@ def test_whole_table(spark, reference):
     assert got == {r.doc_id: expected(reference, r.text) for r in docs.collect()}
 
 
+@pytest.mark.parametrize("step,overlap", [(40, 9), (64, 24), (2048, 256)])
+def test_pieces_of_one_text(reference, step, overlap):
+    for text in TEXTS + ["x" * 5000 + " and then on " * 400, " " * 6000 + "a b c " * 900]:
+        assert "".join(byte_bpe.pieces(text or "", step, overlap)) == (text or "")
+        ids = np.frombuffer(byte_bpe.encode(text or "", NAME, step, overlap), "<u4")
+        assert ids.tolist() == reference.encode_ordinary(text or "")
+
+
+def test_long_texts_are_stitched(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    long = [r.text for r in docs.collect() if len(r.text) > byte_bpe.SMALL_CHARS + byte_bpe.SMALL_OVERLAP]
+    cut = [len(byte_bpe.pieces(t, byte_bpe.SMALL_CHARS, byte_bpe.SMALL_OVERLAP)) for t in long]
+    assert len(long) > 200 and min(cut) > 1
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string").filter(F.lit(True))
     assert byte_bpe.round_trip(docs).count() == 0

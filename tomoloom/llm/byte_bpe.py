@@ -1,9 +1,12 @@
 """Byte-level BPE by overlapping chunks, and decoding by concatenating raw bytes.
 
-A text longer than a chunk is cut into chunks that overlap. Chunks are pre-tokenised in parallel; two neighbours are
+A text longer than a chunk is cut into chunks that overlap. Chunks are pre-tokenised by themselves; two neighbours are
 stitched at the first boundary of the overlap that both found, because a match depends only on what follows it, so two
-scans that share a boundary agree from there on. The stitched pieces are encoded where their chunk is and put together
-per document. A text whose chunks never agree (one match longer than the overlap) is encoded whole.
+scans that share a boundary agree from there on. The stitched pieces are encoded and put together per document.
+
+Chunks come in two sizes. Small ones are stitched inside the task that has the text; where two don't agree (one match
+longer than the overlap), scanning goes on from the last stitch. Texts longer than a large chunk are dealt to tasks by
+large chunks first; one whose large chunks never agree is put together again and goes through the small ones.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from tomoloom.llm.common import prepare, texts, worker_cache
 
 CHUNK_CHARS = 32768
 OVERLAP_CHARS = 2048
+#: The small chunks, inside a task.
+SMALL_CHARS, SMALL_OVERLAP = 2048, 256
 #: Tokens are four bytes each wherever they travel.
 ID_TYPE = np.dtype("<u4")
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -46,9 +51,10 @@ def _codec(vocabulary: str):
     return kept[vocabulary]
 
 
-def encode(text: str, vocabulary: str) -> bytes:
+def encode(text: str, vocabulary: str, step: int = SMALL_CHARS, overlap: int = SMALL_OVERLAP) -> bytes:
     """Ids of one text or stitched piece of text, little-endian, four bytes each."""
-    return np.asarray(_codec(vocabulary)[0].encode_ordinary(text), ID_TYPE).tobytes()
+    encoder = _codec(vocabulary)[0]
+    return b"".join([np.asarray(encoder.encode_ordinary(piece), ID_TYPE).tobytes() for piece in pieces(text, step, overlap)])
 
 
 def decode(ids: bytes, vocabulary: str) -> bytes:
@@ -78,6 +84,26 @@ def _usable(text: str, found: list[int], low: int, high: int) -> list[int]:
     return [b for b in found if low <= b < high and b and not text[b - 1].isspace()]
 
 
+def pieces(text: str, step: int, overlap: int) -> list[str]:
+    """The text cut where the scans of overlapping chunks meet."""
+    cuts, at, skip = [0], step, 1
+    scanned, seen = 0, boundaries(text[: step + overlap]) if len(text) > step + overlap else []
+    while at < len(text) - overlap:
+        own = boundaries(text[at : at + step + overlap])
+        head = {at + b for b in _usable(text[at : at + overlap], own, 0, overlap)}
+        meet = next((b for b in seen if scanned + b in head), None)
+        if meet is None:
+            # The chunk may have begun inside a match: go on from the last sure place, further each time.
+            skip *= 2
+            at += step * skip
+            scanned, seen = cuts[-1], boundaries(text[cuts[-1] : at + overlap])
+        else:
+            cuts.append(scanned + meet)
+            scanned, seen, skip = at, own, 1
+            at += step
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+
+
 def _stitch_points(step: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +195,8 @@ def round_trip(
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     The digests are of the ids (little-endian, four bytes each) and of the bytes that decoding them gives. Null and empty
-    texts have no ids. Repeated rows each give a row; null ids stay; other columns are ignored.
+    texts have no ids; very long ones are dealt to several tasks. Repeated rows each give a row; null ids stay; an empty
+    table gives no rows; other columns are ignored.
     """
     prepare(docs.sparkSession)
     rows = texts(docs)
