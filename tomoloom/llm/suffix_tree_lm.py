@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tomoloom.functions.storage import discard, materialize
 from tomoloom.llm.common import Lookup, Tally, eight_bytes, keyed, mix, prepare, remainder, span_ids, text_blocks, word_spans
 
-#: A context and the byte after it fill one 64-bit number.
-DEPTH = 7
+#: A context and the byte after it share one 64-bit number, so seven is the most.
+DEPTH = 5
 #: Occurrences a context needs: a share of the training bytes (none is asked for) and an absolute count.
 SHARE, LEAST_COUNT = 0.0, 4
 DIVERGENCE = 0.01
