@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from binaries import write_stl, write_tiff
 from tomoloom.operators import lattice
 from tomoloom.functions.paths import open_file
-from tomoloom.sources import explode_lines, read_voxels
+from tomoloom.sources import explode_lines, read_voxels, register
 from tomoloom.sources.headers import lines_of, volume_headers
 from tomoloom.sources.tiff import Page, read_directory
 from tomoloom.plans.jobs import read_volume, store_voxels, volume_shape
@@ -234,3 +234,16 @@ def test_prompt_file_is_one_row(spark, tmp_path):
     (tmp_path / "p.txt").write_text("two\nlines ünï\n", encoding="utf-8")
     rows = read_prompt(spark, str(tmp_path / "p.txt")).collect()
     assert [r.value for r in rows] == ["two\nlines ünï\n"]
+
+
+def test_volumes_are_read_where_no_filter_is_pushed_down(spark, tmp_path):
+    # Spark refuses a reader that takes filters in a session that pushes none; the driver's session is such a one.
+    np.save(tmp_path / "v.npy", np.arange(60.0).reshape(5, 3, 4))
+    setting = "spark.sql.python.filterPushdown.enabled"
+    for pushed in ("false", "true"):
+        spark.conf.set(setting, pushed)
+        register(spark)
+        rows = read_voxels(spark, "npy_volume", str(tmp_path / "v.npy"), slab=1)
+        assert [r.v for r in rows.filter("z = 3 and y = 1").orderBy("x").collect()] == [40.0, 41.0, 42.0, 43.0]
+        plane = read_voxels(spark, "npy_volume", str(tmp_path / "v.npy"), slab=1, z_from=2, z_to=4)
+        assert plane.rdd.getNumPartitions() == 2 and {r.z for r in plane.collect()} == {2, 3}

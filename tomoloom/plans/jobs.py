@@ -48,14 +48,15 @@ def volume_header(path: str) -> tuple[tuple[int, ...], str]:
     raise ValueError(f"Unsupported file type '{suffix}'. Expected .npy, .tif, or .tiff.")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one volume file, after checking that it is 3D."""
+def read_lines(spark: SparkSession, path: str, plane: int | None = None) -> DataFrame:
+    """Lines of one volume file, or of one of its planes only, after checking that it is 3D."""
     volume.check_rank(volume_shape(path))
-    return spark.read.format("npy_volume" if path.lower().endswith(".npy") else "tiff_stack").load(path)
+    of = {} if plane is None else {"z_from": str(plane), "z_to": str(plane + 1)}
+    return spark.read.format("npy_volume" if path.lower().endswith(".npy") else "tiff_stack").options(**of).load(path)
 
 
-def read_volume(spark: SparkSession, path: str) -> DataFrame:
-    return explode_lines(read_lines(spark, path))
+def read_volume(spark: SparkSession, path: str, plane: int | None = None) -> DataFrame:
+    return explode_lines(read_lines(spark, path, plane))
 
 
 def _require_npy(path: str, message: str) -> None:
@@ -88,7 +89,8 @@ def slice_file(spark: SparkSession, input_path: str, output_path: str, index: in
     shape = volume_shape(input_path)
     volume.check_rank(shape)
     volume.check_slice(shape, index, axis)
-    plane = volume.take_slice(read_volume(spark, input_path), index, axis, shape=shape)
+    voxels = read_volume(spark, input_path, index if axis == 0 else None)
+    plane = volume.take_slice(voxels, index, axis, shape=shape)
     volume.gray_levels(plane).write.mode("overwrite").parquet(output_path)
     return {"output": output_path, "slice_index": index, "axis": axis}
 
@@ -204,7 +206,7 @@ def as_built_and_designed(spark: SparkSession, volume_path: str, mesh_path: str)
     """Middle scan slice with its Otsu mask, and the mesh outline at mid-height; the two are not registered."""
     shape, dtype = volume_header(volume_path)
     middle = shape[0] // 2
-    plane = read_volume(spark, volume_path).filter(F.col("z") == middle)
+    plane = read_volume(spark, volume_path, middle)
     triangles = spark.read.format("stl_mesh").load(mesh_path)
     whole = np.issubdtype(np.dtype(dtype), np.integer) or dtype == "bool"
     threshold = volume.otsu_threshold(plane) if whole else volume.otsu_threshold_binned(plane)

@@ -3,13 +3,20 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomoloom.sources.npy import NpyVolume
+from tomoloom.sources.npy import NpyVolume, PruningNpyVolume
 from tomoloom.sources.stl import StlMesh
-from tomoloom.sources.tiff import TiffStack
+from tomoloom.sources.tiff import PruningTiffStack, TiffStack
 
 
 def register(spark: SparkSession) -> None:
-    for source in (NpyVolume, TiffStack, StlMesh):
+    """Make the formats known to the session.
+
+    Only where it pushes filters into Python sources do comparisons of `z` prune files; call again when that setting
+    changes. The options `z_from` and `z_to` prune in every session.
+    """
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true"
+    volumes = (PruningNpyVolume, PruningTiffStack) if pushed else (NpyVolume, TiffStack)
+    for source in (*volumes, StlMesh):
         spark.dataSource.register(source)
 
 

@@ -67,10 +67,11 @@ def split_spans(path: str, rows: int, rows_per_span: int, low: int = 0, high: in
 
 
 class ZRange:
-    """Half-open z range kept from pushed-down comparisons."""
+    """Half-open z range, from the options `z_from` and `z_to` and from pushed-down comparisons."""
 
-    def __init__(self) -> None:
-        self.low, self.high = 0, None
+    def __init__(self, options=None) -> None:
+        self.low = int(options["z_from"]) if options and "z_from" in options else 0
+        self.high = int(options["z_to"]) if options and "z_to" in options else None
 
     def _cap(self, high: int) -> None:
         self.high = high if self.high is None else min(self.high, high)
@@ -98,6 +99,15 @@ class ZRange:
         return True
 
 
+class ZPushdown:
+    """Mixed into a reader with a `z` range where the session pushes filters down; elsewhere Spark refuses such readers."""
+
+    def pushFilters(self, filters):
+        for condition in filters:
+            if not self.z.absorb(condition):
+                yield condition
+
+
 LINE_ARROW = pa.schema(
     [("volume_id", pa.string()), ("z", pa.int32()), ("y", pa.int32()), ("run", pa.list_(pa.float64()))]
 )

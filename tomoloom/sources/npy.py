@@ -11,7 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from tomoloom.functions.paths import located, open_file
 from tomoloom.schemas import LINE
-from tomoloom.sources.binary import SLAB_VALUES, Span, ZRange, chosen_files, line_batches, planned_headers, split_spans
+from tomoloom.sources.binary import SLAB_VALUES, Span, ZPushdown, ZRange, chosen_files, line_batches, planned_headers, split_spans
 
 
 @dataclass
@@ -53,7 +53,8 @@ def planes(path: str, start: int, stop: int):
 
 
 class NpyVolume(DataSource):
-    """Options: `path` (file or folder), `files` (one path per line) or `headers` (see `sources.headers`), `slab` (z planes per task).
+    """Options: `path` (file or folder), `files` (one path per line) or `headers` (see `sources.headers`), `slab` (z planes per task),
+    `z_from` and `z_to` (planes to read, the last one excluded).
 
     The volume's id is its file path.
     """
@@ -77,12 +78,7 @@ class NpyReader(DataSourceReader):
         self.planned = planned_headers(options)
         self.files = chosen_files(options, (".npy",)) if self.planned is None else []
         self.slab = int(options["slab"]) if "slab" in options else None
-        self.z = ZRange()
-
-    def pushFilters(self, filters):
-        for condition in filters:
-            if not self.z.absorb(condition):
-                yield condition
+        self.z = ZRange(options)
 
     def partitions(self):
         spans = []
@@ -103,6 +99,15 @@ class NpyReader(DataSourceReader):
                 yield from line_batches(span.path, z, plane)
 
 
+class PruningNpyReader(ZPushdown, NpyReader):
+    """The same where comparisons of `z` arrive from the query."""
+
+
+class PruningNpyVolume(NpyVolume):
+    def reader(self, schema) -> PruningNpyReader:
+        return PruningNpyReader(self.options)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     rows: int

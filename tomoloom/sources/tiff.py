@@ -11,7 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tomoloom.functions.paths import open_file
 from tomoloom.schemas import LINE
 from tomoloom.sources.tiff_blocks import CODECS, DIFFERENCES, NONE, PLAIN, decode_block
-from tomoloom.sources.binary import SLAB_VALUES, ZRange, chosen_files, line_batches, planned_headers
+from tomoloom.sources.binary import SLAB_VALUES, ZPushdown, ZRange, chosen_files, line_batches, planned_headers
 
 # TIFF tag numbers and field types (TIFF 6.0; type 16 is the 64-bit offset of large files).
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES = 256, 257, 258, 259, 273, 277
@@ -147,7 +147,8 @@ def read_directory(path: str) -> list[Page]:
 
 
 class TiffStack(DataSource):
-    """Options: `path` (file or folder), `files` (one path per line) or `headers` (see `sources.headers`), `pages` (planes per task).
+    """Options: `path` (file or folder), `files` (one path per line) or `headers` (see `sources.headers`), `pages` (planes per task),
+    `z_from` and `z_to` (planes to read, the last one excluded).
 
     The volume's id is its file path.
     """
@@ -168,12 +169,7 @@ class TiffReader(DataSourceReader):
         self.planned = planned_headers(options)
         self.files = chosen_files(options, (".tif", ".tiff")) if self.planned is None else []
         self.per_task = int(options["pages"]) if "pages" in options else None
-        self.z = ZRange()
-
-    def pushFilters(self, filters):
-        for condition in filters:
-            if not self.z.absorb(condition):
-                yield condition
+        self.z = ZRange(options)
 
     def partitions(self):
         ranges = []
@@ -197,3 +193,12 @@ class TiffReader(DataSourceReader):
         with open_file(part.path) as handle:
             for z, page in enumerate(part.pages, start=part.first):
                 yield from line_batches(part.path, z, page.read(handle))
+
+
+class PruningTiffReader(ZPushdown, TiffReader):
+    """The same where comparisons of `z` arrive from the query."""
+
+
+class PruningTiffStack(TiffStack):
+    def reader(self, schema) -> PruningTiffReader:
+        return PruningTiffReader(self.options)
