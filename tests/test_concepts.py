@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tomoloom.functions.text import STOPWORDS, clean_word, file_extension, is_sealed_blob, slug, strip
 from tomoloom.operators import concepts
+from tomoloom.plans import derived
 from tomoloom.plans.reports import literature_manifest
 from tomoloom.schemas import WORD_BOX
 
@@ -211,3 +212,28 @@ def test_documents_with_empty_first_pages_stay(spark):
     later = pages.filter("doc_id = 2 or page_no > 1")
     found = {r.doc_id: (r.n_hits, r.fallback) for r in concepts.resolve_documents(later, ["strut"], max_pages=1).collect()}
     assert found == {1: (0, True), 2: (9, False)}
+
+
+def test_words_dealt_by_document_are_not_moved(spark, tmp_path):
+    texts = spark.range(40).selectExpr("id as doc_id", "repeat('lattice strut porous ', 20) as text")
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    page = derived.word_boxes(spark, str(tmp_path))
+    sizes = page.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
+    own = concepts.auto_concepts(page)
+    for frame in (concepts.match_auto(page, own.select("doc_id", "concept", "ord"), sizes), own):
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.split("Initial Plan")[0].split("\n") if "Exchange" in line]
+        assert dealt and all("REPARTITION_BY" in line or "Reused" in line for line in dealt), dealt
+
+
+def test_large_and_small_documents_match_alike(spark):
+    documents = fallback_documents()
+    page = boxes(spark, documents)
+    sizes = page.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
+    own = concepts.auto_concepts(page).select("doc_id", "concept", "ord")
+    found = [
+        {tuple(r) for r in concepts.match_auto(page, own, sizes, n).select("doc_id", "page_no", "word_no", "concept").collect()}
+        for n in (1, 100, 1_000_000)
+    ]
+    assert found[0] and found[0] == found[1] == found[2]
