@@ -1,5 +1,7 @@
 import json
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +172,16 @@ def test_nothing_found_writes_nothing(spark, tmp_path):
     with pytest.raises(ValueError, match="no web search or find calls"):
         logs.write_keyword_blocks(logs.keywords(events(spark, [event("nothing here")])), str(tmp_path / "out"))
     assert not (tmp_path / "out").exists()
+
+
+def test_a_batch_is_not_held_as_python_texts():
+    # Lists of a whole batch's strings took more than twice the batch's own bytes.
+    line = json.dumps({"a": "w" * 4000, "b": ["x" * 1000] * 4, "c": {"a": "y" * 900}})
+    batch = pa.array([line] * 4000)
+    tracemalloc.start()
+    found = logs._listed(batch, logs._last_members)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < batch.nbytes / 4
+    assert len(found) == 4000 and found[3999].as_py() == ["w" * 4000, *["x" * 1000] * 4, "y" * 900]
+    assert logs._listed(pa.array([None, "{", line]), logs._last_members).to_pylist()[:2] == [None, []]

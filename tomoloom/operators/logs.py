@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,8 @@ CALL = "tools.web__run"
 FIELDS = (("query", "search_query", "q"), ("pattern", "find", "pattern"))
 SHORTEST = 20
 BLOCK_MARK = "---\n"
+#: Texts of a batch that are Python objects at a time.
+LINES_AT_ONCE = 64
 
 _CALL, _PARENTHESIS = re.compile(re.escape(CALL)), re.compile("[()]")
 _OPENING = re.compile(r"[^(\n]*\(")
@@ -81,19 +84,29 @@ def _walk(value, out: list[str]) -> None:
             _walk(part, out)
 
 
+def _listed(texts: pa.Array, find: Callable[[str], list[str | None]]) -> pa.Array:
+    """What `find` gives for each text, null for null; Python holds the texts of a few lines at a time."""
+    kind = pa.list_(pa.string())
+    parts = []
+    for low in range(0, len(texts), LINES_AT_ONCE):
+        some = texts.slice(low, LINES_AT_ONCE).to_pylist()
+        parts.append(pa.array([None if t is None else find(t) for t in some], kind))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+def _last_members(line: str) -> list[str | None]:
+    strings: list[str] = []
+    try:
+        _walk(json.loads(line), strings)
+    except (ValueError, RecursionError):
+        strings = []
+    return [s.encode("utf-8", "replace").decode() for s in strings]
+
+
 @F.arrow_udf(ArrayType(StringType()))
 def _strings_of_last_members(lines: pa.Array) -> pa.Array:
     """Strings of JSON texts in which a key may be repeated: its last value stands at its first place."""
-    found = []
-    for line in lines.to_pylist():
-        strings: list[str] = []
-        if line is not None:
-            try:
-                _walk(json.loads(line), strings)
-            except (ValueError, RecursionError):
-                strings = []
-        found.append(None if line is None else [s.encode("utf-8", "replace").decode() for s in strings])
-    return pa.array(found, pa.list_(pa.string()))
+    return _listed(lines, _last_members)
 
 
 def json_strings(events: DataFrame, line: str = "line") -> DataFrame:
@@ -139,7 +152,7 @@ def _enclosed(text: str) -> list[str | None]:
 
 @F.arrow_udf(ArrayType(StringType()))
 def call_arguments(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else _enclosed(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    return _listed(texts, _enclosed)
 
 
 def web_calls(events: DataFrame, line: str = "line") -> DataFrame:
