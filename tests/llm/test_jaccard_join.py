@@ -110,6 +110,32 @@ def test_entries_keep_the_bound():
         assert len(pairs) or len(rare) >= max(join.fewest(len(one)), join.fewest(len(other)))
 
 
+def test_sizes_bound_shared_rare_tokens(spark):
+    """Of linked sets that share no frequent pair, the rare tokens in common are `shared_least` at least."""
+    rng, found = np.random.default_rng(5), []
+    counts = rng.integers(0, 1000, join.CELLS)
+    for _ in range(400):
+        size = int(rng.integers(1, 400))
+        one = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        gone = int(rng.integers(0, join.spare(len(one)) + 1))
+        other = np.unique(np.concatenate([one[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, gone + 1))).astype(np.uint64)]))
+        if join.linked(one, other):
+            (a, pa), (b, pb) = (join.entries(s, counts, 100.0) for s in (one, other))
+            if not len(np.intersect1d(a[pa > 0], b[pb > 0])):
+                found.append((len(one), len(other), len(np.intersect1d(a[pa == 0], b[pb == 0]))))
+    assert len(found) > 100
+    least = spark.createDataFrame(found, "n_a int, n_b int, rare int").selectExpr(f"{join.shared_least('n_a', 'n_b')} as least", "rare", "n_a", "n_b")
+    assert [r for r in least.collect() if r.rare < r.least] == []
+
+
+def test_sets_far_from_links_are_no_pairs(spark):
+    """Sets of 400 that share 40 rare entries each with all, where links of that size share 77; two share 100."""
+    rows = [(e, -1, ref, 400, join.fewest(400), ref) for ref in range(12) for e in range(40)]
+    rows += [(100 + e, -1, ref, 400, join.fewest(400), ref) for ref in (3, 7) for e in range(60)]
+    members = spark.createDataFrame(rows, "entry long, part int, ref long, n int, need int, comp long")
+    assert [tuple(r) for r in join._rest(members).collect()] == [(3, 7)]
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100)]
     found = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

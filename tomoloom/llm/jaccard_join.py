@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tomoloom.functions.storage import discard, materialize
 from tomoloom.llm.common import keyed, mix, prepare, sieve, sieve_cell, sieve_table, text_blocks, unused, with_key, words
@@ -83,6 +84,17 @@ def fewest(size: int) -> int:
     return extra(-(-3 * size // 4))
 
 
+def shared_least(n_a: str, n_b: str) -> str:
+    """SQL: rare tokens that the prefixes of two linked sets of these sizes share at least, if they share no frequent pair.
+
+    Linked sets have 3/7 of their summed sizes in common or more, so either may lack so few of its tokens; the prefix that
+    ends first holds `spare + extra` tokens, all others of which are in the partner's prefix too.
+    """
+    common = f"((3L * ({n_a} + {n_b}) + 6) div 7)"
+    spared = {n: f"({n} - (3L * {n} + 3) div 4)" for n in (n_a, n_b)}
+    return "least(" + ", ".join(f"{spared[n]} + 1 + {spared[n]} div 3 - {n} + {common}" for n in (n_a, n_b)) + ")"
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if not len(a) or not len(b) or 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
         return False
@@ -262,15 +274,15 @@ FITS = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
 
 
 def _enough(met: DataFrame) -> DataFrame:
-    """a, b of the pairs (x, n_a, need_a, y, n_b, need_b, part, one row per entry) that can be links: of fitting size,
-    with a frequent pair or as many rare tokens in common as either set's linked partners must have."""
+    """a, b of the pairs (x, n_a, y, n_b, part, one row per entry) that can be links: of fitting size,
+    with a frequent pair or as many rare tokens in common as linked sets of these sizes have."""
     counted = (
         met.filter(FITS)
         .groupBy(*_ordered("x", "y"))
         .agg(
             F.count_if(F.col("part") < 0).alias("rare"),
             F.count_if(F.col("part") >= 0).alias("pairs"),
-            F.max(F.greatest("need_a", "need_b")).alias("need"),
+            F.max(F.expr(shared_least("n_a", "n_b"))).alias("need"),
         )
     )
     return counted.filter("pairs > 0 or rare >= need").select("a", "b")
@@ -283,7 +295,7 @@ def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
     too few entries waits for a later round.
     """
     drawn = F.lit(1.0) if turn == 0 else 0.5 + F.pmod(F.xxhash64("ref", F.lit(turn)), F.lit(1 << 20)) / (1 << 20)
-    best = F.max(F.struct((F.col("central") * drawn).alias("w"), F.col("ref"), F.col("n"), F.col("need"), F.col("comp"), F.col("central"))).alias("top")
+    best = F.max(F.struct((F.col("central") * drawn).alias("w"), F.col("ref"), F.col("n"), F.col("comp"), F.col("central"))).alias("top")
     leaders = members.groupBy("entry", "part").agg(best)
     chosen = leaders.select("entry", "part", "top.*")
     top = chosen.groupBy("entry").agg(best)
@@ -291,8 +303,7 @@ def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
     def against(rows: DataFrame, tops: DataFrame, keys: list[str]) -> DataFrame:
         met = rows.join(tops, keys).filter(F.col("comp") != F.col("top.comp"))
         return met.select(
-            F.col("ref").alias("x"), F.col("n").alias("n_a"), F.col("need").alias("need_a"), "part",
-            F.col("top.ref").alias("y"), F.col("top.n").alias("n_b"), F.col("top.need").alias("need_b"),
+            F.col("ref").alias("x"), F.col("n").alias("n_a"), "part", F.col("top.ref").alias("y"), F.col("top.n").alias("n_b"),
         )
 
     lower = against(members, leaders, ["entry", "part"])
@@ -303,17 +314,36 @@ def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
 def _rest(members: DataFrame) -> DataFrame:
     """Pairs of sets of different components that may be links.
 
-    Sets that meet in rare entries are counted there. Where components meet in entries of two frequent tokens, which
+    Of a set's rare entries, the last and most common ones of the order are no meeting points: sets that share so few rare
+    entries are no links. What meets is counted over all of them. Where components meet in entries of two frequent tokens, which
     near copies have in great number, each pair of components is taken once, with all pairs of their members.
     """
     def mixed(rows: DataFrame) -> DataFrame:
         both = rows.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
         return rows.join(both.select("entry"), "entry", "left_semi")
 
-    rare = mixed(members.filter("part < 0")).select("entry", "part", "ref", "n", "need", "comp")
-    right = rare.select("entry", F.col("ref").alias("y"), F.col("n").alias("n_b"), F.col("need").alias("need_b"), F.col("comp").alias("other"))
-    met = rare.withColumnsRenamed({"ref": "x", "n": "n_a", "need": "need_a"}).join(right, "entry").filter("x < y and comp <> other")
-    counted = _enough(met)
+    rare = mixed(members.filter("part < 0")).select("entry", "ref", "n", "need", "comp")
+    # Linked sets share `least` of these, so one at least is not among the `least - 1` of either that most sets have.
+    of, rising = Window.partitionBy("ref"), [F.col("many"), F.col("entry")]
+    placed = rare.join(rare.groupBy("entry").agg(F.count(F.lit(1)).alias("many")), "entry").select(
+        "entry", "ref", "n", "need", "comp", F.row_number().over(of.orderBy(*rising)).alias("at"), F.count(F.lit(1)).over(of).alias("all")
+    )
+    placed = materialize(placed.filter(F.col("all") >= F.col("need")))
+    ones = placed.filter(F.col("at") <= F.col("all") - F.col("need") + 1)
+    one, other = (
+        ones.select("entry", F.col("ref").alias(r), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "comp", "at", "all")))
+        for k, r in (("a", "x"), ("b", "y"))
+    )
+    least = shared_least("n_a", "n_b")
+    # At most so many can be shared where two sets meet: those before it, itself and those behind it.
+    early = f"least(all_a - at_a, all_b - at_b) + 1 >= {least}"
+    met = one.join(other, "entry").filter("x < y and comp_a <> comp_b").filter(FITS).filter(early)
+    met = materialize(met.select("x", "y", F.expr(least).alias("need")).distinct())
+    lists = placed.groupBy("ref").agg(F.collect_list("entry").alias("held"))
+    near = lists.join(met.select(F.explode(F.array("x", "y")).alias("ref")).distinct(), "ref", "left_semi")
+    both = met.join(near.select(F.col("ref").alias("x"), F.col("held").alias("one")), "x")
+    both = both.join(near.select(F.col("ref").alias("y"), F.col("held").alias("other")), "y")
+    counted = both.filter(F.size(F.array_intersect("one", "other")) >= F.col("need")).select(*_ordered("x", "y"))
     groups = mixed(members.filter("part >= 0")).select("entry", "comp").distinct()
     meet = groups.join(groups.withColumnRenamed("comp", "other"), "entry").filter("comp < other").select("comp", "other").distinct()
     sets = members.filter("part >= 0").select("ref", "n", "comp").distinct()
