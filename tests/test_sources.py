@@ -12,7 +12,7 @@ from tomoloom.sources import explode_lines, read_voxels, register
 from tomoloom.sources.headers import lines_of, volume_headers
 from tomoloom.sources.tiff import Page, read_directory
 from tomoloom.plans.jobs import read_volume, store_voxels, volume_shape
-from tomoloom.sources.files import digest_tree, list_tree, log_lines, number_lines, read_lattice_json, read_prompt
+from tomoloom.sources.files import digest_tree, list_tree, log_lines, number_lines, read_lattice_json, read_prompt, read_prompts
 from tomoloom.sources.stl import header_count, stl_counts
 
 
@@ -247,3 +247,13 @@ def test_volumes_are_read_where_no_filter_is_pushed_down(spark, tmp_path):
         assert [r.v for r in rows.filter("z = 3 and y = 1").orderBy("x").collect()] == [40.0, 41.0, 42.0, 43.0]
         plane = read_voxels(spark, "npy_volume", str(tmp_path / "v.npy"), slab=1, z_from=2, z_to=4)
         assert plane.rdd.getNumPartitions() == 2 and {r.z for r in plane.collect()} == {2, 3}
+
+
+def test_many_prompt_files_take_few_tasks(spark, tmp_path):
+    # Spark's own reader counts 4 MB for the opening of a file, so a task for every 32 files.
+    for k in range(400):
+        (tmp_path / f"p {k}.txt").write_text(f"two\nlines ünï {k}", encoding="utf-8")
+    paths = spark.createDataFrame([(f"{start}{tmp_path}/p {k}.txt",) for k, start in zip(range(400), ["", "file:"] * 200)], "path string")
+    prompts = read_prompts(paths)
+    assert prompts.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r.value for r in prompts.collect()) == sorted(f"two\nlines ünï {k}" for k in range(400))

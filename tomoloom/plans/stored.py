@@ -76,20 +76,26 @@ def mesh_files(spark: SparkSession, folder: str) -> str:
     return _grouped(d.triangles(spark, folder), "mesh_id", lambda m: f"{m}.stl", content)
 
 
-def document_files(spark: SparkSession, folder: str) -> str:
-    """Each document as a text file under its source and language, with one of five extensions."""
+def document_paths(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    """Each document as a text file under its source and language, with one of five extensions; the folder and the `path` of every file."""
     place = shared_path(spark)
     rows = d.table(spark, folder, "documents").select("source", "lang", "doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            paths = []
             for r in batch.to_pylist():
                 ending = (".TIF", ".npy", ".json", ".stl", "")[r["doc_id"] % 5]
-                write_file(f"{place}/{r['source']}/{r['lang']}/doc_{r['doc_id']}{ending}", r["text"].encode())
-            yield pa.RecordBatch.from_pydict({"files": [len(batch)]})
+                paths.append(f"{place}/{r['source']}/{r['lang']}/doc_{r['doc_id']}{ending}")
+                write_file(paths[-1], r["text"].encode())
+            yield pa.RecordBatch.from_pydict({"path": paths})
 
-    materialize(rows.mapInArrow(write, "files long"))
-    return place
+    return place, materialize(rows.mapInArrow(write, "path string"))
+
+
+def document_files(spark: SparkSession, folder: str) -> str:
+    """The folder of `document_paths`."""
+    return document_paths(spark, folder)[0]
 
 
 def log_files(spark: SparkSession, folder: str, parts: int = 8) -> str:

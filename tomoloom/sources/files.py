@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tomoloom.functions.paths import located
+from tomoloom.functions.paths import located, open_file
 from tomoloom.functions.storage import materialize
 from tomoloom.schemas import LATTICE_JSON
 
 READ_BYTES = 1 << 20
+#: Prompt files that one task reads, about.
+FILES_PER_TASK = 4096
 
 
 def _qualified(spark: SparkSession, root: str):
@@ -100,6 +102,31 @@ def read_prompt(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("set_id"), "value")
 
 
+def read_prompts(paths: DataFrame) -> DataFrame:
+    """One row per prompt file of a table of paths: `(set_id, value)`.
+
+    Files are opened by the tasks that hold their paths: the driver lists none of them, and their number sets no number of
+    splits. Bytes that are no UTF-8 become replacement characters.
+    """
+
+    def read(batches):
+        for batch in batches:
+            names, texts, held = [], [], 0
+            for name in batch.column("path").to_pylist():
+                with open_file(name) as handle:
+                    texts.append(handle.read().decode(errors="replace"))
+                names.append(name)
+                held += len(texts[-1])
+                if held > READ_BYTES:
+                    yield pa.RecordBatch.from_pydict({"set_id": names, "value": texts})
+                    names, texts, held = [], [], 0
+            if names:
+                yield pa.RecordBatch.from_pydict({"set_id": names, "value": texts})
+
+    tasks = max(2 * paths.sparkSession.sparkContext.defaultParallelism, -(-paths.count() // FILES_PER_TASK))
+    return paths.select("path").repartition(tasks).mapInArrow(read, "set_id string, value string")
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of one or more logs: `(at, line)`, where sorting by `at` gives file order. Nothing is moved."""
     place = F.struct(
