@@ -136,6 +136,36 @@ def test_sets_far_from_links_are_no_pairs(spark):
     assert [tuple(r) for r in join._rest(members).collect()] == [(3, 7)]
 
 
+def test_texts_around_one_passage_are_not_all_compared(spark, monkeypatch):
+    """60 texts of 146 shingles, 116 of them from one passage: far from links, though all meet in frequent pairs."""
+    monkeypatch.setattr(join, "ABOVE_MEAN", 0)
+    monkeypatch.setattr(join, "AT_LEAST", 2)
+    passage, compared = [f"w{i}" for i in range(150)], []
+    texts = [passage[: 2 * k] + [f"own{k}x{i}" for i in range(26)] + passage[2 * k + 26 :] for k in range(60)]
+    texts += [[*passage[:-1], f"last{k}"] for k in range(6)]
+    plain = join._compared
+
+    def counting(pairs, bodies):
+        compared.append(pairs.count())
+        return plain(pairs, bodies)
+
+    monkeypatch.setattr(join, "_compared", counting)
+    rows = [(k, " ".join(words)) for k, words in enumerate(texts)]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+    assert sum(compared) < 600
+
+
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(6)
+    for size in (1, 40, 150, 3000):
+        one = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+        for gone in (0, size // 7, size):
+            other = np.concatenate([one[gone:], rng.integers(0, 1 << 64, gone // 2, dtype=np.uint64)])
+            bits = sum(int(b).bit_count() for b in (join.parity(one) ^ join.parity(other)).view(np.uint64))
+            assert bits <= gone + gone // 2
+            assert bits > 0 or gone == 0
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100)]
     found = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -15,7 +15,9 @@ each set is indexed for its own level and the next.
 Entries with one set are dropped, and so are sets that keep neither an entry of two tokens nor `fewest` rare ones. In the
 entries left, sets are compared with one leader at a time: links join sets into components, and later rounds take other
 leaders and only those sets that are not yet in the leader's component. What is left after the rounds, different
-components that meet in an entry, is compared in full, so no link is lost. Comparing is exact, on the whole sets.
+components that meet in an entry, is compared in full, so no link is lost. Of those that meet in pairs of frequent tokens,
+as all texts around a very common passage do, sets are compared only where their tokens of their own and the parity of
+their tokens' bits leave a link possible. Comparing is exact, on the whole sets.
 """
 
 from __future__ import annotations
@@ -43,6 +45,9 @@ PART = 4096
 ROUNDS = 5
 #: Bits of the sieve of entries that several sets have.
 ENTRY_BITS = 26
+#: Bits of a set's parity, and the 64-bit words that hold them.
+PARITY_BITS = 1024
+PARITY_WORDS = PARITY_BITS // 64
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -95,6 +100,12 @@ def shared_least(n_a: str, n_b: str) -> str:
     return "least(" + ", ".join(f"{spared[n]} + 1 + {spared[n]} div 3 - {n} + {common}" for n in (n_a, n_b)) + ")"
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Per bit, whether an odd number of tokens falls on it. Two sets differ in as many tokens at least as their bits do."""
+    odd = np.bincount((tokens >> np.uint64(54)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if not len(a) or not len(b) or 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
         return False
@@ -182,7 +193,7 @@ def _sketch(rows: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def _indexed(rows: DataFrame, counts: np.ndarray, mean: float) -> DataFrame:
-    """ref, doc_id, n, two 64-bit digests of the set, and its index entries with their part."""
+    """ref, doc_id, n, two 64-bit digests of the set, its parity, and its index entries with their part."""
     held = rows.sparkSession.sparkContext.broadcast(counts)  # CELLS numbers
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +201,13 @@ def _indexed(rows: DataFrame, counts: np.ndarray, mean: float) -> DataFrame:
         for batch in batches:
             ref = batch["ref"].to_numpy(zero_copy_only=False)
             for row, offsets, data in text_blocks(batch["text"]):
-                sizes, needs, one, two, keys, parts = [], [], [], [], [], []
+                sizes, needs, one, two, odd, keys, parts = [], [], [], [], [], [], []
                 for i, tokens in enumerate(shingle_sets(data, offsets)):
                     sizes.append(len(tokens))
                     needs.append(fewest(len(tokens)))
                     one.append(int(mix(tokens ^ _ODD[2]).sum(dtype=np.uint64).view(np.int64)))
                     two.append(int(mix(tokens ^ _ODD[3]).sum(dtype=np.uint64).view(np.int64)))
+                    odd.append(parity(tokens))
                     key, part = entries(tokens, counts, mean)
                     own = int(mix(np.array([ref[row + i]], np.int64).view(np.uint64) ^ _ODD[0])[0] >> np.uint64(8))
                     keys.append(key.view(np.int64))
@@ -203,12 +215,15 @@ def _indexed(rows: DataFrame, counts: np.ndarray, mean: float) -> DataFrame:
                 ends = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in (keys, parts)]
                 part = batch.slice(row, len(sizes))
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(np.concatenate(odd)))
                 yield pa.RecordBatch.from_arrays(
-                    [part["ref"], part["doc_id"], pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *lists],
-                    ["ref", "doc_id", "n", "need", "one", "two", "entry", "part"],
+                    [part["ref"], part["doc_id"], pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), bits, *lists],
+                    ["ref", "doc_id", "n", "need", "one", "two", "parity", "entry", "part"],
                 )
 
-    return rows.mapInArrow(index, "ref long, doc_id long, n int, need int, one long, two long, entry array<long>, part array<int>")
+    return rows.mapInArrow(
+        index, "ref long, doc_id long, n int, need int, one long, two long, parity array<long>, entry array<long>, part array<int>"
+    )
 
 
 def _sharing(index: DataFrame) -> DataFrame:
@@ -311,18 +326,19 @@ def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
     return _enough(lower.unionByName(upper))
 
 
-def _rest(members: DataFrame) -> DataFrame:
-    """Pairs of sets of different components that may be links.
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of the entries in which different components meet."""
+    both = rows.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    return rows.join(both.select("entry"), "entry", "left_semi")
+
+
+def _rest(members: DataFrame, traits: DataFrame | None = None) -> DataFrame:
+    """Pairs of sets of different components that may be links. traits: ref, rare (its rare entries, shared or not), parity.
 
     Of a set's rare entries, the last and most common ones of the order are no meeting points: sets that share so few rare
-    entries are no links. What meets is counted over all of them. Where components meet in entries of two frequent tokens, which
-    near copies have in great number, each pair of components is taken once, with all pairs of their members.
+    entries are no links. What meets is counted over all of them.
     """
-    def mixed(rows: DataFrame) -> DataFrame:
-        both = rows.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-        return rows.join(both.select("entry"), "entry", "left_semi")
-
-    rare = mixed(members.filter("part < 0")).select("entry", "ref", "n", "need", "comp")
+    rare = _mixed(members.filter("part < 0")).select("entry", "ref", "n", "need", "comp")
     # Linked sets share `least` of these, so one at least is not among the `least - 1` of either that most sets have.
     of, rising = Window.partitionBy("ref"), [F.col("many"), F.col("entry")]
     placed = rare.join(rare.groupBy("entry").agg(F.count(F.lit(1)).alias("many")), "entry").select(
@@ -344,16 +360,58 @@ def _rest(members: DataFrame) -> DataFrame:
     both = met.join(near.select(F.col("ref").alias("x"), F.col("held").alias("one")), "x")
     both = both.join(near.select(F.col("ref").alias("y"), F.col("held").alias("other")), "y")
     counted = both.filter(F.size(F.array_intersect("one", "other")) >= F.col("need")).select(*_ordered("x", "y"))
-    groups = mixed(members.filter("part >= 0")).select("entry", "comp").distinct()
-    meet = groups.join(groups.withColumnRenamed("comp", "other"), "entry").filter("comp < other").select("comp", "other").distinct()
-    sets = members.filter("part >= 0").select("ref", "n", "comp").distinct()
-    ones = meet.join(sets.select("comp", F.col("ref").alias("x"), F.col("n").alias("n_a")), "comp")
-    both = ones.join(sets.select(F.col("comp").alias("other"), F.col("ref").alias("y"), F.col("n").alias("n_b")), "other")
-    return counted.unionByName(both.filter(FITS).select(*_ordered("x", "y"))).distinct()
+    return counted.unionByName(_rest_of_frequent(members, traits)).distinct()
+
+
+def _near_enough(one: str, other: str, sizes: tuple[str, str], most: tuple[str, str]) -> str:
+    """SQL: whether two sets can be linked. Linked sets have 3/7 of their summed sizes in common, so `most`, what either can
+    share with the other, holds as many, and they differ in 1/7 at most. A null parity leaves the second open."""
+    differ = " + ".join(f"bit_count({one}[{k}] ^ {other}[{k}])" for k in range(PARITY_WORDS))
+    total = f"(0L + {sizes[0]} + {sizes[1]})"
+    return f"7L * least({most[0]}, {most[1]}) >= 3L * {total} and coalesce(7L * ({differ}) <= {total}, true)"
+
+
+def _rest_of_frequent(members: DataFrame, traits: DataFrame | None) -> DataFrame:
+    """Pairs of sets of different components that meet in an entry of two frequent tokens and may be links.
+
+    Near copies have such entries in great number, so each pair of components is taken once. A set with such entries has all
+    its rare tokens in the index. Those of them that meet no other component among these sets, it shares with none of them.
+    """
+    deep = members.filter("part >= 0")
+    sets = deep.select("ref", "n", "comp").distinct()
+    if traits is None:
+        sets = sets.select("*", F.col("n").alias("most"), F.lit(None).cast("array<long>").alias("parity"))
+    else:
+        met = _mixed(members.filter("part < 0").join(sets.select("ref"), "ref", "left_semi")).groupBy("ref").agg(F.count(F.lit(1)).alias("met"))
+        known = sets.join(traits.select("ref", "rare", "parity"), "ref").join(met, "ref", "left")
+        most = F.col("n") - F.col("rare") + F.coalesce("met", F.lit(0))
+        sets = known.select("ref", "n", "comp", most.alias("most"), "parity").filter("4L * most >= 3L * n")
+    sets = materialize(sets)
+    # What holds for all sets of a component; a component of one set has its parity.
+    whole = materialize(
+        sets.groupBy("comp").agg(
+            F.count(F.lit(1)).alias("sets"),
+            F.min("n").alias("n"),
+            F.max("most").alias("most"),
+            F.when(F.count(F.lit(1)) == 1, F.first("parity")).alias("parity"),
+        )
+    )
+    groups = _mixed(deep.join(sets.select("ref"), "ref", "left_semi").select("entry", "comp").distinct()).join(whole, "comp")
+    groups = materialize(groups)
+    one, other = (groups.select("entry", *(F.col(c).alias(f"{c}_{k}") for c in whole.columns)) for k in "ab")
+    able = _near_enough("parity_a", "parity_b", ("n_a", "n_b"), ("most_a", "most_b"))
+    meet = one.join(other, "entry").filter("comp_a < comp_b").filter(able).select("comp_a", "comp_b", "sets_a", "sets_b").distinct()
+    # First the sets of the smaller component, so that no row is made for each of the larger one's before they are compared.
+    pairs = meet.selectExpr(
+        "if(sets_a <= sets_b, comp_a, comp_b) as small", "if(sets_a <= sets_b, comp_b, comp_a) as large"
+    )
+    x, y = (sets.select(F.col("comp").alias(c), *(F.col(v).alias(f"{v}_{k}") for v in ("ref", "n", "most", "parity"))) for k, c in (("a", "small"), ("b", "large")))
+    both = pairs.join(x, "small").join(y, "large").filter(able)
+    return both.select(*_ordered("ref_a", "ref_b"))
 
 
-def _links(rows: DataFrame, postings: DataFrame) -> DataFrame:
-    """a, b: links that connect all sets of a component."""
+def _links(rows: DataFrame, postings: DataFrame, traits: DataFrame) -> DataFrame:
+    """a, b: links that connect all sets of a component. traits as in `_rest`."""
     test = sieve(postings, "ref")
     bodies = materialize(rows.select("ref", "text").filter(test("ref")))
     spark = rows.sparkSession
@@ -364,7 +422,7 @@ def _links(rows: DataFrame, postings: DataFrame) -> DataFrame:
             "entry", "part", "ref", "n", "need", "central", F.coalesce("comp", "ref").alias("comp")
         )
         members = materialize(members)
-        pairs = _leader_pairs(members, turn) if turn < ROUNDS else _rest(members)
+        pairs = _leader_pairs(members, turn) if turn < ROUNDS else _rest(members, traits)
         fresh = materialize(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
         discard(members)
         if fresh.isEmpty():
@@ -388,7 +446,8 @@ def classes(rows: DataFrame) -> DataFrame:
     )
     # Copies that the sieve lets pass are compared like any other text.
     standing = index.filter(sieve(nodes.select(F.col("node").alias("ref")), "ref")("ref"))
-    links = _links(rows, _sharing(standing))
+    traits = index.select("ref", F.size(F.filter("part", lambda p: p < 0)).alias("rare"), "parity")
+    links = _links(rows, _sharing(standing), traits)
     discard(index)
     comp = components(links)
     smallest = nodes.join(comp, "node", "left").select("node", "n", "one", "two", "smallest", F.coalesce("comp", "node").alias("comp"))
