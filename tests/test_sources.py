@@ -210,6 +210,22 @@ def test_listing_and_digests(spark, tmp_path):
     assert "content:binary" not in plan
 
 
+def test_the_driver_names_no_file_of_a_tree(spark, tmp_path):
+    """300 files in 3 folders, one of them empty but for folders; hidden names are passed over, odd ones are not."""
+    names = [f"{folder}/deep/f{k}.txt" for folder in ("a", "b%20c") for k in range(150)] + ["d=1/_x=2/é #1.txt", "_metadata"]
+    for name in [*names, ".hidden", "_gone/f.txt", "a/.crc", "a/half._COPYING_"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * (len(name) % 3))
+    (tmp_path / "nothing").mkdir()
+    listing = list_tree(spark, str(tmp_path))
+    assert len(listing.inputFiles()) < 30
+    assert sorted((r.path, r.length) for r in listing.collect()) == sorted((n, len(n) % 3) for n in names)
+    assert {r.path: r.content_md5 for r in digest_tree(spark, str(tmp_path)).collect()} == {
+        n: hashlib.md5(b"x" * (len(n) % 3)).hexdigest() for n in names
+    }
+    assert list_tree(spark, str(tmp_path / "nothing")).collect() == []
+
+
 def test_line_numbers_over_many_splits(spark, tmp_path):
     rng = np.random.default_rng(5)
     expected = {}

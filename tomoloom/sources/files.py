@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import re
-from urllib.parse import unquote
+from functools import reduce
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +16,10 @@ from tomoloom.functions.storage import materialize
 from tomoloom.schemas import LATTICE_JSON
 
 READ_BYTES = 1 << 20
-#: Prompt files that one task reads, about.
-FILES_PER_TASK = 4096
+#: Files, and bytes of files, that one task reads, about.
+FILES_PER_TASK, BYTES_PER_TASK = 4096, 1 << 27
+#: Tasks over which the folders of one level are dealt, at most.
+MOST_TASKS = 256
 
 
 def _qualified(spark: SparkSession, root: str):
@@ -27,29 +29,43 @@ def _qualified(spark: SparkSession, root: str):
     return system, system.makeQualified(base)
 
 
-def _tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files with content below `root`; the reader passes over empty ones."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def _passed_over(name: str) -> bool:
+    """Names that Spark's file readers leave out, too."""
+    hidden = name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+    return hidden and not name.startswith(("_common_metadata", "_metadata"))
 
 
-def _relative(spark: SparkSession, root: str):
-    prefix = _qualified(spark, root)[1].toString().rstrip("/")
-    return F.substring(F.col("path"), len(prefix) + 2, 1 << 20).alias("path")
-
-
-def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Empty files below the same root: those the file index names but the reader does not return."""
-    # The index writes an empty authority ("file:///a"), the reader leaves it out ("file:/a").
-    named = [(re.sub(r"^(\w+):///", r"\1:/", unquote(name)),) for name in files.inputFiles()]
-    return spark.createDataFrame(named, "path string").join(files.select("path"), "path", "left_anti")
+def _entries(batches):
+    """Files of the folders in `folder`, and the folders in them, whose length is null."""
+    for batch in batches:
+        for folder in batch.column("folder").to_pylist():
+            store, inner = located(folder)
+            names, lengths = [], []
+            for entry in store.get_file_info(fs.FileSelector(inner)):
+                if not _passed_over(entry.base_name):
+                    names.append(f"{folder.rstrip('/')}/{entry.base_name}")
+                    lengths.append(None if entry.type == fs.FileType.Directory else entry.size)
+            for at in range(0, len(names), FILES_PER_TASK):
+                part = slice(at, at + FILES_PER_TASK)
+                yield pa.RecordBatch.from_arrays([pa.array(names[part], pa.string()), pa.array(lengths[part], pa.int64())], ["full_path", "length"])
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below `root`: `path` relative to it, `full_path`, `length`. Contents are not read."""
-    files = _tree(spark, root)
-    full = F.col("path").alias("full_path")
-    empty = _empty_files(spark, files).select(_relative(spark, root), full, F.lit(0).cast("bigint").alias("length"))
-    return files.select(_relative(spark, root), full, "length").unionByName(empty)
+    """Every file below `root`: `path` relative to it, `full_path`, `length`. Contents are not read.
+
+    Tasks list the folders, one level after the other, and write what they find: the driver sees no file's name.
+    """
+    system, base = _qualified(spark, root)
+    if not system.exists(base):
+        raise FileNotFoundError(f"no folder at {root}")
+    top = base.toString().rstrip("/")
+    level, found, folders = spark.createDataFrame([(base.toString(),)], "folder string"), [], 1
+    while folders:
+        listed = materialize(level.repartition(min(folders, MOST_TASKS)).mapInArrow(_entries, "full_path string, length bigint"))
+        found.append(listed.filter("length is not null"))
+        level = listed.filter("length is null").select(F.col("full_path").alias("folder"))
+        folders = level.count()
+    return reduce(DataFrame.unionByName, found).select(F.substring("full_path", len(top) + 2, 1 << 20).alias("path"), "full_path", "length")
 
 
 def top_folders(spark: SparkSession, root: str) -> DataFrame:
@@ -81,7 +97,9 @@ def digest_tree(spark: SparkSession, root: str) -> DataFrame:
             )
 
     listed = list_tree(spark, root).select("path", "length", "full_path")
-    return listed.mapInArrow(stream, "path string, length bigint, content_md5 string")
+    held = listed.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-held.files // FILES_PER_TASK), -(-held.bytes // BYTES_PER_TASK))
+    return listed.repartition(tasks).mapInArrow(stream, "path string, length bigint, content_md5 string")
 
 
 def read_lattice_json(spark: SparkSession, path: str) -> DataFrame:
