@@ -155,6 +155,33 @@ def test_texts_around_one_passage_are_not_all_compared(spark, monkeypatch):
     assert sum(compared) < 600
 
 
+def test_rounds_keep_only_what_can_still_link(spark, monkeypatch):
+    """Groups of near copies are one component after the first round: of their rows none is left for the second."""
+    rng, rows, seen = random.Random(8), [], []
+    for group in range(12):
+        base = [f"g{group}w{i}" for i in range(60)]
+        rows += [(10 * group + k, edited(rng, base, k // 4)) for k in range(8)]
+    plain = join._leader_pairs
+
+    def counting(members, turn):
+        seen.append(members.count())
+        return plain(members, turn)
+
+    monkeypatch.setattr(join, "_leader_pairs", counting)
+    assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+    assert seen[0] > 500 and max(seen[1:]) < seen[0] / 10
+
+
+def test_open_rows(spark):
+    """Entry 1 lies in one component; 5 alone meets another one in too few rare entries, 6 and 7 in a frequent pair."""
+    rows = [(1, -1, 1, 8, 2, 1), (1, -1, 2, 8, 2, 1), (2, -1, 1, 8, 2, 1), (2, -1, 3, 8, 2, 3), (3, -1, 1, 8, 2, 1), (3, -1, 3, 8, 2, 3)]
+    rows += [(3, -1, 5, 8, 2, 5), (9, 0, 6, 8, 2, 6), (9, 0, 7, 8, 2, 7), (8, 0, 7, 8, 2, 7)]
+    members = spark.createDataFrame(rows, "entry long, part int, ref long, n int, need int, comp long")
+    kept = join._open(members)
+    assert kept.columns == members.columns
+    assert sorted((r.entry, r.ref) for r in kept.collect()) == [(2, 1), (2, 3), (3, 1), (3, 3), (9, 6), (9, 7)]
+
+
 def test_parity_bounds_the_difference():
     rng = np.random.default_rng(6)
     for size in (1, 40, 150, 3000):

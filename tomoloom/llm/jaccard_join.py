@@ -332,6 +332,19 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(both.select("entry"), "entry", "left_semi")
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Rows that can still lead to a link between components: those of mixed entries, of sets that keep enough of these.
+
+    Linked sets share an entry of two tokens or `need` rare ones, all of them mixed until a link joins the sets. Components
+    only grow, so what is left out here is of no use in later rounds either.
+    """
+    mixed = _mixed(members)
+    of = Window.partitionBy("ref")
+    lone = F.count_if(F.col("part") < 0).over(of)
+    counted = mixed.withColumns({"lone": lone, "all": F.count(F.lit(1)).over(of)})
+    return counted.filter("lone >= need or all > lone").drop("lone", "all")
+
+
 def _rest(members: DataFrame, traits: DataFrame | None = None) -> DataFrame:
     """Pairs of sets of different components that may be links. traits: ref, rare (its rare entries, shared or not), parity.
 
@@ -417,18 +430,37 @@ def _links(rows: DataFrame, postings: DataFrame, traits: DataFrame) -> DataFrame
     spark = rows.sparkSession
     done = spark.createDataFrame([], "a long, b long, linked boolean")
     comp = spark.createDataFrame([], "node long, comp long")
-    for turn in range(ROUNDS + 1):
+    turn, found = 0, True
+    while True:
         members = postings.join(comp.withColumnRenamed("node", "ref"), "ref", "left").select(
             "entry", "part", "ref", "n", "need", "central", F.coalesce("comp", "ref").alias("comp")
         )
         members = materialize(members)
-        pairs = _leader_pairs(members, turn) if turn < ROUNDS else _rest(members, traits)
+        if turn:
+            whole, members = members, materialize(_open(members))
+            discard(whole)
+        discard(postings)
+        postings = members.drop("comp")
+        # Where the leaders have led to no link, others would hardly; what is left is compared at once.
+        last = turn == ROUNDS or not found
+        if members.isEmpty():
+            break
+        pairs = _rest(members, traits) if last else _leader_pairs(members, turn)
         fresh = materialize(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        discard(members)
-        if fresh.isEmpty():
-            continue
-        done = materialize(done.unionByName(_compared(fresh, bodies)))
-        comp = components(done.filter("linked").select("a", "b"))
+        found = False
+        if not fresh.isEmpty():
+            new = materialize(_compared(fresh, bodies))
+            found = not new.filter("linked").isEmpty()
+            whole, done = done, materialize(done.unionByName(new))
+            discard(whole)
+            discard(new)
+        discard(fresh)
+        if found:
+            comp = components(done.filter("linked").select("a", "b"))
+        if last:
+            break
+        turn += 1
+    discard(postings)
     return done.filter("linked").select("a", "b")
 
 
