@@ -430,7 +430,7 @@ def _links(rows: DataFrame, postings: DataFrame, traits: DataFrame) -> DataFrame
     spark = rows.sparkSession
     done = spark.createDataFrame([], "a long, b long, linked boolean")
     comp = spark.createDataFrame([], "node long, comp long")
-    turn, found = 0, True
+    turn, found, rows_left = 0, True, 0
     while True:
         members = postings.join(comp.withColumnRenamed("node", "ref"), "ref", "left").select(
             "entry", "part", "ref", "n", "need", "central", F.coalesce("comp", "ref").alias("comp")
@@ -441,10 +441,11 @@ def _links(rows: DataFrame, postings: DataFrame, traits: DataFrame) -> DataFrame
             discard(whole)
         discard(postings)
         postings = members.drop("comp")
-        # Where the leaders have led to no link, others would hardly; what is left is compared at once.
-        last = turn == ROUNDS or not found
-        if members.isEmpty():
+        before, rows_left = rows_left, members.count()
+        if not rows_left:
             break
+        # Where leaders have led to no link, or left nine tenths of the rows, others would do little: what is left is compared.
+        last = turn == ROUNDS or not found or (turn > 1 and 10 * rows_left > 9 * before)
         pairs = _rest(members, traits) if last else _leader_pairs(members, turn)
         fresh = materialize(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
         found = False
