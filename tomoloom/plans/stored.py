@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tomoloom.functions.paths import write_file
-from tomoloom.functions.spread import spread_groups
-from tomoloom.functions.storage import materialize, shared_path
+from tomoloom.functions.paths import located, write_file
+from tomoloom.functions.spread import spread_groups, spread_sorted
+from tomoloom.functions.storage import discard, materialize, shared_path
 from tomoloom.plans import derived as d
-from tomoloom.sources.stl import RECORD
+from tomoloom.sources.stl import HEADER_BYTES, RECORD
 
 #: Rows and columns of a stored plane.
 SIDE = 8
@@ -63,17 +66,90 @@ def tiff_files(spark: SparkSession, folder: str) -> str:
     return _grouped(d.volume(spark, folder).select("volume_id", "z", "y", "x", "g"), "volume_id", lambda v: f"{v}.tif", content)
 
 
+def _stl_head(n: int) -> bytes:
+    return b"mesh".ljust(80) + struct.pack("<I", n)
+
+
+def _in_place(place: str) -> bool:
+    """Whether tasks can write at an offset of a file in this folder."""
+    return isinstance(located(place)[0], fs.LocalFileSystem)
+
+
+def _stretches(batch: pa.RecordBatch, corners: list[str]) -> Iterator[tuple[dict, np.ndarray]]:
+    """What of a batch follows one another in one mesh: its first row's place and mesh, and the records."""
+    meshes = batch.column("mesh_id").dictionary_encode()
+    code, at = meshes.indices.to_numpy(), batch.column("at").to_numpy()
+    order = np.lexsort([at, code])
+    records = np.zeros(len(batch), RECORD)
+    records["corners"] = np.stack([batch.column(c).to_numpy()[order] for c in corners], axis=1)
+    starts = np.flatnonzero((np.diff(code[order], prepend=-1) != 0) | (np.diff(at[order], prepend=-2) != 1))
+    for start, stop in zip(starts, np.append(starts[1:], len(batch)), strict=True):
+        row = int(order[start])
+        yield {c: batch.column(c)[row].as_py() for c in ("mesh_id", "at", "triangles")}, records[start:stop]
+
+
 def mesh_files(spark: SparkSession, folder: str) -> str:
-    """Each mesh as a binary STL file, its triangles by id."""
-    corners = [f"{v}{axis}" for v in "abc" for axis in "xyz"]
+    """Each mesh as a binary STL file, its triangles by id.
 
-    def content(table: pa.Table) -> bytes:
-        records = np.zeros(len(table), RECORD)
-        order = np.argsort(table.column("tri_id").to_numpy(), kind="stable")
-        records["corners"] = np.stack([table.column(c).to_numpy()[order] for c in corners], axis=1)
-        return b"mesh".ljust(80) + struct.pack("<I", len(table)) + records.tobytes()
+    Triangles are sorted in ranges and get their place in the file from the ranges' numbers of triangles, so that no task
+    holds a mesh: where the shared folder is one of paths, every task writes its own records at their offsets, and a
+    repeated attempt writes the same bytes. Elsewhere one task streams a mesh's records in order.
+    """
+    place = shared_path(spark)
+    corners = [f"{v}{axis}" for v in "abc" for axis in "xyz"]
+    rows = d.triangles(spark, folder).select("mesh_id", "tri_id", *(F.col(c).cast("float") for c in corners))
+    # The number of a row is that of its task, from bit 33 on, and its own in the task.
+    ordered = materialize(spread_sorted(rows, "mesh_id", "tri_id").drop("tri_id").withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33).alias("_part")
+    ranges = ordered.groupBy("mesh_id", part).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    mesh = Window.partitionBy("mesh_id")
+    before = F.coalesce(F.sum("_n").over(mesh.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = materialize(ranges.select("mesh_id", "_part", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(mesh).alias("triangles")))
+    placed = ordered.withColumn("_part", part).join(offsets, ["mesh_id", "_part"])
+    placed = placed.select("mesh_id", (F.col("_row") + F.col("_shift")).alias("at"), "triangles", *corners)
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mesh_id, n in zip(batch.column("mesh_id").to_pylist(), batch.column("triangles").to_pylist(), strict=True):
+                path = f"{place}/{mesh_id}.stl"
+                write_file(path, _stl_head(n))
+                os.truncate(located(path)[1], HEADER_BYTES + n * RECORD.itemsize)
+            yield pa.RecordBatch.from_pydict({"written": pa.array([len(batch)], pa.int64())})
 
-    return _grouped(d.triangles(spark, folder), "mesh_id", lambda m: f"{m}.stl", content)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
+        for batch in batches:
+            for first, records in _stretches(batch, corners):
+                with open(located(f"{place}/{first['mesh_id']}.stl")[1], "r+b") as out:
+                    out.seek(HEADER_BYTES + first["at"] * RECORD.itemsize)
+                    out.write(records.tobytes())
+                written += records.size
+        yield pa.RecordBatch.from_pydict({"written": pa.array([written], pa.int64())})
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written, of, out = 0, None, None
+        for batch in batches:
+            for first, records in _stretches(batch, corners):
+                if of != first["mesh_id"]:
+                    if out:
+                        out.close()
+                    of, (store, inner) = first["mesh_id"], located(f"{place}/{first['mesh_id']}.stl")
+                    store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                    out = store.open_output_stream(inner)
+                    out.write(_stl_head(first["triangles"]))
+                out.write(records.tobytes())
+                written += records.size
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"written": pa.array([written], pa.int64())})
+
+    if _in_place(place):
+        materialize(offsets.select("mesh_id", "triangles").distinct().mapInArrow(lay_out, "written bigint"))
+        materialize(placed.mapInArrow(write, "written bigint"))
+    else:
+        materialize(spread_groups(placed, "mesh_id").sortWithinPartitions("mesh_id", "at").mapInArrow(stream, "written bigint"))
+    discard(ordered)
+    return place
 
 
 def document_paths(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:

@@ -12,12 +12,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from tomoloom.functions.paths import open_file
 from tomoloom.schemas import TRIANGLE
-from tomoloom.sources.binary import BATCH_VALUES, Span, list_files, split_spans
+from tomoloom.sources.binary import Span, list_files, split_spans
 
 # 80 header bytes, a little-endian count, then per triangle normal, three corners, attribute.
 HEADER_BYTES = 84
 RECORD = np.dtype([("normal", "<f4", 3), ("corners", "<f4", 9), ("attribute", "<u2")])
-RECORDS_PER_TASK = 1 << 18
+RECORDS_PER_TASK, RECORDS_PER_BATCH = 1 << 18, 1 << 15
 
 
 def header_count(path: str) -> int:
@@ -61,8 +61,8 @@ class StlReader(DataSourceReader):
             [("mesh_id", pa.string()), ("tri_id", pa.int64())]
             + [(f"{v}{d}", pa.float64()) for v in "abc" for d in "xyz"]
         )
-        for start in range(span.start, span.stop, BATCH_VALUES):
-            n = min(BATCH_VALUES, span.stop - start)
+        for start in range(span.start, span.stop, RECORDS_PER_BATCH):
+            n = min(RECORDS_PER_BATCH, span.stop - start)
             with open_file(span.path) as handle:
                 handle.seek(HEADER_BYTES + start * RECORD.itemsize)
                 corners = np.frombuffer(handle.read(n * RECORD.itemsize), RECORD)["corners"].astype(np.float64)
